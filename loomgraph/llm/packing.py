@@ -16,7 +16,7 @@ from loomgraph.llm.common import documents, map_bytes, whole_texts
 LENGTH = 2048  # tokens in a sequence
 END = 1  # id after each document
 HASHED, DIMS, ORDER = 256, 4, 10  # buckets of the hashed vectors, dimensions they are projected to, bits in each
-SPREAD = 4.0  # projected coordinates within this many units of zero fall in cells of their own
+SPREAD = 0.5  # mean projected coordinates within this of zero fall in cells of their own; the rest in the outermost
 
 
 def projection(vocabulary: int, hashed: int = HASHED, dims: int = DIMS) -> np.ndarray:
@@ -61,8 +61,8 @@ def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def cells_of(sums: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Grid cells of documents from the sums of their ids' projections: scaled to unit spread for unrelated ids, then cut evenly."""
-    unit = sums / np.sqrt(np.maximum(counts, 1))[:, None]
+    """Grid cells of documents from the sums of their ids' projections: their means, cut evenly."""
+    unit = sums / np.maximum(counts, 1)[:, None]
     return np.clip(((unit / SPREAD + 1) / 2 * (1 << order)).astype(np.int64), 0, (1 << order) - 1)
 
 
