@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact, ogg, packing, simhash, warc
+from loomgraph.llm import bpe, exact, language, ogg, packing, pii, quality, simhash, warc
 
-MODULES = (ogg, warc, bpe, packing, simhash, exact)
+MODULES = (ogg, quality, language, warc, bpe, packing, pii, simhash, exact)
 
 
 def queries() -> dict:
