@@ -111,6 +111,126 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Strata for near-duplicates by similarity: shingles aimed at in each, strata used of each document, and the least shingles of one.
+STRATUM, STRATA, LEAST = 3, 16, 3
+CROWD = 32  # documents that share a stratum's fingerprint and are all paired; more are paired with representatives
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; none of a text without words."""
+    from itertools import islice, repeat
+
+    import xxhash
+
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(islice(w, k, None) for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def stratum_keys(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) for the strata of texts: a key is a stratum's SimHash mixed with its level and number.
+
+    A text with m shingles deals them by hash to 2**level strata of about ``STRATUM`` to twice that.
+    Texts of similar size share a level: each takes those of 0.89 m and 1.12 m.
+    """
+    counts = np.array([len(h) for h in hashes])
+    h, text = np.concatenate(hashes) if len(hashes) else np.zeros(0, np.uint64), np.repeat(np.arange(len(hashes)), counts)
+    level = lambda f: np.floor(np.log2(np.maximum(1, counts * f / STRATUM))).astype(np.int64)
+    lows, highs, out = level(0.89), level(1.12), []
+    dealt = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    lanes = np.uint64(0x0101010101010101)
+    for levels, use in ((lows, np.ones(len(counts), bool)), (highs, highs > lows)):
+        stratum = (dealt & ((np.uint64(1) << levels.astype(np.uint64)) - np.uint64(1))[text]).astype(np.int64)
+        pick = np.nonzero((stratum < STRATA) & use[text])[0]
+        if not len(pick):
+            continue
+        group = text[pick] * STRATA + stratum[pick]
+        order = np.argsort(group, kind="stable")
+        g, hs = group[order], h[pick][order]
+        starts = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+        sizes = np.diff(np.append(starts, len(g)))
+        bits = np.zeros((len(starts), 8, 8), bool)
+        for j in range(8):
+            sums = np.add.reduceat((hs >> np.uint64(j)) & lanes, starts)
+            bits[:, :, j] = sums.view(np.uint8).reshape(-1, 8) * 2 > sizes[:, None]
+        fp = np.packbits(bits, axis=2, bitorder="little").reshape(-1, 8).view("<u8")[:, 0]
+        owner = g[starts] // STRATA
+        ok = (sizes <= 255 // 2) & ((sizes >= LEAST) | (levels[owner] == 0))
+        label = (levels[owner] * STRATA + g[starts] % STRATA).astype(np.uint64)
+        out.append((owner[ok], ((fp ^ (fp >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + label * np.uint64(0x94D049BB133111EB))[ok]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def strata(texts: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key) of each text's strata."""
+
+    def make():
+        def rows(ids, t):
+            owner, key = stratum_keys([shingle_hashes(x, words) for x in t])
+            return [[ids[k] for k in owner.tolist()], key.view(np.int64)]
+
+        return rows
+
+    return map_bytes(texts, make, "doc_id long, key long", [pa.int64(), pa.int64()])
+
+
+def stratum_links(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(src, dst) of documents that share a stratum; of a crowd, each with three representatives (chosen by id and by hash)."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("r1"), F.max("doc_id").alias("r2"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("r3")).where("n > 1")
+    few = stored(keyed.join(sizes.where(F.col("n") <= crowd).select("key"), "key"), "few")
+    pairs = few.select("key", F.col("doc_id").alias("src")).join(few.select("key", F.col("doc_id").alias("dst")), "key").where("src < dst").select("src", "dst")
+    many = keyed.join(sizes.where(F.col("n") > crowd), "key").select("doc_id", F.explode(F.array("r1", "r2", "r3")).alias("rep")).where("doc_id <> rep")
+    return pairs.unionByName(many.select(F.least("doc_id", "rep").alias("src"), F.greatest("doc_id", "rep").alias("dst"))).distinct()
+
+
+def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (src, dst) whose shingle sets have a Jaccard similarity of at least ``similarity``; two texts without words have 1."""
+
+    def make():
+        return lambda ids, t: [ids, [(shingle_hashes(x, words) >> np.uint64(32)).astype(np.uint32).tobytes() for x in t]]
+
+    named = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    sets = map_bytes(texts.join(named, "doc_id", "left_semi"), make, "doc_id long, grams binary", [pa.int64(), pa.binary()])
+    sets = stored(sets.dropDuplicates(["doc_id"]), "sets")
+
+    def alike(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=False))
+                keep.append(both >= similarity * max(1, len(x) + len(y) - both) or not (len(x) or len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("a"))
+    right = sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("b"))
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(alike, "src long, dst long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, component_id) for each row: documents joined by pairs whose shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Two bits of 64 are far stricter than a similarity of 0.8, at which fingerprints differ in six to
+    thirteen, and covering tables double with each bit. So besides the covering tables over whole
+    documents' fingerprints, candidates come from SimHashes of strata, of a few shingles each: at 0.8 two
+    documents share one of their sixteen with a probability over 0.98. Every candidate is compared
+    exactly. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
+    """
+    texts = whole_texts(df, id_col, text_col).where("doc_id is not null")
+    prints = stored(fingerprints(texts, words), "fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    equal = prints.join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
+    whole = links(distinct, bucket).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    keyed = stored(strata(texts, words), "strata")
+    pairs = stored(equal.unionByName(whole).unionByName(stratum_links(keyed)).distinct(), "candidates")
+    found = connected_components(verified(texts, pairs, words, similarity))
+    return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash_components(documents(spark, sf_dir))
 
