@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import codec, tokenizer_path
-from loomgraph.llm.common import documents, map_bytes, whole_texts
+from loomgraph.llm.common import documents, map_bytes, stored, whole_texts
 
 LENGTH = 2048  # tokens in a sequence
 END = 1  # id after each document
@@ -99,7 +99,7 @@ def pack_pieces(df: DataFrame, path: str | None = None, ranks_path: str | None =
     tokens; its rest becomes sequences whose lengths are powers of two, so that nothing is padded. A null
     or empty text is its end id alone. Repeated rows are packed each; an empty table gives no pieces.
     """
-    tokens = token_rows(df, path, ranks_path, id_col, text_col)
+    tokens = stored(token_rows(df, path, ranks_path, id_col, text_col), "tokens")  # finding the ranges reads the rows once more
     dealt = tokens.repartitionByRange(F.col("curve"), F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long" + ", ids binary" * with_ids
     kinds = [*[pa.int64()] * 8, *[pa.binary()] * with_ids]
