@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from loomgraph.plans import cochange
+
+MODULES: tuple = (cochange,)
 
 
 def queries() -> dict:
