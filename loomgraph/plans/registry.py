@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import cochange
+from loomgraph.plans import cochange, diff, files, graph, semantic
 
-MODULES: tuple = (cochange,)
+MODULES: tuple = (cochange, files, graph, semantic, diff)
 
 
 def queries() -> dict:

@@ -69,7 +69,7 @@ def ancestors(path: Column) -> Column:
 
 def nearest(files: DataFrame, manifests: DataFrame, path: str = "path", manifest_dir: str = "dir") -> DataFrame:
     """(path, dir): the nearest directory above each file that has a manifest; files without one are left out."""
-    ups = files.select(F.col(path).alias("path"), F.posexplode(ancestors(F.col(path))).alias("up", "dir"))
+    ups = files.select(F.col(path).alias("path")).withColumn("above", ancestors(F.col("path"))).select("path", F.posexplode("above").alias("up", "dir"))
     found = ups.join(manifests.select(F.col(manifest_dir).alias("dir")).distinct(), "dir")
     return found.groupBy("path").agg(F.min_by("dir", "up").alias("dir"))
 
