@@ -12,12 +12,15 @@ string with ``o`` bytes before the trigger is a pair (class of the left part at
 part at depth 50 - o), so both arrays together give the order of all strings, and equal pairs are equal
 strings, exactly: hashes only choose what meets.
 
-Flow. Documents are packed into blocks of about a megabyte, which are stored. (1) Blocks send hashes of
-their triggers to buckets, once each; buckets answer which occur in more than one document. (2) Blocks
-send the distinct phrases of those triggers, with the smallest document, and buckets answer which
-strings start in a smaller document. (3) Blocks mark bytes. What a block sends of one trigger or
-phrase it sends once, so copies and common lines cost a row for each block; a trigger in more than
-``HOT`` blocks has its phrases split into single strings, spread over buckets by their content.
+Flow. Documents are packed into blocks of about a megabyte. (1) Blocks send hashes of their triggers to
+buckets, once each; buckets answer which occur in more than one document. (2) Blocks send hashes of the
+distinct phrases of those triggers, which is the dictionary; a phrase in a larger document than its first
+goes whole, and where a trigger has several phrases, the first document of each is asked for its text.
+(3) Blocks send those texts, each once in all; buckets sort them as above and answer which strings start in
+a smaller document. (4) Blocks mark bytes. What a block sends of one trigger or phrase it sends once, so
+copies and common lines cost a row for each block; a trigger in more than ``HOT`` blocks has its phrases
+split into single strings, spread over buckets by their content. Phrases count as the same by 96 bits of two
+hashes; that a string is part of two different phrases is always compared byte by byte.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, stored, whole_texts
+from loomgraph.llm.common import documents, whole_texts
 
 GRAM, K = 50, 20
 LEFT = GRAM - K  # most bytes of a string before its trigger
@@ -43,6 +46,7 @@ HOT = 256  # blocks
 NO_ID = np.iinfo(np.int64).max  # a null id: after all others
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 LOW47 = np.uint64((1 << 47) - 1)
+PHRASE, ALIAS, SEND, MASK = range(4)  # kinds of rows between blocks and buckets
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,7 +124,7 @@ def unpack6(data: bytes) -> np.ndarray:
 def squeezed(*arrays: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def opened(data: bytes) -> bytes:
@@ -184,7 +188,7 @@ def seen_triggers(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         values = byte_values()
         for batch in batches:
-            for block_id, ids, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block_id, ids, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("block_id", "ids", "lengths", "data")), strict=True):
                 *_, h, doc = Block(ids, lengths, data).triggers(values)
                 order = np.argsort(h, kind="stable")
                 h, doc = h[order], doc[order]
@@ -196,7 +200,7 @@ def seen_triggers(blocks: DataFrame, buckets: int) -> DataFrame:
                     rows = [(b, block_id, pack6(code[at])) for b, at in grouped_rows(bucket_of(h, buckets), buckets)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary()])], names=["bucket", "block_id", "data"])
 
-    return blocks.select("block_id", "ids", "lengths", "data").mapInArrow(run, "bucket int, block_id long, data binary")
+    return blocks.mapInArrow(run, "bucket int, block_id long, data binary")
 
 
 def shared_triggers(seen: DataFrame, hot: int) -> DataFrame:
@@ -232,77 +236,145 @@ def phrase_rows(buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.nda
     return rows
 
 
-def distinct_rows(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the group, groups): equal phrases with equal ranges."""
-    whole = np.concatenate([rows, low[:, None], high[:, None]], axis=1)
-    whole = np.ascontiguousarray(np.pad(whole, ((0, 0), (0, -whole.shape[1] % 8)))).view(">u8").astype(np.uint64)
-    order = np.lexsort(whole.T)
-    ordered = whole[order]
-    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return group, np.nonzero(new)[0]
+def phrase_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    weights = np.random.default_rng(23).integers(1, 2**63, WIDE, dtype=np.uint64) | np.uint64(1)
+    values = np.random.default_rng(29).integers(1, 2**63, 256, dtype=np.uint64)
+    out = np.empty(len(at), np.uint64)
+    for s in range(0, len(at), 1 << 14):
+        part = slice(s, s + (1 << 14))
+        rows = phrase_rows(buf, first[part], last[part], at[part])
+        out[part] = (values[rows] * weights).sum(1, dtype=np.uint64)
+    return mixed(out ^ mixed((at - first + WIDE * (at - last)).astype(np.uint64) * MULTIPLIER))
 
 
-def block_phrases(block: Block, answers: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """What a block sends of its shared phrases: (bucket, kind, data). Kind 0 holds phrases, 1 what the block itself knows of its strings."""
+def mask_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bits ``low`` to ``high``: a string's bit is the number of its bytes before the trigger."""
+    one = np.uint64(1)
+    return ((one << (high.astype(np.uint64) + one)) - (one << low.astype(np.uint64))).astype(np.uint32)
+
+
+def range_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.log2((mask & (~mask + np.uint32(1))).astype(np.float64)).astype(np.int64)
+    return low, np.log2(mask.astype(np.float64)).astype(np.int64)
+
+
+def dictionary_rows(block: Block, answers: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """What a block sends of its shared phrases: (bucket, kind, data). PHRASE rows hold hashes, ALIAS rows what the block itself knows."""
     first, last, at, h, doc = block.triggers(values)
     short = short_hash(h)
     known, hot = answers >> np.uint64(1), answers & np.uint64(1)
     order = np.argsort(known, kind="stable")
     known, hot = known[order], hot[order]
-    place = np.minimum(np.searchsorted(known, short), max(0, len(known) - 1))
-    number = np.nonzero(known[place] == short)[0] if len(known) else np.zeros(0, np.int64)
-    if not len(number):
+    if not len(known):
         return []
+    place = np.minimum(np.searchsorted(known, short), len(known) - 1)
+    number = np.nonzero(known[place] == short)[0]
     single = hot[place[number]] > 0
     # phrases of hot triggers: a row for each string
-    many = number[single]
+    few, many = number[~single], number[single]
     sizes = (last - first + 1)[many]
     begin = np.repeat(first[many], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    number = np.concatenate([number[~single], np.repeat(many, sizes)])
-    lo = np.concatenate([first[last_ := number[: len(number) - len(begin)]], begin])
-    hi = np.concatenate([last[last_], begin])
-    is_single = np.arange(len(number)) >= len(last_)
+    number = np.concatenate([few, np.repeat(many, sizes)])
+    lo, hi = np.concatenate([first[few], begin]), np.concatenate([last[few], begin])
+    is_single = np.arange(len(number)) >= len(few)
+    mask = mask_of(at[number] - hi, at[number] - lo)
+    content = phrase_hashes(block.buf, lo, hi, at[number])
+    docs = doc[number]
+    order = np.lexsort((number, docs, content))
+    heads = np.nonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))[0] if len(order) else order
+    head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))  # for each row, in order: the first occurrence in the smallest document
+    other = order != head
+    later = docs[order] > docs[head]
     out: list[tuple[int, int, bytes]] = []
-    whole_mask = np.zeros(len(number), np.uint32)
-    low, high = (at[number] - hi).astype(np.uint8), (at[number] - lo).astype(np.uint8)  # bytes before the trigger
-    whole_mask = ((np.uint64(1) << (high.astype(np.uint64) + np.uint64(1))) - (np.uint64(1) << low.astype(np.uint64))).astype(np.uint32)
-    local: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for s in range(0, len(number), 1 << 17):
-        part = slice(s, s + (1 << 17))
-        rows = phrase_rows(block.buf, lo[part], hi[part], at[number[part]])
-        group, _ = distinct_rows(rows, low[part], high[part])
-        ids, docs = number[part], doc[number[part]]
-        order = np.lexsort((ids, docs, group))
-        heads = np.nonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))[0]
-        sizes = np.diff(np.append(heads, len(order)))
-        head = np.repeat(order[heads], sizes)  # for each row, in order: the first occurrence in the smallest document
-        other = order != head
-        later = docs[order] > docs[head]
-        local.append((ids[order][other & later], np.full(int((other & later).sum()), -1), whole_mask[part][order][other & later]))
-        same = other & ~later
-        local.append((ids[order][same], ids[head][same], whole_mask[part][order][same]))
-        heads = order[heads]
-        content = (rows[heads].astype(np.uint64) * np.random.default_rng(23).integers(1, 2**63, WIDE, dtype=np.uint64)).sum(1, dtype=np.uint64) + high[part][heads]
-        target = np.where(is_single[part][heads], bucket_of(mixed(content), buckets), bucket_of(h[ids[heads]], buckets))
-        for b, k in grouped_rows(target, buckets):
-            k = heads[k]
-            out.append((b, 0, squeezed(ids[k].astype(np.uint32), low[part][k], high[part][k], docs[k].astype(np.int64), rows[k])))
-    known_here = [np.concatenate(x) for x in zip(*local, strict=True)]
-    if len(known_here[0]):
-        out.append((int(known_here[0][0]) % buckets, 1, squeezed(known_here[0].astype(np.uint32), known_here[1].astype(np.int64), known_here[2].astype(np.uint32))))
+    if other.any():
+        like = np.where(later, -1, number[head])[other]
+        out.append((int(number[order[0]]) % buckets, ALIAS, squeezed(number[order][other].astype(np.uint32), like.astype(np.int64), mask[order][other])))
+    heads = np.sort(order[heads])
+    key = np.where(is_single, content, h[number])
+    for b, k in grouped_rows(bucket_of(key[heads], buckets), buckets):
+        k = heads[k]
+        out.append((b, PHRASE, squeezed((key[k] >> np.uint64(8)).astype(np.uint32), content[k], number[k].astype(np.uint32), mask[k], docs[k].astype(np.int64))))
     return out
 
 
-def send_phrases(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+SENT = {"bucket": pa.int32(), "block_id": pa.int64(), "kind": pa.int32(), "data": pa.binary()}
+TOLD = {"block_id": pa.int64(), "kind": pa.int32(), "data": pa.binary()}
+
+
+def table_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds.items())})
+
+
+def columns_of(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    """Columns set end to end, of equal length."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n = len(raw) // sum(sizes)
+    at = np.cumsum([0, *(x * n for x in sizes)])
+    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(at, at[1:], kinds, strict=False)]
+
+
+def send_dictionary(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         values, rows = byte_values(), []
         codes = [unpack6(x) for x in right.column("data").to_pylist()]
         if codes:
             for block_id, ids, lengths, data in zip(*(left.column(c).to_pylist() for c in ("block_id", "ids", "lengths", "data")), strict=True):
-                rows += [(b, block_id, kind, x) for b, kind, x in block_phrases(Block(ids, lengths, data), np.concatenate(codes), values, buckets)]
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate({"bucket": pa.int32(), "block_id": pa.int64(), "kind": pa.int32(), "data": pa.binary()}.items())})
+                rows += [(b, block_id, kind, x) for b, kind, x in dictionary_rows(Block(ids, lengths, data), np.concatenate(codes), values, buckets)]
+        return table_of(rows, SENT)
+
+    return blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, "bucket int, block_id long, kind int, data binary")
+
+
+def answer_dictionary(sent: DataFrame) -> DataFrame:
+    """For each block: MASK rows of phrases that start whole in a smaller document, SEND rows of those whose text must be compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, blocks, parts = [], [], []
+        for block_id, kind, data in zip(*(table.column(c).to_pylist() for c in ("block_id", "kind", "data")), strict=True):
+            if kind != PHRASE:
+                rows.append((block_id, kind, data))
+                continue
+            parts.append(columns_of(opened(data), "<u4", "<u8", "<u4", "<u4", "<i8"))
+            blocks.append(np.full(len(parts[-1][0]), block_id, np.int64))
+        if parts:
+            key, content, number, mask, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            block = np.concatenate(blocks)
+            order = np.lexsort((content, key))
+            new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            new = new_key | np.concatenate([[True], content[order][1:] != content[order][:-1]])
+            starts = np.nonzero(new)[0]
+            group = np.cumsum(new) - 1
+            least = np.minimum.reduceat(docs[order], starts)[group]
+            phrases = np.add.reduceat(new.astype(np.int64), np.nonzero(new_key)[0])[np.cumsum(new_key) - 1]
+            kind = np.where(docs[order] > least, MASK, np.where(phrases > 1, SEND, -1))
+            for k in (MASK, SEND):
+                at = order[kind == k]
+                at = at[np.lexsort((number[at], block[at]))]
+                edges = np.nonzero(np.concatenate([[True], block[at][1:] != block[at][:-1]]))[0] if len(at) else at
+                rows += [(int(block[x[0]]), k, squeezed(number[x], mask[x])) for x in np.split(at, edges[1:]) if len(x)]
+        return table_of(rows, TOLD)
+
+    return sent.groupBy("bucket").applyInArrow(run, "block_id long, kind int, data binary")
+
+
+def send_texts(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        values, rows = byte_values(), []
+        told = list(zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True))
+        for block_id, ids, lengths, data in zip(*(left.column(c).to_pylist() for c in ("block_id", "ids", "lengths", "data")), strict=True):
+            rows += [(k % buckets, block_id, kind, x) for k, (kind, x) in enumerate(told) if kind != SEND]
+            asked = [columns_of(opened(x), "<u4", "<u4") for kind, x in told if kind == SEND]
+            if not asked:
+                continue
+            number, mask = (np.concatenate(x) for x in zip(*asked, strict=True))
+            block = Block(ids, lengths, data)
+            _, _, at, h, doc = block.triggers(values)
+            low, high = range_of(mask)
+            for b, k in grouped_rows(bucket_of(h[number], buckets), buckets):
+                t = at[number[k]]
+                text = phrase_rows(block.buf, t - high[k], t - low[k], t)
+                rows.append((b, block_id, PHRASE, squeezed(number[k], low[k].astype(np.uint8), high[k].astype(np.uint8), doc[number[k]].astype(np.int64), text)))
+        return table_of(rows, SENT)
 
     return blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, "bucket int, block_id long, kind int, data binary")
 
@@ -338,31 +410,26 @@ def earlier_strings(rows: np.ndarray, low: np.ndarray, high: np.ndarray, docs: n
     return mask
 
 
-def answer_phrases(sent: DataFrame) -> DataFrame:
-    """(block_id, kind, data): kind 0 holds triggers' numbers and masks of strings to remove; kind 1 is handed through."""
+def answer_texts(sent: DataFrame) -> DataFrame:
+    """For each block: MASK rows of strings that start in a smaller document; what is not text is handed through."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, blocks, parts = [], [], []
         for block_id, kind, data in zip(*(table.column(c).to_pylist() for c in ("block_id", "kind", "data")), strict=True):
-            if kind:
+            if kind != PHRASE:
                 rows.append((block_id, kind, data))
                 continue
-            raw = opened(data)
-            n = len(raw) // (4 + 1 + 1 + 8 + WIDE)
-            cut = np.cumsum([0, 4 * n, n, n, 8 * n, WIDE * n])
-            number, low, high, docs, text = (raw[a:b] for a, b in zip(cut, cut[1:], strict=False))
-            blocks.append(np.full(n, block_id, np.int64))
-            parts.append((np.frombuffer(number, np.uint32), np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8), np.frombuffer(docs, np.int64), np.frombuffer(text, np.uint8).reshape(n, WIDE)))
+            parts.append(columns_of(opened(data), "<u4", "u1", "u1", "<i8", f"({WIDE},)u1"))
+            blocks.append(block_id)
         if parts:
             number, low, high, docs, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-            mask = earlier_strings(text, low, high, docs)
-            at = 0
-            for b in blocks:
-                m, k = mask[at : at + len(b)], number[at : at + len(b)]
-                at += len(b)
+            mask, at = earlier_strings(text, low, high, docs), 0
+            for block_id, part in zip(blocks, parts, strict=True):
+                m, k = mask[at : at + len(part[0])], part[0]
+                at += len(k)
                 if m.any():
-                    rows.append((int(b[0]), 0, squeezed(k[m > 0], m[m > 0])))
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate({"block_id": pa.int64(), "kind": pa.int32(), "data": pa.binary()}.items())})
+                    rows.append((block_id, MASK, squeezed(k[m > 0], m[m > 0])))
+        return table_of(rows, TOLD)
 
     return sent.groupBy("bucket").applyInArrow(run, "block_id long, kind int, data binary")
 
@@ -373,13 +440,11 @@ def marked_starts(block: Block, answers: list[tuple[int, bytes]], values: np.nda
     mask = np.zeros(len(at), np.uint32)
     copies = []
     for kind, data in answers:
-        raw = opened(data)
-        if kind == 0:
-            n = len(raw) // 8
-            np.bitwise_or.at(mask, np.frombuffer(raw[: 4 * n], np.uint32), np.frombuffer(raw[4 * n :], np.uint32))
+        if kind == MASK:
+            number, bits = columns_of(opened(data), "<u4", "<u4")
+            np.bitwise_or.at(mask, number, bits)
         else:
-            n = len(raw) // 16
-            copies.append((np.frombuffer(raw[: 4 * n], np.uint32), np.frombuffer(raw[4 * n : 12 * n], np.int64), np.frombuffer(raw[12 * n :], np.uint32)))
+            copies.append(columns_of(opened(data), "<u4", "<i8", "<u4"))
     for number, like, bits in copies:  # within a document the same phrase again: as its first occurrence, for these strings
         again = like >= 0
         np.bitwise_or.at(mask, number[again], mask[like[again]] & bits[again])
@@ -424,12 +489,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the input. A null or empty text has no strings. Rows that repeat an id don't remove from each other;
     a null id comes after all others. An empty table gives an empty one.
     """
-    blocks = stored(pack_blocks(whole_texts(df, id_col, text_col), block_bytes), "blocks")
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    texts = whole_texts(df, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
+    blocks = pack_blocks(texts, block_bytes).repartition(buckets, "block_id")  # one shuffle, used by all four steps
     shared = shared_triggers(seen_triggers(blocks, buckets), hot)
-    answers = answer_phrases(send_phrases(blocks, shared, buckets))
-    return mark_blocks(blocks, answers, with_kept)
+    told = answer_dictionary(send_dictionary(blocks, shared, buckets))
+    return mark_blocks(blocks, answer_texts(send_texts(blocks, told, buckets)), with_kept)
 
 
 def op2_suffix_dedup(spark, sf_dir):

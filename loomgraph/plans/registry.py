@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import cochange, diff, files, graph, semantic
+from loomgraph.plans import cochange, diff, files, graph, maintain, semantic
 
-MODULES: tuple = (cochange, files, graph, semantic, diff)
+MODULES: tuple = (cochange, files, graph, semantic, diff, maintain)
 
 
 def queries() -> dict:
