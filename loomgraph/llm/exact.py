@@ -115,17 +115,23 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = whole_texts(df, id_col, text_col)
     prints = text_fingerprints(texts, piece_chars)
     first = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("first")
-    keep_id = -F.col("first.neg")
-    found = stored(prints.groupBy("fp", "n_norm").agg(F.count("*").alias("n"), first).where("n > 1").select("fp", "n_norm", keep_id.alias("rep_id")), "found")
-    members = prints.join(found, ["fp", "n_norm"]).select("doc_id", "rep_id")
-    cut = texts.join(members, "doc_id").select("doc_id", "rep_id", F.posexplode(pieces(normalised(F.col("text")), compare_chars)).alias("piece_no", "piece"))
+    keep_id = (-F.col("first.neg")).alias("keep_id")
+    groups = stored(prints.groupBy("fp", "n_norm").agg(F.count("*").alias("group_size"), first).select("fp", "n_norm", "group_size", keep_id), "groups")
+    wrong = differing_groups(texts, prints.join(groups.where("group_size > 1").select("fp", "n_norm", "keep_id"), ["fp", "n_norm"]).select("doc_id", "keep_id"), compare_chars)
+    marked = groups.join(wrong.withColumn("split", F.lit(True)), "keep_id", "left")
+    row = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("text_sha256")]
+    same = prints.join(marked.where("split is null"), ["fp", "n_norm"]).select(*row)
+    apart = prints.join(marked.where("split").select("fp", "n_norm"), ["fp", "n_norm"])
+    parts = apart.groupBy("fp", "n_norm", "text_sha256").agg(F.count("*").alias("group_size"), first).select("fp", "n_norm", "text_sha256", "group_size", keep_id)
+    return same.unionByName(apart.join(parts, ["fp", "n_norm", "text_sha256"]).select(*row))
+
+
+def differing_groups(texts: DataFrame, members: DataFrame, chars: int = COMPARE_CHARS) -> DataFrame:
+    """(keep_id) of groups with a member (doc_id, keep_id) whose text differs from the first's, compared in pieces that are rows of their own."""
+    cut = texts.join(members, "doc_id").select("doc_id", "keep_id", F.posexplode(pieces(normalised(F.col("text")), chars)).alias("piece_no", "piece"))
     cut = stored(cut, "compared")
-    reps = cut.where("doc_id = rep_id").select("rep_id", "piece_no", F.col("piece").alias("expected"))
-    wrong = cut.join(reps, ["rep_id", "piece_no"], "left").where(~F.col("piece").eqNullSafe(F.col("expected"))).select("rep_id").distinct()
-    split = found.join(wrong, "rep_id").select("fp", "n_norm", F.lit(True).alias("split"))
-    keyed = prints.join(split, ["fp", "n_norm"], "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(""))
-    groups = keyed.groupBy("fp", "n_norm", "part").agg(F.count("*").alias("group_size"), first)
-    return keyed.join(groups, ["fp", "n_norm", "part"]).select("doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+    expected = cut.where("doc_id = keep_id").select("keep_id", "piece_no", F.col("piece").alias("expected"))
+    return cut.join(expected, ["keep_id", "piece_no"], "left").where(~F.col("piece").eqNullSafe(F.col("expected"))).select("keep_id").distinct()
 
 
 def op10_exact_dedup(spark, sf_dir):
