@@ -94,8 +94,10 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, rows: int, rule: Disclo
     so that copies of one passage are one witness.
     """
     hits = found.where(F.size("base") > 0).select("row_id", "text", F.explode("base").alias("s"))
-    before = F.regexp_replace(F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") + 1 - rule.context), F.least(F.lit(rule.context), F.col("s.start"))), r"^\S+", "")
-    after = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(rule.context)), r"\S+$", "")
+    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") + 1 - rule.context), F.least(F.lit(rule.context), F.col("s.start")))
+    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(rule.context))
+    before = F.when(F.col("s.start") > rule.context, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # a word that the window cuts
+    after = F.when(F.col("s.end") + rule.context < F.length("text"), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
     near = hits.select("row_id", F.lower("s.value").alias("entity"), F.concat_ws(" ", before, after).alias("context"))
     seen = near.select("row_id", "entity", F.xxhash64("context").alias("witness"), F.explode(words_of(F.col("context"))).alias("term"))
     pairs = seen.groupBy("entity", "term", "row_id").agg(F.min("witness").alias("witness")).groupBy("entity", "term", "witness").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("witnesses"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
@@ -27,13 +28,14 @@ STAMP = "2024-01-01T00:00:00Z"
 
 
 def url_key(url: str | None) -> str:
-    """The sort key of a URL: scheme and leading www dropped, host reversed and lower-cased, then port, path and query; a fragment goes."""
+    """The sort key of a URL: scheme and leading www dropped, host reversed and lower-cased, then port, path and query; a fragment goes. Blanks and control characters are escaped, so that a key is one word of an index line."""
     rest = (url or "").split("#", 1)[0].split("://", 1)[-1]
     cut = min((i for i in (rest.find("/"), rest.find("?")) if i >= 0), default=len(rest))
     host, path = rest[:cut].lower().rpartition("@")[2], rest[cut:]
     host, _, port = host.partition(":")
     host = host.removeprefix("www.")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (path or "/")
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (path or "/")
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", key)
 
 
 def one_line(text: str | None) -> str:
@@ -111,7 +113,7 @@ def write_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)
             for k, *rest in rows:
-                held.append((k.replace(" ", "%20"), *rest))
+                held.append((k, *rest))
                 if len(held) == block_lines:
                     yield block(held)
                     number, held = number + 1, []
@@ -148,7 +150,7 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def ranged(batches):
         for batch in batches:
-            keys = [url_key(u).replace(" ", "%20") for u in batch.column(0).to_pylist()]
+            keys = [url_key(u) for u in batch.column(0).to_pylist()]
             pages = batch.column(1).to_pylist()
             at = [bisect.bisect_right(heads, (k, p)) - 1 for k, p in zip(keys, pages, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([starts[i][2] if i >= 0 else -1 for i in at], pa.int32()), pa.array(keys, pa.string()), pa.array(pages, pa.int64())], names=["key_range", "key", "page_id"])
