@@ -99,7 +99,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, rows: int, rule: Disclo
     before = F.when(F.col("s.start") > rule.context, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # a word that the window cuts
     after = F.when(F.col("s.end") + rule.context < F.length("text"), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
     near = hits.select("row_id", F.lower("s.value").alias("entity"), F.concat_ws(" ", before, after).alias("context"))
-    seen = near.select("row_id", "entity", F.xxhash64("context").alias("witness"), F.explode(words_of(F.col("context"))).alias("term"))
+    seen = near.select("row_id", "entity", F.md5("context").alias("witness"), F.explode(words_of(F.col("context"))).alias("term"))
     pairs = seen.groupBy("entity", "term", "row_id").agg(F.min("witness").alias("witness")).groupBy("entity", "term", "witness").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("witnesses"))
     pairs = pairs.where(F.col("witnesses") >= rule.evidence)
     entities = near.groupBy("entity", "row_id").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
@@ -170,4 +170,47 @@ def op8_pii(spark, sf_dir):
 
 
 QUERIES = {"op8_pii": op8_pii}
-ORACLES: dict[str, str] = {}
+
+
+def _kind_sql(kind: str, order: int, pattern: str, keep: str) -> str:
+    return rf"""{kind}_h AS (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS h FROM t),
+             {kind}_i AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, g, h FROM {kind}_h WHERE len(h) > 0),
+             {kind}_s AS (SELECT doc_id, '{kind}' AS kind, {order} AS ord, h[i] AS value,
+                 (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM {kind}_i),
+             {kind} AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM {kind}_s WHERE {keep.format(d="regexp_replace(value, '[^0-9]', '', 'g')")})"""
+
+
+_LUHN = "length({d}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({d}) + 1), lambda k: CASE WHEN (length({d}) - k) % 2 = 1 THEN CASE WHEN substr({d}, k, 1)::INT > 4 THEN 2 * substr({d}, k, 1)::INT - 9 ELSE 2 * substr({d}, k, 1)::INT END ELSE substr({d}, k, 1)::INT END)) % 10 = 0"
+_KINDS = [
+    _kind_sql("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    _kind_sql("ip", 2, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", rf"regexp_full_match(value, '{BYTE}(?:\.{BYTE}){{{{3}}}}')"),
+    _kind_sql("card", 3, r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
+    _kind_sql("phone", 4, r"\+[0-9][\x20().0-9-]+[0-9]", "length({d}) BETWEEN 8 AND 15"),
+]
+ORACLES = {
+    "op8_pii": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(_KINDS)},
+             base AS (SELECT doc_id, kind, ord, value, a, a + length(value) AS b FROM (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone)),
+             n AS (SELECT count(*)::DOUBLE AS n FROM t),
+             win AS (SELECT base.doc_id, lower(value) AS entity, a, b, text, substr(text, greatest(1, a + 1 - 80), least(80, a)) AS pre, substr(text, b + 1, 80) AS post FROM base JOIN t ON t.doc_id = base.doc_id),
+             near AS (SELECT doc_id, entity, CASE WHEN a > 80 THEN regexp_replace(pre, '^\S+', '') ELSE pre END || ' ' || CASE WHEN b + 80 < length(text) THEN regexp_replace(post, '\S+$', '') ELSE post END AS context FROM win),
+             seen AS (SELECT doc_id, entity, md5(context) AS witness, unnest(list_distinct(regexp_extract_all(lower(context), '{WORD}'))) AS term FROM near),
+             one AS (SELECT entity, term, doc_id, min(witness) AS witness FROM seen GROUP BY 1, 2, 3),
+             pairs AS (SELECT entity, term, count(*) AS both_n, count(DISTINCT witness) AS witnesses FROM one GROUP BY 1, 2 HAVING count(DISTINCT witness) >= 3),
+             ent AS (SELECT entity, count(DISTINCT doc_id) AS with_entity FROM near GROUP BY 1),
+             df AS (SELECT term, count(*) AS with_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS term FROM t) GROUP BY 1),
+             told AS (SELECT entity, term FROM pairs JOIN ent USING (entity) JOIN df USING (term), n
+                 WHERE log2(n / with_entity) >= 6 AND log2(both_n * n / (with_entity * with_term)) / log2(n / with_entity) >= 0.9),
+             own AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, lower(value) AS entity FROM base) JOIN told USING (entity)),
+             runs AS (SELECT doc_id, regexp_split_to_array(text, '[\p{{L}}\p{{M}}]+') AS g, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+') AS h FROM t WHERE doc_id IN (SELECT doc_id FROM own)),
+             run AS (SELECT doc_id, h[i] AS value, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+                 FROM (SELECT doc_id, g, h, unnest(range(1, len(h) + 1)) AS i FROM runs)),
+             term AS (SELECT run.doc_id, a, a + length(value) AS b FROM run JOIN own ON own.doc_id = run.doc_id AND own.term = lower(value)
+                 WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = run.doc_id AND base.a < run.a + length(run.value) AND run.a < base.b)),
+             listed AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a) AS spans, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+                 count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone FROM base GROUP BY 1),
+             terms AS (SELECT doc_id, string_agg('term:' || a || ':' || b, ',' ORDER BY a) AS spans, count(*) AS n FROM term GROUP BY 1)
+        SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(listed.spans, '')) AS base_sha256, concat_ws(',', listed.spans, terms.spans) AS spans, coalesce(terms.n, 0) AS n_terms
+        FROM t LEFT JOIN listed ON listed.doc_id = t.doc_id LEFT JOIN terms ON terms.doc_id = t.doc_id""",
+}

@@ -92,3 +92,15 @@ def test_sanitised(docs, rows, spark):
 def test_no_python_in_the_plan(docs):
     plan = pii.span_digest(pii.personal_data(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_oracle_with_terms(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    documents = corpus(spark).toPandas()  # noqa: F841
+    con.register("documents", documents)
+    expected = con.sql(pii.ORACLES["op8_pii"])
+    found = pii.span_digest(pii.personal_data(corpus(spark))).select(expected.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())
+    assert found.where("n_terms > 0").count() == 4
