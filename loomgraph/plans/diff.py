@@ -196,4 +196,12 @@ ORACLES = {
         o AS (SELECT DISTINCT source, target FROM l WHERE page_id % 2 = 0), n AS (SELECT DISTINCT source, target FROM l WHERE page_id % 2 = 1),
         c AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.target, n.target) AS target, CASE WHEN o.source IS NULL THEN 'added' WHEN n.source IS NULL THEN 'removed' END AS change FROM o FULL JOIN n ON o.source = n.source AND o.target = n.target)
         SELECT source, target, change, CASE WHEN change = 'added' THEN CASE WHEN starts_with(target, '/') THEN 'low' ELSE 'medium' END ELSE CASE WHEN starts_with(target, '/') THEN 'medium' ELSE 'high' END END AS impact FROM c WHERE change IS NOT NULL""",
+    "rename_pairs": f"""WITH RECURSIVE {VERSIONS}, gone AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)), come AS (SELECT *, replace(name, 'd_', 'dNew_') AS renamed FROM n WHERE id NOT IN (SELECT id FROM o)),
+        p AS (SELECT gone.id AS old_id, come.id AS new_id, round(1 - levenshtein(gone.name, renamed)::DOUBLE / greatest(length(gone.name), length(renamed)), 6) AS score FROM gone JOIN come USING (kind)),
+        r AS (SELECT *, row_number() OVER (ORDER BY score DESC, old_id, new_id) AS k FROM p WHERE score >= 0.8),
+        g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS olds, []::BIGINT[] AS news, []::DOUBLE[] AS scores UNION ALL
+            SELECT r.k, CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN olds ELSE list_append(olds, old_id) END,
+                CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN news ELSE list_append(news, new_id) END,
+                CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN scores ELSE list_append(scores, score) END FROM g JOIN r ON r.k = g.k + 1)
+        SELECT unnest(olds) AS old_id, unnest(news) AS new_id, unnest(scores) AS score FROM (SELECT * FROM g ORDER BY k DESC LIMIT 1)""",
 }
