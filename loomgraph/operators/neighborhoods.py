@@ -121,5 +121,17 @@ def cluster_metrics(clusters: DataFrame, scores: DataFrame, edges: DataFrame) ->
     return out.select("cluster", "size", density.alias("density"), cohesion.alias("cohesion"), ((F.col("score") + cohesion) / 2).alias("strength"))
 
 
+#: Words that name nothing.
+COMMON_WORDS = ("the", "and", "for", "with", "from", "this", "that", "more", "module", "group", "file", "files", "internal", "main", "index")
+
+
+def cluster_names(members: DataFrame, cluster: str, name: str) -> DataFrame:
+    """(cluster, name): the most frequent word of a cluster's names that is not a common one, ties in order of the alphabet; a plain name without any."""
+    words = F.filter(F.split(F.lower(name), "[^a-z]+"), lambda w: (F.length(w) > 2) & ~w.isin(*COMMON_WORDS))
+    counted = members.select(cluster, F.explode_outer(words).alias("word")).groupBy(cluster, "word").agg(F.count("*").alias("n"))
+    best = counted.groupBy(cluster).agg(F.min_by("word", F.struct(F.col("word").isNull(), -F.col("n"), "word")).alias("word"))
+    return best.select(cluster, F.when(F.col("word").isNull(), "cluster").otherwise(F.concat("word", F.lit("-cluster"))).alias("name"))
+
+
 def describe_cluster(neighborhoods: Column, files: Column, score: Column) -> Column:
     return F.format_string("Cluster of %d neighborhoods containing %d files with %.2f average combined score", neighborhoods, files, score)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import ladders
 from loomgraph.functions import paths as P
 from loomgraph.operators.graph import by_share
+from loomgraph.operators.neighborhoods import cluster_names as cluster_names_of
 from loomgraph.plans.relations import table
 from loomgraph.sources import files as S
 from loomgraph.sources import gitlog, symbols
@@ -94,6 +95,18 @@ def extract_imports(spark, d):
     return symbols.extract_imports(code_files(spark, d)).groupBy("path", "import_path").agg(F.count("*").alias("n"), F.min(F.array_join("specifiers", ",")).alias("specifiers"))
 
 
+def framework_symbols(spark, d):
+    """The same classes as React components: what each declaration means in its file's framework."""
+    content = F.concat(F.lit("import React from 'react'\n"), F.regexp_replace("content", "extends [A-Za-z]+", "extends React.Component"))
+    files = code_files(spark, d).select(F.replace("path", F.lit(".ts"), F.lit(".tsx")).alias("path"), content.alias("content"))
+    return symbols.framework_symbols(files, S.frameworks(files)).select("path", "name", "framework", "type")
+
+
+def cluster_names(spark, d):
+    """A name for each part type: the most frequent word of its members' names."""
+    return cluster_names_of(table(spark, d, "part"), "p_type", "p_name")
+
+
 def symbol_counts(spark, d):
     return symbols.extract_symbols(code_files(spark, d)).groupBy("type").agg(F.count("*").alias("symbols"), F.count_distinct("name").alias("names"))
 
@@ -112,7 +125,7 @@ def naming_patterns(spark, d):
     return names.groupBy("p_brand", "pattern").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (file_facts, language_stats, classify_files, ignore_filter, framework_detect, nearest_manifest, gitlog_parse, extract_symbols, extract_imports, symbol_counts, dir_tree, optimal_tasks, naming_patterns)}
+QUERIES = {f.__name__: f for f in (file_facts, language_stats, classify_files, ignore_filter, framework_detect, nearest_manifest, gitlog_parse, extract_symbols, extract_imports, framework_symbols, cluster_names, symbol_counts, dir_tree, optimal_tasks, naming_patterns)}
 
 CODE = """names AS (SELECT DISTINCT p_type, string_split(p_name, ' ') AS w FROM part),
     code AS (SELECT 'src/' || replace(p_type, ' ', '_') || '.ts' AS path, list_aggregate(list_transform(w, lambda x: upper(left(x, 1)) || x[2:]), 'string_agg', '') AS cls, w[2] AS base, upper(left(w[2], 1)) || w[2][2:] AS basecls FROM names)"""
@@ -137,6 +150,9 @@ ORACLES = {
         SELECT p_brand || '.ts' AS path, 'M' AS change, count(*) AS n, count(DISTINCT o_custkey) AS authors, max(epoch(o_orderdate))::BIGINT AS last_at FROM cf GROUP BY 1""",
     "extract_symbols": f"WITH {CODE} SELECT path, cls AS name, 'class' AS type, 'export class ' || cls || ' extends ' || basecls AS signature FROM code",
     "extract_imports": f"WITH {CODE} SELECT path, './' || base AS import_path, count(*) AS n, min(basecls) AS specifiers FROM code GROUP BY 1, 2",
+    "framework_symbols": f"WITH {CODE} SELECT replace(path, '.ts', '.tsx') AS path, cls AS name, 'React' AS framework, 'component' AS type FROM code",
+    "cluster_names": """WITH w AS (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part), c AS (SELECT p_type, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, word) AS k FROM c) SELECT p_type, word || '-cluster' AS name FROM r WHERE k = 1""",
     "symbol_counts": f"WITH {CODE} SELECT 'class' AS type, count(*) AS symbols, count(DISTINCT cls) AS names FROM code",
     "dir_tree": f"""WITH {PART_PATHS} SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS files, string_agg(DISTINCT regexp_replace(path, '^.*/', ''), ',' ORDER BY regexp_replace(path, '^.*/', '')) AS names FROM pp GROUP BY 1""",
     "optimal_tasks": f"""WITH {PART_PATHS} SELECT p_partkey, CASE WHEN lower(path) LIKE '%test%' THEN 'testing,debugging,quality_assurance' WHEN lower(path) LIKE '%config%' OR lower(path) LIKE '%.json%' THEN 'configuration,setup,deployment'

@@ -94,3 +94,10 @@ def frameworks(files: DataFrame, manifests: DataFrame | None = None) -> DataFram
         return out.select("path", F.coalesce("by_ext", "by_import", "by_language").alias("framework"))
     told = nearest(files, manifests).join(manifests.select("dir", manifest_framework(F.col("dependencies")).alias("by_manifest")), "dir").select("path", "by_manifest")
     return out.join(told, "path", "left").select("path", F.coalesce("by_ext", "by_import", F.when(P.language(p).isin("typescript", "javascript"), F.col("by_manifest")), "by_language").alias("framework"))
+
+
+def ignore_patterns(lines: list[str] | None) -> list[str]:
+    """Patterns of an ignore file's lines, without comments and blanks; the defaults where there is no file."""
+    if lines is None:
+        return list(P.IGNORED)
+    return [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]

@@ -22,6 +22,16 @@ def write_log(repository: str, path: str, since_days: int = 30, statuses: bool =
         subprocess.run(["git", "-C", repository, "log", kind, f"--pretty=format:{FORMAT}", f"--since={since_days} days ago", "--no-merges"], stdout=out, check=True)
 
 
+def repository_info(repository: str) -> dict[str, str]:
+    """Branch and origin of a local repository; empty strings where there is none."""
+
+    def said(*args: str) -> str:
+        out = subprocess.run(["git", "-C", repository, *args], capture_output=True, text=True)
+        return out.stdout.strip() if out.returncode == 0 else ""
+
+    return {"inside": said("rev-parse", "--is-inside-work-tree"), "branch": said("rev-parse", "--abbrev-ref", "HEAD"), "origin": said("config", "--get", "remote.origin.url")}
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(record): a row for each commit of a saved log."""
     return spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").alias("record")).where(F.trim("record") != "")

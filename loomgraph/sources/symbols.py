@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths as P
@@ -68,3 +68,55 @@ def extract_imports(files: DataFrame) -> DataFrame:
     names = F.transform(F.filter(F.split(braces, ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(F.trim(x), r"^(?:type\s+)?(\S+)", 1))
     default = F.col("line").rlike(r"^\s*import\s+[A-Za-z_$][\w$]*\s*(?:,|from)")
     return lines_of(files).select("path", "line_no", target.alias("import_path"), names.alias("specifiers"), default.alias("is_default")).where("import_path <> ''")
+
+
+def bodies(files: DataFrame) -> DataFrame:
+    """(path, start_line, type, name, body, content): each declared symbol with the text up to the next one of its file."""
+    found = extract_symbols(files).select("path", "start_line", "type", "name")
+    end = F.lead("start_line").over(Window.partitionBy("path").orderBy("start_line"))
+    text = found.withColumn("end", end).join(files.select("path", "content"), "path")
+    n = F.coalesce(F.col("end") - F.col("start_line"), F.lit(1_000_000)).cast("int")
+    return text.select("path", "start_line", "type", "name", F.array_join(F.slice(F.split("content", "\n"), F.col("start_line").cast("int"), n), "\n").alias("body"), "content")
+
+
+def _has(text: Column, *some: str) -> Column:
+    out = F.lit(False)
+    for t in some:
+        out = out | F.contains(text, F.lit(t))
+    return out
+
+
+def framework_symbols(files: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """(path, start_line, name, framework, type): what a declaration means in its file's framework; declarations that mean nothing there are left out.
+
+    ``frameworks`` is (path, framework). The first rule that holds counts, as listed.
+    """
+    d = bodies(files).join(frameworks.where("framework is not null"), "path")
+    f, body, content, path = F.col("framework"), F.col("body"), F.col("content"), F.col("path")
+    function, cls, variable = F.col("type").isin("function", "method"), F.col("type") == "class", F.col("type").isin("variable", "function")
+    export = F.col("body").rlike(r"^\s*export\b")
+    jsx = (_has(body, "return") & _has(body, "<") & _has(body, "/>")) | (_has(body, "<") & _has(body, "</"))
+    api, page = _has(path, "/pages/api/", "/app/api/"), _has(path, "/pages/", "/app/")
+    rules = [
+        ("React", function & F.col("name").rlike("^use[A-Z]"), "hook"),
+        ("React", (function & jsx) | (cls & _has(content, "React.Component")), "component"),
+        ("Vue", variable & _has(body, "computed("), "computed"),
+        ("Vue", variable & _has(body, "watch(", "watchEffect("), "watcher"),
+        ("Vue", function & _has(content, "defineComponent"), "component"),
+        ("Angular", cls & _has(content, "@Component") & _has(content, "templateUrl:", "template:"), "component"),
+        ("Angular", cls & _has(content, "@Injectable"), "service"),
+        ("Angular", cls & _has(content, "@Directive"), "directive"),
+        ("Svelte", variable & _has(body, "writable(", "readable(", "derived("), "store"),
+        ("Svelte", function & _has(body, "destroy") & _has(body, "node", "element"), "action"),
+        ("Next.js", api & ((export & _has(body, "GET", "POST", "PUT", "DELETE")) | (function & _has(body, "req") & _has(body, "res"))), "route"),
+        ("Next.js", page & ~api & function & _has(content, "export default"), "component"),
+        ("Next.js", _has(path, "middleware.") & ((export & _has(body, "middleware")) | (function & _has(body, "NextRequest"))), "middleware"),
+    ]
+    kind = None
+    for name, condition, what in rules:
+        kind = F.when((f == name) & condition, what) if kind is None else kind.when((f == name) & condition, what)
+    declared = d.select("path", "start_line", "name", "framework", kind.alias("type")).where("type is not null")
+    whole = files.join(frameworks.where("framework in ('Svelte', 'Astro')"), "path").where(P.extension(F.col("path")).isin(".svelte", ".astro"))
+    script = files.join(frameworks.where("framework = 'Vue'"), "path").where(F.contains("content", F.lit("<script setup>")))
+    named = lambda df: df.select("path", F.lit(1).cast("long").alias("start_line"), F.regexp_replace(P.basename(F.col("path")), r"\.[^.]*$", "").alias("name"), "framework", F.lit("component").alias("type"))
+    return declared.unionByName(named(whole)).unionByName(named(script))

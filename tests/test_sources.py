@@ -82,3 +82,25 @@ def test_tools_over_a_tree(spark, tmp_path):
     text = tools.report(a)
     assert "- Files: 2" in text and "src/types.ts" in text
     assert tools.file_analysis(a, "src/user.ts")["symbols"].count() == 1
+
+
+@pytest.mark.parametrize(
+    "path, content, expected",
+    [
+        ("a.tsx", "import React from 'react'\nfunction useThing() { return 1 }\nfunction Card() {\n  return <div/>\n}\nconst x = 1", {("useThing", "hook"), ("Card", "component")}),
+        ("a.service.ts", "import { Injectable } from '@angular/core'\n@Injectable()\nexport class Api {}", {("Api", "service")}),
+        ("s.ts", "import { writable } from 'svelte/store'\nexport const count = writable(0)", {("count", "store")}),
+        ("src/pages/api/x.ts", "import next from 'next/server'\nexport function handler(req, res) {}", {("handler", "route")}),
+        ("App.svelte", "<h1>x</h1>", {("App", "component")}),
+        ("v.ts", "import { computed } from 'vue'\nconst total = computed(() => 1)", {("total", "computed")}),
+        ("plain.ts", "function f() {}", set()),
+    ],
+)
+def test_framework_symbols(spark, path, content, expected):
+    files = spark.createDataFrame([(path, content)], "path string, content string")
+    found = symbols.framework_symbols(files, S.frameworks(files))
+    assert {(r.name, r.type) for r in found.collect()} == expected
+
+
+def test_ignore_file():
+    assert S.ignore_patterns(["# note", "", " dist/ ", "*.log"]) == ["dist/", "*.log"] and "vendor/" in S.ignore_patterns(None)
