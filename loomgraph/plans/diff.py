@@ -170,7 +170,50 @@ NAMES = """nm AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ')[2] A
     sims AS (SELECT a, b, common, 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) AS edit,
         length(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, ''))))::DOUBLE / length(list_distinct(list_concat(string_split(a, ''), string_split(b, '')))) AS chars,
         common::DOUBLE / greatest(length(a), length(b)) AS sub, (CASE WHEN string_split(a, ' ')[1] = string_split(b, ' ')[1] THEN 1 ELSE 0 END + 1) / 2.0::DOUBLE AS camel FROM longest)"""
+def _quoted(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_PARTS = "list_filter(regexp_split_to_array(lower(replace(regexp_replace({0}, '([^A-Z _])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), ' +'), lambda w: w <> '')"
+_CHARS = "list_distinct(list_filter(string_split({0}, ''), lambda c: c <> ''))"
+_WORDS = "list_filter(list_distinct(regexp_split_to_array(lower({0}), '\\s+')), lambda w: w <> '')"
+_JACCARD = "CASE WHEN length(list_distinct(list_concat({0}, {1}))) = 0 THEN 0 ELSE length(list_intersect({0}, {1}))::DOUBLE / length(list_distinct(list_concat({0}, {1}))) END"
+_KNOWN = " OR ".join(f"(contains(x, '{long}') AND replace(x, '{long}', '{short}') = y) OR (contains(y, '{long}') AND replace(y, '{long}', '{short}') = x)" for long, short in R.ABBREVIATIONS.items())
+_CONVENTION = " OR ".join(f"(regexp_matches(b, '{c}') AND NOT regexp_matches(a, '{c}'))" for c in R.CONVENTIONS)
+RENAMES = f"""{VERSIONS}, lines AS (SELECT p_partkey AS id, p_partkey % 50 AS line FROM part), gone AS (SELECT o.*, line FROM o JOIN lines USING (id) WHERE id NOT IN (SELECT id FROM n)),
+    come AS (SELECT n.* REPLACE (replace(name, 'd_', 'dNew_') AS name), line FROM n JOIN lines USING (id) WHERE id NOT IN (SELECT id FROM o)),
+    nn AS (SELECT DISTINCT g.name AS a, c.name AS b, lower(g.name) AS x, lower(c.name) AS y FROM gone g JOIN come c USING (kind)),
+    np1 AS (SELECT *, {_PARTS.format('a')} AS pa, {_PARTS.format('b')} AS pb, {_CHARS.format('a')} AS ca, {_CHARS.format('b')} AS cb, {_CHARS.format('x')} AS cx, {_CHARS.format('y')} AS cy,
+        coalesce(list_max(list_transform(range(1, length(a)::BIGINT + 1), lambda i: list_max(list_transform(range(0, length(a)::BIGINT - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END)))), 0) AS common FROM nn),
+    np2 AS (SELECT *, list_sum(list_transform(range(1, greatest(length(pa), length(pb))::BIGINT + 1), lambda i: CASE WHEN pa[i] = pb[i] THEN 1 ELSE 0 END))::DOUBLE / greatest(length(pa), length(pb)) AS camel, length(list_intersect(pa, pb)) AS shared, least(length(pa), length(pb)) AS short FROM np1),
+    names2 AS (SELECT a, b, 0.3::DOUBLE * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) + 0.3::DOUBLE * ({_JACCARD.format('ca', 'cb')}) + 0.2::DOUBLE * common / greatest(length(a), length(b)) + 0.2::DOUBLE * camel AS s_name,
+        CASE WHEN shared > 0.7 * short AND length(pa) <> length(pb) THEN 0.8 WHEN short > 0 AND shared >= 0.5 * short AND camel < 1 THEN 0.7 WHEN length(pa) = length(pb) AND camel > 0.6 THEN camel ELSE 0 END AS h_camel,
+        CASE WHEN list_contains(list_transform({_quoted(R.PREFIXES)}, lambda p: p || y), x) OR list_contains(list_transform({_quoted(R.PREFIXES)}, lambda p: p || x), y)
+            OR list_contains(list_transform({_quoted(R.SUFFIXES)}, lambda p: y || p), x) OR list_contains(list_transform({_quoted(R.SUFFIXES)}, lambda p: x || p), y) THEN 0.9
+            WHEN x <> y AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x)) THEN 0.7 ELSE 0 END AS h_affix,
+        CASE WHEN {_KNOWN} THEN 0.9 WHEN (length(y) >= 2 AND length(y) < 0.6 * length(x) AND length(list_intersect(cx, cy)) > 0.6 * length(cx)) OR (length(x) >= 2 AND length(y) > 1.5 * length(x) AND length(list_intersect(cx, cy)) > 0.6 * length(cx)) THEN 0.7 ELSE 0 END AS h_abbreviation,
+        greatest(CASE WHEN regexp_matches(y, '{"|".join(R.CLARITY)}') THEN 0.6 ELSE 0 END, CASE WHEN length(b) > 1.3 * length(a) AND length(regexp_replace(b, '[^A-Z]', '', 'g')) > length(regexp_replace(a, '[^A-Z]', '', 'g')) THEN 0.7 ELSE 0 END, CASE WHEN {_CONVENTION} THEN 0.8 ELSE 0 END) AS h_refactoring FROM np2),
+    lvl AS (SELECT * FROM (VALUES ('private', 0), ('protected', 1), ('public', 2)) t(v, k)),
+    pr AS (SELECT g.id AS old_id, c.id AS new_id, g.kind AS old_kind, names2.* EXCLUDE (a, b), 0.7::DOUBLE * CASE WHEN length(replace(g.signature, ',', '')) - length(g.signature) = length(replace(c.signature, ',', '')) - length(c.signature) THEN 1
+            ELSE 0.5::DOUBLE * least(length(string_split(g.signature, ',')), length(string_split(c.signature, ','))) / greatest(length(string_split(g.signature, ',')), length(string_split(c.signature, ','))) END + 0.3::DOUBLE * (g.path = c.path)::INT AS s_signature,
+        0.4::DOUBLE + 0.3::DOUBLE * (1 - abs(lg.k - lc.k) / 2.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN greatest(g.size, c.size) = 0 THEN 1 ELSE least(g.size, c.size)::DOUBLE / greatest(g.size, c.size) END AS s_structure,
+        exp(-abs(g.line - c.line) / 20.0::DOUBLE) AS s_location, {_WORDS.format('g.doc')} AS wa, {_WORDS.format('c.doc')} AS wb, g.path = c.path AS same_path,
+        CASE WHEN g.signature <> c.signature THEN 'signature' WHEN abs(g.line - c.line) > 10 THEN 'move' WHEN abs(g.size - c.size) > 5 THEN 'refactoring' WHEN g.doc <> c.doc AND g.visibility <> c.visibility THEN 'complex' ELSE 'simple' END AS type
+        FROM gone g JOIN come c USING (kind) JOIN names2 ON a = g.name AND b = c.name JOIN lvl lg ON lg.v = g.visibility JOIN lvl lc ON lc.v = c.visibility),
+    sc1 AS (SELECT *, list_filter(wa, lambda w: length(w) > 3 AND NOT list_contains({_quoted(S.STOP_WORDS)}, w)) AS ka, list_filter(wb, lambda w: length(w) > 3 AND NOT list_contains({_quoted(S.STOP_WORDS)}, w)) AS kb FROM pr),
+    sc2 AS (SELECT *, 0.5::DOUBLE * ({_JACCARD.format('wa', 'wb')}) + 0.5::DOUBLE * ({_JACCARD.format('ka', 'kb')}) AS s_doc, CASE WHEN same_path THEN 0.3::DOUBLE * s_location ELSE 0 END AS h_context FROM sc1),
+    sc3 AS (SELECT *, [s_name, s_signature, s_structure, s_location, s_doc, 0.5::DOUBLE, h_camel, h_affix, h_abbreviation, h_refactoring, h_context] AS every FROM sc2),
+    scored AS (SELECT *, 0.6::DOUBLE * (s_name + s_signature * 1.2::DOUBLE + s_structure * 0.8::DOUBLE + s_location * 0.5::DOUBLE + s_doc * 0.6::DOUBLE + 0.5::DOUBLE * 0.9::DOUBLE) / 5.0::DOUBLE
+        + 0.4::DOUBLE * (h_camel * 0.8::DOUBLE + h_affix * 0.7::DOUBLE + h_abbreviation * 0.8::DOUBLE + h_refactoring * 0.9::DOUBLE + h_context * 0.6::DOUBLE) / 3.8::DOUBLE AS score, 1 - least(list_var_pop(every), 1) AS confidence FROM sc3)"""
 ORACLES = {
+    "rename_candidates": f"""WITH {RENAMES} SELECT old_kind, count(*) AS pairs, round(avg(score), 4) AS score, round(avg(confidence), 4) AS confidence, round(avg(h_affix), 4)::DOUBLE AS affix, round(avg(h_refactoring), 4)::DOUBLE AS refactoring
+        FROM scored WHERE score >= {SCORE} GROUP BY 1""",
+    "rename_match": f"""WITH RECURSIVE {RENAMES}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, old_id, new_id) AS k FROM scored WHERE score >= {SCORE} AND confidence >= 0.5),
+        g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS olds, []::BIGINT[] AS news, []::BIGINT[] AS ks UNION ALL
+            SELECT r.k, CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN olds ELSE list_append(olds, old_id) END, CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN news ELSE list_append(news, new_id) END,
+                CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN ks ELSE list_append(ks, r.k) END FROM g JOIN r ON r.k = g.k + 1)
+        SELECT old_id, new_id, round(score, 6) AS score, type, CASE WHEN confidence < 0.6 OR score < 0.7 THEN 'high' WHEN confidence < 0.8 OR score < 0.85 THEN 'medium' ELSE 'low' END AS risk
+        FROM r WHERE k IN (SELECT unnest(ks) FROM (SELECT * FROM g ORDER BY k DESC LIMIT 1))""",
     "snapshot_diff": f"WITH {CHANGES}, c AS (SELECT id, CASE WHEN oid IS NULL THEN 'added' WHEN nid IS NULL THEN 'removed' WHEN os <> ns OR ov <> nv OR od <> nd OR oz <> nz THEN 'modified' END AS change FROM j) SELECT change, count(*) AS n, sum(id)::BIGINT AS ids FROM c WHERE change IS NOT NULL GROUP BY 1",
     "property_changes": f"""WITH {CHANGES}, p AS (SELECT id, 'signature' AS property, os AS old, ns AS new FROM j WHERE oid IS NOT NULL AND nid IS NOT NULL UNION ALL SELECT id, 'visibility', ov, nv FROM j WHERE oid IS NOT NULL AND nid IS NOT NULL
         UNION ALL SELECT id, 'doc', od, nd FROM j WHERE oid IS NOT NULL AND nid IS NOT NULL UNION ALL SELECT id, 'size', oz::VARCHAR, nz::VARCHAR FROM j WHERE oid IS NOT NULL AND nid IS NOT NULL) SELECT * FROM p WHERE old <> new""",
