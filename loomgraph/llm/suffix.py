@@ -19,8 +19,8 @@ goes whole, and where a trigger has several phrases, the first document of each
 (3) Blocks send those texts, each once in all; buckets sort them as above and answer which strings start in
 a smaller document. (4) Blocks mark bytes. What a block sends of one trigger or phrase it sends once, so
 copies and common lines cost a row for each block; a trigger in more than ``HOT`` blocks has its phrases
-split into single strings, spread over buckets by their content. Phrases count as the same by 96 bits of two
-hashes; that a string is part of two different phrases is always compared byte by byte.
+split into single strings, spread over buckets by their content. Phrases count as the same by 72 bits of two
+hashes and their bucket; that a string is part of two different phrases is always compared byte by byte.
 """
 
 from __future__ import annotations
@@ -42,10 +42,9 @@ WIDE = LEFT + GRAM  # bytes of a phrase, set around its trigger
 BLOCK_BYTES = 1 << 20
 SEGMENT = 1 << 20  # positions that are hashed at once
 BUCKET_BYTES = 10 << 20  # bytes of text for each bucket
-HOT = 256  # blocks
+HOT = 1 << 14  # blocks: up to this, what they send of one trigger fits a task many times over
 NO_ID = np.iinfo(np.int64).max  # a null id: after all others
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-LOW47 = np.uint64((1 << 47) - 1)
 PHRASE, ALIAS, SEND, MASK = range(4)  # kinds of rows between blocks and buckets
 
 
@@ -104,21 +103,29 @@ def triggers(buf: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tuple[
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
-def short_hash(h: np.ndarray) -> np.ndarray:
-    return h & LOW47
+def narrow(x: np.ndarray, size: int) -> np.ndarray:
+    """The low ``size`` bytes of unsigned integers, as rows of bytes."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
 
 
-def pack6(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def widened(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.reshape(-1).view("<u8")
 
 
-def unpack6(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def spread(x: np.ndarray, size: int) -> np.ndarray:
+    """Differences of integers (their sign in the lowest bit) as planes of bytes: all lowest bytes, then all next ones. For slowly rising numbers most planes are zeros and compress away."""
+    d = np.diff(x.astype(np.int64), prepend=np.int64(0))
+    return np.ascontiguousarray(narrow(((d << 1) ^ (d >> 63)).view(np.uint64), size).T)
+
+
+def gathered(planes: np.ndarray) -> np.ndarray:
+    z = widened(np.ascontiguousarray(planes.T))
+    return np.cumsum((z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64))
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -182,49 +189,56 @@ def grouped_rows(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.nda
         yield b, order[edges[b] : edges[b + 1]]
 
 
+def distinct_triggers(h: np.ndarray, doc: np.ndarray, buckets: int):
+    """(place of each trigger's hash among the distinct ones, their codes, rows of places by bucket); a code is the hash's upper 47 bits and a bit that is set if two documents have it."""
+    order = np.argsort(h, kind="stable")
+    if not len(order):
+        return order, h, []
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    starts = np.nonzero(new)[0]
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    several = np.minimum.reduceat(doc[order], starts) < np.maximum.reduceat(doc[order], starts)
+    distinct = h[order][starts]
+    return place, distinct >> np.uint64(17) << np.uint64(1) | several.astype(np.uint64), list(grouped_rows(bucket_of(distinct, buckets), buckets))
+
+
 def seen_triggers(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block_id, data): each block's trigger hashes, once each, the lowest bit set if two of its documents have it."""
+    """(bucket, block_id, data): each block's trigger codes, once each."""
 
     def run(batches):
         values = byte_values()
         for batch in batches:
             for block_id, ids, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("block_id", "ids", "lengths", "data")), strict=True):
                 *_, h, doc = Block(ids, lengths, data).triggers(values)
-                order = np.argsort(h, kind="stable")
-                h, doc = h[order], doc[order]
-                starts = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
-                if len(starts):
-                    several = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
-                    h = h[starts]
-                    code = short_hash(h) << np.uint64(1) | several.astype(np.uint64)
-                    rows = [(b, block_id, pack6(code[at])) for b, at in grouped_rows(bucket_of(h, buckets), buckets)]
+                _, code, by_bucket = distinct_triggers(h, doc, buckets)
+                rows = [(b, block_id, squeezed(spread(code[at], 7))) for b, at in by_bucket]
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary()])], names=["bucket", "block_id", "data"])
 
     return blocks.mapInArrow(run, "bucket int, block_id long, data binary")
 
 
 def shared_triggers(seen: DataFrame, hot: int) -> DataFrame:
-    """(block_id, data): for each block its triggers that another document has too; the lowest bit is set if more than ``hot`` blocks have it."""
+    """(block_id, bucket, data): for each row of codes two bits a code, in the same order: whether another document has it too, and whether more than ``hot`` blocks do."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack6(x) for x in table.column("data").to_pylist()]
-        blocks = np.repeat(table.column("block_id").to_numpy(), [len(p) for p in parts])
+        parts = [columns_of(opened(x), "d7")[0].view(np.uint64) for x in table.column("data").to_pylist()]
         code = np.concatenate(parts)
         h = code >> np.uint64(1)
         order = np.argsort(h, kind="stable")
-        h, several, blocks = h[order], code[order] & np.uint64(1), blocks[order]
-        starts = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        starts = np.nonzero(new)[0]
+        group = np.cumsum(new) - 1
         counts = np.diff(np.append(starts, len(h)))
-        group = np.repeat(np.arange(len(starts)), counts)
-        keep = ((counts > 1) | (np.maximum.reduceat(several, starts) > 0))[group]
-        blocks, code = blocks[keep], (h << np.uint64(1) | (counts > hot)[group].astype(np.uint64))[keep]
-        order = np.argsort(blocks, kind="stable")
-        blocks, code = blocks[order], code[order]
-        edges = np.nonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))[0] if len(blocks) else np.zeros(0, np.int64)
-        data = [pack6(np.sort(x)) for x in np.split(code, edges[1:])] if len(edges) else []
-        return pa.table({"block_id": pa.array(blocks[edges], pa.int64()), "data": pa.array(data, pa.binary())})
+        several = np.maximum.reduceat(code[order] & np.uint64(1), starts) > 0
+        shared, many = np.empty(len(h), bool), np.empty(len(h), bool)
+        shared[order], many[order] = ((counts > 1) | several)[group], (counts > hot)[group]
+        edges = np.cumsum([len(p) for p in parts])[:-1]
+        data = [np.packbits(a).tobytes() + np.packbits(b).tobytes() for a, b in zip(np.split(shared, edges), np.split(many, edges), strict=True)]
+        return pa.table({"block_id": table.column("block_id"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
 
-    return seen.groupBy("bucket").applyInArrow(run, "block_id long, data binary")
+    return seen.groupBy("bucket").applyInArrow(run, "block_id long, bucket int, data binary")
 
 
 def phrase_rows(buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -258,18 +272,19 @@ def range_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, np.log2(mask.astype(np.float64)).astype(np.int64)
 
 
-def dictionary_rows(block: Block, answers: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """What a block sends of its shared phrases: (bucket, kind, data). PHRASE rows hold hashes, ALIAS rows what the block itself knows."""
+def dictionary_rows(block: Block, answers: dict[int, bytes], values: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """What a block sends of its shared phrases: (bucket, kind, data). PHRASE rows hold hashes, ALIAS rows what the block itself knows; a mask of zero stands for all of a phrase's strings."""
     first, last, at, h, doc = block.triggers(values)
-    short = short_hash(h)
-    known, hot = answers >> np.uint64(1), answers & np.uint64(1)
-    order = np.argsort(known, kind="stable")
-    known, hot = known[order], hot[order]
-    if not len(known):
+    place, code, by_bucket = distinct_triggers(h, doc, buckets)
+    shared, hot = np.zeros(len(code), bool), np.zeros(len(code), bool)
+    for b, k in by_bucket:
+        bits = np.frombuffer(answers[b], np.uint8)
+        shared[k] = np.unpackbits(bits[: len(bits) // 2], count=len(k))
+        hot[k] = np.unpackbits(bits[len(bits) // 2 :], count=len(k))
+    number = np.nonzero(shared[place])[0]
+    if not len(number):
         return []
-    place = np.minimum(np.searchsorted(known, short), len(known) - 1)
-    number = np.nonzero(known[place] == short)[0]
-    single = hot[place[number]] > 0
+    single = hot[place[number]]
     # phrases of hot triggers: a row for each string
     few, many = number[~single], number[single]
     sizes = (last - first + 1)[many]
@@ -277,7 +292,7 @@ def dictionary_rows(block: Block, answers: np.ndarray, values: np.ndarray, bucke
     number = np.concatenate([few, np.repeat(many, sizes)])
     lo, hi = np.concatenate([first[few], begin]), np.concatenate([last[few], begin])
     is_single = np.arange(len(number)) >= len(few)
-    mask = mask_of(at[number] - hi, at[number] - lo)
+    mask = np.where(is_single, mask_of(at[number] - hi, at[number] - lo), np.uint32(0)).astype(np.uint32)
     content = phrase_hashes(block.buf, lo, hi, at[number])
     docs = doc[number]
     order = np.lexsort((number, docs, content))
@@ -293,7 +308,8 @@ def dictionary_rows(block: Block, answers: np.ndarray, values: np.ndarray, bucke
     key = np.where(is_single, content, h[number])
     for b, k in grouped_rows(bucket_of(key[heads], buckets), buckets):
         k = heads[k]
-        out.append((b, PHRASE, squeezed((key[k] >> np.uint64(8)).astype(np.uint32), content[k], number[k].astype(np.uint32), mask[k], docs[k].astype(np.int64))))
+        k = k[np.argsort(number[k], kind="stable")]
+        out.append((b, PHRASE, squeezed(narrow(key[k] >> np.uint64(40), 3), narrow(content[k], 6), spread(number[k], 4), mask[k], spread(docs[k], 8))))
     return out
 
 
@@ -306,20 +322,24 @@ def table_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
 
 
 def columns_of(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    """Columns set end to end, of equal length."""
-    sizes = [np.dtype(k).itemsize for k in kinds]
+    """Columns set end to end, of equal length. A kind is numpy's, "b" and a size for rows of bytes, or "d" and a size for ``spread`` differences."""
+    sizes = [int(k[1:]) if k[0] in "bd" else np.dtype(k).itemsize for k in kinds]
     n = len(raw) // sum(sizes)
-    at = np.cumsum([0, *(x * n for x in sizes)])
-    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(at, at[1:], kinds, strict=False)]
+    out, at = [], 0
+    for k, size in zip(kinds, sizes, strict=True):
+        part = np.frombuffer(raw, np.uint8, n * size, at)
+        at += n * size
+        out.append(gathered(part.reshape(size, n)) if k[0] == "d" else part.reshape(n, size) if k[0] == "b" else part.view(k))
+    return out
 
 
 def send_dictionary(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         values, rows = byte_values(), []
-        codes = [unpack6(x) for x in right.column("data").to_pylist()]
-        if codes:
+        told = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
+        if told:
             for block_id, ids, lengths, data in zip(*(left.column(c).to_pylist() for c in ("block_id", "ids", "lengths", "data")), strict=True):
-                rows += [(b, block_id, kind, x) for b, kind, x in dictionary_rows(Block(ids, lengths, data), np.concatenate(codes), values, buckets)]
+                rows += [(b, block_id, kind, x) for b, kind, x in dictionary_rows(Block(ids, lengths, data), told, values, buckets)]
         return table_of(rows, SENT)
 
     return blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, "bucket int, block_id long, kind int, data binary")
@@ -334,8 +354,9 @@ def answer_dictionary(sent: DataFrame) -> DataFrame:
             if kind != PHRASE:
                 rows.append((block_id, kind, data))
                 continue
-            parts.append(columns_of(opened(data), "<u4", "<u8", "<u4", "<u4", "<i8"))
-            blocks.append(np.full(len(parts[-1][0]), block_id, np.int64))
+            key, content, number, mask, docs = columns_of(opened(data), "b3", "b6", "d4", "<u4", "d8")
+            parts.append((widened(key), widened(content), number, mask, docs))
+            blocks.append(np.full(len(number), block_id, np.int64))
         if parts:
             key, content, number, mask, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
             block = np.concatenate(blocks)
@@ -351,7 +372,7 @@ def answer_dictionary(sent: DataFrame) -> DataFrame:
                 at = order[kind == k]
                 at = at[np.lexsort((number[at], block[at]))]
                 edges = np.nonzero(np.concatenate([[True], block[at][1:] != block[at][:-1]]))[0] if len(at) else at
-                rows += [(int(block[x[0]]), k, squeezed(number[x], mask[x])) for x in np.split(at, edges[1:]) if len(x)]
+                rows += [(int(block[x[0]]), k, squeezed(spread(number[x], 4), mask[x])) for x in np.split(at, edges[1:]) if len(x)]
         return table_of(rows, TOLD)
 
     return sent.groupBy("bucket").applyInArrow(run, "block_id long, kind int, data binary")
@@ -362,18 +383,18 @@ def send_texts(blocks: DataFrame, answers: DataFrame, buckets: int) -> DataFrame
         values, rows = byte_values(), []
         told = list(zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True))
         for block_id, ids, lengths, data in zip(*(left.column(c).to_pylist() for c in ("block_id", "ids", "lengths", "data")), strict=True):
-            rows += [(k % buckets, block_id, kind, x) for k, (kind, x) in enumerate(told) if kind != SEND]
-            asked = [columns_of(opened(x), "<u4", "<u4") for kind, x in told if kind == SEND]
+            asked = [columns_of(opened(x), "d4", "<u4") for kind, x in told if kind == SEND]
             if not asked:
                 continue
             number, mask = (np.concatenate(x) for x in zip(*asked, strict=True))
             block = Block(ids, lengths, data)
-            _, _, at, h, doc = block.triggers(values)
-            low, high = range_of(mask)
+            first, last, at, h, doc = block.triggers(values)
+            low, high = range_of(np.where(mask, mask, mask_of((at - last)[number], (at - first)[number])))
             for b, k in grouped_rows(bucket_of(h[number], buckets), buckets):
+                k = k[np.argsort(number[k], kind="stable")]
                 t = at[number[k]]
                 text = phrase_rows(block.buf, t - high[k], t - low[k], t)
-                rows.append((b, block_id, PHRASE, squeezed(number[k], low[k].astype(np.uint8), high[k].astype(np.uint8), doc[number[k]].astype(np.int64), text)))
+                rows.append((b, block_id, PHRASE, squeezed(spread(number[k], 4), low[k].astype(np.uint8), high[k].astype(np.uint8), spread(doc[number[k]], 8), text)))
         return table_of(rows, SENT)
 
     return blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, "bucket int, block_id long, kind int, data binary")
@@ -419,7 +440,7 @@ def answer_texts(sent: DataFrame) -> DataFrame:
             if kind != PHRASE:
                 rows.append((block_id, kind, data))
                 continue
-            parts.append(columns_of(opened(data), "<u4", "u1", "u1", "<i8", f"({WIDE},)u1"))
+            parts.append(columns_of(opened(data), "d4", "u1", "u1", "d8", f"b{WIDE}"))
             blocks.append(block_id)
         if parts:
             number, low, high, docs, text = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -428,7 +449,7 @@ def answer_texts(sent: DataFrame) -> DataFrame:
                 m, k = mask[at : at + len(part[0])], part[0]
                 at += len(k)
                 if m.any():
-                    rows.append((block_id, MASK, squeezed(k[m > 0], m[m > 0])))
+                    rows.append((block_id, MASK, squeezed(spread(k[m > 0], 4), m[m > 0])))
         return table_of(rows, TOLD)
 
     return sent.groupBy("bucket").applyInArrow(run, "block_id long, kind int, data binary")
@@ -436,15 +457,17 @@ def answer_texts(sent: DataFrame) -> DataFrame:
 
 def marked_starts(block: Block, answers: list[tuple[int, bytes]], values: np.ndarray) -> np.ndarray:
     """Where strings to remove start, as positions in the block."""
-    _, _, at, *_ = block.triggers(values)
+    first, last, at, *_ = block.triggers(values)
+    every = mask_of(at - last, at - first)
     mask = np.zeros(len(at), np.uint32)
     copies = []
     for kind, data in answers:
         if kind == MASK:
-            number, bits = columns_of(opened(data), "<u4", "<u4")
-            np.bitwise_or.at(mask, number, bits)
+            number, bits = columns_of(opened(data), "d4", "<u4")
+            np.bitwise_or.at(mask, number, np.where(bits, bits, every[number]))
         else:
-            copies.append(columns_of(opened(data), "<u4", "<i8", "<u4"))
+            number, like, bits = columns_of(opened(data), "<u4", "<i8", "<u4")
+            copies.append((number, like, np.where(bits, bits, every[number])))
     for number, like, bits in copies:  # within a document the same phrase again: as its first occurrence, for these strings
         again = like >= 0
         np.bitwise_or.at(mask, number[again], mask[like[again]] & bits[again])
@@ -495,7 +518,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = pack_blocks(texts, block_bytes).repartition(buckets, "block_id")  # one shuffle, used by all four steps
     shared = shared_triggers(seen_triggers(blocks, buckets), hot)
     told = answer_dictionary(send_dictionary(blocks, shared, buckets))
-    return mark_blocks(blocks, answer_texts(send_texts(blocks, told, buckets)), with_kept)
+    asked, known = told.where(F.col("kind") == SEND), told.where(F.col("kind") != SEND)
+    return mark_blocks(blocks, known.unionByName(answer_texts(send_texts(blocks, asked, buckets))), with_kept)
 
 
 def op2_suffix_dedup(spark, sf_dir):
