@@ -527,4 +527,20 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+             s AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 49)) AS p,
+                          unnest(list_transform(range(0, length(x) // 2 - 49), lambda i: substr(x, 2 * i + 1, 100))) AS s FROM d WHERE length(x) >= 100),
+             f AS (SELECT s, min(doc_id) AS first_doc FROM s GROUP BY s HAVING count(*) > 1),
+             r AS (SELECT doc_id, p FROM s JOIN f USING (s) WHERE first_doc < doc_id),
+             m AS (SELECT *, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 AS joined FROM r),
+             i AS (SELECT *, count(*) FILTER (NOT coalesce(joined, false)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+             u AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY 1, 2),
+             g AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+             k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS done,
+                          string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+}
