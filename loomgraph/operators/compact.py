@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.order import in_order
 from loomgraph.shared import stored
 
 
@@ -57,18 +58,9 @@ def frequencies(g: Graph) -> DataFrame:
 
 
 def by_frequency(g: Graph, keep: Column, share: float = 0.3) -> DataFrame:
-    """Without the ``share`` (rounded down) of files that the fewest edges touch; ties go by path.
-
-    The cut falls within one frequency: files below it go, and as many of its own as are still due, by
-    path. The counts by frequency are few; only the files of that one frequency are ranked.
-    """
-    f = frequencies(g)
-    counts = f.groupBy("frequency").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy("frequency")
-    steps = counts.withColumn("upto", F.sum("n").over(w)).withColumn("due", F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) * share)).withColumn("left", F.col("due") - (F.col("upto") - F.col("n")))
-    with_cut = f.join(F.broadcast(steps.select("frequency", "upto", "due", "left")), "frequency")
-    ties = with_cut.where("left > 0 and upto > due").withColumn("k", F.row_number().over(Window.partitionBy("frequency").orderBy("path"))).where("k <= left").select("path")
-    gone = with_cut.where("upto <= due").select("path").unionByName(ties)
+    """Without the ``share`` (rounded down) of files that the fewest edges touch; ties go by path."""
+    due = g.files.agg(F.floor(F.count("*") * share).alias("due"))
+    gone = in_order(frequencies(g), "frequency", "path").crossJoin(F.broadcast(due)).where("number <= due").select("path")
     return g.files.join(gone, "path", "left_anti").select("path").unionByName(g.files.where(keep).join(gone, "path", "left_semi").select("path"))
 
 
@@ -83,22 +75,12 @@ def weight() -> Column:
     return F.col("size") + 10 * F.col("symbol_count") + F.col("lines")
 
 
-def by_size(g: Graph, keep: Column, most: float, digits: int = 2) -> DataFrame:
-    """Without the largest files, until the weights of the rest are ``most`` or less; ties go by path.
-
-    Weights are summed by bands first (their leading digits), so that only the files of one band are put
-    in order.
-    """
-    band = F.floor(F.log2(F.greatest(weight(), F.lit(1))) * (1 << digits))
-    f = g.files.withColumn("w", weight()).withColumn("band", band).withColumn("free", ~keep)
+def by_size(g: Graph, keep: Column, most: float) -> DataFrame:
+    """Without the largest files, until the weights of the rest are ``most`` or less; ties go by path."""
+    f = g.files.withColumn("w", weight())
     total = f.agg(F.sum("w").alias("total"))
-    sums = f.where("free").groupBy("band").agg(F.sum("w").alias("s"))
-    above = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(total))
-    placed = f.where("free").join(F.broadcast(above.select("band", "before", "s", "total")), "band")
-    whole = placed.where(F.col("total") - F.col("before") - F.col("s") > most).select("path")
-    part = placed.where((F.col("total") - F.col("before") > most) & (F.col("total") - F.col("before") - F.col("s") <= most))
-    inner = part.withColumn("gone", F.col("before") + F.coalesce(F.sum("w").over(Window.partitionBy("band").orderBy(F.desc("w"), "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return g.files.join(whole.unionByName(inner.where(F.col("total") - F.col("gone") > most).select("path")), "path", "left_anti").select("path")
+    placed = in_order(f.where(~keep), F.desc("w"), "path", value="w").crossJoin(F.broadcast(total))
+    return g.files.join(placed.where(F.col("total") - F.col("before") > most), "path", "left_anti").select("path")
 
 
 def by_hybrid(g: Graph, keep: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.diff import snapshot_diff
+from loomgraph.operators.order import in_order
 from loomgraph.shared import shared_dir
 
 #: What a change weighs in the order of a batch, and patches' order.
@@ -38,12 +39,7 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: str, deleted: Colum
 def patch_plan(actual: DataFrame, shadow: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """(key, change, priority, update_order): what leads from actual to shadow: additions, then modifications, then removals."""
     diff = snapshot_diff(actual, shadow, key, compared).select(key, "change").withColumn("priority", by_map(F.col("change"), PATCH_PRIORITY, 9))
-    counts = diff.groupBy("change").agg(F.count("*").alias("n"))
-    # Numbers within a change are given by key; those of changes before it are added from three counts.
-    within = diff.withColumn("k", F.row_number().over(Window.partitionBy("change").orderBy(key)))
-    before = counts.select(by_map(F.col("change"), PATCH_PRIORITY, 9).alias("p"), "n")
-    offset = before.select(F.col("p").alias("q")).join(before, F.col("p") < F.col("q"), "left").groupBy("q").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("base"))
-    return within.join(F.broadcast(offset), F.col("priority") == F.col("q")).select(key, "change", "priority", (F.col("base") + F.col("k")).alias("update_order"))
+    return in_order(diff, "priority", key).select(key, "change", "priority", F.col("number").alias("update_order"))
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

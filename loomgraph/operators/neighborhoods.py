@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ladders import priority
@@ -24,32 +24,34 @@ def shared_members(sets: DataFrame, key: str = "id", members: str = "members") -
     return out.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def greedy_keep(ranks: DataFrame, conflicts: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """(rank) of what a pass in order of rank keeps, when each kept one excludes those it conflicts with; conflicts are (a, b), a < b.
+def greedy_keep(items: DataFrame, conflicts: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """(id) of what a pass in order keeps, when each kept one excludes those it conflicts with; conflicts are (a, b), a the earlier.
 
-    Rounds decide all ranks that have no undecided lower rank against them: the same result as the pass.
+    Rounds decide all that have no undecided earlier one against them: the same result as the pass.
     """
-    open_, against = stored(ranks.select("rank"), "open"), stored(conflicts.select("a", "b"), "against")
+    open_, against = stored(items.select("id"), "open"), stored(conflicts.select("a", "b"), "against")
     kept: DataFrame | None = None
     for _ in range(max_rounds):
-        blocked = against.select(F.col("b").alias("rank")).distinct()
-        now = stored(open_.join(blocked, "rank", "left_anti"), "kept")
+        blocked = against.select(F.col("b").alias("id")).distinct()
+        now = stored(open_.join(blocked, "id", "left_anti"), "kept")
         kept = now if kept is None else kept.unionByName(now)
-        gone = against.join(now.withColumnRenamed("rank", "a"), "a").select(F.col("b").alias("rank")).distinct()
-        open_ = stored(open_.join(now, "rank", "left_anti").join(gone, "rank", "left_anti"), "open")
+        gone = against.join(now.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
+        open_ = stored(open_.join(now, "id", "left_anti").join(gone, "id", "left_anti"), "open")
         if open_.limit(1).count() == 0:
             return kept
-        a, b = open_.withColumnRenamed("rank", "a"), open_.withColumnRenamed("rank", "b")
+        a, b = open_.withColumnRenamed("id", "a"), open_.withColumnRenamed("id", "b")
         against = stored(against.join(a, "a", "left_semi").join(b, "b", "left_semi"), "against")
     raise RuntimeError(f"still undecided after {max_rounds} rounds")
 
 
 def merge_similar(neighborhoods: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """Neighborhoods (id, strength, members) left when, from the strongest, each one drops later ones that overlap it by more than ``overlap``."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("strength"), "id")
-    ranked = stored(neighborhoods.withColumn("rank", F.row_number().over(order)), "ranked")
-    close = shared_members(ranked, "rank").where(F.col("jaccard") > overlap)
-    return ranked.join(greedy_keep(ranked, close), "rank")
+    """Neighborhoods (id, strength, members) left when, from the strongest (ties by id), each one drops later ones that overlap it by more than ``overlap``."""
+    own = stored(neighborhoods, "neighborhoods")
+    place = lambda c: own.select(F.col("id").alias(c), F.struct((-F.col("strength")).alias("s"), F.col("id").alias("i")).alias(f"p{c}"))
+    close = shared_members(own).where(F.col("jaccard") > overlap).join(place("a"), "a").join(place("b"), "b")
+    first = F.col("pa") < F.col("pb")
+    conflicts = close.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return own.join(greedy_keep(own, conflicts), "id")
 
 
 def strongest(neighborhoods: DataFrame) -> DataFrame:
@@ -103,8 +105,8 @@ def single_linkage(nodes: DataFrame, edges: DataFrame, clusters: int) -> DataFra
     """(id, cluster): single-linkage clusters of nodes (id) by edges (a, b, distance), merged until ``clusters`` are left: the spanning forest without its longest edges. Nodes that no edge joins stay apart."""
     forest = stored(spanning_forest(edges), "forest")
     pieces = nodes.count() - forest.count()
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("distance"), F.desc("a"), F.desc("b"))
-    cut = forest.withColumn("r", F.row_number().over(order)).where(F.col("r") > max(0, clusters - pieces))
+    longest = forest.orderBy(F.desc("distance"), F.desc("a"), F.desc("b")).limit(max(0, clusters - pieces)).select("a", "b")
+    cut = forest.join(longest, ["a", "b"], "left_anti")
     labels = connected_components(cut, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     return nodes.join(labels, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 

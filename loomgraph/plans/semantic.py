@@ -37,7 +37,7 @@ def structural_similarity(spark, d):
 
 
 def merge_similar(spark, d):
-    return N.merge_similar(neighborhoods_in(spark, d), OVERLAP).select("id", F.col("rank").cast("int").alias("rank"), F.size("members").alias("files"))
+    return N.merge_similar(neighborhoods_in(spark, d), OVERLAP).select("id", "strength", F.size("members").alias("files"))
 
 
 def neighborhoods(spark, d):
@@ -113,7 +113,7 @@ LINKED = f"""WITH RECURSIVE {WEIGHTS}, dist AS (SELECT a, b, 1 - round(weight, 9
     final AS (SELECT unnest(ids) AS id, unnest(labels) AS cluster FROM (SELECT * FROM link ORDER BY k DESC LIMIT 1), n)"""
 ORACLES = {
     "structural_similarity": f"WITH {SETS}, {_jaccard_sql('git')} SELECT a, b, both_n AS both, round(j, 6) AS jaccard FROM j_git",
-    "merge_similar": f"{GREEDY} SELECT id, rank::INTEGER AS rank, files::INTEGER AS files FROM r JOIN kept USING (rank)",
+    "merge_similar": f"{GREEDY} SELECT id, strength, files::INTEGER AS files FROM r JOIN kept USING (rank)",
     "neighborhoods": f"{GREEDY} SELECT id, strength, files::INTEGER AS files FROM r JOIN kept USING (rank) ORDER BY strength DESC, id LIMIT 15",
     "recommendations": f"""WITH {SETS}, b AS (SELECT m AS file, id, strength, files, row_number() OVER (PARTITION BY m ORDER BY strength DESC, id DESC) AS k FROM m_git JOIN hood USING (id))
         SELECT file, id, (files - 1)::INTEGER AS others, strength, CASE WHEN strength >= 0.8 THEN 'high' WHEN strength >= 0.6 THEN 'medium' ELSE 'low' END AS priority FROM b WHERE k = 1""",

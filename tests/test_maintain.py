@@ -105,3 +105,16 @@ def test_table_kept_by_a_stream(spark, tmp_path):
     q = W.keep_table(W.change_stream(spark, str(folder)), t, "path", F.col("op") == "remove", str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert {r.path for r in t.read().collect()} == {"old.ts", "b.ts", "z.ts"}
+
+
+def test_numbers_and_running_sums(spark):
+    from loomgraph.operators.order import in_order
+
+    rows = [(k * 7919 % 101, k % 5) for k in range(101)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    found = {r.k: (r.number, r.before) for r in in_order(df, F.desc("k"), value="v").collect()}
+    before = 0
+    for n, (k, v) in enumerate(sorted(rows, reverse=True), 1):
+        assert found[k] == (n, before)
+        before += v
+    assert in_order(df.where("k < 0"), "k").count() == 0
