@@ -58,10 +58,9 @@ def byte_values() -> np.ndarray:
 
 
 def rolling(buf: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hash of the K bytes from each position: the polynomial in MULTIPLIER modulo 2**64, K terms by Horner over shifted views."""
+    """Hash of the K bytes from each position: a polynomial in MULTIPLIER modulo 2**64, by doubling over shifted views (2, 4, 8 and 16 bytes, then 16 and 4)."""
     v = values[buf]
     n = len(v) - K + 1
-    # doubling: h2 of 2 bytes, h4, h16, then 16 + 4
     p1 = MULTIPLIER
     with np.errstate(over="ignore"):
         p2, p4, p8 = p1 * p1, p1**4, p1**8
@@ -77,26 +76,25 @@ def triggers(buf: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tuple[
     empty = np.zeros(0, np.int64)
     out: list[tuple[np.ndarray, ...]] = []
     ends = np.cumsum(lengths)
+    edges = np.zeros(len(buf) + 1, np.int32)  # no string starts in a text's last bytes
+    np.add.at(edges, np.maximum(ends - GRAM + 1, ends - lengths), 1)
+    np.add.at(edges, ends, -1)
+    starts_here = np.cumsum(edges[:-1]) == 0
     reach = LEFT + 1  # hashes that a string covers
     for lo in range(0, max(0, len(buf) - GRAM + 1), SEGMENT):
         part = buf[lo : lo + SEGMENT + GRAM - 1]
         h = rolling(part, values)
-        key = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-        m = key
+        m = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
         for step in (1, 2, 4, 8):
             m = np.minimum(m[:-step], m[step:])
-        least = np.minimum(m[: len(h) - reach + 1], m[reach - 16 : reach - 16 + len(h) - reach + 1])
-        at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        starts = np.arange(len(at))
-        doc = np.searchsorted(ends, starts + lo, side="right")
-        inside = starts + lo + GRAM <= ends[np.minimum(doc, len(ends) - 1)]
-        starts, at, doc = starts[inside], at[inside], doc[inside]
-        if len(starts):
-            new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)])
-            first = np.nonzero(new)[0]
-            last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
-            t = at[first]
-            out.append((starts[first] + lo, starts[last] + lo, t + lo, h[t], doc[first]))
+        n = len(h) - reach + 1
+        least = np.minimum(m[:n], m[reach - 16 : reach - 16 + n])
+        inside = starts_here[lo : lo + n]
+        changes = least[1:] != least[:-1]
+        first = np.nonzero(inside & np.concatenate([[True], changes | ~inside[:-1]]))[0]
+        last = np.nonzero(inside & np.concatenate([changes | ~inside[1:], [True]]))[0]
+        t = (least[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        out.append((first + lo, last + lo, t + lo, h[t], np.searchsorted(ends, first + lo, side="right")))
     if not out:
         return empty, empty, empty, empty.astype(np.uint64), empty
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
