@@ -35,8 +35,8 @@ def test_compaction(spark):
     assert K.strategy_for("minimal") == "relevance" and K.strategy_for("minimal", "debugging") == "dependency"
 
 
-def test_versions_and_rollback(spark):
-    t = I.VersionedTable(spark, "state")
+def test_versions_and_rollback(spark, tmp_path):
+    t = I.VersionedTable(spark, "state", str(tmp_path))
     t.write(spark.createDataFrame([("a", 1)], "path string, size long"))
     t.write(spark.createDataFrame([("a", 2)], "path string, size long"))
     assert t.read().first().size == 2
