@@ -218,7 +218,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     thirteen, and covering tables double with each bit. So besides the covering tables over whole
     documents' fingerprints, candidates come from SimHashes of strata, of a few shingles each: at 0.8 two
     documents share one of their sixteen with a probability over 0.98. Every candidate is compared
-    exactly. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
+    exactly. In a crowd over ``CROWD`` only pairs with its representatives are candidates. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
     """
     texts = whole_texts(df, id_col, text_col).where("doc_id is not null")
     prints = stored(fingerprints(texts, words), "fingerprints")
