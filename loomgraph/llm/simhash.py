@@ -113,7 +113,9 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 #: Strata for near-duplicates by similarity: shingles aimed at in each, strata used of each document, and the least shingles of one.
 STRATUM, STRATA, LEAST = 3, 16, 3
-CROWD = 32  # documents that share a stratum's fingerprint and are all paired; more are paired with representatives
+CROWD = 32  # documents that share a stratum's fingerprint and are all paired; more are paired with representatives, and meet again by prefixes
+#: Documents in a block of those that share a prefix's shingle; copies of a shingle in a slice of texts, and shingles in all, that count as common.
+BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -166,16 +168,72 @@ def stratum_keys(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strata(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key) of each text's strata."""
+    """(doc_id, key, n): keys of each text's strata and of its whole set, with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
 
     def make():
+        import xxhash
+
         def rows(ids, t):
-            owner, key = stratum_keys([shingle_hashes(x, words) for x in t])
-            return [[ids[k] for k in owner.tolist()], key.view(np.int64)]
+            hashes = [shingle_hashes(x, words) for x in t]
+            owner, key = stratum_keys(hashes)
+            whole = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64)
+            common, n = np.unique(np.concatenate(hashes), return_counts=True)
+            common, n = common[n >= COMMON], n[n >= COMMON]
+            owners = [ids[k] for k in owner.tolist()] + ids + [None] * len(common)
+            counts = np.concatenate([np.zeros(len(key) + len(whole), np.int64), n])
+            return [owners, np.concatenate([key, whole, common]).view(np.int64), counts]
 
         return rows
 
-    return map_bytes(texts, make, "doc_id long, key long", [pa.int64(), pa.int64()])
+    return map_bytes(texts, make, "doc_id long, key long, n long", [pa.int64()] * 3)
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(key, doc_id, size, rest): the shingles of each text's prefix, how many its set has, and how many of them are left from this one on.
+
+    All sets are put in one order, by hash with ``common`` shingles last. Two sets with a similarity of
+    at least ``similarity`` share so many shingles that they share one among the first of either, even if
+    all others of those differ. Any order gives every such pair; with common shingles last few others meet.
+    """
+
+    def make():
+        def rows(ids, t):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for i, x in zip(ids, t, strict=True):
+                h = shingle_hashes(x, words)
+                if not len(h):
+                    continue
+                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+                last = common[at] == h if len(common) else np.zeros(len(h), bool)
+                n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                first = np.concatenate([h[~last], h[last]])[:n]
+                for column, values in zip(out, (first.view(np.int64), np.full(len(first), i), np.full(len(first), len(h)), len(h) - np.arange(len(first))), strict=True):
+                    column.append(values)
+            return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+
+        return rows
+
+    return map_bytes(texts, make, "key long, doc_id long, size int, rest int", [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+
+def prefix_links(keyed: DataFrame, components: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst) of all documents of different components that may have the similarity; ``keyed`` is from ``prefixes``.
+
+    A pair's first common shingle leaves each at most ``rest`` shared shingles, which must be enough.
+    Documents that share a shingle are dealt to blocks, and each pair of blocks is compared by itself, so
+    a shingle of very many documents is spread over tasks. A shingle within one component is left out.
+    """
+    labels = components.select(F.col("node").alias("doc_id"), "component")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    named = keyed.join(shared, "key").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = stored(named, "shared")
+    groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    dealt = named.join(groups.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    left = dealt.select("key", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("rest").alias("ra"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("rest").alias("rb"))
+    enough = F.least("ra", "rb") >= F.lit(similarity / (1 + similarity)) * (F.col("sa") + F.col("sb")) - 1e-9
+    met = left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & enough & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def stratum_links(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -191,7 +249,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
     """The (src, dst) whose shingle sets have a Jaccard similarity of at least ``similarity``; two texts without words have 1."""
 
     def make():
-        return lambda ids, t: [ids, [(shingle_hashes(x, words) >> np.uint64(32)).astype(np.uint32).tobytes() for x in t]]
+        return lambda ids, t: [ids, [shingle_hashes(x, words).tobytes() for x in t]]
 
     named = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     sets = map_bytes(texts.join(named, "doc_id", "left_semi"), make, "doc_id long, grams binary", [pa.int64(), pa.binary()])
@@ -201,8 +259,8 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=False))
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * max(1, len(x) + len(y) - both) or not (len(x) or len(y)))
             yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
@@ -214,11 +272,13 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) for each row: documents joined by pairs whose shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Two bits of 64 are far stricter than a similarity of 0.8, at which fingerprints differ in six to
-    thirteen, and covering tables double with each bit. So besides the covering tables over whole
-    documents' fingerprints, candidates come from SimHashes of strata, of a few shingles each: at 0.8 two
-    documents share one of their sixteen with a probability over 0.98. Every candidate is compared
-    exactly. In a crowd over ``CROWD`` only pairs with its representatives are candidates. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
+    Exact at every size of text and group, in two steps. Two bits of 64 are far stricter than a
+    similarity of 0.8, at which fingerprints differ in six to thirteen, so besides the covering tables over
+    whole documents' fingerprints, first candidates come from SimHashes of strata, of a few shingles each,
+    and from equal sets; in a crowd over ``CROWD`` only with its representatives. These join most copies
+    cheaply. Then every pair of different components that shares a shingle of its prefixes is a candidate,
+    which none of the similarity can miss. Every candidate is compared exactly. Nulls, blanks, repeated and
+    missing ids are as in ``simhash_components``.
     """
     texts = whole_texts(df, id_col, text_col).where("doc_id is not null")
     prints = stored(fingerprints(texts, words), "fingerprints")
@@ -226,8 +286,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal = prints.join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
     whole = links(distinct, bucket).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     keyed = stored(strata(texts, words), "strata")
-    pairs = stored(equal.unionByName(whole).unionByName(stratum_links(keyed)).distinct(), "candidates")
-    found = connected_components(verified(texts, pairs, words, similarity))
+    pairs = stored(equal.unionByName(whole).unionByName(stratum_links(keyed.where("n = 0").select("doc_id", "key"))).distinct(), "candidates")
+    joined = connected_components(verified(texts, pairs, words, similarity))
+    often = keyed.where("n > 0").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key")
+    common = np.sort(np.array(often.toPandas()["key"], np.int64).view(np.uint64))
+    starts = stored(prefixes(texts, words, similarity, common), "prefixes")
+    rest = stored(prefix_links(starts, joined, similarity), "candidates")
+    more = verified(texts, rest, words, similarity)
+    found = connected_components(more.unionByName(joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))))
     return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -118,6 +118,51 @@ def test_near_duplicates(spark, docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def brute_force(rows, words=5):
+    """Each id's component by comparing all pairs of shingle sets."""
+    sets = {i: set(simhash.shingle_hashes(t.encode(), words).tolist()) for i, t in rows}
+    parent, ids = {i: i for i in sets}, sorted(sets)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_crowd_of_variants_is_compared_whole(spark, monkeypatch):
+    """Pages of one template in pairs: each is unlike the representatives of the strata that it shares, but alike to its twin."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template, out = [word() for _ in range(100)], []
+    for _ in range(200):
+        page = template + [word() for _ in range(26)]
+        out += [" ".join(page), " ".join(template + [word() for _ in range(8)] + page[108:])]
+    rng.shuffle(out)
+    rows = list(enumerate(out))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_force(rows)
+    assert len(set(want.values())) == 200
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(simhash, "stratum_links", lambda keyed: keyed.selectExpr("doc_id as src", "doc_id as dst").limit(0))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+
+
+def test_blocks_of_a_shared_shingle_meet_in_every_pair(spark):
+    keyed = spark.createDataFrame([(5, i, 10, 10) for i in range(40)] + [(6, 1, 10, 3), (6, 2, 10, 3)], "key long, doc_id long, size int, rest int")
+    joined = spark.createDataFrame([(i, i % 4) for i in range(12)], "node long, component long")
+    found = [(r.src, r.dst) for r in simhash.prefix_links(keyed, joined, 0.8, block=7).collect()]
+    label = {i: i % 4 if i < 12 else i for i in range(40)}
+    assert sorted(found) == [(a, b) for a in range(40) for b in range(a + 1, 40) if label[a] != label[b]]
+
+
 def test_simhash_lanes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 254, 255, 256, 1000):
