@@ -1,7 +1,8 @@
 """A pipeline over documents, from raw rows to packed sequences.
 
 Each stage works on all that the one before kept, and its result is written and read again. A row
-without a doc_id can't be told from others and is left out by the stages that decide by id.
+without a doc_id can't be told from others and is left out by the stages that decide by id. Of rows that
+repeat a doc_id one stays.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without blanks, the longest original with the smallest id."""
-    kept = exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of texts that are equal without blanks, the longest original with the smallest id. Rows that repeat an id count as one, that of the longest text."""
+    n, text = F.coalesce(F.length("text"), F.lit(0)), F.coalesce("text", F.lit(""))
+    longest = F.max_by(F.struct(*docs.columns), F.struct(n, F.sha2(F.encode(text, "UTF-8"), 256), F.xxhash64(*docs.columns)))
+    single = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(longest.alias("row")).select("row.*"), "single")
+    kept = exact_groups(single).where("kept").select("doc_id")
+    return single.join(kept, "doc_id", "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and terms that disclose it replaced in their texts."""
-    clean = sanitised(docs).select("doc_id", "text")
-    return docs.drop("text").join(clean, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    clean = sanitised(docs, carry=[c for c in docs.columns if c != "text"])
+    return clean.select("text", "carried.*").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

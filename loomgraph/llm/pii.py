@@ -7,6 +7,7 @@ the entity's own information content: 1 means that the term occurs only with the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -110,15 +111,16 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, rows: int, rule: Disclo
     return told.withColumn("share", mutual / F.col("bits")).where(F.col("share") >= rule.share).select("entity", "term", "share")
 
 
-def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None, with_text: bool = False) -> DataFrame:
-    """(row_id, doc_id, base, terms[, text]) for each row: base spans, and spans of terms that reveal an entity of the same document.
+def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(row_id, doc_id, base, terms[, text][, carried: a struct of the columns ``carry``]) for each row: base spans, and spans of terms that reveal an entity of the same document.
 
     Terms overlapping a base span are part of it and left out. A null text is empty and has none;
     repeated rows keep a row each; an empty table gives an empty one.
     """
     rule = rule or Disclosure()
-    texts = whole_texts(df, id_col, text_col)
-    base = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), "text")
+    texts, more = whole_texts(df, id_col, text_col), ["carried"] * bool(carry)
+    held = whole_texts(df, id_col, text_col, carry) if carry else texts
+    base = held.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), "text", *more)
     kept = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
     found = stored(base.withColumn("text", kept), "personal")
     told = stored(disclosing_terms(found, texts, found.count(), rule), "disclosing")
@@ -130,7 +132,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = F.filter(spans_of(F.col("text"), pattern, "term"), clear)
     marked = found.where(F.size("base") > 0).join(wanted, "row_id").select("row_id", spans.alias("terms"), "shares")
     out = found.join(marked, "row_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
-    return out.select("row_id", "doc_id", "base", "terms", "shares", *["text"] * with_text)
+    return out.select("row_id", "doc_id", "base", "terms", "shares", *["text"] * with_text, *more)
 
 
 def listed(spans: Column) -> Column:
@@ -144,10 +146,10 @@ def span_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.encode(listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
-def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
-    """(row_id, doc_id, text) with base spans replaced by their kind's tag, and terms by a general tag or, where they reveal nearly all, by nothing. Spans that overlap are replaced together, by the first one's tag."""
+def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(row_id, doc_id, text[, carried]) with base spans replaced by their kind's tag, and terms by a general tag or, where they reveal nearly all, by nothing. Spans that overlap are replaced together, by the first one's tag."""
     rule = rule or Disclosure()
-    found = personal_data(df, id_col, text_col, rule, with_text=True)
+    found = personal_data(df, id_col, text_col, rule, with_text=True, carry=carry)
     gone = lambda s: (s["kind"] == "term") & (F.coalesce(F.element_at("shares", F.lower(s["value"])), F.lit(0.0)) >= rule.remove)
     tagged = F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(gone(s), "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("tag")))
     kind = "array<struct<start:int,end:int,tag:string>>"
@@ -162,7 +164,7 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     begin = F.lit(0)
     parts = F.transform("m", lambda s, i: F.concat(F.substring(F.col("text"), F.when(i > 0, F.try_element_at("m", i)["end"]).otherwise(begin) + 1, s["start"] - F.when(i > 0, F.try_element_at("m", i)["end"]).otherwise(begin)), s["tag"]))
     rest = F.substring(F.col("text"), F.element_at("m", -1)["end"] + 1, F.length("text"))
-    return cut.select("row_id", "doc_id", F.when(F.size("m") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest)).alias("text"))
+    return cut.select("row_id", "doc_id", F.when(F.size("m") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest)).alias("text"), *["carried"] * bool(carry))
 
 
 def op8_pii(spark, sf_dir):

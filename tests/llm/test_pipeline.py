@@ -31,6 +31,17 @@ def test_stages_follow_each_other(spark):
     assert corpus_pipeline.run(spark, SF).selectExpr("sum(length) as n").first().n == total
 
 
+def test_repeated_rows_stay_once(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    rows = [(1, "write to a.b@x.com now", 22)] * 30 + [(2, "another text", 12)] * 3 + [(3, "another  text", 13), (None, "no id", 5), (4, None, None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    one = stage["exact_dedup"](spark, docs, SF)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in one.collect() if r.text) == [(1, rows[0][1], 22), (3, "another  text", 13)]
+    assert one.where("text is null").count() == 1 and one.columns == docs.columns
+    clean = stage["pii"](spark, docs.where("doc_id in (1, 2)"), SF).collect()
+    assert len(clean) == 33 and {(r.doc_id, r.text, r.n_chars) for r in clean} == {(1, "write to <EMAIL> now", 20), (2, "another text", 12)}
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
     assert numbers == list(range(1, 11))
