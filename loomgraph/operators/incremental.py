@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomgraph.operators.diff import snapshot_diff
 from loomgraph.operators.order import in_order
@@ -89,10 +92,36 @@ def count_batches(events: DataFrame, key: str, size: int, ts: str, order: str) -
 
 
 def moving_average(events: DataFrame, key: str, value: str, ts: str, order: str, alpha: float = 0.1) -> DataFrame:
-    """(key, n, ema): exponential moving average of each key's values in order, from the first."""
-    ordered = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ts, order, value))).alias("v"))
-    ema = F.aggregate(F.slice("v", 2, F.size("v")), F.element_at("v", 1)[value].cast("double"), lambda s, x: s * (1 - alpha) + x[value] * alpha)
-    return ordered.select(key, F.size("v").alias("n"), ema.alias("ema"))
+    """(key, n, ema): exponential moving average of each key's values in order, from the first; null if one of them is.
+
+    Events are dealt by ranges of (key, time, order), so a key of very many events is spread over tasks. A
+    piece of a key's events comes down to its count n, its first value and its sum of alpha (1 - alpha)^later
+    value, and the average after a piece is that before times (1 - alpha)^n plus its sum.
+    """
+    rows = events.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    dealt = rows.repartitionByRange("key", "ts", "order").sortWithinPartitions("key", "ts", "order")
+
+    def reduced(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column("key"), batch.column("value")
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.nonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))[0]
+            n = np.diff(np.append(starts, len(codes)))
+            later = np.repeat(starts + n - 1, n) - np.arange(len(codes))
+            missing = values.is_null().to_numpy(zero_copy_only=False)
+            known = np.where(missing, 0.0, values.to_numpy(zero_copy_only=False))
+            sums = np.add.reduceat(known * alpha * np.power(1 - alpha, later), starts)
+            unknown = np.add.reduceat(missing.astype(np.int64), starts) > 0
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([keys.take(at), batch.column("ts").take(at), batch.column("order").take(at), pa.array(n.astype(np.int64)), values.take(at), pa.array(sums, mask=unknown)], names=["key", "ts", "order", "n", "first", "total"])
+
+    fields = dealt.schema.fields
+    schema = StructType([*(StructField(f.name, f.dataType) for f in fields[:3]), StructField("n", LongType()), StructField("first", DoubleType()), StructField("total", DoubleType())])
+    pieces = dealt.mapInArrow(reduced, schema).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ts", "order", "n", "first", "total"))).alias("v"), F.sum("n").cast("int").alias("n"))
+    ema = F.aggregate("v", F.element_at("v", 1)["first"], lambda s, x: s * F.pow(F.lit(1 - alpha), x["n"]) + x["total"])
+    return pieces.select(F.col("key").alias(key), "n", ema.alias("ema"))
 
 
 class VersionedTable:

@@ -118,3 +118,17 @@ def test_numbers_and_running_sums(spark):
         assert found[k] == (n, before)
         before += v
     assert in_order(df.where("k < 0"), "k").count() == 0
+
+
+def test_average_of_one_key_over_many_tasks(spark):
+    rows = [(0 if k % 3 else k % 7, (k * 7919) % 5003, k, float(k % 11)) for k in range(5000)] + [(9, 1, 5000, 2.0), (9, 2, 5001, None), (None, 1, 5002, 4.0)]
+    df = spark.createDataFrame(rows, "user long, ts long, id long, v double").repartition(3)
+    out = I.moving_average(df, "user", "v", "ts", "id")
+    want = {}
+    for user, _, _, v in sorted(rows, key=lambda r: r[1:3]):
+        n, ema = want.get(user, (0, v))
+        want[user] = (n + 1, None if None in (ema, v) else v if n == 0 else ema * 0.9 + v * 0.1)
+    found = {r.user: (r.n, r.ema) for r in out.collect()}
+    assert found.keys() == want.keys() and found[9] == (2, None)
+    assert all(found[u][0] == n and (e is None or found[u][1] == pytest.approx(e, abs=1e-9)) for u, (n, e) in want.items())
+    assert "rangepartitioning(key" in out._jdf.queryExecution().toString()  # a key's events are spread, not collected in one row
