@@ -52,10 +52,15 @@ def events(spark, d):
 
 
 def apply_changes(spark, d):
-    """Users' state after all events: the last one wins, and a purchase deletes."""
-    state = events(spark, d).where("event_id % 50 = 0").groupBy("user_id").agg(F.max("value").alias("value"))
-    changes = events(spark, d).withColumn("change_id", F.col("event_id"))
-    return I.apply_changes(state, changes, "user_id", F.col("event_type") == "purchase")
+    """Users' state after all events: the last one wins, and a purchase deletes. The state before is that of the mean time of users' last events."""
+    found = events(spark, d).withColumn("change_id", F.col("event_id"))
+    last = found.groupBy("user_id").agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("last"))
+    cut = last.agg(F.timestamp_micros(F.avg("last").cast("long")).alias("cut"))
+    found = found.crossJoin(F.broadcast(cut)).withColumn("early", F.coalesce(F.col("ts").cast("timestamp") < F.col("cut"), F.lit(True))).drop("cut")
+    early, late = found.where("early").drop("early"), found.where("not early").drop("early")
+    bought = F.col("event_type") == "purchase"
+    state = I.last_changes(early, "user_id", "ts", "change_id").where(~bought).select("user_id", "value")
+    return I.apply_changes(state, late, "user_id", bought)
 
 
 def debounce_sessions(spark, d):

@@ -132,3 +132,15 @@ def test_average_of_one_key_over_many_tasks(spark):
     assert found.keys() == want.keys() and found[9] == (2, None)
     assert all(found[u][0] == n and (e is None or found[u][1] == pytest.approx(e, abs=1e-9)) for u, (n, e) in want.items())
     assert "rangepartitioning(key" in out._jdf.queryExecution().toString()  # a key's events are spread, not collected in one row
+
+
+def test_changes_leave_other_users_as_they_were(spark, monkeypatch):
+    from loomgraph.plans import maintain
+
+    seen, apply = [], I.apply_changes
+    monkeypatch.setattr(maintain.I, "apply_changes", lambda state, changes, *a: seen.append((state, changes)) or apply(state, changes, *a))
+    out = {r.user_id: r.value for r in maintain.apply_changes(spark, "/root/testdata/sf0.001").collect()}
+    state, changes = seen[0]
+    others = {r.user_id: r.value for r in state.join(changes, "user_id", "left_anti").collect()}
+    assert others and changes.count() and state.join(changes, "user_id", "left_semi").count()
+    assert all(out[u] == v for u, v in others.items())
