@@ -155,6 +155,21 @@ def test_crowd_of_variants_is_compared_whole(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("count, at", [(5, None), (13, 12), (25, 24)])
+def test_short_near_copies_are_all_found(spark, count, at):
+    """Pairs of texts of ``count`` words, one word replaced: J is 0.8 at 13 words; the shortest are copies in other letters."""
+    rng, out = random.Random(5), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for _ in range(100):
+        text = [word() for _ in range(count)]
+        out += [" ".join(text), " ".join(text).upper() if at is None else " ".join([*text[:at], word(), *text[at + 1 :]])]
+    rows = list(enumerate(out))
+    want = brute_force(rows)
+    assert len(set(want.values())) == 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+
+
 def test_blocks_of_a_shared_shingle_meet_in_every_pair(spark):
     keyed = spark.createDataFrame([(5, i, 10, 10) for i in range(40)] + [(6, 1, 10, 3), (6, 2, 10, 3)], "key long, doc_id long, size int, rest int")
     joined = spark.createDataFrame([(i, i % 4) for i in range(12)], "node long, component long")
