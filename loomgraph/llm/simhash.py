@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import documents, map_bytes, stored, whole_texts
+from loomgraph.llm.common import documents, map_bytes, slices, stored, whole_texts
 from loomgraph.operators.components import connected_components
 
 BITS, RADIUS, SEED = 64, 2, 42
@@ -30,9 +32,9 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def simhash(shingles: list[int]) -> int:
+def simhash(hashes: Sequence[int] | np.ndarray) -> int:
     """Bits that are set in over half of the hashes. Lanes of eight counters in a word add up to 255 hashes at once."""
-    h = np.array(shingles, np.uint64)
+    h = np.asarray(hashes, np.uint64)
     starts = np.arange(0, len(h), 255)
     ones = np.zeros(BITS, np.int64)
     lanes = np.uint64(0x0101010101010101)
@@ -42,16 +44,27 @@ def simhash(shingles: list[int]) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: bytes, words: int) -> int:
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The hash of each shingle, repeats included; none of a text without words."""
     from itertools import islice, repeat
 
     import xxhash
 
     w = text.lower().split()  # of bytes: A-Z only, and blanks are space and 09 to 0d
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(islice(w, k, None) for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return simhash(list(map(xxhash.xxh64_intdigest, grams, repeat(SEED))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(shingles(text, words))
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    h = shingles(text, words)
+    return simhash(h) if len(h) else 0
 
 
 def fingerprints(texts: DataFrame, words: int = 3) -> DataFrame:
@@ -111,83 +124,43 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Strata for near-duplicates by similarity: shingles aimed at in each, strata used of each document, and the least shingles of one.
-STRATUM, STRATA, LEAST = 3, 16, 3
-CROWD = 32  # documents that share a stratum's fingerprint and are all paired; more are paired with representatives, and meet again by prefixes
-#: Documents in a block of those that share a prefix's shingle; copies of a shingle in a slice of texts, and shingles in all, that count as common.
+#: Documents in a block of those that share a prefix's shingle; copies of a shingle in a slice of texts that count as common, and shingles of the order's list.
 BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order; none of a text without words."""
-    from itertools import islice, repeat
-
-    import xxhash
-
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(islice(w, k, None) for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
-
-
-def stratum_keys(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) for the strata of texts: a key is a stratum's SimHash mixed with its level and number.
-
-    A text with m shingles deals them by hash to 2**level strata of about ``STRATUM`` to twice that.
-    Texts of similar size share a level: each takes those of 0.89 m and 1.12 m.
-    """
-    counts = np.array([len(h) for h in hashes])
-    h, text = np.concatenate(hashes) if len(hashes) else np.zeros(0, np.uint64), np.repeat(np.arange(len(hashes)), counts)
-    level = lambda f: np.floor(np.log2(np.maximum(1, counts * f / STRATUM))).astype(np.int64)
-    lows, highs, out = level(0.89), level(1.12), []
-    dealt = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    lanes = np.uint64(0x0101010101010101)
-    for levels, use in ((lows, np.ones(len(counts), bool)), (highs, highs > lows)):
-        stratum = (dealt & ((np.uint64(1) << levels.astype(np.uint64)) - np.uint64(1))[text]).astype(np.int64)
-        pick = np.nonzero((stratum < STRATA) & use[text])[0]
-        if not len(pick):
-            continue
-        group = text[pick] * STRATA + stratum[pick]
-        order = np.argsort(group, kind="stable")
-        g, hs = group[order], h[pick][order]
-        starts = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
-        sizes = np.diff(np.append(starts, len(g)))
-        bits = np.zeros((len(starts), 8, 8), bool)
-        for j in range(8):
-            sums = np.add.reduceat((hs >> np.uint64(j)) & lanes, starts)
-            bits[:, :, j] = sums.view(np.uint8).reshape(-1, 8) * 2 > sizes[:, None]
-        fp = np.packbits(bits, axis=2, bitorder="little").reshape(-1, 8).view("<u8")[:, 0]
-        owner = g[starts] // STRATA
-        ok = (sizes <= 255 // 2) & ((sizes >= LEAST) | (levels[owner] == 0))
-        label = (levels[owner] * STRATA + g[starts] % STRATA).astype(np.uint64)
-        out.append((owner[ok], ((fp ^ (fp >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + label * np.uint64(0x94D049BB133111EB))[ok]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-
-def strata(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n): keys of each text's strata and of its whole set, with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
+def marks(texts: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, n): each text's fingerprint with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
 
     def make():
-        import xxhash
-
         def rows(ids, t):
-            hashes = [shingle_hashes(x, words) for x in t]
-            owner, key = stratum_keys(hashes)
-            whole = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64)
-            common, n = np.unique(np.concatenate(hashes), return_counts=True)
+            lists = [shingles(x, words) for x in t]
+            prints = [simhash(h) if len(h) else 0 for h in lists]
+            common, n = np.unique(np.concatenate([np.unique(h) for h in lists]), return_counts=True)
             common, n = common[n >= COMMON], n[n >= COMMON]
-            owners = [ids[k] for k in owner.tolist()] + ids + [None] * len(common)
-            counts = np.concatenate([np.zeros(len(key) + len(whole), np.int64), n])
-            return [owners, np.concatenate([key, whole, common]).view(np.int64), counts]
+            keys = np.concatenate([np.array(prints, np.uint64), common]).view(np.int64)
+            return [ids + [None] * len(common), keys, np.concatenate([np.zeros(len(prints), np.int64), n])]
 
         return rows
 
     return map_bytes(texts, make, "doc_id long, key long, n long", [pa.int64()] * 3)
 
 
+def most_common(counted: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
+    """Up to ``most`` of the most frequent keys of (key, n), in order: all from some frequency on, found by counting keys by frequency.
+
+    They only put the shingles of all sets in one order, in which any list gives the same pairs in the end.
+    """
+    n = stored(counted.groupBy("key").agg(F.floor(16 * F.log2(F.sum("n"))).alias("band")), "common")
+    least, held = None, 0
+    for row in sorted(n.groupBy("band").count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["band"]
+    keys = [] if least is None else n.where(F.col("band") >= least).select("key").toPandas()["key"]
+    return np.sort(np.array(keys, np.int64).view(np.uint64))
+
+
 def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
     """(key, doc_id, size, rest): the shingles of each text's prefix, how many its set has, and how many of them are left from this one on.
 
@@ -216,82 +189,96 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray
     return map_bytes(texts, make, "key long, doc_id long, size int, rest int", [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
-def prefix_links(keyed: DataFrame, components: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst) of all documents of different components that may have the similarity; ``keyed`` is from ``prefixes``.
+def enough(similarity: float) -> Column:
+    """Whether documents a and b that first share a shingle with ra and rb left of sa and sb may have the similarity."""
+    return F.least("ra", "rb") >= F.lit(similarity / (1 + similarity)) * (F.col("sa") + F.col("sb")) - 1e-9
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+
+
+def star_links(shared: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of each document and one of about its size that shares a shingle of its prefix, chosen by hash, so mostly the same for many shingles."""
+    band = F.floor(F.log("size") / np.log(1 / similarity))
+    rows = shared.select("key", band.alias("band"), F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("rest").alias("ra"))
+    one = rows.groupBy("key", "band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("ra").alias("rb"))).alias("one"))
+    met = rows.join(one.where("n > 1").select("key", "band", "one.b", "one.sb", "one.rb"), ["key", "band"])
+    return met.where((F.col("a") != F.col("b")) & enough(similarity)).select(*ordered("a", "b")).distinct()
+
+
+def shared_prefixes(keyed: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose shingle stands in another document's prefix too."""
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+
+
+def prefix_links(shared: DataFrame, components: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst) of all documents of different components that may have the similarity; ``shared`` is from ``shared_prefixes``.
 
     A pair's first common shingle leaves each at most ``rest`` shared shingles, which must be enough.
     Documents that share a shingle are dealt to blocks, and each pair of blocks is compared by itself, so
     a shingle of very many documents is spread over tasks. A shingle within one component is left out.
     """
     labels = components.select(F.col("node").alias("doc_id"), "component")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    named = keyed.join(shared, "key").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = stored(named, "shared")
+    named = stored(shared.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "shared")
     groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     dealt = named.join(groups.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     left = dealt.select("key", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("rest").alias("ra"))
     right = dealt.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("rest").alias("rb"))
-    enough = F.least("ra", "rb") >= F.lit(similarity / (1 + similarity)) * (F.col("sa") + F.col("sb")) - 1e-9
-    met = left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & enough & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-
-
-def stratum_links(keyed: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(src, dst) of documents that share a stratum; of a crowd, each with three representatives (chosen by id and by hash)."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("r1"), F.max("doc_id").alias("r2"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("r3")).where("n > 1")
-    few = stored(keyed.join(sizes.where(F.col("n") <= crowd).select("key"), "key"), "few")
-    pairs = few.select("key", F.col("doc_id").alias("src")).join(few.select("key", F.col("doc_id").alias("dst")), "key").where("src < dst").select("src", "dst")
-    many = keyed.join(sizes.where(F.col("n") > crowd), "key").select("doc_id", F.explode(F.array("r1", "r2", "r3")).alias("rep")).where("doc_id <> rep")
-    return pairs.unionByName(many.select(F.least("doc_id", "rep").alias("src"), F.greatest("doc_id", "rep").alias("dst"))).distinct()
+    met = left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & enough(similarity) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))))
+    return met.select(*ordered("a", "b")).distinct()
 
 
 def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (src, dst) whose shingle sets have a Jaccard similarity of at least ``similarity``; two texts without words have 1."""
+    """The (src, dst) whose shingle sets have a Jaccard similarity of at least ``similarity``; two texts without words have 1.
 
-    def make():
-        return lambda ids, t: [ids, [shingle_hashes(x, words).tobytes() for x in t]]
-
-    named = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = map_bytes(texts.join(named, "doc_id", "left_semi"), make, "doc_id long, grams binary", [pa.int64(), pa.binary()])
-    sets = stored(sets.dropDuplicates(["doc_id"]), "sets")
+    Only texts of some pair are moved; they are smaller than their sets, which are made where a pair meets.
+    """
+    named = stored(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "named")
+    held = texts.join(named, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("t"))
+    held = stored(held.dropDuplicates(["doc_id"]), "texts")
 
     def alike(batches):
+        of: dict[str, tuple[int | None, np.ndarray]] = dict.fromkeys("ab", (None, np.zeros(0, np.uint64)))
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * max(1, len(x) + len(y) - both) or not (len(x) or len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("src"), F.col("grams").alias("a"))
-    right = sets.select(F.col("doc_id").alias("dst"), F.col("grams").alias("b"))
+            for part in slices(batch, "b"):
+                keep = []
+                for row in part.to_pylist():
+                    for side, name in (("a", "src"), ("b", "dst")):
+                        if of[side][0] != row[name]:
+                            of[side] = (row[name], shingle_hashes(row[side], words))
+                    x, y = of["a"][1], of["b"][1]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similarity * max(1, len(x) + len(y) - both) - 1e-9 or not (len(x) or len(y)))
+                yield part.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    left = held.select(F.col("doc_id").alias("src"), F.col("t").alias("a"))
+    right = held.select(F.col("doc_id").alias("dst"), F.col("t").alias("b"))
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(alike, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) for each row: documents joined by pairs whose shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Exact at every size of text and group, in two steps. Two bits of 64 are far stricter than a
-    similarity of 0.8, at which fingerprints differ in six to thirteen, so besides the covering tables over
-    whole documents' fingerprints, first candidates come from SimHashes of strata, of a few shingles each,
-    and from equal sets; in a crowd over ``CROWD`` only with its representatives. These join most copies
-    cheaply. Then every pair of different components that shares a shingle of its prefixes is a candidate,
-    which none of the similarity can miss. Every candidate is compared exactly. Nulls, blanks, repeated and
-    missing ids are as in ``simhash_components``.
+    Exact at every size of text and group, in two steps. First candidates are the documents that meet in
+    the covering tables by their whole fingerprints, and, as two bits of 64 are far stricter than a
+    similarity of 0.8 (at which fingerprints differ in six to thirteen), each document with one of about its
+    size that shares a shingle of its prefix. These join most copies, so that a crowd of copies costs one
+    comparison for each. Then every pair of different components that shares a shingle of its prefixes is
+    a candidate, which none of the similarity can miss. Every candidate is compared exactly. Nulls, blanks,
+    repeated and missing ids are as in ``simhash_components``.
     """
     texts = whole_texts(df, id_col, text_col).where("doc_id is not null")
-    prints = stored(fingerprints(texts, words), "fingerprints")
+    marked = stored(marks(texts, words), "marks")
+    prints = marked.where("n = 0").select("doc_id", F.col("key").alias("fp"))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     equal = prints.join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
-    whole = links(distinct, bucket).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    keyed = stored(strata(texts, words), "strata")
-    pairs = stored(equal.unionByName(whole).unionByName(stratum_links(keyed.where("n = 0").select("doc_id", "key"))).distinct(), "candidates")
+    whole = links(distinct, bucket).select(*ordered("src", "dst"))
+    starts = stored(prefixes(texts, words, similarity, most_common(marked.where("n > 0"))), "prefixes")
+    shared = stored(shared_prefixes(starts), "shared")
+    pairs = stored(equal.unionByName(whole).unionByName(star_links(shared, similarity)).distinct(), "candidates")
     joined = connected_components(verified(texts, pairs, words, similarity))
-    often = keyed.where("n > 0").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key")
-    common = np.sort(np.array(often.toPandas()["key"], np.int64).view(np.uint64))
-    starts = stored(prefixes(texts, words, similarity, common), "prefixes")
-    rest = stored(prefix_links(starts, joined, similarity), "candidates")
+    rest = stored(prefix_links(shared, joined, similarity), "candidates")
     more = verified(texts, rest, words, similarity)
     found = connected_components(more.unionByName(joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))))
     return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

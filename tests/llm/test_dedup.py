@@ -151,7 +151,7 @@ def test_crowd_of_variants_is_compared_whole(spark, monkeypatch):
     want = brute_force(rows)
     assert len(set(want.values())) == 200
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
-    monkeypatch.setattr(simhash, "stratum_links", lambda keyed: keyed.selectExpr("doc_id as src", "doc_id as dst").limit(0))
+    monkeypatch.setattr(simhash, "star_links", lambda shared, similarity: shared.selectExpr("doc_id as src", "doc_id as dst").limit(0))
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
