@@ -29,14 +29,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n, text = F.coalesce(F.length("text"), F.lit(0)), F.coalesce("text", F.lit(""))
     longest = F.max_by(F.struct(*docs.columns), F.struct(n, F.sha2(F.encode(text, "UTF-8"), 256), F.xxhash64(*docs.columns)))
     single = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(longest.alias("row")).select("row.*"), "single")
-    kept = exact_groups(single).where("kept").select("doc_id")
-    return single.join(kept, "doc_id", "left_semi")
+    gone = stored(exact_groups(single).where("not kept").select("doc_id"), "gone")
+    return single.join(gone, "doc_id", "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group joined by similarities of 0.8 or more of five-word shingles."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi")
+    gone = stored(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
