@@ -128,21 +128,39 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A set's size, and how many of its hashes fall in each of 16 or more equal ranges (8 to 16 hashes in each): what tells most unlike sets apart."""
+    bits = max(4, int(np.ceil(np.log2(max(1, len(h)) / 16))))
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.uint32(len(h)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """False only of sets below the similarity: their counts differ by no more than the sets do."""
+    sizes = int.from_bytes(a[:4], "little") + int.from_bytes(b[:4], "little")
+    x, y = (np.frombuffer(s, np.uint8, offset=4).astype(np.int64) for s in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.minimum(v.reshape(n, -1).sum(1), 255) for v in (x, y))
+    return int(np.abs(x - y).sum()) <= (1 - similarity) / (1 + similarity) * sizes + 1e-9
+
+
 def marks(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n): each text's fingerprint with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
+    """(doc_id, key, n, sketch): each text's fingerprint and sketch, with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
 
     def make():
         def rows(ids, t):
             lists = [shingles(x, words) for x in t]
+            sets = [np.unique(h) for h in lists]
             prints = [simhash(h) if len(h) else 0 for h in lists]
-            common, n = np.unique(np.concatenate([np.unique(h) for h in lists]), return_counts=True)
+            common, n = np.unique(np.concatenate(sets), return_counts=True)
             common, n = common[n >= COMMON], n[n >= COMMON]
             keys = np.concatenate([np.array(prints, np.uint64), common]).view(np.int64)
-            return [ids + [None] * len(common), keys, np.concatenate([np.zeros(len(prints), np.int64), n])]
+            none = [None] * len(common)
+            return [ids + none, keys, np.concatenate([np.zeros(len(prints), np.int64), n]), [*map(sketch, sets), *none]]
 
         return rows
 
-    return map_bytes(texts, make, "doc_id long, key long, n long", [pa.int64()] * 3)
+    return map_bytes(texts, make, "doc_id long, key long, n long, sketch binary", [*[pa.int64()] * 3, pa.binary()])
 
 
 def most_common(counted: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
@@ -162,7 +180,7 @@ def most_common(counted: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(key, doc_id, size, rest): the shingles of each text's prefix, how many its set has, and how many of them are left from this one on.
+    """(key, doc_id, size, rest, often): the shingles of each text's prefix, how many its set has, how many of them are left from this one on, and whether it is of ``common``.
 
     All sets are put in one order, by hash with ``common`` shingles last. Two sets with a similarity of
     at least ``similarity`` share so many shingles that they share one among the first of either, even if
@@ -171,7 +189,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray
 
     def make():
         def rows(ids, t):
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, x in zip(ids, t, strict=True):
                 h = shingle_hashes(x, words)
                 if not len(h):
@@ -180,13 +198,14 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray
                 last = common[at] == h if len(common) else np.zeros(len(h), bool)
                 n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 first = np.concatenate([h[~last], h[last]])[:n]
-                for column, values in zip(out, (first.view(np.int64), np.full(len(first), i), np.full(len(first), len(h)), len(h) - np.arange(len(first))), strict=True):
+                often = np.arange(len(first)) >= len(h) - last.sum()
+                for column, values in zip(out, (first.view(np.int64), np.full(len(first), i), np.full(len(first), len(h)), len(h) - np.arange(len(first)), often), strict=True):
                     column.append(values)
-            return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+            return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out[:4]] + [np.concatenate(out[4]) if out[4] else np.zeros(0, bool)]
 
         return rows
 
-    return map_bytes(texts, make, "key long, doc_id long, size int, rest int", [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+    return map_bytes(texts, make, "key long, doc_id long, size int, rest int, often boolean", [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()])
 
 
 def enough(similarity: float) -> Column:
@@ -208,8 +227,41 @@ def star_links(shared: DataFrame, similarity: float) -> DataFrame:
 
 
 def shared_prefixes(keyed: DataFrame) -> DataFrame:
-    """The rows of ``prefixes`` whose shingle stands in another document's prefix too."""
-    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    """(key, doc_id, size, rest): the rows of ``prefixes`` whose shingle stands in another document's prefix too; common ones all stay.
+
+    Most shingles stand in one text only, so all rows are shuffled once, and read in order: a row stays if
+    the one before or after has its key. Common shingles need no neighbour, and are spread over tasks.
+    """
+
+    def run(batches):
+        held = None  # the last row so far, if it has not been given out
+        before = None  # the last row's key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            key = table.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            stay = np.concatenate([[key[0] == before and held is None], same]) | np.concatenate([same, [False]]) | table.column("often").to_numpy()
+            before = key[-1]
+            held = None if stay[-1] else batch.slice(batch.num_rows - 1)
+            yield from table.select(["key", "doc_id", "size", "rest"]).filter(pa.array(stay)).to_batches()
+
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(F.lit(0))
+    return keyed.repartition("key", salt).sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long, size int, rest int")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) that their sketches don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [may_be_alike(a, b, similarity) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sketches.select(F.col("doc_id").alias("src"), F.col("sketch").alias("a"))
+    right = sketches.select(F.col("doc_id").alias("dst"), F.col("sketch").alias("b"))
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
 def prefix_links(shared: DataFrame, components: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -265,20 +317,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similarity of 0.8 (at which fingerprints differ in six to thirteen), each document with one of about its
     size that shares a shingle of its prefix. These join most copies, so that a crowd of copies costs one
     comparison for each. Then every pair of different components that shares a shingle of its prefixes is
-    a candidate, which none of the similarity can miss. Every candidate is compared exactly. Nulls, blanks,
-    repeated and missing ids are as in ``simhash_components``.
+    a candidate, which none of the similarity can miss. Every candidate is compared exactly, first by
+    sketches, which rule out most of those that are unlike, then as a whole. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
     """
     texts = whole_texts(df, id_col, text_col).where("doc_id is not null")
     marked = stored(marks(texts, words), "marks")
     prints = marked.where("n = 0").select("doc_id", F.col("key").alias("fp"))
+    sketches = marked.where("n = 0").groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     equal = prints.join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
     whole = links(distinct, bucket).select(*ordered("src", "dst"))
-    starts = stored(prefixes(texts, words, similarity, most_common(marked.where("n > 0"))), "prefixes")
-    shared = stored(shared_prefixes(starts), "shared")
-    pairs = stored(equal.unionByName(whole).unionByName(star_links(shared, similarity)).distinct(), "candidates")
-    joined = connected_components(verified(texts, pairs, words, similarity))
-    rest = stored(prefix_links(shared, joined, similarity), "candidates")
+    shared = stored(shared_prefixes(prefixes(texts, words, similarity, most_common(marked.where("n > 0")))), "shared")
+    pairs = equal.unionByName(whole).unionByName(star_links(shared, similarity)).distinct()
+    joined = connected_components(verified(texts, stored(plausible(pairs, sketches, similarity), "candidates"), words, similarity))
+    rest = stored(plausible(prefix_links(shared, joined, similarity), sketches, similarity), "candidates")
     more = verified(texts, rest, words, similarity)
     found = connected_components(more.unionByName(joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))))
     return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -170,6 +170,34 @@ def test_short_near_copies_are_all_found(spark, count, at):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
+def test_sketches_rule_out_no_pair():
+    rng = np.random.default_rng(4)
+    unlike = 0
+    for k in range(400):
+        n = int(rng.integers(1, 3000 if k % 2 else 60))
+        a = rng.integers(0, 2**64, n, dtype=np.uint64) >> np.uint64(0 if k % 5 else 57)  # some all in one range
+        b = np.unique(np.concatenate([a[int(n * rng.random() * 0.3) :], rng.integers(0, 2**64, int(n * rng.random() * 0.3), dtype=np.uint64)]))
+        a = np.unique(a)
+        both = len(np.intersect1d(a, b))
+        alike = both >= 0.8 * (len(a) + len(b) - both)
+        unlike += not simhash.may_be_alike(simhash.sketch(a), simhash.sketch(b), 0.8)
+        assert simhash.may_be_alike(simhash.sketch(a), simhash.sketch(b), 0.8) or not alike
+    assert unlike > 50
+
+
+def test_shared_prefixes_across_batches(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), i, 9, 9, False) for i in range(600)] + [(1000 + i, i, 9, 9, i % 2 == 0) for i in range(6)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = simhash.shared_prefixes(spark.createDataFrame(rows, "key long, doc_id long, size int, rest int, often boolean")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    keys = [r[0] for r in rows]
+    assert sorted((r.key, r.doc_id) for r in found) == sorted((k, i) for k, i, _, _, often in rows if often or keys.count(k) > 1)
+
+
 def test_blocks_of_a_shared_shingle_meet_in_every_pair(spark):
     keyed = spark.createDataFrame([(5, i, 10, 10) for i in range(40)] + [(6, 1, 10, 3), (6, 2, 10, 3)], "key long, doc_id long, size int, rest int")
     joined = spark.createDataFrame([(i, i % 4) for i in range(12)], "node long, component long")
