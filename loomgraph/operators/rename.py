@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,24 +93,46 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     return out.withColumn("score", 0.6 * mean(scores) + 0.4 * mean(rules)).withColumn("confidence", 1 - F.least(variance, F.lit(1.0)))
 
 
-def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of deleted and added symbols of equal kind; both in are (id, name, signature, kind, visibility, size, line, doc, path)."""
-    a = old.select(*(F.col(c).alias(f"old_{c}") for c in old.columns), F.col("kind").alias("k"))
-    b = new.select(*(F.col(c).alias(f"new_{c}") for c in new.columns), F.col("kind").alias("k"))
-    return a.join(b, "k").drop("k")
+def candidates(old: DataFrame, new: DataFrame, within: Sequence[str] = ("path", "kind")) -> DataFrame:
+    """Pairs of deleted and added symbols of one file and of equal kind; both in are (id, name, signature, kind, visibility, size, line, doc, path).
+
+    A rename is looked for between two versions of a file, so their number grows with the files, not with their square.
+    """
+    a = old.select(*(F.col(c).alias(f"old_{c}") for c in old.columns), *(F.col(c).alias(f"k{i}") for i, c in enumerate(within)))
+    b = new.select(*(F.col(c).alias(f"new_{c}") for c in new.columns), *(F.col(c).alias(f"k{i}") for i, c in enumerate(within)))
+    keys = [f"k{i}" for i in range(len(within))]
+    return a.join(b, keys).drop(*keys)
 
 
 def one_to_one(pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
     """Pairs (old_id, new_id, score) that a greedy pass by score keeps, each id once; ties go by the ids.
 
-    A round keeps the pairs that rank first for both their ids, and drops all others of those ids.
+    A round keeps the pairs that rank first for both their ids, and drops all others of those ids. Ids
+    that tie as wholes (each of some old ids is best with each of the same new ids, and the other way
+    round) are matched by rank at once, which is what the pass makes of them, however many they are.
     """
     left = stored(pairs.select("old_id", "new_id", "score"), "pairs")
     order = [F.desc("score"), F.col("old_id"), F.col("new_id")]
+    own = {c: Window.partitionBy(c) for c in ("old_id", "new_id")}
     kept = None
     for _ in range(max_rounds):
-        ranked = left.withColumn("r1", F.row_number().over(Window.partitionBy("old_id").orderBy(*order))).withColumn("r2", F.row_number().over(Window.partitionBy("new_id").orderBy(*order)))
-        now = stored(ranked.where("r1 = 1 and r2 = 1").select("old_id", "new_id", "score"), "matched")
+        best = left.withColumns({f"top_{c}": F.max("score").over(w) for c, w in own.items()})
+        best = best.withColumns({f"tops_{c}": F.count(F.when(F.col("score") == F.col(f"top_{c}"), 1)).over(w) for c, w in own.items()})
+        ranked = best.withColumns({f"rank_{c}": F.row_number().over(w.orderBy(*order)) for c, w in own.items()})
+        ranked = ranked.withColumn("both", (F.col("score") == F.col("top_old_id")) & (F.col("score") == F.col("top_new_id")))
+        # equal ids: those with the same partners at their best score, told by their number and hash
+        tied = ranked.where("both")
+        olds = tied.groupBy("old_id").agg(F.count("*").alias("n_new"), F.bit_xor(F.xxhash64("new_id")).alias("news"), F.min("new_id").alias("first_new"))
+        news = tied.groupBy("new_id").agg(F.count("*").alias("n_old"), F.bit_xor(F.xxhash64("old_id")).alias("olds"), F.min("old_id").alias("first_old"))
+        same_old, same_new = ["news", "n_new", "first_new"], ["olds", "n_old", "first_old"]
+        olds = olds.withColumns({"like_old": F.count("*").over(Window.partitionBy(*same_old)), "at_old": F.row_number().over(Window.partitionBy(*same_old).orderBy("old_id"))})
+        news = news.withColumns({"like_new": F.count("*").over(Window.partitionBy(*same_new)), "at_new": F.row_number().over(Window.partitionBy(*same_new).orderBy("new_id"))})
+        whole = tied.join(olds, "old_id").join(news, "new_id")
+        whole = whole.withColumn("ok", (F.col("n_old") == F.col("like_old")) & (F.col("n_new") == F.col("like_new")) & (F.col("n_new") == F.col("tops_old_id")) & (F.col("n_old") == F.col("tops_new_id")))
+        whole = whole.withColumns({"ok_old": F.min("ok").over(own["old_id"]), "ok_new": F.min("ok").over(own["new_id"])})
+        by_rank = whole.where("ok_old and ok_new and at_old = at_new").select("old_id", "new_id", "score")
+        first = ranked.where("rank_old_id = 1 and rank_new_id = 1").select("old_id", "new_id", "score")
+        now = stored(by_rank.unionByName(first).distinct(), "matched")
         kept = now if kept is None else kept.unionByName(now)
         left = stored(left.join(now.select("old_id"), "old_id", "left_anti").join(now.select("new_id"), "new_id", "left_anti"), "pairs")
         if left.limit(1).count() == 0:

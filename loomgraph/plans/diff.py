@@ -13,7 +13,7 @@ SCORE = 0.45
 
 
 def version(spark, d, new: bool):
-    """Parts as symbols. The old version lacks keys divisible by 10, the new one those divisible by 7; keys divisible by 5 change."""
+    """Parts as symbols, fifty keys a file. The old version lacks keys divisible by 10, the new one those divisible by 7; keys divisible by 5 change."""
     p = table(spark, d, "part")
     changed = F.lit(new) & (F.col("p_partkey") % 5 == 0)
     args = F.when(changed & (F.col("p_partkey") % 15 == 0), "item: Item, size: number, note: string").when(changed, "item: Item").otherwise("item: Item, size: number")
@@ -21,7 +21,7 @@ def version(spark, d, new: bool):
     return p.where(F.col("p_partkey") % (7 if new else 10) != 0).select(
         F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.concat(F.lit("make("), args, F.lit("): "), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("signature"),
         F.element_at(F.split("p_name", " "), 2).alias("kind"), visibility.alias("visibility"), (F.col("p_size") + F.when(changed, 3).otherwise(0)).cast("long").alias("size"),
-        (F.col("p_partkey") % 50).alias("line"), F.when(changed, F.concat("p_type", F.lit(" changed"))).otherwise(F.col("p_type")).alias("doc"), F.col("p_brand").alias("path"),
+        (F.col("p_partkey") % 50).alias("line"), F.when(changed, F.concat("p_type", F.lit(" changed"))).otherwise(F.col("p_type")).alias("doc"), F.floor(F.col("p_partkey") / 50).alias("path"),
     )
 
 
@@ -133,7 +133,7 @@ def rename_match(spark, d):
 
 
 def rename_pairs(spark, d):
-    """One-to-one matching of deleted and added symbols by the edit similarity of their names."""
+    """One-to-one matching of deleted and added symbols of a file by the edit similarity of their names."""
     gone, come = symbol_versions(spark, d)
     pairs = R.candidates(gone, come).select("old_id", "new_id", F.round(S.edit_similarity(F.col("old_name"), F.col("new_name")), 6).alias("score")).where("score >= 0.8")
     return R.one_to_one(pairs)
@@ -153,7 +153,7 @@ def _version_sql(name: str, new: bool) -> str:
     changed = "p_partkey % 5 = 0" if new else "false"
     return f"""{name} AS (SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name, 'make(' || CASE WHEN {changed} AND p_partkey % 15 = 0 THEN 'item: Item, size: number, note: string' WHEN {changed} THEN 'item: Item' ELSE 'item: Item, size: number' END || '): ' || replace(p_brand, '#', '') AS signature,
         string_split(p_name, ' ')[2] AS kind, CASE WHEN {changed} AND p_size % 3 = 0 THEN 'private' WHEN p_size % 4 = 0 THEN 'protected' ELSE 'public' END AS visibility, (p_size + CASE WHEN {changed} THEN 3 ELSE 0 END)::BIGINT AS size,
-        p_type || CASE WHEN {changed} THEN ' changed' ELSE '' END AS doc, p_brand AS path FROM part WHERE p_partkey % {7 if new else 10} <> 0)"""
+        p_type || CASE WHEN {changed} THEN ' changed' ELSE '' END AS doc, p_brand AS brand, p_partkey // 50 AS path FROM part WHERE p_partkey % {7 if new else 10} <> 0)"""
 
 
 VERSIONS = f"{_version_sql('o', False)}, {_version_sql('n', True)}"
@@ -182,7 +182,7 @@ _KNOWN = " OR ".join(f"(contains(x, '{long}') AND replace(x, '{long}', '{short}'
 _CONVENTION = " OR ".join(f"(regexp_matches(b, '{c}') AND NOT regexp_matches(a, '{c}'))" for c in R.CONVENTIONS)
 RENAMES = f"""{VERSIONS}, lines AS (SELECT p_partkey AS id, p_partkey % 50 AS line FROM part), gone AS (SELECT o.*, line FROM o JOIN lines USING (id) WHERE id NOT IN (SELECT id FROM n)),
     come AS (SELECT n.* REPLACE (replace(name, 'd_', 'dNew_') AS name), line FROM n JOIN lines USING (id) WHERE id NOT IN (SELECT id FROM o)),
-    nn AS (SELECT DISTINCT g.name AS a, c.name AS b, lower(g.name) AS x, lower(c.name) AS y FROM gone g JOIN come c USING (kind)),
+    nn AS (SELECT DISTINCT g.name AS a, c.name AS b, lower(g.name) AS x, lower(c.name) AS y FROM gone g JOIN come c USING (kind, path)),
     np1 AS (SELECT *, {_PARTS.format('a')} AS pa, {_PARTS.format('b')} AS pb, {_CHARS.format('a')} AS ca, {_CHARS.format('b')} AS cb, {_CHARS.format('x')} AS cx, {_CHARS.format('y')} AS cy,
         coalesce(list_max(list_transform(range(1, length(a)::BIGINT + 1), lambda i: list_max(list_transform(range(0, length(a)::BIGINT - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END)))), 0) AS common FROM nn),
     np2 AS (SELECT *, list_sum(list_transform(range(1, greatest(length(pa), length(pb))::BIGINT + 1), lambda i: CASE WHEN pa[i] = pb[i] THEN 1 ELSE 0 END))::DOUBLE / greatest(length(pa), length(pb)) AS camel, length(list_intersect(pa, pb)) AS shared, least(length(pa), length(pb)) AS short FROM np1),
@@ -195,13 +195,13 @@ RENAMES = f"""{VERSIONS}, lines AS (SELECT p_partkey AS id, p_partkey % 50 AS li
         greatest(CASE WHEN regexp_matches(y, '{"|".join(R.CLARITY)}') THEN 0.6 ELSE 0 END, CASE WHEN length(b) > 1.3 * length(a) AND length(regexp_replace(b, '[^A-Z]', '', 'g')) > length(regexp_replace(a, '[^A-Z]', '', 'g')) THEN 0.7 ELSE 0 END, CASE WHEN {_CONVENTION} THEN 0.8 ELSE 0 END) AS h_refactoring FROM np2),
     lvl AS (SELECT * FROM (VALUES ('private', 0), ('protected', 1), ('public', 2)) t(v, k)),
     pr AS (SELECT g.id AS old_id, c.id AS new_id, g.kind AS old_kind, names2.* EXCLUDE (a, b), 0.7::DOUBLE * CASE WHEN length(replace(g.signature, ',', '')) - length(g.signature) = length(replace(c.signature, ',', '')) - length(c.signature) THEN 1
-            ELSE 0.5::DOUBLE * least(length(string_split(g.signature, ',')), length(string_split(c.signature, ','))) / greatest(length(string_split(g.signature, ',')), length(string_split(c.signature, ','))) END + 0.3::DOUBLE * (g.path = c.path)::INT AS s_signature,
+            ELSE 0.5::DOUBLE * least(length(string_split(g.signature, ',')), length(string_split(c.signature, ','))) / greatest(length(string_split(g.signature, ',')), length(string_split(c.signature, ','))) END + 0.3::DOUBLE * (g.brand = c.brand)::INT AS s_signature,
         0.4::DOUBLE + 0.3::DOUBLE * (1 - abs(lg.k - lc.k) / 2.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN greatest(g.size, c.size) = 0 THEN 1 ELSE least(g.size, c.size)::DOUBLE / greatest(g.size, c.size) END AS s_structure,
-        exp(-abs(g.line - c.line) / 20.0::DOUBLE) AS s_location, {_WORDS.format('g.doc')} AS wa, {_WORDS.format('c.doc')} AS wb, g.path = c.path AS same_path,
+        exp(-abs(g.line - c.line) / 20.0::DOUBLE) AS s_location, {_WORDS.format('g.doc')} AS wa, {_WORDS.format('c.doc')} AS wb,
         CASE WHEN g.signature <> c.signature THEN 'signature' WHEN abs(g.line - c.line) > 10 THEN 'move' WHEN abs(g.size - c.size) > 5 THEN 'refactoring' WHEN g.doc <> c.doc AND g.visibility <> c.visibility THEN 'complex' ELSE 'simple' END AS type
-        FROM gone g JOIN come c USING (kind) JOIN names2 ON a = g.name AND b = c.name JOIN lvl lg ON lg.v = g.visibility JOIN lvl lc ON lc.v = c.visibility),
+        FROM gone g JOIN come c USING (kind, path) JOIN names2 ON a = g.name AND b = c.name JOIN lvl lg ON lg.v = g.visibility JOIN lvl lc ON lc.v = c.visibility),
     sc1 AS (SELECT *, list_filter(wa, lambda w: length(w) > 3 AND NOT list_contains({_quoted(S.STOP_WORDS)}, w)) AS ka, list_filter(wb, lambda w: length(w) > 3 AND NOT list_contains({_quoted(S.STOP_WORDS)}, w)) AS kb FROM pr),
-    sc2 AS (SELECT *, 0.5::DOUBLE * ({_JACCARD.format('wa', 'wb')}) + 0.5::DOUBLE * ({_JACCARD.format('ka', 'kb')}) AS s_doc, CASE WHEN same_path THEN 0.3::DOUBLE * s_location ELSE 0 END AS h_context FROM sc1),
+    sc2 AS (SELECT *, 0.5::DOUBLE * ({_JACCARD.format('wa', 'wb')}) + 0.5::DOUBLE * ({_JACCARD.format('ka', 'kb')}) AS s_doc, 0.3::DOUBLE * s_location AS h_context FROM sc1),
     sc3 AS (SELECT *, [s_name, s_signature, s_structure, s_location, s_doc, 0.5::DOUBLE, h_camel, h_affix, h_abbreviation, h_refactoring, h_context] AS every FROM sc2),
     scored AS (SELECT *, 0.6::DOUBLE * (s_name + s_signature * 1.2::DOUBLE + s_structure * 0.8::DOUBLE + s_location * 0.5::DOUBLE + s_doc * 0.6::DOUBLE + 0.5::DOUBLE * 0.9::DOUBLE) / 5.0::DOUBLE
         + 0.4::DOUBLE * (h_camel * 0.8::DOUBLE + h_affix * 0.7::DOUBLE + h_abbreviation * 0.8::DOUBLE + h_refactoring * 0.9::DOUBLE + h_context * 0.6::DOUBLE) / 3.8::DOUBLE AS score, 1 - least(list_var_pop(every), 1) AS confidence FROM sc3)"""
@@ -240,7 +240,7 @@ ORACLES = {
         c AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.target, n.target) AS target, CASE WHEN o.source IS NULL THEN 'added' WHEN n.source IS NULL THEN 'removed' END AS change FROM o FULL JOIN n ON o.source = n.source AND o.target = n.target)
         SELECT source, target, change, CASE WHEN change = 'added' THEN CASE WHEN starts_with(target, '/') THEN 'low' ELSE 'medium' END ELSE CASE WHEN starts_with(target, '/') THEN 'medium' ELSE 'high' END END AS impact FROM c WHERE change IS NOT NULL""",
     "rename_pairs": f"""WITH RECURSIVE {VERSIONS}, gone AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)), come AS (SELECT *, replace(name, 'd_', 'dNew_') AS renamed FROM n WHERE id NOT IN (SELECT id FROM o)),
-        p AS (SELECT gone.id AS old_id, come.id AS new_id, round(1 - levenshtein(gone.name, renamed)::DOUBLE / greatest(length(gone.name), length(renamed)), 6) AS score FROM gone JOIN come USING (kind)),
+        p AS (SELECT gone.id AS old_id, come.id AS new_id, round(1 - levenshtein(gone.name, renamed)::DOUBLE / greatest(length(gone.name), length(renamed)), 6) AS score FROM gone JOIN come USING (kind, path)),
         r AS (SELECT *, row_number() OVER (ORDER BY score DESC, old_id, new_id) AS k FROM p WHERE score >= 0.8),
         g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS olds, []::BIGINT[] AS news, []::DOUBLE[] AS scores UNION ALL
             SELECT r.k, CASE WHEN list_contains(olds, old_id) OR list_contains(news, new_id) THEN olds ELSE list_append(olds, old_id) END,

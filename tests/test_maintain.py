@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,29 @@ def test_greedy_matching(spark):
     assert {(r.old_id, r.new_id) for r in found.collect()} == {(1, 1), (2, 2)}
 
 
+def greedy(pairs):
+    olds, news, out = set(), set(), set()
+    for old, new, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if old not in olds and new not in news:
+            olds.add(old), news.add(new), out.add((old, new))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_is_that_of_a_greedy_pass(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(a, 100 + b, rng.choice([0.5, 0.6, 0.7])) for a in range(12) for b in range(12) if rng.random() < 0.5]
+    pairs += [(50 + a, 150 + b, 0.9) for a in range(9) for b in range(7)] + [(50, 100, 0.95)] * seed
+    found = R.one_to_one(spark.createDataFrame(sorted(set(pairs)), "old_id long, new_id long, score double"))
+    assert {(r.old_id, r.new_id) for r in found.collect()} == greedy(set(pairs))
+
+
+def test_equal_symbols_are_matched_in_one_round(spark):
+    pairs = [(a, b, 0.9) for a in range(40) for b in range(30)]
+    found = R.one_to_one(spark.createDataFrame(pairs, "old_id long, new_id long, score double"), max_rounds=1)
+    assert {(r.old_id, r.new_id) for r in found.collect()} == {(k, k) for k in range(30)}
+
+
 def heuristic(spark, f, a, b):
     return spark.createDataFrame([(a, b)], "a string, b string").select(f(F.col("a"), F.col("b")).alias("x")).first().x
 
