@@ -53,42 +53,44 @@ def orphan_edges_removed(edges: DataFrame, nodes: DataFrame, node: str = "node")
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi")
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strongly_connected(edges: DataFrame, max_rounds: int = 1000, steps: int = 2) -> DataFrame:
     """(node, component) of nodes on cycles: components of more than one node, and self loops; the label is the smallest member.
 
-    Forward-backward colouring: nodes that no cycle can hold are trimmed; each node takes the smallest
-    label that reaches it; within a label, what reaches its root is a component, and leaves the graph.
+    Nodes that no cycle can hold are trimmed. Then each node takes the smallest label that reaches it and
+    the smallest that it reaches, in one loop: where both are the same, the node is in that label's
+    component. These leave the graph, and so do edges between nodes that differ in either label, which
+    no component can hold. Tables are written every ``steps`` steps along the edges.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     left = stored(edges.where("src <> dst and src is not null and dst is not null").select("src", "dst").distinct(), "scc-edges")
     found: list[DataFrame] = []
     for _ in range(max_rounds):
-        while True:  # trim
-            n = left.count()
-            left = stored(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-edges")
-            if left.count() == n:
+        n = left.count()
+        while n:  # trim
+            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            left = stored(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-edges")
+            before, n = n, left.count()
+            if n == before:
                 break
         if n == 0:
             break
-        color = stored(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), "scc-color")
-        while True:  # spread the smallest label forward
-            offers = left.join(color.select(F.col("node").alias("src"), F.col("color").alias("offer")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("offer").alias("offer"))
-            color = stored(color.join(offers, "node", "left").select("node", F.least("color", F.coalesce("offer", "color")).alias("color"), (F.col("offer") < F.col("color")).alias("moved")), "scc-color")
-            if color.where("moved").limit(1).count() == 0:
-                break
-        color = color.select("node", "color")
-        inner = stored(left.join(color.select(F.col("node").alias("src"), "color"), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("other")), "dst").where("color = other").select("src", "dst"), "scc-inner")
-        reached = stored(color.where("node = color"), "scc-reached")
-        while True:  # back from the roots
-            more = inner.join(reached.select(F.col("node").alias("dst"), "color"), "dst").select(F.col("src").alias("node"), "color").distinct()
-            new = stored(more.join(reached, "node", "left_anti"), "scc-new")
-            if new.limit(1).count() == 0:
-                break
-            reached = stored(reached.unionByName(new), "scc-reached")
-        sized = reached.join(reached.groupBy("color").agg(F.count("*").alias("n")).where("n > 1"), "color").select("node", F.col("color").alias("component"))
-        found.append(sized)
-        gone = reached.select("node")
-        left = stored(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        labels = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("above"), F.col("node").alias("below"))
+        moved = True
+        while moved:
+            now = labels.withColumns({"was_above": F.col("above"), "was_below": F.col("below")})
+            for _ in range(steps):
+                sent = left.join(now.select(F.col("node").alias("src"), F.col("above").alias("down")), "src").join(now.select(F.col("node").alias("dst"), F.col("below").alias("up")), "dst")
+                one = lambda node, above, below: F.struct(F.col(node).alias("node"), above.alias("a"), below.alias("b"))
+                none = F.lit(None).cast(left.schema["src"].dataType)
+                offers = sent.select(F.explode(F.array(one("dst", F.col("down"), none), one("src", none, F.col("up")))).alias("o")).groupBy("o.node").agg(F.min("o.a").alias("a"), F.min("o.b").alias("b"))
+                now = now.join(offers, "node", "left").select("node", F.least("above", "a").alias("above"), F.least("below", "b").alias("below"), "was_above", "was_below")
+            now = stored(now, "scc-labels")
+            moved = now.where("above < was_above or below < was_below").limit(1).count() > 0
+            labels = now.select("node", "above", "below")
+        done = labels.where("above = below")
+        found.append(done.join(done.groupBy("above").agg(F.count("*").alias("n")).where("n > 1"), "above").select("node", F.col("above").alias("component")))
+        ends = [labels.where("above <> below").select(F.col("node").alias(c), F.struct("above", "below").alias(f"of_{c}")) for c in ("src", "dst")]
+        left = stored(left.join(ends[0], "src").join(ends[1], "dst").where("of_src = of_dst").select("src", "dst"), "scc-edges")
     out = loops
     for f in found:
         out = out.unionByName(f)

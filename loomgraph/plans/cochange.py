@@ -57,19 +57,25 @@ def relationship_summary(spark, d):
     return r.groupBy("strength").agg(F.count("*").alias("pairs"), F.round(F.avg("correlation"), 6).alias("mean_correlation"))
 
 
-def top_part_pairs(spark, d, keep=60):
-    """The parts most often ordered together; the limit is the feature (the strongest relationships)."""
-    return C.pair_counts(C.commit_sets(part_commits(spark, d))).orderBy(F.desc("frequency"), "file1", "file2").limit(keep)
+STRONG = 0.1
+
+
+def strong_part_pairs(spark, d):
+    """Pairs of parts ordered together at least twice, and in at least a tenth of the orders of the rarer one."""
+    commits = part_commits(spark, d)
+    pairs = C.pair_counts(C.commit_sets(commits)).where("frequency >= 2")
+    counts = commits.groupBy("path").agg(F.count("*").alias("c"))
+    sized = pairs.join(counts.select(F.col("path").alias("file1"), F.col("c").alias("c1")), "file1").join(counts.select(F.col("path").alias("file2"), F.col("c").alias("c2")), "file2")
+    return sized.where(F.col("frequency") / F.least("c1", "c2") >= STRONG).drop("c1", "c2")
 
 
 def module_groups(spark, d):
-    return C.module_groups(top_part_pairs(spark, d)).select(F.col("node").alias("path"), F.col("component").alias("module"))
+    return C.module_groups(strong_part_pairs(spark, d)).select(F.col("node").alias("path"), F.col("component").alias("module"))
 
 
 def module_metrics(spark, d):
-    top = top_part_pairs(spark, d)
     pairs = C.pair_counts(C.commit_sets(part_commits(spark, d))).where("frequency >= 2")
-    found = C.module_metrics(C.module_groups(top), pairs)
+    found = C.module_metrics(C.module_groups(strong_part_pairs(spark, d)), pairs)
     return found.select(F.col("component").alias("module"), "files", "internal", "external", "changes", "last_changed", F.round("cohesion", 6).alias("cohesion"))
 
 
@@ -105,8 +111,8 @@ MINED = f"""WITH {BRAND_SQL}, big AS (SELECT hash FROM cf GROUP BY 1 HAVING coun
 RELATED = f"""WITH {BRAND_SQL}, {PAIRS_SQL}, rel AS (SELECT file1, file2, n AS frequency, x.c AS n1, y.c AS n2, n::DOUBLE / (x.c + y.c - n) AS correlation
     FROM pairs JOIN counts x ON x.path = file1 JOIN counts y ON y.path = file2 WHERE n >= 2),
     laddered AS (SELECT *, CASE WHEN correlation >= 0.094 THEN 'strong' WHEN correlation >= 0.081 THEN 'moderate' ELSE 'weak' END AS strength FROM rel)"""
-TOP = f"""WITH RECURSIVE {PART_SQL}, {PAIRS_SQL}, top AS (SELECT * FROM pairs ORDER BY n DESC, file1, file2 LIMIT 60),
-    sym AS (SELECT file1 AS a, file2 AS b FROM top UNION SELECT file2, file1 FROM top),
+MODULES = f"""WITH RECURSIVE {PART_SQL}, {PAIRS_SQL}, strong AS (SELECT pairs.* FROM pairs JOIN counts x ON x.path = file1 JOIN counts y ON y.path = file2 WHERE n >= 2 AND n::DOUBLE / least(x.c, y.c) >= {STRONG}),
+    sym AS (SELECT file1 AS a, file2 AS b FROM strong UNION SELECT file2, file1 FROM strong),
     reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
     grp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
 ORACLES = {
@@ -125,8 +131,8 @@ ORACLES = {
     "file_relationships_compat": f"""{RELATED} SELECT file1, file2, round(1.0::DOUBLE / (n1 + n2 - 1), 9) AS correlation,
         CASE WHEN 1.0::DOUBLE / (n1 + n2 - 1) >= 0.7 THEN 'strong' WHEN 1.0::DOUBLE / (n1 + n2 - 1) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength FROM rel""",
     "relationship_summary": f"{RELATED} SELECT strength, count(*) AS pairs, round(avg(correlation), 6) AS mean_correlation FROM laddered GROUP BY 1",
-    "module_groups": f"{TOP} SELECT node AS path, component AS module FROM grp",
-    "module_metrics": f"""{TOP}, touched AS (SELECT p.n, p.last_ts, g.component AS c1, h.component AS c2 FROM pairs p LEFT JOIN grp g ON g.node = file1 LEFT JOIN grp h ON h.node = file2
+    "module_groups": f"{MODULES} SELECT node AS path, component AS module FROM grp",
+    "module_metrics": f"""{MODULES}, touched AS (SELECT p.n, p.last_ts, g.component AS c1, h.component AS c2 FROM pairs p LEFT JOIN grp g ON g.node = file1 LEFT JOIN grp h ON h.node = file2
         WHERE p.n >= 2 AND (g.component IS NOT NULL OR h.component IS NOT NULL)),
         sides AS (SELECT c1 AS component, coalesce(c1 = c2, false) AS inside, n, last_ts FROM touched WHERE c1 IS NOT NULL
             UNION ALL SELECT c2, false, n, last_ts FROM touched WHERE c2 IS NOT NULL AND (c1 IS NULL OR c1 <> c2))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
-from loomgraph.plans.relations import NATION_SQL, nation_edges, table
+from loomgraph.plans.relations import RETURN_SQL, return_edges, table
 
 HREF = 'href="([^"]*)"'
 
 
-def nations(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
+def parts(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("node"))
 
 
 def hrefs(spark, d):
@@ -36,19 +36,19 @@ def resolve_imports(spark, d):
 
 
 def hotspots(spark, d):
-    return G.hotspots(nation_edges(spark, d))
+    return G.hotspots(return_edges(spark, d))
 
 
 def isolated(spark, d):
-    return G.isolated(nations(spark, d), nation_edges(spark, d))
+    return G.isolated(parts(spark, d), return_edges(spark, d))
 
 
 def cycles_scc(spark, d):
-    return G.strongly_connected(nation_edges(spark, d))
+    return G.strongly_connected(return_edges(spark, d))
 
 
 def cycle_sizes(spark, d):
-    return cycles_scc(spark, d).groupBy("component").agg(F.count("*").alias("nodes"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("members"))
+    return cycles_scc(spark, d).groupBy("component").agg(F.count("*").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum("node").alias("ids"))
 
 
 def part_symbols(spark, d):
@@ -88,13 +88,12 @@ def symbol_info(spark, d):
 
 
 def dependencies_of(spark, d):
-    return G.dependencies(nation_edges(spark, d), 7)
+    return G.dependencies(return_edges(spark, d), 7)
 
 
 def orphan_cleanup(spark, d):
-    """Flows between nations that have a customer with a large balance."""
-    rich = table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("node")).distinct()
-    return G.orphan_edges_removed(nation_edges(spark, d), rich)
+    """Edges between parts of the larger sizes."""
+    return G.orphan_edges_removed(return_edges(spark, d), table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("node")))
 
 
 def containing_symbol(spark, d):
@@ -110,7 +109,7 @@ HREFS = """h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"
 SYMBOLS = """s AS (SELECT p_partkey AS symbol_id, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || x[2:]), 'string_agg', '') AS name, replace(p_brand, '#', '') AS brand FROM part),
     refs AS (SELECT symbol_id, name AS ref FROM s UNION SELECT symbol_id, regexp_extract(brand, '^([A-Za-z_][A-Za-z0-9_]*)', 1) FROM s),
     named AS (SELECT name AS ref, min(symbol_id) AS dst FROM s GROUP BY 1), re AS (SELECT DISTINCT symbol_id AS src, dst, ref FROM refs JOIN named USING (ref) WHERE symbol_id <> dst)"""
-SCC = f"""WITH RECURSIVE {NATION_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
+SCC = f"""WITH RECURSIVE {RETURN_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
     scc AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)"""
 ORACLES = {
     "import_edges": f"""WITH {HREFS}, f AS (SELECT DISTINCT page_id, href FROM h), k AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*(/[^#?]*)', 1) AS href FROM pages)
@@ -119,11 +118,11 @@ ORACLES = {
     "resolve_imports": """WITH p AS (SELECT p_partkey, replace(p_name, ' ', '_') AS name, ([2, 4, 5, 9])[p_size % 4 + 1] AS prio FROM part),
         best AS (SELECT name, min(prio) AS prio FROM p WHERE prio < 9 GROUP BY 1), i AS (SELECT DISTINCT p_partkey, name FROM p)
         SELECT 'src/' || name || CASE prio WHEN 2 THEN '.tsx' WHEN 4 THEN '.js' WHEN 5 THEN '/index.ts' END AS target, count(*) AS n FROM i LEFT JOIN best USING (name) GROUP BY 1""",
-    "hotspots": f"""WITH {NATION_SQL}, e AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)
+    "hotspots": f"""WITH {RETURN_SQL}, e AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)
         SELECT node, sum(o)::BIGINT AS imports, sum(i)::BIGINT AS "references", (sum(o) + 2 * sum(i))::DOUBLE AS score FROM e GROUP BY 1 HAVING sum(o) + 2 * sum(i) >= 2""",
-    "isolated": f"WITH {NATION_SQL} SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
+    "isolated": f"WITH {RETURN_SQL} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
     "cycles_scc": f"{SCC} SELECT node, component FROM scc",
-    "cycle_sizes": f"{SCC} SELECT component, count(*) AS nodes, string_agg(node::VARCHAR, ',' ORDER BY node) AS members FROM scc GROUP BY 1",
+    "cycle_sizes": f"{SCC} SELECT component, count(*) AS nodes, min(node) AS first, max(node) AS last, sum(node)::BIGINT AS ids FROM scc GROUP BY 1",
     "reference_edges": f"WITH {SYMBOLS} SELECT dst, ref, count(*) AS n FROM re GROUP BY 1, 2",
     "relationship_metrics": f"""WITH {HREFS}, {SYMBOLS}, t AS (SELECT CASE WHEN starts_with(href, '/') THEN 'imports' ELSE 'external' END AS type FROM h UNION ALL SELECT 'references' FROM re)
         SELECT coalesce(type, 'total') AS type, count(*) AS n FROM t GROUP BY ROLLUP (type)""",
@@ -131,8 +130,8 @@ ORACLES = {
     "import_totals": f"WITH {HREFS} SELECT count(*) AS n, count(*) FILTER (starts_with(href, '/')) AS internal, count(*) FILTER (NOT starts_with(href, '/')) AS external, count(DISTINCT href) AS modules FROM h",
     "search_symbols": f"WITH {SYMBOLS} SELECT symbol_id, name FROM s WHERE lower(name) LIKE '%widget%' ORDER BY name, symbol_id LIMIT 20",
     "symbol_info": f"WITH {SYMBOLS} SELECT symbol_id, name, 'function' AS type, 'make(item: ' || name || ', size: number): ' || brand AS signature FROM s WHERE name = 'ColdWidget'",
-    "dependencies_of": f"WITH {NATION_SQL} SELECT 'imports' AS direction, dst AS other FROM edges WHERE src = 7 UNION ALL SELECT 'dependents', src FROM edges WHERE dst = 7",
-    "orphan_cleanup": f"WITH {NATION_SQL}, rich AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900) SELECT * FROM edges WHERE src IN (SELECT k FROM rich) AND dst IN (SELECT k FROM rich)",
+    "dependencies_of": f"WITH {RETURN_SQL} SELECT 'imports' AS direction, dst AS other FROM edges WHERE src = 7 UNION ALL SELECT 'dependents', src FROM edges WHERE dst = 7",
+    "orphan_cleanup": f"WITH {RETURN_SQL}, large AS (SELECT p_partkey AS k FROM part WHERE p_size > 25) SELECT * FROM edges WHERE src IN (SELECT k FROM large) AND dst IN (SELECT k FROM large)",
     "containing_symbol": """WITH p AS (SELECT DISTINCT l_linestatus AS path, l_quantity AS point FROM lineitem),
         r AS (SELECT DISTINCT unnest(['O', 'F']) AS path, p_brand AS name, (p_size % 20)::DOUBLE AS s, (p_size % 20 + 5 + p_size % 7)::DOUBLE AS e FROM part),
         j AS (SELECT path, point, name, row_number() OVER (PARTITION BY path, point ORDER BY e - s, name) AS k FROM p JOIN r USING (path) WHERE point BETWEEN s AND e)

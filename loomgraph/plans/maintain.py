@@ -86,11 +86,11 @@ def ema(spark, d):
 
 
 def graph(spark, d):
-    """Customers as files, orders' neighbours as edges: a customer points to the customer of the next order key."""
+    """Customers as files, urgent orders as edges: their customer points to the customer of the next order key."""
     files = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.round(F.abs("c_acctbal")).cast("long").alias("size"), (F.col("c_custkey") % 100).alias("lines"), (F.col("c_custkey") % 7).alias("symbol_count"))
     o = table(spark, d, "orders")
     nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"))
-    edges = o.where("o_orderkey % 20 = 0").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src")).join(nxt, "o_orderkey").select("src", "dst").distinct()
+    edges = o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src")).join(nxt, "o_orderkey").select("src", "dst").distinct()
     symbols = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("path"))
     return K.Graph(files, symbols, edges)
 
@@ -147,7 +147,7 @@ DIFF = """a AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0), s AS (SELECT
 SESSIONS = """l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
     g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM l)"""
 GRAPH = """files AS (SELECT 'c' || c_custkey AS path, round(abs(c_acctbal))::BIGINT AS size, c_custkey % 100 AS lines, c_custkey % 7 AS symbol_count, 'c' || c_custkey IN ('c1', 'c2') OR contains('c' || c_custkey, '99') AS keep FROM customer),
-    edges AS (SELECT DISTINCT 'c' || o.o_custkey AS src, 'c' || x.o_custkey AS dst FROM orders o JOIN orders x ON x.o_orderkey = o.o_orderkey + 1 WHERE o.o_orderkey % 20 = 0)"""
+    edges AS (SELECT DISTINCT 'c' || o.o_custkey AS src, 'c' || x.o_custkey AS dst FROM orders o JOIN orders x ON x.o_orderkey = o.o_orderkey + 1 WHERE o.o_orderpriority = '1-URGENT')"""
 RELEVANT = """r0 AS (SELECT path, keep, CASE WHEN keep THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS r FROM files), gain AS (SELECT dst AS path, sum(r) AS gain FROM edges JOIN r0 ON src = path GROUP BY 1),
     rel AS (SELECT path, keep, least(1, r + 0.5::DOUBLE * coalesce(gain, 0)) AS relevance FROM r0 LEFT JOIN gain USING (path)), k1 AS (SELECT path, keep, relevance FROM rel WHERE relevance >= 0.3 OR keep)"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,16 +34,13 @@ PAIRS_SQL = """pairs AS (SELECT a.path AS file1, b.path AS file2, count(*) AS n,
     counts AS (SELECT path, count(*) AS c FROM cf GROUP BY 1)"""
 
 
-def nation_edges(spark: SparkSession, d: str, keep: int = 60) -> DataFrame:
-    """The ``keep`` most frequent supplier-nation to customer-nation flows, as dependency edges (src, dst, n)."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
-    supp = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    cust = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
-    flows = lines.join(supp, "l_suppkey").join(orders, "l_orderkey").join(cust, "c_custkey").where("src <> dst")
-    return flows.groupBy("src", "dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "dst").limit(keep)
+def return_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files: where two lines of an order follow each other and both were returned, the first's part depends on the second's (src, dst, n)."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_partkey").alias("src"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "src", "l_returnflag")
+    flows = lines.select("src", F.lead("src").over(order).alias("dst"), "l_returnflag", F.lead("l_returnflag").over(order).alias("next"))
+    return flows.where("l_returnflag = 'R' and next = 'R' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-NATION_SQL = """edges AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    WHERE s_nationkey <> c_nationkey GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 60)"""
+RETURN_SQL = """flows AS (SELECT l_partkey AS src, lead(l_partkey) OVER o AS dst, l_returnflag AS flag, lead(l_returnflag) OVER o AS next FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag)),
+    edges AS (SELECT src, dst, count(*) AS n FROM flows WHERE flag = 'R' AND next = 'R' AND src <> dst GROUP BY 1, 2)"""
