@@ -2,7 +2,15 @@
 
 DataFrame functions only. The protected entities are the values that the base patterns find. How
 strongly a term reveals an entity is their pointwise mutual information over the corpus, as a share of
-the entity's own information content: 1 means that the term occurs only with the entity.
+the entity's own information content: 1 means that the term occurs only with the entity. Terms are
+words near a value, and those that spell a part of it.
+
+One witness is not enough. A term must stand in ``evidence`` different contexts of the entity; names
+(capitals, letters with digits, scripts without case) need no more, while other words must also have as
+many different neighbours on either side, as the words of a form or template have not. An entity with
+fewer contexts is protected too: by names that stand in all of them and, in the whole corpus, hardly
+anywhere else, and by the parts of its own spelling. What discloses is marked in every text that holds
+it, with the entity or without.
 """
 
 from __future__ import annotations
@@ -25,15 +33,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-WORD = r"\p{L}[\p{L}\p{M}]{3,}"
+#: Words of two characters or more; what tells a name; parts of a value that can stand alone.
+WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]+"
+NAME = r"^\p{Lu}.*\p{Ll}|\p{L}\p{N}|\p{N}\p{L}|^[\p{Lo}\p{M}]+$"
+SPELLED = r"\p{L}{4,}"
 
 
 @dataclass(frozen=True)
 class Disclosure:
     context: int = 80  # characters on either side of an entity that count as occurring with it
-    evidence: int = 3  # different contexts in which a term must occur with an entity
+    evidence: int = 3  # different contexts in which a term must occur with an entity, if it has as many
     share: float = 0.9  # of the entity's information that a term must reveal to be generalised
-    remove: float = 0.98  # and to be removed
+    remove: float = 0.98  # and to be removed; also what names must reveal of an entity with fewer contexts
     least_bits: float = 6.0  # information content below which an entity is too common to be revealed
 
 
@@ -88,49 +99,59 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, rows: int, rule: Disclosure) -> DataFrame:
-    """(entity, term, share): terms that reveal an entity, from documents' counts over the whole corpus.
+def disclosing_terms(found: DataFrame, rows: int, rule: Disclosure) -> DataFrame:
+    """(entity, term, share, wide): terms that reveal an entity, from documents' counts over the whole corpus; wide if the term also stands in documents that don't show it beside the entity.
 
-    An entity's or pair's count is of documents; a pair also needs ``rule.evidence`` different contexts,
-    so that copies of one passage are one witness.
+    Counts are of documents, and copies of one passage are one context.
     """
     hits = found.where(F.size("base") > 0).select("row_id", "text", F.explode("base").alias("s"))
     before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") + 1 - rule.context), F.least(F.lit(rule.context), F.col("s.start")))
     after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(rule.context))
     before = F.when(F.col("s.start") > rule.context, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # a word that the window cuts
     after = F.when(F.col("s.end") + rule.context < F.length("text"), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    near = hits.select("row_id", F.lower("s.value").alias("entity"), F.concat_ws(" ", before, after).alias("context"))
-    seen = near.select("row_id", "entity", F.md5("context").alias("witness"), F.explode(words_of(F.col("context"))).alias("term"))
-    pairs = seen.groupBy("entity", "term", "row_id").agg(F.min("witness").alias("witness")).groupBy("entity", "term", "witness").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("witnesses"))
-    pairs = pairs.where(F.col("witnesses") >= rule.evidence)
-    entities = near.groupBy("entity", "row_id").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    near = hits.select("row_id", F.lower("s.value").alias("entity"), before.alias("before"), after.alias("after"))
+    words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    near = near.select("row_id", "entity", F.md5(F.concat_ws(" ", "before", "after")).alias("witness"), F.concat(words("before"), F.array(F.lit("@")), words("after")).alias("w"))
+    entities = near.groupBy("entity").agg(F.count_distinct("row_id").alias("with_entity"), F.count_distinct("witness").alias("contexts"))
     entities = entities.withColumn("bits", F.log2(F.lit(float(max(1, rows))) / F.col("with_entity"))).where(F.col("bits") >= rule.least_bits)
-    terms = texts.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    told = pairs.join(entities, "entity").join(terms, "term")
+    beside = lambda k: F.coalesce(F.lower(F.get("w", F.col("at") + k)), F.lit(""))
+    seen = near.select("row_id", "entity", "witness", "w", F.posexplode("w").alias("at", "word")).where("word <> '@'")
+    seen = seen.select("row_id", "entity", "witness", F.lower("word").alias("term"), F.col("word").rlike(NAME).alias("name"), beside(-1).alias("left"), beside(1).alias("right"))
+    distinct = [F.count_distinct(c).alias(f"n_{c}") for c in ("row_id", "witness", "left", "right")]
+    pairs = seen.groupBy("entity", "term").agg(*distinct, F.min("name").alias("name")).join(entities, "entity")
+    free = F.col("name") | (F.least("n_left", "n_right") >= rule.evidence)
+    pairs = pairs.where((F.col("n_witness") >= F.least(F.lit(rule.evidence), F.col("contexts"))) & free & (F.col("name") | (F.col("contexts") >= rule.evidence)))
+    pairs = pairs.select("entity", "term", F.col("n_row_id").alias("both"), "with_entity", "bits", F.when(F.col("contexts") < rule.evidence, rule.remove).otherwise(rule.share).alias("least"))
+    spelled = entities.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("entity", F.lit(SPELLED), F.lit(0)))).alias("term"), F.col("with_entity").alias("both"), "with_entity", "bits", F.lit(rule.share).alias("least"))
+    tried = pairs.unionByName(spelled).groupBy("entity", "term", "with_entity", "bits").agg(F.max("both").alias("both"), F.min("least").alias("least"))
+    terms = found.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    told = tried.join(terms, "term")
     mutual = F.log2(F.col("both") * F.lit(float(max(1, rows))) / (F.col("with_entity") * F.col("with_term")))
-    return told.withColumn("share", mutual / F.col("bits")).where(F.col("share") >= rule.share).select("entity", "term", "share")
+    return told.withColumn("share", mutual / F.col("bits")).where(F.col("share") >= F.col("least")).select("entity", "term", "share", (F.col("with_term") > F.col("both")).alias("wide"))
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """(row_id, doc_id, base, terms[, text][, carried: a struct of the columns ``carry``]) for each row: base spans, and spans of terms that reveal an entity of the same document.
+    """(row_id, doc_id, base, terms[, text][, carried: a struct of the columns ``carry``]) for each row: base spans, and spans of terms that reveal an entity of this document or another.
 
     Terms overlapping a base span are part of it and left out. A null text is empty and has none;
-    repeated rows keep a row each; an empty table gives an empty one.
+    repeated rows keep a row each; an empty table gives an empty one. In a table of fewer than
+    2 ** ``rule.least_bits`` rows no term discloses anything.
     """
     rule = rule or Disclosure()
-    texts, more = whole_texts(df, id_col, text_col), ["carried"] * bool(carry)
-    held = whole_texts(df, id_col, text_col, carry) if carry else texts
-    base = held.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), "text", *more)
-    kept = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
-    found = stored(base.withColumn("text", kept), "personal")
-    told = stored(disclosing_terms(found, texts, found.count(), rule), "disclosing")
+    more = ["carried"] * bool(carry)
+    held = whole_texts(df, id_col, text_col, carry)
+    found = stored(held.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), "text", *more), "personal")
+    told = stored(disclosing_terms(found, found.count(), rule), "disclosing")
     own = found.where(F.size("base") > 0).select("row_id", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
-    wanted = own.join(told, "entity").groupBy("row_id", "term").agg(F.max("share").alias("share")).groupBy("row_id")
+    own = own.join(told, "entity").select("row_id", "term", "share")
+    wide = told.where("wide").groupBy("term").agg(F.max("share").alias("share"))
+    others = found.select("row_id", F.explode(words_of(F.col("text"))).alias("term")).join(wide, "term").select("row_id", "term", "share")
+    wanted = own.unionByName(others).groupBy("row_id", "term").agg(F.max("share").alias("share")).groupBy("row_id")
     wanted = wanted.agg(F.sort_array(F.collect_list("term")).alias("words"), F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     spans = F.filter(spans_of(F.col("text"), pattern, "term"), clear)
-    marked = found.where(F.size("base") > 0).join(wanted, "row_id").select("row_id", spans.alias("terms"), "shares")
+    marked = stored(found.join(wanted, "row_id").select("row_id", spans.alias("terms"), "shares"), "terms")
     out = found.join(marked, "row_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
     return out.select("row_id", "doc_id", "base", "terms", "shares", *["text"] * with_text, *more)
 
@@ -160,7 +181,7 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
         return F.when((F.size(out) > 0) & (s["start"] < F.try_element_at(out, F.lit(-1))["end"]), joined).otherwise(F.concat(out, F.array(s)))
 
     merged = F.aggregate(F.sort_array(tagged), F.array().cast(kind), merge)
-    cut = found.withColumn("m", F.when(F.size("base") > 0, merged).otherwise(F.array().cast(kind)))
+    cut = found.withColumn("m", F.when(F.size("base") + F.size("terms") > 0, merged).otherwise(F.array().cast(kind)))
     begin = F.lit(0)
     parts = F.transform("m", lambda s, i: F.concat(F.substring(F.col("text"), F.when(i > 0, F.try_element_at("m", i)["end"]).otherwise(begin) + 1, s["start"] - F.when(i > 0, F.try_element_at("m", i)["end"]).otherwise(begin)), s["tag"]))
     rest = F.substring(F.col("text"), F.element_at("m", -1)["end"] + 1, F.length("text"))
@@ -195,16 +216,22 @@ ORACLES = {
              base AS (SELECT doc_id, kind, ord, value, a, a + length(value) AS b FROM (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone)),
              n AS (SELECT count(*)::DOUBLE AS n FROM t),
              win AS (SELECT base.doc_id, lower(value) AS entity, a, b, text, substr(text, greatest(1, a + 1 - 80), least(80, a)) AS pre, substr(text, b + 1, 80) AS post FROM base JOIN t ON t.doc_id = base.doc_id),
-             near AS (SELECT doc_id, entity, CASE WHEN a > 80 THEN regexp_replace(pre, '^\S+', '') ELSE pre END || ' ' || CASE WHEN b + 80 < length(text) THEN regexp_replace(post, '\S+$', '') ELSE post END AS context FROM win),
-             seen AS (SELECT doc_id, entity, md5(context) AS witness, unnest(list_distinct(regexp_extract_all(lower(context), '{WORD}'))) AS term FROM near),
-             one AS (SELECT entity, term, doc_id, min(witness) AS witness FROM seen GROUP BY 1, 2, 3),
-             pairs AS (SELECT entity, term, count(*) AS both_n, count(DISTINCT witness) AS witnesses FROM one GROUP BY 1, 2 HAVING count(DISTINCT witness) >= 3),
-             ent AS (SELECT entity, count(DISTINCT doc_id) AS with_entity FROM near GROUP BY 1),
+             near AS (SELECT doc_id, entity, CASE WHEN a > 80 THEN regexp_replace(pre, '^\S+', '') ELSE pre END AS before, CASE WHEN b + 80 < length(text) THEN regexp_replace(post, '\S+$', '') ELSE post END AS after FROM win),
+             tok AS (SELECT doc_id, entity, md5(before || ' ' || after) AS witness, list_concat(regexp_extract_all(before, '{WORD}'), ['@'], regexp_extract_all(after, '{WORD}')) AS w FROM near),
+             seen AS (SELECT doc_id, entity, witness, lower(w[i]) AS term, regexp_matches(w[i], '{NAME}') AS name, coalesce(lower(w[i - 1]), '') AS l, coalesce(lower(w[i + 1]), '') AS r
+                 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tok) WHERE w[i] <> '@'),
+             ent AS (SELECT entity, count(DISTINCT doc_id) AS with_entity, count(DISTINCT witness) AS contexts FROM tok GROUP BY 1 HAVING log2((SELECT n FROM n) / count(DISTINCT doc_id)) >= 6),
+             pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS both_n, count(DISTINCT witness) AS witnesses, least(count(DISTINCT l), count(DISTINCT r)) AS free, bool_and(name) AS name FROM seen GROUP BY 1, 2),
+             tried AS (SELECT entity, term, max(both_n) AS both_n, min(least_share) AS least_share FROM (
+                 SELECT entity, term, both_n, CASE WHEN contexts < 3 THEN 0.98::DOUBLE ELSE 0.9::DOUBLE END AS least_share FROM pairs JOIN ent USING (entity)
+                     WHERE witnesses >= least(3, contexts) AND (name OR free >= 3) AND (name OR contexts >= 3)
+                 UNION ALL SELECT entity, unnest(list_distinct(regexp_extract_all(entity, '{SPELLED}'))), with_entity, 0.9::DOUBLE FROM ent) GROUP BY 1, 2),
              df AS (SELECT term, count(*) AS with_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS term FROM t) GROUP BY 1),
-             told AS (SELECT entity, term FROM pairs JOIN ent USING (entity) JOIN df USING (term), n
-                 WHERE log2(n / with_entity) >= 6 AND log2(both_n * n / (with_entity * with_term)) / log2(n / with_entity) >= 0.9),
-             own AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, lower(value) AS entity FROM base) JOIN told USING (entity)),
-             runs AS (SELECT doc_id, regexp_split_to_array(text, '[\p{{L}}\p{{M}}]+') AS g, regexp_extract_all(text, '[\p{{L}}\p{{M}}]+') AS h FROM t WHERE doc_id IN (SELECT doc_id FROM own)),
+             told AS (SELECT entity, term, with_term > both_n AS wide FROM tried JOIN ent USING (entity) JOIN df USING (term), n
+                 WHERE log2(both_n * n / (with_entity * with_term)) / log2(n / with_entity) >= least_share),
+             own AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, lower(value) AS entity FROM base) JOIN told USING (entity)
+                 UNION SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS term FROM t) WHERE term IN (SELECT term FROM told WHERE wide)),
+             runs AS (SELECT doc_id, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}]+') AS g, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+') AS h FROM t WHERE doc_id IN (SELECT doc_id FROM own)),
              run AS (SELECT doc_id, h[i] AS value, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
                  FROM (SELECT doc_id, g, h, unnest(range(1, len(h) + 1)) AS i FROM runs)),
              term AS (SELECT run.doc_id, a, a + length(value) AS b FROM run JOIN own ON own.doc_id = run.doc_id AND own.term = lower(value)
