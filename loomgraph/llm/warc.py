@@ -1,9 +1,12 @@
 """WARC archives with a two-level capture index.
 
-An archive is a run of gzip members, one for each record; it is stored as rows (archive, offset,
-length, data) whose data set end to end in order of offset is the archive's file, so a range read is a
-look at one row. The index has two levels: lines (reversed-host key, page, archive, offset, length) in
-order of key, cut into compressed blocks; and a sparse directory with each block's first key.
+An archive is a file of gzip members, one for each record, in the folder that driver and executors
+share. The index has two levels: lines (reversed-host key, page, archive, offset, length) in order of
+key, cut into compressed blocks; and a sparse directory with each block's first key. What a lookup finds
+is read from the files by offset and length.
+
+Files are opened through pyarrow, so the shared folder may be a mounted one, HDFS or an object store. A
+task that is run again writes a file of another name; only names that the finished task reported count.
 """
 
 from __future__ import annotations
@@ -12,18 +15,21 @@ import bisect
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs as pf
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import slices, stored
+from loomgraph.llm.common import shared_dir, slices, stored
 
 SMALL = 1000  # payloads below this many bytes are never revisits
 BLOCK_LINES = 1000  # index lines in a compressed block
-RANGES = 4096  # key ranges at most; their first keys are all that a lookup broadcasts
+RANGE_LINES = 1 << 18  # index lines in a key range, which one task searches; ranges' first keys are all that a lookup broadcasts
+READ_BYTES = 64 << 20  # bytes that a task reads from archives
 STAMP = "2024-01-01T00:00:00Z"
 
 
@@ -77,38 +83,52 @@ def plan_records(pages: DataFrame, small: int = SMALL) -> DataFrame:
     return body.join(last, ["strong", "n"], "left").select("page_id", "url", "payload", "digest", kind.alias("kind"), F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
 
-def write_archives(planned: DataFrame) -> DataFrame:
-    """(archive, offset, length, data, url_key, page_id): each task of the input writes one archive, stored in the shared folder."""
+def opened(path: str) -> tuple[pf.FileSystem, str]:
+    return pf.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pf.LocalFileSystem(), path)
+
+
+def write_archives(planned: DataFrame, folder: str | None = None) -> DataFrame:
+    """(archive, offset, length, url_key, page_id) of each record: each task of the input writes one archive file to ``folder``, by default a new one in the shared folder."""
+    folder = folder or f"{shared_dir(planned.sparkSession)}/warc-{uuid.uuid4().hex}"
 
     def run(batches):
-        archive, at = TaskContext.get().partitionId(), 0
+        fs, root = opened(folder)
+        fs.create_dir(root, recursive=True)
+        name, at, out = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             for part in slices(batch, "payload"):
                 rows = []
                 for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     member = record(*row)
-                    rows.append((archive, at, len(member), member, url_key(row[1]), row[0]))
+                    out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
+                    out.write(member)
+                    rows.append((name, at, len(member), url_key(row[1]), row[0]))
                     at += len(member)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["archive", "offset", "length", "data", "url_key", "page_id"])
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["archive", "offset", "length", "url_key", "page_id"])
+        if out:
+            out.close()
 
-    return stored(planned.mapInArrow(run, "archive long, offset long, length long, data binary, url_key string, page_id long"), "archives")
+    lines = stored(planned.mapInArrow(run, "archive string, offset long, length long, url_key string, page_id long"), "archives")
+    return lines.withColumn("archive", F.concat(F.lit(f"{folder}/"), "archive"))
 
 
-def write_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """(key_range, block_no, first_key, first_page, n, block): compressed blocks of index lines in order of key, in as many ranges as the session has shuffle partitions (``RANGES`` at most)."""
+def write_index(archives: DataFrame, block_lines: int = BLOCK_LINES, range_lines: int = RANGE_LINES) -> DataFrame:
+    """(key_range, block_no, first_key, first_page, n, archives, block): compressed blocks of index lines in order of key, in ranges of about ``range_lines``; a line names its archive by its place in the block's list."""
     spark = archives.sparkSession
-    ranges = min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-archives.count() // range_lines))
     lines = archives.select("url_key", "page_id", "archive", "offset", "length").repartitionByRange(ranges, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
     def run(batches):
         key_range, number, held = TaskContext.get().partitionId(), 0, []
 
         def block(rows):
-            text = "\n".join(f"{k} {p} {a} {o} {n}" for k, p, a, o, n in rows)
-            columns = [[key_range], [number], [rows[0][0]], [rows[0][1]], [len(rows)], [zlib.compress(text.encode(), 6)]]
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key_range", "block_no", "first_key", "first_page", "n", "block"])
+            names = sorted({r[2] for r in rows})
+            at = {n: k for k, n in enumerate(names)}
+            text = "\n".join(f"{k} {p} {at[a]} {o} {n}" for k, p, a, o, n in rows)
+            columns = [[key_range], [number], [rows[0][0]], [rows[0][1]], [len(rows)], [zlib.compress("\n".join(names).encode(), 6)], [zlib.compress(text.encode(), 6)]]
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key_range", "block_no", "first_key", "first_page", "n", "archives", "block"])
 
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), *(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)
@@ -120,29 +140,30 @@ def write_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
         if held:
             yield block(held)
 
-    return stored(lines.mapInArrow(run, "key_range int, block_no int, first_key string, first_page long, n int, block binary"), "index")
+    return stored(lines.mapInArrow(run, "key_range int, block_no int, first_key string, first_page long, n int, archives binary, block binary"), "index")
 
 
-def block_lines_of(block: bytes) -> list[tuple[str, int, int, int, int]]:
-    return [(k, int(p), int(a), int(o), int(n)) for k, p, a, o, n in (x.rsplit(" ", 4) for x in zlib.decompress(block).decode().split("\n"))]
+def block_lines_of(archives: bytes, block: bytes) -> list[tuple[str, int, str, int, int]]:
+    names = zlib.decompress(archives).decode().split("\n")
+    return [(k, int(p), names[int(a)], int(o), int(n)) for k, p, a, o, n in (x.rsplit(" ", 4) for x in zlib.decompress(block).decode().split("\n"))]
 
 
-def search(directory: list[tuple[str, int]], block_of, key: str, page: int) -> tuple[int, int, int] | None:
+def search(directory: list[tuple[str, int]], block_of, key: str, page: int) -> tuple[str, int, int] | None:
     """Binary search over the directory for the block, then within the block for the line."""
     at = bisect.bisect_right(directory, (key, page)) - 1
     if at < 0:
         return None
     lines = block_of(at)
-    i = bisect.bisect_left(lines, (key, page, -1, -1, -1))
+    i = bisect.bisect_left(lines, (key, page))
     return lines[i][2:] if i < len(lines) and lines[i][:2] == (key, page) else None
 
 
 def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, archive, offset, length) of wanted captures (url, page_id); those not in the index are left out.
 
-    Ranges' first keys (``RANGES`` at most, however large the index) tell each wanted key its range; in a
-    range, keys and blocks meet, and binary searches over directory and block find the line. A block is
-    opened only when a key falls in it.
+    Ranges' first keys, one for each 2**18 captures, tell each wanted key its range; in a range, keys and
+    blocks meet, and binary searches over directory and block find the line. A block is opened only when
+    a key falls in it.
     """
     starts = [(r.k, r.p, r.key_range) for r in index.where("block_no = 0").select("key_range", F.col("first_key").alias("k"), F.col("first_page").alias("p")).collect()]
     starts.sort()
@@ -163,7 +184,7 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
         def block_of(i):
             if i not in opened:
                 opened.clear()
-                opened[i] = block_lines_of(blocks.column("block")[i].as_py())
+                opened[i] = block_lines_of(*(blocks.column(c)[i].as_py() for c in ("archives", "block")))
             return opened[i]
 
         rows = []
@@ -171,22 +192,34 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
             hit = search(directory, block_of, key, page)
             if hit:
                 rows.append((page, *hit))
-        return pa.table({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(["page_id", "archive", "offset", "length"])})
+        return pa.table({n: pa.array([r[k] for r in rows], pa.string() if n == "archive" else pa.int64()) for k, n in enumerate(["page_id", "archive", "offset", "length"])})
 
     keys = wanted.select(F.col("url").cast("string"), F.col("page_id").cast("long")).where("page_id is not null").mapInArrow(ranged, "key_range int, key string, page_id long")
-    return keys.groupBy("key_range").cogroup(index.groupBy("key_range")).applyInArrow(found, "page_id long, archive long, offset long, length long")
+    return keys.groupBy("key_range").cogroup(index.groupBy("key_range")).applyInArrow(found, "page_id long, archive string, offset long, length long")
 
 
-def read_ranges(archives: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records at ranges; a revisit's size is that of the response it refers to."""
-    data = ranges.join(archives.select("archive", "offset", "length", "data"), ["archive", "offset", "length"]).select("data")
+def read_ranges(ranges: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records at ranges (archive, offset, length); a revisit's size is that of the response it refers to.
+
+    Only ranges are shuffled, into runs of one archive after the other; each task opens its files and reads there.
+    """
+    ranges = stored(ranges.select("archive", "offset", "length"), "ranges")
+    size = ranges.agg(F.sum("length")).first()[0] or 0
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-size // read_bytes))
+    dealt = ranges.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches):
+        name, file = None, None
         for batch in batches:
             rows = []
-            for member in batch.column(0).to_pylist():
-                fields, payload = parse(member)
+            for archive, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if archive != name:
+                    if file:
+                        file.close()
+                    fs, path = opened(archive)
+                    name, file = archive, fs.open_input_file(path)
+                fields, payload = parse(file.read_at(length, offset))
                 page = int(fields["warc-record-id"][10:-1])
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 kind = fields["warc-type"]
@@ -195,8 +228,10 @@ def read_ranges(archives: DataFrame, ranges: DataFrame) -> DataFrame:
                 rows.append((page, len(payload) if kind == "response" else None, digest, kind, int(fields["warc-refers-to"][10:-1]) if kind == "revisit" else None))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in schema.split(", ")])
+        if file:
+            file.close()
 
-    read = stored(data.mapInArrow(run, schema), "records")
+    read = stored(dealt.mapInArrow(run, schema), "records")
     sizes = read.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"), F.col("payload_digest").alias("full_digest"))
     revisits = read.where("record_type = 'revisit'").join(sizes, "refers_to").where("payload_digest = full_digest")
     return read.where("record_type = 'response'").unionByName(revisits.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
@@ -211,7 +246,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     pages = pages.where("page_id is not null")
     archives = write_archives(plan_records(pages))
     index = write_index(archives)
-    return read_ranges(archives, lookup(index, pages))
+    return read_ranges(lookup(index, pages))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

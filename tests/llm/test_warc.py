@@ -30,22 +30,24 @@ def test_round_trip(spark, pages):
     assert warc.warc_round_trip(df.where("page_id < 0")).count() == 0
 
 
-def test_archives_are_gzip_files(pages):
+def test_archives_are_gzip_files(pages, tmp_path):
     rows, df = pages
-    archives = warc.write_archives(warc.plan_records(df)).collect()
-    files = defaultdict(bytes)
+    archives = warc.write_archives(warc.plan_records(df), f"file://{tmp_path}/warc").collect()
+    files = defaultdict(int)
     for r in sorted(archives, key=lambda r: (r.archive, r.offset)):
-        assert r.offset == len(files[r.archive]) and r.length == len(r.data)
-        files[r.archive] += r.data
-    text = b"".join(gzip.decompress(f) for f in files.values())
+        assert r.offset == files[r.archive]
+        files[r.archive] += r.length
+    data = {f: open(f.removeprefix("file://"), "rb").read() for f in files}
+    assert {f: len(x) for f, x in data.items()} == files and len(list((tmp_path / "warc").iterdir())) == len(files)
+    text = b"".join(map(gzip.decompress, data.values()))
     assert text.count(b"WARC/1.1\r\n") == len(rows)
 
 
 def test_index_finds_each_capture_and_no_other(spark, pages):
     rows, df = pages
     archives = warc.write_archives(warc.plan_records(df))
-    index = warc.write_index(archives, block_lines=3)
-    assert index.count() >= len(rows) // 3
+    index = warc.write_index(archives, block_lines=3, range_lines=7)
+    assert index.count() >= len(rows) // 3 and index.select("key_range").distinct().count() > len(rows) // 14
     wanted = spark.createDataFrame([(rows[0][1], rows[0][0]), (rows[0][1], 999), ("http://nowhere", 1), (None, 100)], "url string, page_id long")
     assert {r.page_id for r in warc.lookup(index, wanted).collect()} == {rows[0][0], 100}
 
