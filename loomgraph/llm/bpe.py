@@ -236,9 +236,8 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         return pa.table({"row_id": [key[0].as_py()], "n_tokens": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
 
     short = texts.where(~long).mapInArrow(_encode_batches(path, ranks, leaf_chars, short_rows), "doc_id long, n_tokens long, ids binary")
-    wide = texts.where(long).withColumn("row_id", F.xxhash64("doc_id", "text"))
-    once = wide.dropDuplicates(["row_id"]).select("row_id", "text")
-    leaves = once.mapInArrow(_encode_batches(path, ranks, leaf_chars, leaf_rows), "row_id long, leaf int, text string").repartition("row_id", "leaf")
+    wide = stored(texts.where(long).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), "long")  # a stored number is a row's own
+    leaves = wide.select("row_id", "text").mapInArrow(_encode_batches(path, ranks, leaf_chars, leaf_rows), "row_id long, leaf int, text string").repartition("row_id", "leaf")
     encoded = leaves.mapInArrow(_encode_batches(path, ranks, leaf_chars, leaf_ids), "row_id long, leaf int, text string, ids binary")
     whole = encoded.groupBy("row_id").applyInArrow(joined, "row_id long, n_tokens long, ids binary")
     return short.unionByName(wide.select("doc_id", "row_id").join(whole, "row_id").select("doc_id", "n_tokens", "ids"))
@@ -266,14 +265,14 @@ def decode_ids(c: Codec, ids: np.ndarray) -> str:
 
 
 def bpe_digest(encoded: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, n_tokens, ids)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, n_tokens, ids); null ids count as none."""
     path, ranks = path or tokenizer_path(), ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")
 
     def run(batches):
         c = codec(path, ranks)
         for batch in batches:
             for part in slices(batch, "ids", 1 << 20):
-                raw = part.column("ids").to_pylist()
+                raw = [x or b"" for x in part.column("ids").to_pylist()]
                 texts = [decode_ids(c, np.frombuffer(x, "<u4")) for x in raw]
                 hashes = [[hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(t.encode()).hexdigest() for t in texts]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), *(pa.array(h, pa.string()) for h in hashes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
