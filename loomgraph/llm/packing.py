@@ -10,11 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.bpe import codec, tokenizer_path
+from loomgraph.llm.bpe import LEAF_CHARS, Codec, codec, encode_tree, tokenizer_path
 from loomgraph.llm.common import documents, map_bytes, stored, whole_texts
 
 LENGTH = 2048  # tokens in a sequence
 END = 1  # id after each document
+RANGE_TOKENS = 1 << 26  # tokens of a range of the curve, which one task packs
 HASHED, DIMS, ORDER = 256, 4, 10  # buckets of the hashed vectors, dimensions they are projected to, bits in each
 SPREAD = 0.5  # mean projected coordinates within this of zero fall in cells of their own; the rest in the outermost
 
@@ -66,16 +67,23 @@ def cells_of(sums: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.nda
     return np.clip(((unit / SPREAD + 1) / 2 * (1 << order)).astype(np.int64), 0, (1 << order) - 1)
 
 
+def id_type(c: Codec) -> str:
+    return "<u2" if c.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def token_rows(df: DataFrame, path: str | None = None, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, curve, n_tokens, ids): each whole text's ids and the end id, as unsigned 16-bit integers, with its place on the curve."""
+    """(doc_id, curve, n_tokens, ids): each whole text's ids and the end id, as unsigned integers of 16 bits (32 for larger vocabularies), with its place on the curve. Long texts are encoded by leaves."""
     path, ranks = path or tokenizer_path(), ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")
 
     def make():
         c = codec(path, ranks)
-        table = projection(c.tokenizer.get_vocab_size())
+        table, kind = projection(c.tokenizer.get_vocab_size()), id_type(c)
 
         def rows(ids, texts):
-            encoded = [np.array([*c.encode(t.decode()), END], "<u2") for t in texts]
+            encoded = []
+            for t in map(bytes.decode, texts):
+                ids = encode_tree(c, t) if len(t) > LEAF_CHARS else c.encode(t)
+                encoded.append(np.append(np.asarray(ids, kind), np.array([END], kind)))
             counts = np.array([len(x) for x in encoded])
             flat = np.concatenate(encoded)
             sums = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
@@ -95,12 +103,14 @@ def pack_pieces(df: DataFrame, path: str | None = None, ranks_path: str | None =
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve), and each piece's ids if asked for.
 
     Documents are dealt by ranges of (place on the curve, id), so that neighbours meet and copies of one
-    text, which share a place, still spread over tasks. Each range is laid end to end and cut every 2048
+    text, which share a place, still spread over tasks; there are as many ranges as the tokens need. Each is laid end to end and cut every 2048
     tokens; its rest becomes sequences whose lengths are powers of two, so that nothing is padded. A null
     or empty text is its end id alone. Repeated rows are packed each; an empty table gives no pieces.
     """
     tokens = stored(token_rows(df, path, ranks_path, id_col, text_col), "tokens")  # finding the ranges reads the rows once more
-    dealt = tokens.repartitionByRange(F.col("curve"), F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id")
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
+    dealt = tokens.repartitionByRange(ranges, F.col("curve"), F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long" + ", ids binary" * with_ids
     kinds = [*[pa.int64()] * 8, *[pa.binary()] * with_ids]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -127,7 +137,7 @@ def pack_pieces(df: DataFrame, path: str | None = None, ranks_path: str | None =
         for batch in batches:
             rows = []
             for doc, curve, n, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                ids, start = np.frombuffer(raw, "<u2"), 0
+                ids, start = np.frombuffer(raw, f"<u{len(raw) // n}"), 0
                 while len(ids):
                     take = min(len(ids), LENGTH - held)
                     waiting.append((doc, start, ids[:take], n, curve))
