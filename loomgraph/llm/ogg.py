@@ -201,23 +201,17 @@ def ogg_packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def ogg_digest(media: DataFrame) -> DataFrame:
-    """Read the stored bytes of (doc_id, n_bytes, media) back; digests of what was read, and its features."""
+    """Read the stored bytes of (doc_id, n_bytes, media) back; digests of what was read, and its features. Null media has nulls."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "media"):
                 ids, sizes, stored = (part.column(i).to_pylist() for i in range(3))
-                read = [features(m) for m in stored]
-                columns = [
-                    ids,
-                    sizes,
-                    [len(p) for p, _ in read],
-                    [hashlib.sha256(p).hexdigest() for p, _ in read],
-                    [zlib.crc32(p[-16:]) for p, _ in read],
-                    [len(m) for m in stored],
-                    [hashlib.sha256(m).hexdigest() for m in stored],
-                    [t for _, t in read],
-                ]
+                rows = []
+                for m in stored:
+                    payload, told = (None, None) if m is None else features(m)
+                    rows.append((None,) * 6 if m is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), told))
+                columns = [ids, sizes, *([r[k] for r in rows] for k in range(6))]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
