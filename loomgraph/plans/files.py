@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ladders
 from loomgraph.functions import paths as P
+from loomgraph.operators import graph as G
 from loomgraph.operators.graph import by_share
+from loomgraph.operators.neighborhoods import COMMON_WORDS
 from loomgraph.operators.neighborhoods import cluster_names as cluster_names_of
 from loomgraph.plans.relations import table
 from loomgraph.sources import files as S
@@ -107,6 +109,65 @@ def cluster_names(spark, d):
     return cluster_names_of(table(spark, d, "part"), "p_type", "p_name")
 
 
+#: Source texts by part size, with a comment and strings that only look like code, and declarations over several lines; and what they declare (type, name, lines, signature).
+SOURCES = {
+    ".ts": (
+        '// class Ghost {}\nexport class @C {\n  make(\n    item: Item,\n    size: number = "class Fake {"\n  ): @B {\n    return "}"\n  }\n}\ninterface @CProps { id: number }\ntype @CId = string\nexport const build@C = (a: number) => {\n  return a\n}\nfunction use@C() { return 1 }\nlet v@N = 1\nexport namespace N@C {\n}',
+        [("class", "@C", 2, 9, "export class @C"), ("method", "make", 3, 8, 'make( item: Item, size: number = "class Fake {" ): @B'), ("interface", "@CProps", 10, 10, "interface @CProps"), ("type", "@CId", 11, 11, "type @CId = string"), ("function", "build@C", 12, 14, "export const build@C = (a: number) =>"), ("function", "use@C", 15, 15, "function use@C()"), ("variable", "v@N", 16, 16, "let v@N = 1"), ("namespace", "N@C", 17, 18, "export namespace N@C")],
+    ),
+    ".py": (
+        '# def ghost(): pass\nclass @C(Base):\n    def make(self, item,\n             size):\n        """class Fake:\n        text"""\n        return size\n\nasync def run_@N(a):\n    return a\nLIMIT_@N = 10',
+        [("class", "@C", 2, 7, "class @C(Base)"), ("function", "make", 3, 7, "def make(self, item, size)"), ("function", "run_@N", 9, 10, "async def run_@N(a)"), ("variable", "LIMIT_@N", 11, 11, "LIMIT_@N = 10")],
+    ),
+    ".java": (
+        "/* class Ghost { */\npublic class @C {\n    private int size = 1;\n    public @B make(int a,\n            int b) {\n        return null;\n    }\n}\ninterface @CApi {\n}",
+        [("class", "@C", 2, 8, "public class @C"), ("variable", "size", 3, 3, "private int size = 1"), ("method", "make", 4, 7, "public @B make(int a, int b)"), ("interface", "@CApi", 9, 10, "interface @CApi")],
+    ),
+    ".go": (
+        "// func Ghost() {}\ntype @C struct {\n\tn int\n}\nfunc (s *@C) Run(a int,\n\tb int) error {\n\treturn nil\n}\nfunc Main@N() {}\nvar limit@N = 1",
+        [("type", "@C", 2, 4, "type @C struct"), ("method", "Run", 5, 8, "func (s *@C) Run(a int, b int) error"), ("function", "Main@N", 9, 9, "func Main@N()"), ("variable", "limit@N", 10, 10, "var limit@N = 1")],
+    ),
+    ".rs": (
+        "/* fn ghost() {} */\npub struct @C;\nimpl @C {\n    pub fn make(&self,\n        a: i32) -> i32 {\n        a\n    }\n}\nenum @CKind { A }\npub trait @CApi {\n}",
+        [("class", "@C", 2, 2, "pub struct @C"), ("class", "@C", 3, 8, "impl @C"), ("function", "make", 4, 7, "pub fn make(&self, a: i32) -> i32"), ("type", "@CKind", 9, 9, "enum @CKind"), ("interface", "@CApi", 10, 11, "pub trait @CApi")],
+    ),
+}
+
+
+def part_sources(spark, d):
+    """Each part as a source file in one of five languages."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")).alias("c"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("b"))
+    pick = lambda some: F.element_at(F.array(*map(F.lit, some)), (F.col("p_size") % len(SOURCES) + 1).cast("int"))
+    text = F.replace(F.replace(F.replace(pick([t for t, _ in SOURCES.values()]), F.lit("@C"), F.col("c")), F.lit("@B"), F.col("b")), F.lit("@N"), F.col("p_partkey").cast("string"))
+    return p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), pick(list(SOURCES))).alias("path"), text.alias("content"))
+
+
+def symbol_rules(spark, d):
+    """Every kind of declaration of five languages, with its lines and signature."""
+    return symbols.extract_symbols(part_sources(spark, d)).select("path", "type", "name", "start_line", "end_line", "signature")
+
+
+def source_nodes(spark, d):
+    """Nodes of source files by kind, and how many stand in a declaration."""
+    return symbols.nodes(part_sources(spark, d)).groupBy("kind").agg(F.count("*").alias("nodes"), F.count("parent").alias("inner"), F.sum("start_line").alias("lines"))
+
+
+def call_counts(spark, d):
+    """Functions and methods that call others, as far as their signature tells."""
+    return G.call_count(symbols.extract_symbols(part_sources(spark, d)))
+
+
+def framework_cascade(spark, d):
+    """Frameworks of files by extension, import, nearest manifest and language, one rule overriding the next."""
+    n, folder = F.col("p_size") % 6, F.concat(F.lit("app"), (F.col("p_partkey") % 9).cast("string"))
+    ext = F.element_at(F.array(*map(F.lit, (".vue", ".ts", ".ts", ".js", ".py", ".component.ts"))), (n + 1).cast("int"))
+    content = F.when(n == 1, "import React from 'react'").when(n == 4, "from flask import Flask").otherwise("const a = 1")
+    files = table(spark, d, "part").select(F.concat(folder, F.lit("/src/p"), F.col("p_partkey").cast("string"), ext).alias("path"), content.alias("content"))
+    package = F.when(F.col("n") % 3 == 0, "svelte").otherwise("next")
+    manifests = table(spark, d, "part").select((F.col("p_partkey") % 9).alias("n")).distinct().where("n % 3 <> 1").select(F.concat(F.lit("app"), F.col("n").cast("string")).alias("dir"), F.create_map(package, F.lit("1")).alias("dependencies"))
+    return S.frameworks(files, manifests)
+
+
 def symbol_counts(spark, d):
     return symbols.extract_symbols(code_files(spark, d)).groupBy("type").agg(F.count("*").alias("symbols"), F.count_distinct("name").alias("names"))
 
@@ -125,11 +186,35 @@ def naming_patterns(spark, d):
     return names.groupBy("p_brand", "pattern").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (file_facts, language_stats, classify_files, ignore_filter, framework_detect, nearest_manifest, gitlog_parse, extract_symbols, extract_imports, framework_symbols, cluster_names, symbol_counts, dir_tree, optimal_tasks, naming_patterns)}
+QUERIES = {f.__name__: f for f in (file_facts, language_stats, classify_files, ignore_filter, framework_detect, nearest_manifest, gitlog_parse, extract_symbols, extract_imports, framework_symbols, cluster_names, symbol_counts, symbol_rules, source_nodes, call_counts, framework_cascade, dir_tree, optimal_tasks, naming_patterns)}
 
 CODE = """names AS (SELECT DISTINCT p_type, string_split(p_name, ' ') AS w FROM part),
     code AS (SELECT 'src/' || replace(p_type, ' ', '_') || '.ts' AS path, list_aggregate(list_transform(w, lambda x: upper(left(x, 1)) || x[2:]), 'string_agg', '') AS cls, w[2] AS base, upper(left(w[2], 1)) || w[2][2:] AS basecls FROM names)"""
+def _declared_sql() -> str:
+    """The declarations of ``SOURCES``, and its comments and strings, as rows (k, kind, name, a, b, signature); written down, not found by scanning."""
+    rows = []
+    for k, (_, declared) in enumerate(SOURCES.values()):
+        rows += [(k, t, n, a, b, sig) for t, n, a, b, sig in declared]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(t)}, {quoted(n)}, {a}::BIGINT, {b}::BIGINT, {quoted(sig)})" for k, t, n, a, b, sig in rows)
+    fill = "replace(replace(replace({0}, '@C', list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || x[2:]), 'string_agg', '')), '@B', replace(p_brand, '#', '')), '@N', p_partkey::VARCHAR)"
+    ext = "[" + ", ".join(quoted(e) for e in SOURCES) + "]"
+    return f"""v AS (SELECT * FROM (VALUES {values}) t(k, kind, name, a, b, signature)),
+        decl AS (SELECT p_partkey, k, 'src/p' || p_partkey || ({ext})[k + 1] AS path, kind AS type, {fill.format('v.name')} AS name, a AS start_line, b AS end_line, {fill.format('v.signature')} AS signature FROM part JOIN v ON k = p_size % {len(SOURCES)})"""
+
+
+DECLARED = _declared_sql()
+#: For each of ``SOURCES``: lines of its comments and of its strings (k, kind, line, within a declaration).
+MARKED = "(VALUES (0, 'comment', 1, 0), (1, 'comment', 1, 0), (2, 'comment', 1, 0), (3, 'comment', 1, 0), (4, 'comment', 1, 0), (0, 'string', 5, 1), (0, 'string', 7, 1), (1, 'string', 5, 1)) t(k, kind, line, inner_node)"
 ORACLES = {
+    "symbol_rules": f"WITH {DECLARED} SELECT path, type, name, start_line, end_line, signature FROM decl",
+    "source_nodes": f"""WITH {DECLARED}, m AS (SELECT kind, inner_node, line FROM part JOIN {MARKED} ON k = p_size % {len(SOURCES)}),
+        d AS (SELECT type AS kind, (EXISTS (SELECT 1 FROM decl o WHERE o.p_partkey = decl.p_partkey AND o.start_line <= decl.start_line AND o.end_line >= decl.end_line AND (o.start_line, o.end_line) <> (decl.start_line, decl.end_line)))::INT AS inner_node, start_line AS line FROM decl)
+        SELECT kind, count(*) AS nodes, sum(inner_node)::BIGINT AS "inner", sum(line)::BIGINT AS lines FROM (SELECT * FROM m UNION ALL SELECT * FROM d) GROUP BY 1""",
+    "call_counts": f"WITH {DECLARED} SELECT count(*) AS calls FROM decl WHERE type IN ('function', 'method') AND (contains(signature, '=>') OR contains(signature, 'return'))",
+    "framework_cascade": """WITH f AS (SELECT p_partkey, p_size % 6 AS n, p_partkey % 9 AS m FROM part)
+        SELECT 'app' || m || '/src/p' || p_partkey || (['.vue', '.ts', '.ts', '.js', '.py', '.component.ts'])[n + 1] AS path,
+            CASE WHEN n = 0 THEN 'Vue' WHEN n = 5 THEN 'Angular' WHEN n = 1 THEN 'React' WHEN n IN (2, 3) AND m % 3 = 0 THEN 'Svelte' WHEN n IN (2, 3) AND m % 3 = 2 THEN 'Next.js' WHEN n = 4 THEN 'Flask' END AS framework FROM f""",
     "file_facts": """WITH h AS (SELECT doc_id, strlen(text) AS size, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, sha256(text) AS h FROM documents)
         SELECT doc_id, size, lines, left(h, 16) AS hash16, count(*) OVER (PARTITION BY h) > 1 AS is_dup FROM h""",
     "language_stats": "SELECT lang, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM documents), 6) AS percent FROM documents GROUP BY 1",
@@ -151,7 +236,7 @@ ORACLES = {
     "extract_symbols": f"WITH {CODE} SELECT path, cls AS name, 'class' AS type, 'export class ' || cls || ' extends ' || basecls AS signature FROM code",
     "extract_imports": f"WITH {CODE} SELECT path, './' || base AS import_path, count(*) AS n, min(basecls) AS specifiers FROM code GROUP BY 1, 2",
     "framework_symbols": f"WITH {CODE} SELECT replace(path, '.ts', '.tsx') AS path, cls AS name, 'React' AS framework, 'component' AS type FROM code",
-    "cluster_names": """WITH w AS (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part), c AS (SELECT p_type, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2),
+    "cluster_names": """WITH w AS (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part), c AS (SELECT p_type, word, count(*) AS n FROM w WHERE length(word) > 2 AND NOT list_contains(string_split('""" + " ".join(COMMON_WORDS) + """', ' '), word) GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, word) AS k FROM c) SELECT p_type, word || '-cluster' AS name FROM r WHERE k = 1""",
     "symbol_counts": f"WITH {CODE} SELECT 'class' AS type, count(*) AS symbols, count(DISTINCT cls) AS names FROM code",
     "dir_tree": f"""WITH {PART_PATHS} SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS files, string_agg(DISTINCT regexp_replace(path, '^.*/', ''), ',' ORDER BY regexp_replace(path, '^.*/', '')) AS names FROM pp GROUP BY 1""",

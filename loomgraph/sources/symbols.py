@@ -1,4 +1,9 @@
-"""Symbols and imports of source files, by rules on lines."""
+"""Symbols and imports of source files: a scan for comments and strings, then rules on declarations' heads.
+
+A scan puts blanks in place of comments and of what strings hold, each of its length, so that neither is
+taken for code and places stay. A head is a line with those that follow it, so declarations may run over
+several lines; braces, or indents in Python, tell where a declaration ends. Paths are taken to be unique.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,20 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths as P
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
+BRACKETS = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
+HEAD = 40  # lines of a declaration's head
+_TEXT = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+#: What a scan takes as one piece: comments, strings, and what lies between.
+SCAN = r"//[^\n]*+|/\*(?s:.*?)\*/|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`|" + _TEXT + r"""|[^/"'`]++|."""
+SCANS = {
+    "python": r"#[^\n]*+|" + r'"{3}(?s:.*?)"{3}|' + r"'{3}(?s:.*?)'{3}|" + _TEXT + r"""|[^#"']++|.""",
+    "rust": r"""//[^\n]*+|/\*(?s:.*?)\*/|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|'(?:\\.[^'\n]*+|[^'\\\n])'|[^/"']++|.""",
+}
+COMMENT, STRING = r"^(?://|/\*|#)", r"""^(["'`])(?s:.*)\1$"""
+#: Where a head's signature ends: at a brace, a semicolon or a line's end outside brackets, unless the next line goes on with it.
+_GOES_ON = r"\n(?=\s*(?:\{|extends\b|implements\b|throws\b|where\b|:|=>|->))"
+SIGNATURE = rf"^\s*[^{{;(\n]*+(?:(?:{BRACKETS}|{_GOES_ON})[^{{;(\n]*+)*+"
+PYTHON_SIGNATURE = rf"^\s*[^:(\n]*+(?:{BRACKETS}[^:(\n]*+)*+"
 #: For each language what a line declares, in order of preference; group 1 is the name.
 SCRIPT_RULES = [
     ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{NAME}"),
@@ -17,7 +36,7 @@ SCRIPT_RULES = [
     ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"),
     ("variable", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}"),
     ("namespace", rf"^\s*export\s+(?:declare\s+)?(?:namespace|module)\s+{NAME}"),
-    ("method", rf"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|return\b|catch\b){NAME}\s*\([^)]*\)\s*(?::[^{{]+)?\{{"),
+    ("method", rf"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|return\b|catch\b){NAME}\s*{BRACKETS}\s*(?::[^{{;]+)?\{{"),
 ]
 RULES = {
     "typescript": SCRIPT_RULES,
@@ -37,46 +56,133 @@ IMPORTS = {
 }
 
 
+def pieces(language: Column, content: Column) -> Column:
+    """A text's pieces in order: comments, strings, and what lies between; set end to end they are the text."""
+    out = F.regexp_extract_all(content, F.lit(SCAN), F.lit(0))
+    for lang, pattern in SCANS.items():
+        out = F.when(language == lang, F.regexp_extract_all(content, F.lit(pattern), F.lit(0))).otherwise(out)
+    return out
+
+
+def kind_of(piece: Column, language: Column) -> Column:
+    """comment, string or code; a # begins a comment in Python only."""
+    comment = piece.rlike(COMMENT) & ((F.substring(piece, 1, 1) == "#") == (language == "python"))
+    return F.when(comment, "comment").when(piece.rlike(STRING) & (F.length(piece) > 1), "string").otherwise("code")
+
+
+def blanked(language: Column, content: Column) -> Column:
+    """The text with blanks for comments and for what strings hold; lines and lengths stay."""
+    blank = lambda c: F.regexp_replace(c, r"[^\n]", " ")
+
+    def clean(piece: Column) -> Column:
+        kind = kind_of(piece, language)
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        return F.when(kind == "comment", blank(piece)).when(kind == "string", F.concat(F.substring(piece, 1, 1), blank(inner), F.substring(piece, -1, 1))).otherwise(piece)
+
+    return F.array_join(F.transform(pieces(language, content), clean), "")
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, language, line_no from 1, line)."""
+    """(path, language, line_no from 1, line, clean, before, after): a file's lines as they are and without comments and strings, and how deep in braces each begins and ends."""
     lang = P.language(F.col("path"))
-    return files.select("path", lang.alias("language"), F.posexplode(F.split("content", "\n")).alias("n", "line")).select("path", "language", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    text = files.select("path", lang.alias("language"), "content", blanked(lang, F.col("content")).alias("clean"))
+    rows = text.select("path", "language", F.posexplode(F.arrays_zip(F.split("content", "\n").alias("line"), F.split("clean", "\n").alias("clean"))).alias("n", "l"))
+    rows = rows.select("path", "language", (F.col("n") + 1).alias("line_no"), "l.line", "l.clean")
+    braces = F.length(F.regexp_replace("clean", r"[^{]", "")) - F.length(F.regexp_replace("clean", r"[^}]", ""))
+    after = F.sum(braces).over(Window.partitionBy("path").orderBy("line_no"))
+    return rows.withColumn("after", after).withColumn("before", F.col("after") - braces)
 
 
-def _by_rule(rules: dict[str, list[tuple[str, str]]]) -> Column:
+def _by_rule(language: Column, head: Column) -> Column:
     out = F.lit(None).cast("struct<type:string,name:string>")
-    for lang, some in rules.items():
+    for lang, some in RULES.items():
         for kind, pattern in reversed(some):
-            out = F.when((F.col("language") == lang) & F.col("line").rlike(pattern), F.struct(F.lit(kind).alias("type"), F.regexp_extract("line", pattern, 1).alias("name"))).otherwise(out)
+            out = F.when((language == lang) & head.rlike(pattern), F.struct(F.lit(kind).alias("type"), F.regexp_extract(head, pattern, 1).alias("name"))).otherwise(out)
     return out
 
 
+def _declared(language: Column, lines: Column, x: Column) -> Column:
+    """What a line declares, null without a type: its rule, signature, and where it ends."""
+    indent = lambda r: F.length(F.regexp_extract(r["clean"], r"^\s*", 0))
+    filled = lambda r: r["clean"].rlike(r"\S")
+    rest = F.slice(lines, x["line_no"], HEAD)
+    head = F.array_join(F.transform(rest, lambda r: r["clean"]), "\n")
+    python = language == "python"
+    rule = _by_rule(language, head)
+    signed = F.when(python, F.regexp_extract(head, PYTHON_SIGNATURE, 0)).otherwise(F.regexp_extract(head, SIGNATURE, 0))
+    signature = F.trim(F.regexp_replace(F.substring(F.array_join(F.transform(rest, lambda r: r["line"]), "\n"), F.lit(1), F.length(signed)), r"\s+", " "))
+    opens = x["line_no"] + F.length(F.regexp_replace(signed, r"[^\n]", ""))
+    body = F.substring(head, F.length(signed) + 1, F.lit(1)) == "{"
+    onward = F.slice(lines, opens, F.size(lines))
+    closing = F.get(F.filter(onward, lambda r: r["after"] <= x["before"]), 0)
+    below = F.get(F.filter(F.slice(lines, opens + 1, F.size(lines)), lambda r: filled(r) & (indent(r) <= indent(x))), 0)
+    inside = F.filter(onward, lambda r: (r["line_no"] == opens) | (filled(r) & (r["line_no"] < F.coalesce(below["line_no"], F.size(lines) + 1))))
+    last = F.element_at(lines, -1)
+    at_end = F.when(python & (rule["type"] != "variable"), F.element_at(inside, -1)).when(~python & body, F.coalesce(closing, last)).otherwise(F.get(onward, 0))
+    braces = F.when(at_end["line_no"] == opens, F.size(F.split(at_end["clean"], "}")) - 1).otherwise(F.greatest(F.lit(1), at_end["before"] - x["before"])).cast("int")
+    brace = F.length(F.array_join(F.slice(F.split(at_end["clean"], "}"), F.lit(1), F.greatest(F.lit(1), braces)), "}")) + 2
+    column = F.when(~python & body & closing.isNotNull(), brace).otherwise(F.length(at_end["line"]) + 1)
+    return F.when(
+        rule.isNotNull(),
+        F.struct(
+            rule["type"].alias("type"), rule["name"].alias("name"), x["line_no"].cast("long").alias("start_line"), (indent(x) + 1).cast("long").alias("start_column"),
+            at_end["line_no"].cast("long").alias("end_line"), column.cast("long").alias("end_column"), signature.alias("signature"),
+        ),
+    )
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """(symbol_id, path, name, type, start_line, signature): a symbol for each line that declares one; its signature is the line up to a brace."""
-    found = lines_of(files).withColumn("s", _by_rule(RULES)).where("s is not null")
-    symbol_id = F.concat_ws("-", F.col("s.type"), F.col("path"), F.col("line_no").cast("string"))
-    return found.select(symbol_id.alias("symbol_id"), "path", F.col("s.name").alias("name"), F.col("s.type").alias("type"), F.col("line_no").alias("start_line"), F.trim(F.regexp_extract("line", r"^([^{]*)", 1)).alias("signature"))
+    """(symbol_id, path, language, name, type, start_line, start_column, end_line, end_column, signature): a symbol for each declaration.
+
+    Columns count from 1, and the end's is that after the last character. The signature is the head up to
+    its body, with single blanks. A file's lines come together in one row, which is no more than the file.
+    """
+    row = F.struct("line_no", "line", "clean", "before", "after")
+    whole = lines_of(files.where(P.language(F.col("path")).isin(*RULES))).groupBy("path", "language").agg(F.sort_array(F.collect_list(row)).alias("ls"))
+    declared = F.transform(F.filter("ls", lambda x: x["clean"].rlike(r"[A-Za-z_$]")), lambda x: _declared(F.col("language"), F.col("ls"), x))
+    found = whole.select("path", "language", F.explode(F.array_compact(declared)).alias("s"))
+    return found.select(F.concat_ws("-", F.col("s.type"), F.col("path"), F.col("s.start_line").cast("string")).alias("symbol_id"), "path", "language", "s.name", "s.type", "s.start_line", "s.start_column", "s.end_line", "s.end_column", "s.signature")
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """(path, node_id, kind, name, start_line, end_line, parent): a file's declarations, comments and strings as nodes; a parent is the innermost declaration around a node."""
+    lang = P.language(F.col("path"))
+    some = files.where(lang.isin(*RULES)).select("path", lang.alias("language"), F.posexplode(pieces(lang, F.col("content"))).alias("n", "piece"))
+    feeds = F.length(F.regexp_replace("piece", r"[^\n]", ""))
+    end = (F.sum(feeds).over(Window.partitionBy("path").orderBy("n")) + 1).cast("long")
+    held = some.select("path", "n", end.alias("end_line"), feeds.alias("feeds"), kind_of(F.col("piece"), F.col("language")).alias("kind")).where("kind <> 'code'")
+    marks = held.select("path", F.concat_ws("-", "kind", "path", F.col("n").cast("string")).alias("node_id"), "kind", F.lit(None).cast("string").alias("name"), (F.col("end_line") - F.col("feeds")).alias("start_line"), "end_line")
+    symbols = extract_symbols(files).select("path", F.col("symbol_id").alias("node_id"), F.col("type").alias("kind"), "name", "start_line", "end_line")
+    around = symbols.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "node_id"))).alias("around"))
+    holds = lambda d: (d["start_line"] <= F.col("start_line")) & (d["end_line"] >= F.col("end_line")) & ~((d["start_line"] == F.col("start_line")) & (d["end_line"] == F.col("end_line")))
+    return symbols.unionByName(marks).join(around, "path", "left").select("path", "node_id", "kind", "name", "start_line", "end_line", F.try_element_at(F.filter("around", holds), F.lit(-1))["node_id"].alias("parent"))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    """(path, line_no, import_path, specifiers[], is_default)."""
+    """(path, line_no, import_path, specifiers[], is_default); a script's import may run over several lines, and comments hold none."""
+    lines = lines_of(files).where(F.col("clean").rlike(r"\S"))
+    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.currentRow, HEAD)
+    script = F.col("language").isin("typescript", "javascript")
+    opens = script & F.col("clean").rlike(r"^\s*import\s*[^'\";]*$")
+    lines = lines.withColumn("line", F.when(opens, F.array_join(F.collect_list("line").over(order), "\n")).otherwise(F.col("line")))
     target = F.lit("")
     for lang, pattern in IMPORTS.items():
         one = F.coalesce(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")), F.regexp_extract("line", r"^\s*import\s+([\w.]+)", 1)) if lang == "python" else F.regexp_extract("line", pattern, 1)
         target = F.when(F.col("language") == lang, one).otherwise(target)
-    braces = F.regexp_extract("line", r"\{([^}]*)\}", 1)
-    names = F.transform(F.filter(F.split(braces, ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(F.trim(x), r"^(?:type\s+)?(\S+)", 1))
+    named = F.regexp_extract("line", r"^(?:[^'\";])*", 0)
+    braces = F.regexp_extract(named, r"\{([^}]*)\}", 1)
+    names = F.transform(F.filter(F.split(braces, ","), lambda x: F.trim(x).rlike(r"\S")), lambda x: F.regexp_extract(x, r"^\s*(?:type\s+)?(\S+)", 1))
     default = F.col("line").rlike(r"^\s*import\s+[A-Za-z_$][\w$]*\s*(?:,|from)")
-    return lines_of(files).select("path", "line_no", target.alias("import_path"), names.alias("specifiers"), default.alias("is_default")).where("import_path <> ''")
+    # without names or a default, what the last part of the path is called
+    last = F.regexp_extract(target, r"([^/.:*]+)[^/]*$", 1)
+    return lines.select("path", F.col("line_no").cast("long").alias("line_no"), target.alias("import_path"), names.alias("specifiers"), default.alias("is_default"), F.coalesce(F.get(names, 0), last).alias("name")).where("import_path <> ''")
 
 
 def bodies(files: DataFrame) -> DataFrame:
-    """(path, start_line, type, name, body, content): each declared symbol with the text up to the next one of its file."""
-    found = extract_symbols(files).select("path", "start_line", "type", "name")
-    end = F.lead("start_line").over(Window.partitionBy("path").orderBy("start_line"))
-    text = found.withColumn("end", end).join(files.select("path", "content"), "path")
-    n = F.coalesce(F.col("end") - F.col("start_line"), F.lit(1_000_000)).cast("int")
-    return text.select("path", "start_line", "type", "name", F.array_join(F.slice(F.split("content", "\n"), F.col("start_line").cast("int"), n), "\n").alias("body"), "content")
+    """(path, start_line, type, name, body, content): each symbol with its text."""
+    text = extract_symbols(files).select("path", "start_line", "end_line", "type", "name").join(files.select("path", "content"), "path")
+    own = F.slice(F.split("content", "\n"), F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
+    return text.select("path", "start_line", "type", "name", F.array_join(own, "\n").alias("body"), "content")
 
 
 def _has(text: Column, *some: str) -> Column:
