@@ -64,6 +64,21 @@ def by_frequency(g: Graph, keep: Column, share: float = 0.3) -> DataFrame:
     return g.files.join(gone, "path", "left_anti").select("path").unionByName(g.files.where(keep).join(gone, "path", "left_semi").select("path"))
 
 
+def symbols_by_frequency(g: Graph, keep: Column | None = None, share: float = 0.3) -> DataFrame:
+    """(symbol_id) without the ``share`` (rounded down) of symbols that the fewest files list, but for those to keep; ties go by id."""
+    listed = g.symbols.groupBy("symbol_id").agg(F.count_distinct("path").alias("frequency"))
+    due = listed.agg(F.floor(F.count("*") * share).alias("due"))
+    placed = in_order(listed, "frequency", "symbol_id").crossJoin(F.broadcast(due))
+    return placed.where((F.col("number") > F.col("due")) | (F.lit(False) if keep is None else keep)).select("symbol_id")
+
+
+def symbols_by_dependency(g: Graph, edges: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(symbol_id) of symbols at either end of an edge (src, dst) between symbols, and of those to keep."""
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("symbol_id")).distinct().withColumn("linked", F.lit(True))
+    found = g.symbols.select("symbol_id").distinct().join(touched, "symbol_id", "left")
+    return found.where(F.col("linked").isNotNull() | (F.lit(False) if keep is None else keep)).select("symbol_id")
+
+
 def by_dependency(g: Graph, keep: Column) -> DataFrame:
     """Files at either end of an edge."""
     touched = g.edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()

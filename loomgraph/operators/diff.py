@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import similarity as S
+from loomgraph.operators.graph import strongly_connected
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
@@ -98,3 +99,22 @@ def dependency_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     ext = F.coalesce("now", "was")
     impact = F.when(change == "added", F.when(ext, "medium").otherwise("low")).when(change == "removed", F.when(ext, "high").otherwise("medium")).otherwise("high")
     return a.join(b, ["source", "target"], "full").select("source", "target", change.alias("change"), impact.alias("impact")).where("change is not null")
+
+
+def import_order_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(source, old_order, new_order, impact) of files whose imports come in another order, where one of them is for its side effects, so that order matters; (source, target, position, side_effect) in."""
+    def ordered(df: DataFrame, name: str) -> DataFrame:
+        put = F.transform(F.sort_array(F.collect_list(F.struct("position", "target"))), lambda x: x["target"])
+        return df.groupBy("source").agg(put.alias(f"{name}_order"), F.max("side_effect").alias(f"{name}_matters"))
+
+    both = ordered(old, "old").join(ordered(new, "new"), "source")
+    return both.where("(old_matters or new_matters) and old_order <> new_order").select("source", "old_order", "new_order", F.lit("low").alias("impact"))
+
+
+def cycle_risks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(component, files, added, impact): cycles of the new dependencies (source, target) that hold a dependency the old ones lack, with how many such."""
+    found = strongly_connected(new.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    a, b = found.select(F.col("node").alias("source"), "component"), found.select(F.col("node").alias("target"), F.col("component").alias("other"))
+    fresh = new.select("source", "target").distinct().join(old.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    added = fresh.join(a, "source").join(b, "target").where("component = other").groupBy("component").agg(F.count("*").alias("added"))
+    return found.groupBy("component").agg(F.count("*").alias("files")).join(added, "component").withColumn("impact", F.lit("high"))

@@ -111,20 +111,46 @@ def single_linkage(nodes: DataFrame, edges: DataFrame, clusters: int) -> DataFra
     return nodes.join(labels, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def with_unlinked(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(a, b, distance) of all pairs of nodes (id, score, strength): that of their edge, or half the sum of their differences.
+
+    Every pair is needed to merge down to any number of clusters. Clustering is of the ``most`` best nodes
+    by score (ties by id), as many as are reported, so they are put together in one row.
+    """
+    top = nodes.orderBy(F.desc("score"), "id").limit(most)
+    row = top.agg(F.sort_array(F.collect_list(F.struct("id", "score", "strength"))).alias("v"))
+    later = lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), ((F.abs(x["score"] - y["score"]) + F.abs(x["strength"] - y["strength"])) / 2).alias("apart")))
+    pairs = row.select(F.explode(F.flatten(F.transform("v", later))).alias("p")).select("p.*")
+    return pairs.join(edges.select("a", "b", "distance"), ["a", "b"], "left").select("a", "b", F.coalesce("distance", "apart").alias("distance"))
+
+
 def cluster_metrics(clusters: DataFrame, scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each cluster its size, density (edges of both directions over n(n - 1)), mean distance, cohesion 1 / (1 + mean), and strength (mean score + cohesion) / 2."""
+    """For each cluster its size, density (edges of both directions over n(n - 1)), least, mean and greatest distance, cohesion 1 / (1 + mean), and strength (mean score + cohesion) / 2.
+
+    Three indices of quality go with them: silhouette (the cohesion), davies_bouldin (what the density
+    lacks of 1) and calinski_harabasz (strength times size).
+    """
     a = clusters.select(F.col("id").alias("a"), F.col("cluster").alias("ca"))
     b = clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cb"))
-    inner = edges.join(a, "a").join(b, "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.count("*").alias("edges"), F.avg("distance").alias("mean"))
+    inner = edges.join(a, "a").join(b, "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.count("*").alias("edges"), F.avg("distance").alias("mean"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest"))
     own = clusters.join(scores, "id").groupBy("cluster").agg(F.count("*").alias("size"), F.avg("score").alias("score"))
-    out = own.join(inner, "cluster", "left").na.fill(0, ["edges"]).na.fill(0.0, ["mean"])
+    out = own.join(inner, "cluster", "left").na.fill(0, ["edges"]).na.fill(0.0, ["mean", "nearest", "farthest"])
     cohesion = 1 / (1 + F.col("mean"))
     density = F.when(F.col("size") > 1, 2.0 * F.col("edges") / (F.col("size") * (F.col("size") - 1))).otherwise(0.0)
-    return out.select("cluster", "size", density.alias("density"), cohesion.alias("cohesion"), ((F.col("score") + cohesion) / 2).alias("strength"))
+    out = out.select("cluster", "size", "nearest", "mean", "farthest", density.alias("density"), cohesion.alias("cohesion"), ((F.col("score") + cohesion) / 2).alias("strength"))
+    return out.withColumns({"silhouette": F.col("cohesion"), "davies_bouldin": 1 - F.col("density"), "calinski_harabasz": F.col("strength") * F.col("size")})
 
 
 #: Words that name nothing.
-COMMON_WORDS = ("the", "and", "for", "with", "from", "this", "that", "more", "module", "group", "file", "files", "internal", "main", "index")
+COMMON_WORDS = tuple(
+    """
+    the and is are was were have has had will would could should can may might must do does did be been being to of in on
+    at by for with from as but or if when where why how what which who whom whose this that these those a an it its they
+    them their theirs we us our ours you your yours he him his she her hers i me my mine all any each every no none some
+    many much few little more most less least other another same different new old good bad big small long short high low
+    first last next previous before after during while since until now then here there anywhere everywhere somewhere nowhere
+    """.split()
+)
 
 
 def cluster_names(members: DataFrame, cluster: str, name: str) -> DataFrame:

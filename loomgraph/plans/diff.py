@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import similarity as S
 from loomgraph.operators import diff as D
 from loomgraph.operators import rename as R
-from loomgraph.plans.relations import table
+from loomgraph.plans.relations import RETURN_SQL, return_edges, table
 
 SCORE = 0.45
 
@@ -146,7 +146,25 @@ def dependency_changes(spark, d):
     return D.dependency_changes(rows(0), rows(1))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_diff, property_changes, semantic_changes, breaking_changes, complexity_metrics, structural_changes, impact_levels, edit_sim, char_jaccard, common_substring, camel_similarity, name_similarity, signature_similarity, location_similarity, doc_similarity, rename_candidates, rename_match, rename_pairs, dependency_changes)}
+def lines_of_orders(spark, d, new: bool):
+    """Orders as files that import their lines' brands in order; the new version ranks lines of odd orders by quantity. Returned lines are imported for their side effects."""
+    brands = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    place = F.when(F.lit(new) & (F.col("l_orderkey") % 2 == 1), F.col("l_quantity")).otherwise(F.col("l_linenumber"))
+    return table(spark, d, "lineitem").join(brands, "l_partkey").select(F.col("l_orderkey").alias("source"), F.col("p_brand").alias("target"), place.cast("double").alias("position"), (F.col("l_returnflag") == "R").alias("side_effect"))
+
+
+def import_order_changes(spark, d):
+    found = D.import_order_changes(lines_of_orders(spark, d, False), lines_of_orders(spark, d, True))
+    return found.select("source", F.array_join("old_order", ",").alias("old_order"), F.array_join("new_order", ",").alias("new_order"), "impact")
+
+
+def cycle_risks(spark, d):
+    """Cycles of parts that a version brings which has all dependencies, over one that lacks those of ids summing to a multiple of four."""
+    edges = return_edges(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    return D.cycle_risks(edges.where("(source + target) % 4 <> 0"), edges)
+
+
+QUERIES = {f.__name__: f for f in (snapshot_diff, property_changes, semantic_changes, breaking_changes, complexity_metrics, structural_changes, impact_levels, edit_sim, char_jaccard, common_substring, camel_similarity, name_similarity, signature_similarity, location_similarity, doc_similarity, rename_candidates, rename_match, rename_pairs, dependency_changes, import_order_changes, cycle_risks)}
 
 
 def _version_sql(name: str, new: bool) -> str:
@@ -239,6 +257,13 @@ ORACLES = {
         o AS (SELECT DISTINCT source, target FROM l WHERE page_id % 2 = 0), n AS (SELECT DISTINCT source, target FROM l WHERE page_id % 2 = 1),
         c AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.target, n.target) AS target, CASE WHEN o.source IS NULL THEN 'added' WHEN n.source IS NULL THEN 'removed' END AS change FROM o FULL JOIN n ON o.source = n.source AND o.target = n.target)
         SELECT source, target, change, CASE WHEN change = 'added' THEN CASE WHEN starts_with(target, '/') THEN 'low' ELSE 'medium' END ELSE CASE WHEN starts_with(target, '/') THEN 'medium' ELSE 'high' END END AS impact FROM c WHERE change IS NOT NULL""",
+    "import_order_changes": """WITH l AS (SELECT l_orderkey AS source, p_brand AS target, l_linenumber::DOUBLE AS was, CASE WHEN l_orderkey % 2 = 1 THEN l_quantity ELSE l_linenumber END::DOUBLE AS now, l_returnflag = 'R' AS side FROM lineitem JOIN part ON p_partkey = l_partkey),
+        o AS (SELECT source, string_agg(target, ',' ORDER BY was, target) AS old_order, string_agg(target, ',' ORDER BY now, target) AS new_order, bool_or(side) AS matters FROM l GROUP BY 1)
+        SELECT source, old_order, new_order, 'low' AS impact FROM o WHERE matters AND old_order <> new_order""",
+    "cycle_risks": f"""WITH RECURSIVE {RETURN_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
+        scc AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+        added AS (SELECT x.component, count(*) AS added FROM edges JOIN scc x ON x.node = src JOIN scc y ON y.node = dst WHERE x.component = y.component AND (src + dst) % 4 = 0 GROUP BY 1)
+        SELECT component, files, added, 'high' AS impact FROM (SELECT component, count(*) AS files FROM scc GROUP BY 1) JOIN added USING (component)""",
     "rename_pairs": f"""WITH RECURSIVE {VERSIONS}, gone AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)), come AS (SELECT *, replace(name, 'd_', 'dNew_') AS renamed FROM n WHERE id NOT IN (SELECT id FROM o)),
         p AS (SELECT gone.id AS old_id, come.id AS new_id, round(1 - levenshtein(gone.name, renamed)::DOUBLE / greatest(length(gone.name), length(renamed)), 6) AS score FROM gone JOIN come USING (kind, path)),
         r AS (SELECT *, row_number() OVER (ORDER BY score DESC, old_id, new_id) AS k FROM p WHERE score >= 0.8),

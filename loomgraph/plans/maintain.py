@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import compact as K
 from loomgraph.operators import incremental as I
 from loomgraph.operators.diff import snapshot_diff
-from loomgraph.plans.relations import table
+from loomgraph.plans.relations import RETURN_SQL, return_edges, table
 
 COMPARED = ["c_acctbal", "c_mktsegment"]
 
@@ -139,7 +139,29 @@ def compact_orphans(spark, d):
     return g.kept(g.files.where("size > 5000").select("path")).edges
 
 
-QUERIES = {f.__name__: f for f in (patch_plan, plan_summary, token_delta, impact_summary, ast_risk, apply_changes, debounce_sessions, session_last_op, count_batches, change_priority, ema, compact_relevance, compact_frequency, compact_dependency, compact_size, compact_hybrid, compact_adaptive, compact_analysis, compact_orphans)}
+def supplied(spark, d):
+    """Parts as symbols, and the suppliers that sold them as the files that list them."""
+    symbols = table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("path"))
+    return K.Graph(symbols.select("path").distinct(), symbols, return_edges(spark, d))
+
+
+def compact_symbol_frequency(spark, d):
+    return K.symbols_by_frequency(supplied(spark, d), F.col("symbol_id") % 100 == 1)
+
+
+def compact_symbol_dependency(spark, d):
+    g = supplied(spark, d)
+    return K.symbols_by_dependency(g, g.edges)
+
+
+def compact_controller(spark, d):
+    """The strategy that the controller picks for the graph, and how many elements it leaves."""
+    strategy, left = K.compact(graph(spark, d), names=["c1", "c2"], parts=["99"], most=200_000)
+    counts = left.files.agg(F.count("*").alias("files")).crossJoin(left.symbols.agg(F.count("*").alias("symbols"))).crossJoin(left.edges.agg(F.count("*").alias("edges")))
+    return counts.withColumn("strategy", F.lit(strategy))
+
+
+QUERIES = {f.__name__: f for f in (patch_plan, plan_summary, token_delta, impact_summary, ast_risk, apply_changes, debounce_sessions, session_last_op, count_batches, change_priority, ema, compact_relevance, compact_frequency, compact_dependency, compact_size, compact_hybrid, compact_adaptive, compact_analysis, compact_orphans, compact_symbol_frequency, compact_symbol_dependency, compact_controller)}
 
 DIFF = """a AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0), s AS (SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0),
     diff AS (SELECT coalesce(a.c_custkey, s.c_custkey) AS c_custkey, a.c_acctbal AS old_bal, coalesce(s.c_mktsegment, a.c_mktsegment) AS segment, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN s.c_custkey IS NULL THEN 'removed' WHEN a.c_acctbal <> s.c_acctbal THEN 'modified' END AS change FROM a FULL JOIN s ON a.c_custkey = s.c_custkey),
@@ -187,5 +209,14 @@ ORACLES = {
     "compact_adaptive": f"WITH {GRAPH}, {_frequency_sql('files', 'edges', 'kf')} SELECT count(*) AS kept, 'frequency' AS strategy FROM kf",
     "compact_analysis": f"""WITH {GRAPH}, c AS (SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM edges) AS edges)
         SELECT files, symbols, edges, level, strategy, floor((files * 100 + symbols * 50) * share)::BIGINT AS tokens FROM c, (VALUES ('minimal', 'relevance', 0.3::DOUBLE), ('balanced', 'hybrid', 0.6::DOUBLE), ('aggressive', 'size', 0.15::DOUBLE)) v(level, strategy, share)""",
+    "compact_symbol_frequency": """WITH f AS (SELECT l_partkey AS symbol_id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n, symbol_id) AS k, floor((count(*) OVER ()) * 0.3) AS due FROM f)
+        SELECT symbol_id FROM r WHERE k > due OR symbol_id % 100 = 1""",
+    "compact_symbol_dependency": f"WITH {RETURN_SQL} SELECT DISTINCT l_partkey AS symbol_id FROM lineitem WHERE l_partkey IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
+    "compact_controller": f"""WITH {GRAPH}, {RELEVANT}, sy AS (SELECT 'c' || p_partkey AS path FROM part), total AS (SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files) + (SELECT count(*) FROM part) + (SELECT count(*) FROM edges) AS size),
+        w AS (SELECT path, keep, size + 10 * symbol_count + lines AS w FROM files), gone AS (SELECT path, coalesce(sum(w) OVER (ORDER BY w DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM w WHERE NOT keep),
+        chosen AS (SELECT CASE WHEN size > 50000 THEN 'size' WHEN files > 1000 THEN 'dependency' ELSE 'relevance' END AS strategy FROM total),
+        k AS (SELECT path FROM k1, chosen WHERE strategy = 'relevance' UNION ALL SELECT path FROM files, chosen WHERE strategy = 'dependency' AND (keep OR path IN (SELECT src FROM edges UNION SELECT dst FROM edges))
+            UNION ALL SELECT path FROM files, chosen WHERE strategy = 'size' AND path NOT IN (SELECT path FROM gone WHERE (SELECT sum(w) FROM w) - gone > 200000))
+        SELECT strategy, (SELECT count(*) FROM k) AS files, (SELECT count(*) FROM sy WHERE path IN (SELECT path FROM k)) AS symbols, (SELECT count(*) FROM edges WHERE src IN (SELECT path FROM k) AND dst IN (SELECT path FROM k)) AS edges FROM chosen""",
     "compact_orphans": f"WITH {GRAPH}, k AS (SELECT path FROM files WHERE size > 5000) SELECT * FROM edges WHERE src IN (SELECT path FROM k) AND dst IN (SELECT path FROM k)",
 }

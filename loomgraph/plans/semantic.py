@@ -9,7 +9,8 @@ from loomgraph.functions import paths as P
 from loomgraph.operators import neighborhoods as N
 from loomgraph.plans.relations import table
 
-OVERLAP, LEAST, CLUSTERS = 0.4, 0.3, 6
+OVERLAP, LEAST, CLUSTERS, MOST = 0.4, 0.3, 6, 15
+METRICS = ("nearest", "farthest", "density", "cohesion", "strength", "silhouette", "davies_bouldin", "calinski_harabasz")
 
 
 def members(spark, d, column):
@@ -77,14 +78,22 @@ def clusters(spark, d):
 def cluster_metrics(spark, d):
     scores = neighborhoods_in(spark, d).select("id", F.col("strength").alias("score"))
     found = N.cluster_metrics(clusters(spark, d), scores, distances(spark, d))
-    return found.select("cluster", "size", *(F.round(c, 6).alias(c) for c in ("density", "cohesion", "strength")))
+    return found.select("cluster", "size", *(F.round(c, 6).alias(c) for c in METRICS))
+
+
+def clusters_of_size(spark, d):
+    """The best neighborhoods in as many clusters as their number asks for; pairs without an edge have a distance too."""
+    nodes = neighborhoods_in(spark, d).select("id", F.col("strength").alias("score"), "strength")
+    top = nodes.orderBy(F.desc("score"), "id").limit(MOST)
+    k = top.agg(ladders.optimal_clusters(F.count("*")).alias("k")).first()["k"]
+    return N.single_linkage(top, N.with_unlinked(nodes, distances(spark, d), MOST).withColumn("distance", F.round("distance", 9)), k)
 
 
 def optimal_k(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("n"), ladders.optimal_clusters(F.col("c_custkey")).alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (structural_similarity, merge_similar, neighborhoods, recommendations, enhanced_score, cluster_edges, clusters, cluster_metrics, optimal_k)}
+QUERIES = {f.__name__: f for f in (structural_similarity, merge_similar, neighborhoods, recommendations, enhanced_score, cluster_edges, clusters, cluster_metrics, clusters_of_size, optimal_k)}
 
 SETS = """i AS (SELECT p_brand || '/' || (p_size % 2) AS id, * FROM part), hood AS (SELECT id, round(avg(p_size) / 50, 6) AS strength, count(DISTINCT p_name) AS files FROM i GROUP BY 1),
     m_git AS (SELECT DISTINCT id, p_name AS m FROM i), m_dep AS (SELECT DISTINCT id, p_type || '>' || (p_size % 10) AS m FROM i), m_struct AS (SELECT DISTINCT id, 'prefix_' || left(p_name, 3) AS m FROM i)"""
@@ -124,9 +133,18 @@ ORACLES = {
         CASE WHEN score > 0.7 THEN 'excellent' WHEN score > 0.5 THEN 'good' WHEN score > 0.25 THEN 'fair' ELSE 'poor' END AS quality FROM s WHERE round(score, 6) >= 0.4""",
     "cluster_edges": f"WITH {WEIGHTS} SELECT a, b, round(weight, 6) AS weight, type FROM edges",
     "clusters": f"{LINKED} SELECT id, cluster FROM final",
-    "cluster_metrics": f"""{LINKED}, e AS (SELECT x.cluster, count(*) AS n, avg(distance) AS mean FROM dist JOIN final x ON x.id = a JOIN final y ON y.id = b WHERE x.cluster = y.cluster GROUP BY 1),
-        o AS (SELECT cluster, count(*) AS size, avg(strength) AS score FROM final JOIN hood USING (id) GROUP BY 1)
-        SELECT cluster, size, round(CASE WHEN size > 1 THEN 2.0::DOUBLE * coalesce(n, 0) / (size * (size - 1)) ELSE 0 END, 6) AS density, round(1 / (1 + coalesce(mean, 0)), 6) AS cohesion, round((score + 1 / (1 + coalesce(mean, 0))) / 2, 6) AS strength FROM o LEFT JOIN e USING (cluster)""",
+    "cluster_metrics": f"""{LINKED}, e AS (SELECT x.cluster, count(*) AS n, avg(distance) AS mean, min(distance) AS nearest, max(distance) AS farthest FROM dist JOIN final x ON x.id = a JOIN final y ON y.id = b WHERE x.cluster = y.cluster GROUP BY 1),
+        o AS (SELECT cluster, count(*) AS size, avg(strength) AS score FROM final JOIN hood USING (id) GROUP BY 1),
+        q AS (SELECT cluster, size, coalesce(nearest, 0) AS nearest, coalesce(farthest, 0) AS farthest, CASE WHEN size > 1 THEN 2.0::DOUBLE * coalesce(n, 0) / (size * (size - 1)) ELSE 0 END AS density, 1 / (1 + coalesce(mean, 0)) AS cohesion, (score + 1 / (1 + coalesce(mean, 0))) / 2 AS strength FROM o LEFT JOIN e USING (cluster))
+        SELECT cluster, size, round(nearest, 6) AS nearest, round(farthest, 6) AS farthest, round(density, 6) AS density, round(cohesion, 6) AS cohesion, round(strength, 6) AS strength,
+            round(cohesion, 6) AS silhouette, round(1 - density, 6) AS davies_bouldin, round(strength * size, 6) AS calinski_harabasz FROM q""",
+    "clusters_of_size": f"""WITH RECURSIVE {WEIGHTS}, top AS (SELECT id, strength FROM hood ORDER BY strength DESC, id LIMIT {MOST}), n AS (SELECT list(id ORDER BY id) AS ids, CASE WHEN count(*) <= 2 THEN count(*) WHEN count(*) <= 8 THEN 2 ELSE 3 END AS k FROM top),
+        dist AS (SELECT x.id AS a, y.id AS b, round(coalesce(1 - round(weight, 9), abs(x.strength - y.strength)), 9) AS distance FROM top x JOIN top y ON x.id < y.id LEFT JOIN edges ON edges.a = x.id AND edges.b = y.id),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY distance, a, b) AS r FROM dist),
+        link AS (SELECT 0::BIGINT AS r, ids AS labels FROM n UNION ALL
+            SELECT ranked.r, list_transform(labels, lambda x: CASE WHEN x = greatest(labels[list_position(ids, ranked.a)], labels[list_position(ids, ranked.b)]) THEN least(labels[list_position(ids, ranked.a)], labels[list_position(ids, ranked.b)]) ELSE x END)
+            FROM link l JOIN ranked ON ranked.r = l.r + 1, n WHERE list_unique(labels) > n.k)
+        SELECT unnest(ids) AS id, unnest(labels) AS cluster FROM (SELECT * FROM link ORDER BY r DESC LIMIT 1), n""",
     "optimal_k": """SELECT c_custkey AS n, CASE WHEN c_custkey <= 2 THEN c_custkey WHEN c_custkey <= 8 THEN 2 WHEN c_custkey <= 16 THEN 3 WHEN c_custkey <= 32 THEN 4 WHEN c_custkey <= 64 THEN 5 WHEN c_custkey <= 100 THEN 6
         WHEN c_custkey <= 128 THEN 7 WHEN c_custkey <= 256 THEN 8 WHEN c_custkey <= 512 THEN 9 ELSE 10 END::BIGINT AS k FROM customer""",
 }
