@@ -83,14 +83,18 @@ def blanked(language: Column, content: Column) -> Column:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, language, line_no from 1, line, clean, before, after): a file's lines as they are and without comments and strings, and how deep in braces each begins and ends."""
+    """(path, language, line_no from 1, line, clean, before, after, low): a file's lines as they are and without comments and strings, and how deep in braces each begins, ends, and is at its lowest."""
     lang = P.language(F.col("path"))
     text = files.select("path", lang.alias("language"), "content", blanked(lang, F.col("content")).alias("clean"))
     rows = text.select("path", "language", F.posexplode(F.arrays_zip(F.split("content", "\n").alias("line"), F.split("clean", "\n").alias("clean"))).alias("n", "l"))
     rows = rows.select("path", "language", (F.col("n") + 1).alias("line_no"), "l.line", "l.clean")
     braces = F.length(F.regexp_replace("clean", r"[^{]", "")) - F.length(F.regexp_replace("clean", r"[^}]", ""))
     after = F.sum(braces).over(Window.partitionBy("path").orderBy("line_no"))
-    return rows.withColumn("after", after).withColumn("before", F.col("after") - braces)
+    unmatched = F.regexp_replace("clean", r"[^{}]", "")
+    for _ in range(4):  # pairs within a line, as deep as this
+        unmatched = F.regexp_replace(unmatched, r"\{\}", "")
+    rows = rows.withColumn("after", after).withColumn("before", F.col("after") - braces)
+    return rows.withColumn("low", F.col("before") - F.length(F.regexp_extract(unmatched, r"^\}*", 0)))
 
 
 def _by_rule(language: Column, head: Column) -> Column:
@@ -114,7 +118,7 @@ def _declared(language: Column, lines: Column, x: Column) -> Column:
     opens = x["line_no"] + F.length(F.regexp_replace(signed, r"[^\n]", ""))
     body = F.substring(head, F.length(signed) + 1, F.lit(1)) == "{"
     onward = F.slice(lines, opens, F.size(lines))
-    closing = F.get(F.filter(onward, lambda r: r["after"] <= x["before"]), 0)
+    closing = F.get(F.filter(onward, lambda r: F.when(r["line_no"] == opens, r["after"]).otherwise(r["low"]) <= x["before"]), 0)
     below = F.get(F.filter(F.slice(lines, opens + 1, F.size(lines)), lambda r: filled(r) & (indent(r) <= indent(x))), 0)
     inside = F.filter(onward, lambda r: (r["line_no"] == opens) | (filled(r) & (r["line_no"] < F.coalesce(below["line_no"], F.size(lines) + 1))))
     last = F.element_at(lines, -1)
@@ -137,7 +141,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     Columns count from 1, and the end's is that after the last character. The signature is the head up to
     its body, with single blanks. A file's lines come together in one row, which is no more than the file.
     """
-    row = F.struct("line_no", "line", "clean", "before", "after")
+    row = F.struct("line_no", "line", "clean", "before", "after", "low")
     whole = lines_of(files.where(P.language(F.col("path")).isin(*RULES))).groupBy("path", "language").agg(F.sort_array(F.collect_list(row)).alias("ls"))
     declared = F.transform(F.filter("ls", lambda x: x["clean"].rlike(r"[A-Za-z_$]")), lambda x: _declared(F.col("language"), F.col("ls"), x))
     found = whole.select("path", "language", F.explode(F.array_compact(declared)).alias("s"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import paths as P
 from loomgraph.operators import cochange, graph, neighborhoods
 from loomgraph.sources import files as source_files
+from loomgraph.shared import stored
 from loomgraph.sources import gitlog, symbols
 
 
@@ -26,7 +27,7 @@ class Analysis:
 
 def analyse(spark: SparkSession, root: str, log: str | None = None) -> Analysis:
     """Scan a folder, extract symbols and imports, resolve imports to edges, and read a saved log."""
-    content = source_files.scan(spark, root).cache()
+    content = stored(source_files.scan(spark, root), "content")
     facts = source_files.facts(content)
     found, imported = symbols.extract_symbols(content), symbols.extract_imports(content)
     edges = graph.import_edges(graph.resolve_imports(imported, facts))
@@ -74,18 +75,40 @@ def semantic_neighborhoods(a: Analysis, path: str | None = None, max_results: in
     return some.orderBy(F.desc("strength"), "id").limit(max_results)
 
 
-def report(a: Analysis, title: str = "Context map", symbols_shown: int = 50) -> str:
-    """The analysis as Markdown. Only counts and the first rows of sorted tables are gathered."""
+def file_context(hoods: DataFrame, path: str, clusters: DataFrame | None = None) -> DataFrame:
+    """(kind, name): neighborhoods (id, members) with a file whose path holds ``path`` or is held by it, and the clusters (id, cluster) of those."""
+    held = F.exists("members", lambda m: F.contains(m, F.lit(path)) | F.contains(F.lit(path), m))
+    near = hoods.where(held).select(F.lit("neighborhood").alias("kind"), F.col("id").alias("name"))
+    if clusters is None:
+        return near
+    return near.unionByName(clusters.join(near.select(F.col("name").alias("id")), "id", "left_semi").select(F.lit("cluster").alias("kind"), F.col("cluster").alias("name")).distinct())
+
+
+def table_of(title: str, heads: list[str], rows: list[list]) -> list[str]:
+    lines = ["", f"## {title}", "", "| " + " | ".join(heads) + " |", "|---" * len(heads) + "|"]
+    return lines + ["| " + " | ".join(str(x) for x in r) + " |" for r in rows]
+
+
+def report(a: Analysis, title: str = "Context map", shown: int = 50) -> str:
+    """The analysis as Markdown: overview, files, symbols, languages, imports, relationships, neighborhoods and structure. Only counts and the first ``shown`` rows of sorted tables are gathered."""
     o = overview(a)
     total = o["totals"].first()
-    out = [f"# {title}", "", f"- Files: {total['files']}", f"- Lines: {total['lines'] or 0}", "", "## Languages", "", "| Language | Files | Share |", "|---|---|---|"]
-    out += [f"| {r['language']} | {r['n']} | {r['percent']:.1f} % |" for r in o["languages"].orderBy(F.desc("n"), "language").limit(20).collect()]
-    out += ["", "## Symbols", ""] + [f"- {r['type']}: {r['n']}" for r in o["symbols"].orderBy(F.desc("n"), "type").limit(30).collect()]
-    out += ["", "| Name | Type | File | Line |", "|---|---|---|---|"]
-    out += [f"| {r['name']} | {r['type']} | {r['path']} | {r['start_line']} |" for r in a.symbols.orderBy("path", "start_line").limit(symbols_shown).collect()]
-    out += ["", "## Most imported", ""] + [f"- {r['dst']}: {r['n']}" for r in dependencies(a).collect()]
+    out = [f"# {title}", "", f"- Files: {total['files']}", f"- Lines: {total['lines'] or 0}", f"- Bytes: {total['bytes'] or 0}"]
+    per_file = a.symbols.groupBy("path").agg(F.count("*").alias("symbols"))
+    files = a.files.join(per_file, "path", "left").orderBy(F.desc("lines"), "path").limit(shown).collect()
+    out += table_of("Files", ["File", "Language", "Kind", "Lines", "Symbols"], [[r["path"], r["language"], r["file_type"], r["lines"], r["symbols"] or 0] for r in files])
+    out += table_of("Symbols", ["Type", "Count"], [[r["type"], r["n"]] for r in o["symbols"].orderBy(F.desc("n"), "type").limit(shown).collect()])
+    out += table_of("Declarations", ["Name", "Type", "File", "Lines"], [[r["name"], r["type"], r["path"], f"{r['start_line']}-{r['end_line']}"] for r in a.symbols.orderBy("path", "start_line").limit(shown).collect()])
+    out += table_of("Languages", ["Language", "Files", "Share"], [[r["language"], r["n"], f"{r['percent']:.1f} %"] for r in o["languages"].orderBy(F.desc("n"), "language").limit(shown).collect()])
+    out += table_of("Imports", ["Target", "Files"], [[r["dst"], r["n"]] for r in dependencies(a).collect()])
     hot = graph.hotspots(a.edges.where("type = 'imports'")).orderBy(F.desc("score"), "node").limit(10).collect()
-    out += ["", "## Hotspots", ""] + [f"- {r['node']}: {r['score']:.0f}" for r in hot]
+    kinds = [[r["type"], r["n"]] for r in o["edges"].orderBy(F.desc("n"), "type").collect()]
+    cycles = graph.strongly_connected(a.edges.where("type = 'imports'")).groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(shown).collect()
+    out += table_of("Relationships", ["Type", "Count"], kinds + [["calls", graph.call_count(a.symbols).first()["calls"]]])
+    out += table_of("Hotspots", ["File", "Score"], [[r["node"], f"{r['score']:.0f}"] for r in hot])
+    out += table_of("Cycles", ["First file", "Files"], [[r["component"], r["n"]] for r in cycles])
     if a.commits is not None:
-        out += ["", "## Neighborhoods", ""] + [f"- {r['id']} ({r['strength']:.2f})" for r in semantic_neighborhoods(a).collect()]
+        out += table_of("Neighborhoods", ["Name", "Strength"], [[r["id"], f"{r['strength']:.2f}"] for r in semantic_neighborhoods(a).collect()])
+    folders = a.files.groupBy(P.directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n")).orderBy("dir").limit(shown).collect()
+    out += table_of("Structure", ["Folder", "Files"], [[r["dir"] or ".", r["n"]] for r in folders])
     return "\n".join(out) + "\n"

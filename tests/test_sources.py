@@ -80,10 +80,60 @@ def test_tools_over_a_tree(spark, tmp_path):
     assert tools.symbol_info(a, "T").first().type == "interface"
     assert tools.semantic_neighborhoods(a).count() == 1
     text = tools.report(a)
-    assert "- Files: 2" in text and "src/types.ts" in text
+    assert "- Files: 2" in text and "| src/types.ts | 1 |" in text and "| User | class | src/user.ts | 2-2 |" in text
+    assert [x for x in text.split("\n") if x.startswith("## ")] == ["## " + x for x in ("Files", "Symbols", "Declarations", "Languages", "Imports", "Relationships", "Hotspots", "Cycles", "Neighborhoods", "Structure")]
     assert tools.file_analysis(a, "src/user.ts")["symbols"].count() == 1
 
 
+def test_file_context_by_part_of_a_path(spark):
+    hoods = spark.createDataFrame([("one", ["src/user.ts", "src/a.ts"]), ("two", ["lib/b.ts"]), ("three", ["user.ts"])], "id string, members array<string>")
+    clusters = spark.createDataFrame([("one", "c1"), ("two", "c2"), ("three", "c1")], "id string, cluster string")
+    found = {(r.kind, r.name) for r in tools.file_context(hoods, "src/user.ts", clusters).collect()}
+    assert found == {("neighborhood", "one"), ("neighborhood", "three"), ("cluster", "c1")}
+    assert {r.name for r in tools.file_context(hoods, "user").collect()} == {"one", "three"}
+
+
+CODE = """/* class Old {
+ */
+import {
+  A,
+  B as C,
+} from './types'
+// import x from 'nowhere'
+export class Box<T>
+  extends Base {
+  name = "class Hidden {"
+  open(a: number,
+    b: string): Map<string, T> { if (a) { return "}" } }
+}
+const go = async (
+  a: number
+) => {
+  a
+}; function last() { return `
+}` }"""
+
+
+def test_declarations_over_several_lines(spark):
+    files = spark.createDataFrame([("a.ts", CODE)], "path string, content string")
+    found = {r.name: (r.type, r.start_line, r.start_column, r.end_line, r.end_column, r.signature) for r in symbols.extract_symbols(files).collect()}
+    assert found == {
+        "Box": ("class", 8, 1, 13, 2, "export class Box<T> extends Base"),
+        "open": ("method", 11, 3, 12, 57, "open(a: number, b: string): Map<string, T>"),
+        "go": ("function", 14, 1, 18, 2, "const go = async ( a: number ) =>"),
+    }
+    imports = symbols.extract_imports(files).collect()
+    assert [(r.line_no, r.import_path, r.specifiers, r.name) for r in imports] == [(3, "./types", ["A", "B"], "A")]
+    nodes = {(r.kind, r.name, r.start_line, r.end_line, (r.parent or "").split("-")[0]) for r in symbols.nodes(files).collect()}
+    assert ("comment", None, 1, 2, "") in nodes and ("string", None, 10, 10, "class") in nodes and ("method", "open", 11, 12, "class") in nodes
+
+
+def test_python_blocks_end_by_indent(spark):
+    text = "class A:\n    def f(self,\n          x):\n        return {\n            1: 2}\n\n    # note\n    y = 1\n\ndef g(): pass\nz = 1\n"
+    found = {r.name: (r.type, r.start_line, r.end_line) for r in symbols.extract_symbols(spark.createDataFrame([("a.py", text)], "path string, content string")).collect()}
+    assert found == {"A": ("class", 1, 8), "f": ("function", 2, 5), "g": ("function", 10, 10), "z": ("variable", 11, 11)}
+
+
 @pytest.mark.parametrize(
     "path, content, expected",
     [
