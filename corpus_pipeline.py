@@ -16,6 +16,7 @@ from loomgraph.llm.packing import pack_pieces
 from loomgraph.llm.pii import sanitised
 from loomgraph.llm.quality import fit_quality, keep_quality, training_labels
 from loomgraph.llm.simhash import near_duplicates
+from loomgraph.shared import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +29,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without blanks, the longest original with the smallest id. Rows that repeat an id count as one, that of the longest text."""
     n, text = F.coalesce(F.length("text"), F.lit(0)), F.coalesce("text", F.lit(""))
     longest = F.max_by(F.struct(*docs.columns), F.struct(n, F.sha2(F.encode(text, "UTF-8"), 256), F.xxhash64(*docs.columns)))
-    single = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(longest.alias("row")).select("row.*"), "single")
-    gone = stored(exact_groups(single).where("not kept").select("doc_id"), "gone")
-    return single.join(gone, "doc_id", "left_anti")
+    named = docs.where("doc_id is not null")
+    repeated = stored(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    one = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(longest.alias("row")).select("row.*")
+    single = named.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    with scratch(spark):
+        gone = stored(exact_groups(single).where("not kept").select("doc_id"), "gone", keep=True)
+    return single.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group joined by similarities of 0.8 or more of five-word shingles."""
-    gone = stored(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    with scratch(spark):
+        gone = stored(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone", keep=True)
+    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs
