@@ -129,8 +129,8 @@ BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """A set's size, and how many of its hashes fall in each of 16 or more equal ranges (8 to 16 hashes in each): what tells most unlike sets apart."""
-    bits = max(4, int(np.ceil(np.log2(max(1, len(h)) / 16))))
+    """A set's size, and how many of its hashes fall in each of 16 or more equal ranges (2 to 4 hashes in each): what tells most unlike sets apart."""
+    bits = max(4, int(np.ceil(np.log2(max(1, len(h)) / 4))))
     counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.uint32(len(h)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -209,8 +209,9 @@ def prefixes(texts: DataFrame, words: int, similarity: float, common: np.ndarray
 
 
 def enough(similarity: float) -> Column:
-    """Whether documents a and b that first share a shingle with ra and rb left of sa and sb may have the similarity."""
-    return F.least("ra", "rb") >= F.lit(similarity / (1 + similarity)) * (F.col("sa") + F.col("sb")) - 1e-9
+    """Whether documents a and b that first share a shingle with ra and rb left of sa and sb may have the similarity: what is left must hold all they share, and what comes before is not shared."""
+    both = F.col("sa") + F.col("sb")
+    return (F.least("ra", "rb") >= F.lit(similarity / (1 + similarity)) * both - 1e-9) & (both - F.col("ra") - F.col("rb") <= F.lit((1 - similarity) / (1 + similarity)) * both + 1e-9)
 
 
 def ordered(a: str, b: str) -> list[Column]:
@@ -218,10 +219,15 @@ def ordered(a: str, b: str) -> list[Column]:
 
 
 def star_links(shared: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of each document and one of about its size that shares a shingle of its prefix, chosen by hash, so mostly the same for many shingles."""
+    """(src, dst) of each document and one of about its size that shares a shingle of its prefix: the one with the fewest shingles before it.
+
+    Among edited copies of a text that is the text itself or the least edited copy: rare shingles, which
+    edits make, come first. All copies that are alike to it are joined by it.
+    """
     band = F.floor(F.log("size") / np.log(1 / similarity))
     rows = shared.select("key", band.alias("band"), F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("rest").alias("ra"))
-    one = rows.groupBy("key", "band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("ra").alias("rb"))).alias("one"))
+    first = F.struct((F.col("sa") - F.col("ra")).alias("p"), F.xxhash64("a").alias("h"), F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("ra").alias("rb"))
+    one = rows.groupBy("key", "band").agg(F.count("*").alias("n"), F.min(first).alias("one"))
     met = rows.join(one.where("n > 1").select("key", "band", "one.b", "one.sb", "one.rb"), ["key", "band"])
     return met.where((F.col("a") != F.col("b")) & enough(similarity)).select(*ordered("a", "b")).distinct()
 
