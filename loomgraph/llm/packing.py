@@ -82,8 +82,8 @@ def token_rows(df: DataFrame, path: str | None = None, ranks_path: str | None =
         def rows(ids, texts):
             encoded = []
             for t in map(bytes.decode, texts):
-                ids = encode_tree(c, t) if len(t) > LEAF_CHARS else c.encode(t)
-                encoded.append(np.append(np.asarray(ids, kind), np.array([END], kind)))
+                found = encode_tree(c, t) if len(t) > LEAF_CHARS else c.encode(t)
+                encoded.append(np.append(np.asarray(found, kind), np.array([END], kind)))
             counts = np.array([len(x) for x in encoded])
             flat = np.concatenate(encoded)
             sums = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
