@@ -10,7 +10,7 @@ Order. Of the phrases that meet, the parts from the trigger on (how the parse go
 parts before it (the phrases' insides) are sorted, each with its array of longest common prefixes. A
 string with ``o`` bytes before the trigger is a pair (class of the left part at depth o, class of the right
 part at depth 50 - o), so both arrays together give the order of all strings, and equal pairs are equal
-strings, exactly: hashes only choose what meets.
+strings.
 
 Flow. Documents are packed into blocks of about a megabyte. (1) Blocks send hashes of their triggers to
 buckets, once each; buckets answer which occur in more than one document. (2) Blocks send hashes of the
@@ -19,8 +19,11 @@ goes whole, and where a trigger has several phrases, the first document of each
 (3) Blocks send those texts, each once in all; buckets sort them as above and answer which strings start in
 a smaller document. (4) Blocks mark bytes. What a block sends of one trigger or phrase it sends once, so
 copies and common lines cost a row for each block; a trigger in more than ``HOT`` blocks has its phrases
-split into single strings, spread over buckets by their content. Phrases count as the same by 72 bits of two
-hashes and their bucket; that a string is part of two different phrases is always compared byte by byte.
+split into single strings, spread over buckets by their content. Whole phrases count as the same by 128 bits of
+three hashes; that a string is part of two different phrases is compared byte by byte.
+
+Bounds. A block sends a row for each bucket in which it has triggers. Buckets grow with the data and blocks
+don't, so from some hundred gigabytes on these rows hold few triggers each, up to one row for each trigger.
 """
 
 from __future__ import annotations
@@ -248,15 +251,18 @@ def phrase_rows(buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.nda
     return rows
 
 
-def phrase_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
-    weights = np.random.default_rng(23).integers(1, 2**63, WIDE, dtype=np.uint64) | np.uint64(1)
-    values = np.random.default_rng(29).integers(1, 2**63, 256, dtype=np.uint64)
-    out = np.empty(len(at), np.uint64)
+def phrase_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each phrase's bytes and of where its trigger stands in it."""
+    weights = np.random.default_rng(23).integers(1, 2**63, (2, WIDE), dtype=np.uint64) | np.uint64(1)
+    values = np.random.default_rng(29).integers(1, 2**63, (2, 256), dtype=np.uint64)
+    out = np.empty((2, len(at)), np.uint64)
     for s in range(0, len(at), 1 << 14):
         part = slice(s, s + (1 << 14))
         rows = phrase_rows(buf, first[part], last[part], at[part])
-        out[part] = (values[rows] * weights).sum(1, dtype=np.uint64)
-    return mixed(out ^ mixed((at - first + WIDE * (at - last)).astype(np.uint64) * MULTIPLIER))
+        for k in range(2):
+            out[k, part] = (values[k][rows] * weights[k]).sum(1, dtype=np.uint64)
+    place = mixed((at - first + WIDE * (at - last)).astype(np.uint64) * MULTIPLIER)
+    return mixed(out[0] ^ place), mixed(out[1] + place)
 
 
 def mask_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -291,10 +297,10 @@ def dictionary_rows(block: Block, answers: dict[int, bytes], values: np.ndarray,
     lo, hi = np.concatenate([first[few], begin]), np.concatenate([last[few], begin])
     is_single = np.arange(len(number)) >= len(few)
     mask = np.where(is_single, mask_of(at[number] - hi, at[number] - lo), np.uint32(0)).astype(np.uint32)
-    content = phrase_hashes(block.buf, lo, hi, at[number])
+    content, check = phrase_hashes(block.buf, lo, hi, at[number])
     docs = doc[number]
-    order = np.lexsort((number, docs, content))
-    heads = np.nonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))[0] if len(order) else order
+    order = np.lexsort((number, docs, check, content))
+    heads = np.nonzero(np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (check[order][1:] != check[order][:-1])]))[0] if len(order) else order
     head = np.repeat(order[heads], np.diff(np.append(heads, len(order))))  # for each row, in order: the first occurrence in the smallest document
     other = order != head
     later = docs[order] > docs[head]
@@ -307,7 +313,7 @@ def dictionary_rows(block: Block, answers: dict[int, bytes], values: np.ndarray,
     for b, k in grouped_rows(bucket_of(key[heads], buckets), buckets):
         k = heads[k]
         k = k[np.argsort(number[k], kind="stable")]
-        out.append((b, PHRASE, squeezed(narrow(key[k] >> np.uint64(40), 3), narrow(content[k], 6), spread(number[k], 4), mask[k], spread(docs[k], 8))))
+        out.append((b, PHRASE, squeezed(narrow(key[k] >> np.uint64(40), 3), narrow(content[k], 8), narrow(check[k], 5), spread(number[k], 4), mask[k], spread(docs[k], 8))))
     return out
 
 
@@ -352,15 +358,17 @@ def answer_dictionary(sent: DataFrame) -> DataFrame:
             if kind != PHRASE:
                 rows.append((block_id, kind, data))
                 continue
-            key, content, number, mask, docs = columns_of(opened(data), "b3", "b6", "d4", "<u4", "d8")
-            parts.append((widened(key), widened(content), number, mask, docs))
+            key, content, check, number, mask, docs = columns_of(opened(data), "b3", "b8", "b5", "d4", "<u4", "d8")
+            parts.append((widened(key), widened(content), widened(check), number, mask, docs))
             blocks.append(np.full(len(number), block_id, np.int64))
         if parts:
-            key, content, number, mask, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, content, check, number, mask, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
             block = np.concatenate(blocks)
-            order = np.lexsort((content, key))
+            order = np.lexsort((check, content, key))
             new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-            new = new_key | np.concatenate([[True], content[order][1:] != content[order][:-1]])
+            new = new_key.copy()
+            for x in (content, check):
+                new[1:] |= x[order][1:] != x[order][:-1]
             starts = np.nonzero(new)[0]
             group = np.cumsum(new) - 1
             least = np.minimum.reduceat(docs[order], starts)[group]
