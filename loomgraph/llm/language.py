@@ -51,7 +51,7 @@ class ByteNet:
         """(windows, positions, filters): one matrix product over all spans."""
         n, length = windows.shape
         widest, e = max(WIDTHS), self.embed.shape[1]
-        x = np.zeros((n, length + widest - 1, e), np.float32)
+        x = np.zeros((n, length + widest - 1, e), self.embed.dtype)
         x[:, :length] = self.embed[windows]
         s = x.strides
         spans = np.lib.stride_tricks.as_strided(x, (n, length, widest * e), (s[0], s[1], s[2]), writeable=False)
@@ -85,33 +85,12 @@ def fit_bytenet(windows: np.ndarray, labels: list[str], epochs: int = 12, seed:
     weight = (len(y) / c / np.bincount(y, minlength=c))[y]
     params = [net.embed, *net.filters, net.bias, net.out, net.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    widest = max(WIDTHS)
     for epoch in range(epochs):
         rate = 0.005 * (1 - epoch / epochs) + 2e-4
         order = rng.permutation(len(y))
         for s in range(0, len(y), 64):
             at = order[s : s + 64]
-            w, n = windows[at], len(at)
-            r = net.responses(w, net.merged()).reshape(n, WINDOW, total)
-            where = r.argmax(1)
-            raw = np.take_along_axis(r, where[:, None], 1)[:, 0] + net.bias
-            top = np.maximum(raw, 0)
-            z = top @ net.out + net.out_bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            dz = z / z.sum(1, keepdims=True)
-            dz[np.arange(n), y[at]] -= 1
-            dz = (dz * weight[at, None] / n).astype(np.float32)
-            draw = (dz @ net.out.T) * (raw > 0)
-            grads = [np.zeros_like(net.embed)]
-            wide = np.concatenate([w, np.zeros((n, widest - 1), np.uint8)], axis=1)
-            for k, width in enumerate(WIDTHS):
-                part = slice(k * FILTERS, (k + 1) * FILTERS)
-                bytes_at = wide[np.arange(n)[:, None, None], where[:, part, None] + np.arange(width)]  # (n, filters, width)
-                seen = net.embed[bytes_at].reshape(n, FILTERS, -1)
-                grads.append(np.einsum("nfi,nf->if", seen, draw[:, part]))
-                back = (draw[:, part, None] * net.filters[k].T[None]).reshape(n, FILTERS, width, EMBED)
-                np.add.at(grads[0], bytes_at.reshape(-1), back.reshape(-1, EMBED))
-            grads += [draw.sum(0), top.T @ dz + 1e-4 * net.out, dz.sum(0)]
+            grads = gradients(net, windows[at], y[at], weight[at])
             step += 1
             for p, g, a, b in zip(params, grads, m, v, strict=True):
                 a += 0.1 * (g - a)
@@ -121,6 +100,32 @@ def fit_bytenet(windows: np.ndarray, labels: list[str], epochs: int = 12, seed:
     return net
 
 
+def gradients(net: ByteNet, w: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean weighted cross-entropy of windows and half of ``decay`` times the squared output weights, by embedding, filters, bias, output and its bias."""
+    n, length = w.shape
+    widest = max(WIDTHS)
+    r = net.responses(w, net.merged()).reshape(n, length, -1)
+    where = r.argmax(1)
+    raw = np.take_along_axis(r, where[:, None], 1)[:, 0] + net.bias
+    top = np.maximum(raw, 0)
+    z = top @ net.out + net.out_bias
+    z = np.exp(z - z.max(1, keepdims=True))
+    dz = z / z.sum(1, keepdims=True)
+    dz[np.arange(n), y] -= 1
+    dz = (dz * weight[:, None] / n).astype(net.embed.dtype)
+    draw = (dz @ net.out.T) * (raw > 0)
+    grads = [np.zeros_like(net.embed)]
+    wide = np.concatenate([w, np.zeros((n, widest - 1), np.uint8)], axis=1)
+    for k, width in enumerate(WIDTHS):
+        part = slice(k * FILTERS, (k + 1) * FILTERS)
+        bytes_at = wide[np.arange(n)[:, None, None], where[:, part, None] + np.arange(width)]  # (n, filters, width)
+        seen = net.embed[bytes_at].reshape(n, FILTERS, -1)
+        grads.append(np.einsum("nfi,nf->if", seen, draw[:, part]))
+        back = (draw[:, part, None] * net.filters[k].T[None]).reshape(n, FILTERS, width, EMBED)
+        np.add.at(grads[0], bytes_at.reshape(-1), back.reshape(-1, EMBED))
+    return grads + [draw.sum(0), top.T @ dz + decay * net.out, dz.sum(0)]
+
+
 def fit_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> ByteNet:
     """Learn from windows spread over the texts of a bounded sample of about ``most`` documents of each language."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text")).where("lang is not null and text is not null")

@@ -137,10 +137,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int
         at = rng.permutation(len(z))
         for s in range(0, len(z), 128):
             zb, tb = z[at[s : s + 128]], t[at[s : s + 128]]
-            h = np.tanh(zb @ params[0] + params[1])
-            err = (1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -30, 30))) - tb) / len(tb)
-            back = np.outer(err, params[2]) * (1 - h * h)
-            grads = [zb.T @ back + 1e-4 * params[0], back.sum(0), h.T @ err + 1e-4 * params[2], np.array([err.sum()])]
+            grads = gradients(params, zb, tb)
             step += 1
             for p, g, a, b in zip(params, grads, m, v, strict=True):
                 a += 0.1 * (g - a)
@@ -154,6 +151,15 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int
     return net
 
 
+def gradients(params: list[np.ndarray], z: np.ndarray, t: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean cross-entropy and half of ``decay`` times the squared weights, by the weights and biases of both layers."""
+    w1, b1, w2, b2 = params
+    h = np.tanh(z @ w1 + b1)
+    err = (1 / (1 + np.exp(-np.clip(h @ w2 + b2, -30, 30))) - t) / len(t)
+    back = np.outer(err, w2) * (1 - h * h)
+    return [z.T @ back + decay * w1, back.sum(0), h.T @ err + decay * w2, np.array([err.sum()])]
+
+
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", most: int = SAMPLE) -> DataFrame:
     """(doc_id, label) of about ``most`` rows at most: those whose hashed id falls below a share, the same for all."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
