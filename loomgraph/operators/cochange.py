@@ -26,16 +26,14 @@ def commit_sets(commit_files: DataFrame, most_files: int | None = None) -> DataF
     return sets if most_files is None else sets.where(F.size("files") <= most_files)
 
 
-def pairs_of(files: str | Column) -> Column:
-    """All pairs (file1 < file2) of a sorted array. Commits are put together by one shuffle, and pairs made where they lie."""
-    f = F.col(files) if isinstance(files, str) else files
-    return F.flatten(F.transform(f, lambda x, i: F.transform(F.slice(f, i + 2, F.size(f)), lambda y: F.struct(x.alias("file1"), y.alias("file2")))))
-
-
 def pair_counts(sets: DataFrame) -> DataFrame:
-    """(file1, file2, frequency, first_ts, last_ts) of files of one commit."""
-    pairs = sets.where(F.size("files") >= 2).select("ts", F.explode(pairs_of("files")).alias("p"))
-    return pairs.groupBy("p.file1", "p.file2").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """(file1, file2, frequency, first_ts, last_ts) of files of one commit, file1 < file2.
+
+    Commits are put together by one shuffle, and pairs made where they lie, a file at a time.
+    """
+    one = sets.where(F.size("files") >= 2).select("ts", "files", F.posexplode("files").alias("i", "file1"))
+    pairs = one.select("ts", "file1", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("file2"))
+    return pairs.groupBy("file1", "file2").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def file_counts(sets: DataFrame, least: int = 1) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomgraph.operators.diff import snapshot_diff
-from loomgraph.operators.order import in_order
+from loomgraph.operators.order import in_order, in_order_within
 from loomgraph.shared import shared_dir
 
 #: What a change weighs in the order of a batch, and patches' order.
@@ -87,8 +87,7 @@ def session_last(events: DataFrame, gap: str, key: str, op: str, ts: str, order:
 
 def count_batches(events: DataFrame, key: str, size: int, ts: str, order: str) -> DataFrame:
     """Each key's events in batches of ``size``, in order."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    return events.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return in_order_within(events, key, ts, order).withColumn("batch", F.floor((F.col("number") - 1) / size)).drop("number")
 
 
 def moving_average(events: DataFrame, key: str, value: str, ts: str, order: str, alpha: float = 0.1) -> DataFrame:

@@ -25,3 +25,14 @@ def in_order(df: DataFrame, *order, value: str | None = None) -> DataFrame:
         own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("before", F.col("_s0") + F.coalesce(F.sum(value).over(own), F.lit(0)))
     return out.drop("_at", "_part", "_n0", "_s0")
+
+
+def in_order_within(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Add ``number``, from 1 in order for each key. Rows are dealt by ranges of (key, order), so a key of very many rows is numbered by several tasks."""
+    t = stored(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    t = t.withColumn("_part", F.shiftright("_at", 33))
+    runs = t.groupBy("_part", key).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = runs.withColumn("_n0", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select("_part", F.col(key).alias("_key"), "_first", "_n0")
+    out = t.join(base.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn("number", F.col("_at") - F.col("_first") + F.col("_n0") + 1).drop("_at", "_part", "_p", "_key", "_first", "_n0")
