@@ -129,8 +129,8 @@ BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """A set's size, and how many of its hashes fall in each of 16 or more equal ranges (2 to 4 hashes in each): what tells most unlike sets apart."""
-    bits = max(4, int(np.ceil(np.log2(max(1, len(h)) / 4))))
+    """A set's size, and how many of its hashes fall in each of 16 to 2048 equal ranges (2 to 4 hashes in each, or more): what tells most unlike sets apart."""
+    bits = min(11, max(4, int(np.ceil(np.log2(max(1, len(h)) / 4)))))
     counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.uint32(len(h)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
