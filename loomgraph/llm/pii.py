@@ -147,11 +147,12 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = told.where("wide").groupBy("term").agg(F.max("share").alias("share"))
     others = found.select("row_id", F.explode(words_of(F.col("text"))).alias("term")).join(wide, "term").select("row_id", "term", "share")
     wanted = own.unionByName(others).groupBy("row_id", "term").agg(F.max("share").alias("share")).groupBy("row_id")
-    wanted = wanted.agg(F.sort_array(F.collect_list("term")).alias("words"), F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    wanted = stored(wanted.agg(F.sort_array(F.collect_list("term")).alias("words"), F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "wanted")
+    some = stored(wanted.select("row_id"), "some")  # a few bytes a row, so mostly small enough to leave the other texts where they are
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     spans = F.filter(spans_of(F.col("text"), pattern, "term"), clear)
-    marked = stored(found.join(wanted, "row_id").select("row_id", spans.alias("terms"), "shares"), "terms")
+    marked = stored(found.join(some, "row_id", "left_semi").join(wanted, "row_id").select("row_id", spans.alias("terms"), "shares"), "terms")
     out = found.join(marked, "row_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
     return out.select("row_id", "doc_id", "base", "terms", "shares", *["text"] * with_text, *more)
 
