@@ -16,6 +16,7 @@ from loomgraph.llm.common import documents, held_out, map_bytes, slices, whole_t
 #: Runs of letters (all bytes beyond ASCII count as such), of digits, and of other signs.
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 ROWS, DIMS = 1 << 14, 32  # word vectors (words share them by hash) and their length
+LONG = 1 << 20  # bytes of a text whose words are read one by one
 REACH = 2  # words on either side that count as context
 SAMPLE = 20_000  # labelled documents to learn from, about; more are thinned by a hash of their id
 HIDDEN = 24
@@ -23,7 +24,9 @@ THRESHOLD = 0.3
 
 
 def token_ids(text: bytes, rows: int = ROWS) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, TOKEN.findall(text)), np.uint32) & np.uint32(rows - 1)
+    """Each word's row. A long text's words are not held as a list, which takes many times its bytes."""
+    words = TOKEN.findall(text) if len(text) <= LONG else (m.group() for m in TOKEN.finditer(text))
+    return np.fromiter(map(zlib.crc32, words), np.uint32) & np.uint32(rows - 1)
 
 
 def index_positions(rows: int = ROWS, dims: int = DIMS) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from loomgraph.llm.common import documents, map_bytes, slices, stored, whole_tex
 from loomgraph.operators.components import connected_components
 
 BITS, RADIUS, SEED = 64, 2, 42
+LONG = 1 << 20  # bytes of a text whose words are read one by one
 #: Distinct fingerprints that a table's bucket may hold to be joined with itself; larger ones go by midpoints.
 BUCKET = 256
 
@@ -44,12 +47,27 @@ def simhash(hashes: Sequence[int] | np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
+def grams_of(text: bytes, words: int) -> Iterator[bytes]:
+    """The shingles of a long text one after the other, without a list of its words."""
+    held: deque[bytes] = deque(maxlen=words)
+    count = 0
+    for m in re.finditer(rb"[^ \t-\r]+", text):
+        held.append(m.group().lower())
+        count += 1
+        if count >= words:
+            yield b" ".join(held)
+    if 0 < count < words:
+        yield b" ".join(held)
+
+
 def shingles(text: bytes, words: int) -> np.ndarray:
     """The hash of each shingle, repeats included; none of a text without words."""
     from itertools import islice, repeat
 
     import xxhash
 
+    if len(text) > LONG:
+        return np.fromiter(map(xxhash.xxh64_intdigest, grams_of(text, words), repeat(SEED)), np.uint64)
     w = text.lower().split()  # of bytes: A-Z only, and blanks are space and 09 to 0d
     if not w:
         return np.zeros(0, np.uint64)

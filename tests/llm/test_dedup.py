@@ -170,6 +170,13 @@ def test_short_near_copies_are_all_found(spark, count, at):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
+def test_long_texts_are_read_word_by_word(rows, monkeypatch):
+    texts = [(t or "").encode() for _, t in rows] + [b"\x1c a\x0bb \xc2\xa0 c", b"A b"]
+    plain = [simhash.shingles(t, 3).tolist() for t in texts]
+    monkeypatch.setattr(simhash, "LONG", -1)
+    assert [simhash.shingles(t, 3).tolist() for t in texts] == plain
+
+
 def test_sketches_rule_out_no_pair():
     rng = np.random.default_rng(4)
     unlike = 0

@@ -139,6 +139,12 @@ def test_network_of_bytes_against_loops():
         assert np.allclose(p, np.exp(z) / np.exp(z).sum(), atol=1e-4)
 
 
+def test_long_texts_give_the_same_rows(rows, monkeypatch):
+    plain = [quality.token_ids((t or "").encode()).tolist() for _, t in rows]
+    monkeypatch.setattr(quality, "LONG", -1)
+    assert [quality.token_ids((t or "").encode()).tolist() for _, t in rows] == plain
+
+
 def test_pooled_vectors_against_loops(rows):
     texts = [(t or "").encode()[:3000] for _, t in rows[::4]]
     rows_, dims = 64, 8
