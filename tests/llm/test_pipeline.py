@@ -18,7 +18,21 @@ def test_stages_follow_each_other(spark):
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in score_quality(docs, vectors, net).where("score >= 0.3").collect()}
     one = stage["exact_dedup"](spark, good, SF)
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in exact_groups(good).where("kept").collect()}
+    best = {}
+    for r in good.collect():
+        text = r.text or ""
+        key = text.translate(dict.fromkeys(map(ord, " \t\n\x0b\x0c\r")))
+        best[key] = min(best.get(key, (0, float("inf"))), (-len(text), r.doc_id))
+    assert {r.doc_id for r in one.collect()} == {i for _, i in best.values()}
     near = stage["near_dedup"](spark, one, SF)
+    sets = {r.doc_id: set(shingle_hashes((r.text or "").encode(), 5).tolist()) for r in one.collect()}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert {r.doc_id for r in near.collect()} == {i for i, v in label.items() if i == v}
     left = {r.doc_id: set(shingle_hashes(r.text.encode(), 5).tolist()) for r in near.collect()}
     ids = sorted(left)
     assert not any(len(left[a] & left[b]) >= 0.8 * len(left[a] | left[b]) for k, a in enumerate(ids) for b in ids[:k])
