@@ -155,6 +155,22 @@ def test_crowd_of_variants_is_compared_whole(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
+def test_crowd_of_edited_copies(spark):
+    """Copies of one text with ever more edits: most are unlike each other, and alike to those with few."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    text, rows = [word() for _ in range(150)], []
+    for k in range(120):
+        copy = list(text)
+        for _ in range(k // 8):
+            copy[rng.randrange(150)] = word()
+        rows.append((k * 7 % 120, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_force(rows)
+    assert 2 < len(set(want.values())) < 100
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+
+
 @pytest.mark.parametrize("count, at", [(5, None), (13, 12), (25, 24)])
 def test_short_near_copies_are_all_found(spark, count, at):
     """Pairs of texts of ``count`` words, one word replaced: J is 0.8 at 13 words; the shortest are copies in other letters."""
