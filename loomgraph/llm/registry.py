@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact, language, ogg, packing, pii, quality, simhash, suffix, warc
+from loomgraph.llm import bpe, collocations, exact, language, ogg, packing, pii, quality, simhash, suffix, warc
 
-MODULES = (ogg, suffix, quality, language, warc, bpe, packing, pii, simhash, exact)
+MODULES = (ogg, suffix, quality, language, warc, bpe, packing, pii, simhash, exact, collocations)
 
 
 def queries() -> dict:
