@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, collocations, exact, language, ogg, packing, pii, quality, runs, simhash, suffix, warc
+from loomgraph.llm import bpe, collocations, exact, language, licenses, ogg, packing, pii, quality, runs, simhash, suffix, warc
 
-MODULES = (ogg, suffix, quality, language, warc, bpe, packing, pii, simhash, exact, collocations, runs)
+MODULES = (ogg, suffix, quality, language, warc, bpe, packing, pii, simhash, exact, collocations, runs, licenses)
 
 
 def queries() -> dict:
