@@ -16,6 +16,7 @@ then found rare by their sums, so results are the same. (5) Counts are joined to
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from loomgraph.operators.order import in_order
 from loomgraph.shared import scratch
 
 DEPTH = 3  # words of the longest phrase
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 FILTER_BITS = 26  # a filter of 2**26 bits, or 8 MB
 TABLE = byte_table([9], b".,;:!?\n\x0b\x0c\r", lower=True)
 SPLIT = 64  # parts of a language that are ranked before the whole
@@ -73,12 +74,19 @@ class BidirectionalIndex:
     """Phrases of a sequence as intervals of two indexes, extended on either side. The sequence starts and ends with a break."""
 
     def __init__(self, seq: np.ndarray, sigma: int, depth: int = DEPTH):
-        self.sides = (Index(seq, sigma, depth), Index(seq[::-1].copy(), sigma, depth))
+        self.left = Index(seq, sigma, depth)
+        self.args = seq, sigma, depth
+
+    @functools.cached_property
+    def right(self) -> Index:
+        """The reverse's index, for those that extend to the right at all."""
+        seq, sigma, depth = self.args
+        return Index(seq[::-1].copy(), sigma, depth)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, low, low in the reverse, count) of each symbol but the break."""
-        first = self.sides[0].first
-        symbol = np.arange(1, self.sides[0].sigma)
+        first = self.left.first
+        symbol = np.arange(1, self.left.sigma)
         low, size = first[symbol], np.diff(first)[symbol]
         return symbol, low, low, size
 
@@ -87,7 +95,7 @@ class BidirectionalIndex:
 
         ``low`` is the interval's start in the index that is asked (the reverse one for ``right``) and ``other`` that in the other one.
         """
-        side = self.sides[right]
+        side = self.right if right else self.left
         interval, symbol, count, smaller = side.extensions(low, size)
         keep = symbol > 0
         interval, symbol, count, smaller = interval[keep], symbol[keep], count[keep], smaller[keep]
@@ -190,9 +198,9 @@ def pair_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
             mask = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), start) if len(word) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-    rows = pairs.select("pair").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    rows = pairs.select("pair").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
     return out.view(np.uint8)
 
 
