@@ -65,12 +65,12 @@ def pieces(text: Column, chars: int) -> Column:
 
 
 def text_fingerprints(texts: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """(doc_id, n_chars, text_sha256, n_norm, fp): length in bytes and fingerprint of each text without blanks.
+    """(row_id, doc_id, n_chars, text_sha256, n_norm, fp): a number of the row's own, and length in bytes and fingerprint of each text without blanks.
 
     Pieces of long texts are rows of their own, so tasks share them; their fingerprints meet by
-    document and are combined in order. Each row of the input keeps a row of its own.
+    row and are combined in order. Each row of the input keeps a row of its own.
     """
-    own = ["doc_id", "n_chars", "text_sha256"]
+    own = ["row_id", "doc_id", "n_chars", "text_sha256"]
     schema = "row_id long, doc_id long, n_chars long, text_sha256 string, n_pieces int, piece_no int, n_norm long, fp string"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -90,15 +90,14 @@ def text_fingerprints(texts: DataFrame, piece_chars: int = PIECE_CHARS) -> DataF
             total += int(n)
         return group.iloc[:1][own].assign(n_norm=total, fp="".join(f"{x:08x}" for x in value))
 
-    clean = normalised(F.col("text"))
     cut = texts.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.encode(clean, "UTF-8"), 256).alias("text_sha256"), pieces(F.col("text"), piece_chars).alias("p"),
+        normal_sha256(F.col("text")).alias("text_sha256"), pieces(F.col("text"), piece_chars).alias("p"),
     )
-    cut = cut.select("row_id", *own, F.size("p").alias("n_pieces"), F.posexplode("p").alias("piece_no", "piece")).withColumn("piece", F.col("piece").cast("binary"))
+    cut = cut.select(*own, F.size("p").alias("n_pieces"), F.posexplode("p").alias("piece_no", "piece")).withColumn("piece", F.col("piece").cast("binary"))
     hashed = stored(cut.mapInArrow(run, schema), "pieces")
     whole = hashed.where("n_pieces = 1").select(*own, "n_norm", "fp")
-    return whole.unionByName(hashed.where("n_pieces > 1").groupBy("row_id").applyInPandas(joined, "doc_id long, n_chars long, text_sha256 string, n_norm long, fp string"))
+    return whole.unionByName(hashed.where("n_pieces > 1").groupBy("row_id").applyInPandas(joined, "row_id long, doc_id long, n_chars long, text_sha256 string, n_norm long, fp string"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS, compare_chars: int = COMPARE_CHARS) -> DataFrame:
@@ -107,30 +106,39 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when the same without blanks (a null text is empty); of a group the row with the
     most code points, then the smallest id, stays. Groups come from equal fingerprints; then every
     member's text is compared with its group's first, piece by piece, and a group with any difference
-    is split by SHA-256. Ids are taken to be unique: rows that repeat an id are each counted, and all
-    are marked kept if their id is. A null id never stays before a row that has one. An empty table
-    gives an empty one.
+    is split by SHA-256. Of rows that repeat an id each is counted, and of such that would stay in a group, one
+    is marked kept. A null id never stays before a row that has one. An empty table gives an empty one.
     """
     texts = whole_texts(df, id_col, text_col)
     prints = text_fingerprints(texts, piece_chars)
-    first = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("first")
-    keep_id = (-F.col("first.neg")).alias("keep_id")
-    groups = stored(prints.groupBy("fp", "n_norm").agg(F.count("*").alias("group_size"), first).select("fp", "n_norm", "group_size", keep_id), "groups")
-    wrong = differing_groups(texts, prints.join(groups.where("group_size > 1").select("fp", "n_norm", "keep_id"), ["fp", "n_norm"]).select("doc_id", "keep_id"), compare_chars)
-    marked = groups.join(wrong.withColumn("split", F.lit(True)), "keep_id", "left")
-    row = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("text_sha256")]
+    first = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"), (-F.col("row_id")).alias("row"))).alias("first")
+    chosen = [F.count("*").alias("group_size"), first]
+    stays = [(-F.col("first.neg")).alias("keep_id"), (-F.col("first.row")).alias("keep_row")]
+    groups = stored(prints.groupBy("fp", "n_norm").agg(*chosen).select("fp", "n_norm", "group_size", *stays), "groups")
+    wrong = differing_groups(texts, prints.join(groups.where("group_size > 1").select("fp", "n_norm", "keep_row"), ["fp", "n_norm"]), compare_chars)
+    marked = groups.join(wrong.withColumn("split", F.lit(True)), ["fp", "n_norm"], "left")
+    row = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("text_sha256")]
     same = prints.join(marked.where("split is null"), ["fp", "n_norm"]).select(*row)
     apart = prints.join(marked.where("split").select("fp", "n_norm"), ["fp", "n_norm"])
-    parts = apart.groupBy("fp", "n_norm", "text_sha256").agg(F.count("*").alias("group_size"), first).select("fp", "n_norm", "text_sha256", "group_size", keep_id)
+    parts = apart.groupBy("fp", "n_norm", "text_sha256").agg(*chosen).select("fp", "n_norm", "text_sha256", "group_size", *stays)
     return same.unionByName(apart.join(parts, ["fp", "n_norm", "text_sha256"]).select(*row))
 
 
+def normal_sha256(text: Column) -> Column:
+    return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
+
+
 def differing_groups(texts: DataFrame, members: DataFrame, chars: int = COMPARE_CHARS) -> DataFrame:
-    """(keep_id) of groups with a member (doc_id, keep_id) whose text differs from the first's, compared in pieces that are rows of their own."""
-    cut = texts.join(members, "doc_id").select("doc_id", "keep_id", F.posexplode(pieces(normalised(F.col("text")), chars)).alias("piece_no", "piece"))
-    cut = stored(cut, "compared")
-    expected = cut.where("doc_id = keep_id").select("keep_id", "piece_no", F.col("piece").alias("expected"))
-    return cut.join(expected, ["keep_id", "piece_no"], "left").where(~F.col("piece").eqNullSafe(F.col("expected"))).select("keep_id").distinct()
+    """(fp, n_norm) of groups with a member whose text differs from that of the row that stays, compared in pieces that are rows of their own.
+
+    Members that repeat id and text count as one, so each row of ``texts`` is compared once with one text.
+    """
+    named = members.groupBy("doc_id", "text_sha256").agg(F.first("fp").alias("fp"), F.first("n_norm").alias("n_norm"), F.max(F.col("row_id") == F.col("keep_row")).alias("stays"))
+    named = named.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "fp", "n_norm", "stays")
+    met = texts.withColumn("of", normal_sha256(F.col("text"))).join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("sha")))
+    cut = stored(met.select("fp", "n_norm", "stays", F.posexplode(pieces(normalised(F.col("text")), chars)).alias("piece_no", "piece")), "compared")
+    expected = cut.where("stays").groupBy("fp", "n_norm", "piece_no").agg(F.first("piece").alias("expected"))
+    return cut.join(expected, ["fp", "n_norm", "piece_no"], "left").where(~F.col("piece").eqNullSafe(F.col("expected"))).select("fp", "n_norm").distinct()
 
 
 def op10_exact_dedup(spark, sf_dir):

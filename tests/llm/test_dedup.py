@@ -26,12 +26,27 @@ def test_exact(docs, rows, nothing, piece, compare):
 
 
 def test_equal_fingerprints_of_different_texts_are_told_apart(docs, rows, monkeypatch):
-    monkeypatch.setattr(exact, "text_fingerprints", lambda texts, chars: texts.selectExpr("doc_id", "cast(length(text) as long) as n_chars", "sha2(cast(translate(text, ' \t\n\u000b\f\r', '') as binary), 256) as text_sha256", "0L as n_norm", "'same' as fp"))
+    monkeypatch.setattr(exact, "text_fingerprints", lambda texts, chars: texts.selectExpr("monotonically_increasing_id() as row_id", "doc_id", "cast(length(text) as long) as n_chars", "sha2(cast(translate(text, ' \t\n\u000b\f\r', '') as binary), 256) as text_sha256", "0L as n_norm", "'same' as fp"))
     want = groups(rows)
     found = exact.exact_groups(docs).collect()
     assert all((r.keep_id, r.group_size) == want[r.doc_id][:2] for r in found) and len(found) == len(rows)
 
 
+def test_repeated_rows(spark, monkeypatch):
+    some = [(5, "a b")] * 700 + [(5, "a  b")] * 2 + [(5, "other")] * 3 + [(None, "ab")] * 2 + [(None, "alone")] * 2 + [(4, "a b"), (7, None), (7, "")]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+
+    def check():
+        found = exact.exact_groups(df).collect()
+        kept = sorted((r.keep_id is None, r.doc_id or 0, r.group_size) for r in found if r.kept)
+        assert len(found) == len(some) and kept == [(False, 5, 3), (False, 5, 705), (False, 7, 2), (True, 0, 2)]
+
+    check()
+    real = exact.text_fingerprints
+    monkeypatch.setattr(exact, "text_fingerprints", lambda texts, chars: real(texts, chars).selectExpr("row_id", "doc_id", "n_chars", "text_sha256", "0L as n_norm", "'same' as fp"))
+    check()
+
+
 def test_fingerprints_compose():
     powers, rng = exact.chunk_powers(), random.Random(2)
     for n in (0, 1, 1023, 1024, 1025, 5000):
