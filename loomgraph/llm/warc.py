@@ -17,6 +17,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pf
@@ -117,7 +118,9 @@ def write_index(archives: DataFrame, block_lines: int = BLOCK_LINES, range_lines
     """(key_range, block_no, first_key, first_page, n, archives, block): compressed blocks of index lines in order of key, in ranges of about ``range_lines``; a line names its archive by its place in the block's list."""
     spark = archives.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-archives.count() // range_lines))
-    lines = archives.select("url_key", "page_id", "archive", "offset", "length").repartitionByRange(ranges, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    lines = archives.select("url_key", "page_id", "archive", "offset", "length")
+    order = ["url_key", "page_id", "archive", "offset"]  # so that a key of very many captures spans ranges
+    lines = lines.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches):
         key_range, number, held = TaskContext.get().partitionId(), 0, []
@@ -148,22 +151,24 @@ def block_lines_of(archives: bytes, block: bytes) -> list[tuple[str, int, str, i
     return [(k, int(p), names[int(a)], int(o), int(n)) for k, p, a, o, n in (x.rsplit(" ", 4) for x in zlib.decompress(block).decode().split("\n"))]
 
 
-def search(directory: list[tuple[str, int]], block_of, key: str, page: int) -> tuple[str, int, int] | None:
-    """Binary search over the directory for the block, then within the block for the line."""
-    at = bisect.bisect_right(directory, (key, page)) - 1
-    if at < 0:
-        return None
-    lines = block_of(at)
-    i = bisect.bisect_left(lines, (key, page))
-    return lines[i][2:] if i < len(lines) and lines[i][:2] == (key, page) else None
+def search(directory: list[tuple[str, int]], block_of, key: str, page: int) -> Iterator[tuple[str, int, int]]:
+    """All captures of a key and page: binary search over the directory for the first block that may hold one, then within blocks for lines."""
+    for at in range(max(0, bisect.bisect_left(directory, (key, page)) - 1), len(directory)):
+        if directory[at] > (key, page):
+            return
+        lines = block_of(at)
+        for i in range(bisect.bisect_left(lines, (key, page)), len(lines)):
+            if lines[i][:2] != (key, page):
+                return
+            yield lines[i][2:]
 
 
 def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, archive, offset, length) of wanted captures (url, page_id); those not in the index are left out.
+    """(page_id, archive, offset, length) of all captures of each wanted (url, page_id); a pair that is wanted twice is looked up once, and those not in the index are left out.
 
-    Ranges' first keys, one for each 2**18 captures, tell each wanted key its range; in a range, keys and
-    blocks meet, and binary searches over directory and block find the line. A block is opened only when
-    a key falls in it.
+    Ranges' first keys, one for each 2**18 captures, tell each wanted key its range, or ranges where its captures fill several;
+    in a range, keys and blocks meet, and binary searches over directory and block find the lines. A block is opened
+    only when a key falls in it.
     """
     starts = [(r.k, r.p, r.key_range) for r in index.where("block_no = 0").select("key_range", F.col("first_key").alias("k"), F.col("first_page").alias("p")).collect()]
     starts.sort()
@@ -171,10 +176,12 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def ranged(batches):
         for batch in batches:
-            keys = [url_key(u) for u in batch.column(0).to_pylist()]
-            pages = batch.column(1).to_pylist()
-            at = [bisect.bisect_right(heads, (k, p)) - 1 for k, p in zip(keys, pages, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([starts[i][2] if i >= 0 else -1 for i in at], pa.int32()), pa.array(keys, pa.string()), pa.array(pages, pa.int64())], names=["key_range", "key", "page_id"])
+            rows = []
+            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key = url_key(url)
+                first, last = max(0, bisect.bisect_left(heads, (key, page)) - 1), bisect.bisect_right(heads, (key, page))
+                rows += [(starts[i][2], key, page) for i in range(first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["key_range", "key", "page_id"])
 
     def found(wanted_rows, blocks):
         blocks = blocks.sort_by("block_no")
@@ -188,13 +195,12 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
             return opened[i]
 
         rows = []
-        for key, page in sorted(zip(wanted_rows.column("key").to_pylist(), wanted_rows.column("page_id").to_pylist(), strict=True)):
-            hit = search(directory, block_of, key, page)
-            if hit:
-                rows.append((page, *hit))
+        for key, page in sorted(set(zip(wanted_rows.column("key").to_pylist(), wanted_rows.column("page_id").to_pylist(), strict=True))):
+            rows += [(page, *hit) for hit in search(directory, block_of, key, page)]
         return pa.table({n: pa.array([r[k] for r in rows], pa.string() if n == "archive" else pa.int64()) for k, n in enumerate(["page_id", "archive", "offset", "length"])})
 
-    keys = wanted.select(F.col("url").cast("string"), F.col("page_id").cast("long")).where("page_id is not null").mapInArrow(ranged, "key_range int, key string, page_id long")
+    pairs = wanted.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("long").alias("page_id")).where("page_id is not null")
+    keys = pairs.mapInArrow(ranged, "key_range int, key string, page_id long").distinct()
     return keys.groupBy("key_range").cogroup(index.groupBy("key_range")).applyInArrow(found, "page_id long, archive string, offset long, length long")
 
 
@@ -232,15 +238,17 @@ def read_ranges(ranges: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
             file.close()
 
     read = stored(dealt.mapInArrow(run, schema), "records")
-    sizes = read.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"), F.col("payload_digest").alias("full_digest"))
-    revisits = read.where("record_type = 'revisit'").join(sizes, "refers_to").where("payload_digest = full_digest")
-    return read.where("record_type = 'response'").unionByName(revisits.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
+    sizes = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
+    revisits = read.where("record_type = 'revisit'").join(sizes, ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response was read for the revisit of page "), F.col("page_id").cast("string"))).cast("long")
+    return read.where("record_type = 'response'").unionByName(revisits.select("page_id", F.coalesce("full", lost).alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write a record for each row of (page_id, url, html), index the archives, look every capture up and read it back.
 
-    A null html is an empty payload, a null url an empty key. Page ids are taken to be unique; a row with
+    A null html is an empty payload, a null url an empty key. Rows that repeat a page id have a record and a
+    result each: those of the largest id of a payload are all responses, and a revisit refers to their id. A row with
     a null id has no capture to look up and is left out. An empty table gives an empty one.
     """
     pages = pages.where("page_id is not null")

@@ -56,3 +56,21 @@ def test_keys():
     assert warc.url_key("https://www.Example.com/A?b=1#c") == "com,example)/A?b=1"
     assert warc.url_key("http://u@a.b:81") == "b,a:81)/"
     assert warc.url_key(None) == ")/"
+
+
+def test_repeated_page_ids(spark):
+    big, other = "h" * 1500, "i" * 1500
+    rows = [(1, "http://a", big), *[(2, "http://a", big)] * 300, (2, "http://b", big), (2, "http://a", other), (3, "http://a", "small"), (3, "http://a", "small"), (1, "http://a", big), (0, "http://a", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = warc.warc_round_trip(df).collect()
+    of = lambda h: hashlib.sha1(h.encode()).hexdigest()
+    want = [(1, 1500, of(big), "revisit", 2)] * 2 + [(2, 1500, of(big), "response", None)] * 301 + [(2, 1500, of(other), "response", None), (0, 1500, of(other), "revisit", 2)] + [(3, 5, of("small"), "response", None)] * 2
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
+def test_a_capture_of_many_lines_spans_blocks_and_ranges(spark):
+    df = spark.createDataFrame([(7, "http://a", str(k)) for k in range(60)] + [(8, "http://a", "x"), (6, "http://a", "y")], "page_id long, url string, html string")
+    index = warc.write_index(warc.write_archives(warc.plan_records(df)), block_lines=4, range_lines=5)
+    wanted = spark.createDataFrame([("http://a", 7), ("http://a", 8), ("http://a", 7), ("http://a", 5)], "url string, page_id long")
+    found = [(r.archive, r.offset) for r in warc.lookup(index, wanted).collect()]
+    assert len(found) == len(set(found)) == 61
