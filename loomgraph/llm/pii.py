@@ -15,7 +15,7 @@ it, with the entity or without.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]+"
 NAME = r"^\p{Lu}.*\p{Ll}|\p{L}\p{N}|\p{N}\p{L}|^[\p{Lo}\p{M}]+$"
 SPELLED = r"\p{L}{4,}"
+#: Numbers that are put together one by one; characters of a piece of text.
+SCAN, PIECE = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -73,20 +75,67 @@ def worth(kind: str, text: Column) -> Column:
     return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][\x20-]?){16}"), "phone": text.contains("+")}[kind]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each long of an array, what those before it combine to. Arrays grow by copies, so it goes by blocks and then within each, which keeps the work in proportion."""
+    none, empty = F.lit(zero).cast("long"), F.array().cast("array<bigint>")
+
+    def few(xs: Column) -> Column:
+        start = F.struct(none.alias("now"), empty.alias("out"))
+        return F.aggregate(xs, start, lambda s, x: F.struct(combine(s["now"], x).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")), lambda s: s["out"])
+
+    def many(xs: Column) -> Column:
+        block = lambda at: F.slice(xs, at + 1, F.lit(SCAN))
+        starts = F.sequence(F.lit(0), F.size(xs) - 1, F.lit(SCAN))
+        before = few(F.transform(starts, lambda at: F.aggregate(block(at), none, lambda x, y: combine(x, y))))
+        return F.flatten(F.zip_with(starts, before, lambda at, b: F.transform(few(block(at)), lambda x: combine(b, x))))
+
+    return bound(values, lambda xs: F.when(F.size(xs) == 0, empty).when(F.size(xs) <= SCAN, few(xs)).otherwise(many(xs)))
+
+
+def pieces_of(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` characters, so that a part of it is found without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part_of(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end``, exclusive."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor((end - 1) / PIECE).cast("int") - first + 1
+    return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, count), ""), (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def spans_of(text: Column, pattern: Column, kind: str, keep=None) -> Column:
     """Leftmost matches as spans in code points: the gaps that split() leaves and the matches follow each other in turn."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    hit_size = lambda p: F.coalesce(F.length(p["hit"]), F.lit(0))
 
-    def step(state, pair):
-        gap, hit = pair["gap"], pair["hit"]
-        begin = state["at"] + F.length(gap)
-        end = begin + F.coalesce(F.length(hit), F.lit(0))
-        span = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), hit.alias("value")))
-        good = hit.isNotNull() & (keep(hit) if keep else F.lit(True))
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
+    def spans(pairs: Column) -> Column:
+        at = running(F.transform(pairs, lambda p: (F.length(p["gap"]) + hit_size(p)).cast("long")), lambda x, y: x + y, 0)
+        begin = lambda p, a: (a + F.length(p["gap"])).cast("int")
+        named = F.zip_with(pairs, at, lambda p, a: F.struct(F.lit(kind).alias("kind"), begin(p, a).alias("start"), (begin(p, a) + hit_size(p)).alias("end"), p["hit"].alias("value")))
+        return F.filter(named, lambda s: s["value"].isNotNull() & (keep(s["value"]) if keep else F.lit(True)))
 
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return bound(pairs, spans)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``, by start."""
+    mark = lambda array, own: F.transform(array, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["kind"].alias("kind"), s["value"].alias("value")))
+    far = (1 << 62) - 1
+
+    def clear(all_: Column) -> Column:
+        latest = running(F.transform(all_, lambda s: F.when(s["own"], -1).otherwise(s["end"]).cast("long")), F.greatest, -1)
+        nearest = F.reverse(running(F.reverse(F.transform(all_, lambda s: F.when(s["own"], F.lit(far)).otherwise(s["start"]).cast("long"))), F.least, far))
+        zipped = F.arrays_zip(all_.alias("s"), latest.alias("before"), nearest.alias("after"))
+        kept = F.filter(zipped, lambda z: z["s"]["own"] & (z["before"] <= z["s"]["start"]) & (z["after"] >= z["s"]["end"]))
+        return F.transform(kept, lambda z: F.struct(z["s"]["kind"].alias("kind"), z["s"]["start"].alias("start"), z["s"]["end"].alias("end"), z["s"]["value"].alias("value")))
+
+    return bound(F.sort_array(F.concat(mark(spans, True), mark(others, False))), clear)
 
 
 def base_spans(text: Column) -> Column:
@@ -104,12 +153,16 @@ def disclosing_terms(found: DataFrame, rows: int, rule: Disclosure) -> DataFrame
 
     Counts are of documents, and copies of one passage are one context.
     """
-    hits = found.where(F.size("base") > 0).select("row_id", "text", F.explode("base").alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") + 1 - rule.context), F.least(F.lit(rule.context), F.col("s.start")))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(rule.context))
-    before = F.when(F.col("s.start") > rule.context, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # a word that the window cuts
-    after = F.when(F.col("s.end") + rule.context < F.length("text"), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    near = hits.select("row_id", F.lower("s.value").alias("entity"), before.alias("before"), after.alias("after"))
+    far = F.lit(rule.context)
+
+    def window(pieces: Column, s: Column) -> Column:
+        before, after = part_of(pieces, F.greatest(F.lit(0), s["start"] - far), s["start"]), part_of(pieces, s["end"], F.least(s["end"] + far, F.col("n_chars")))
+        before = F.when(s["start"] > far, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # a word that the window cuts
+        after = F.when(s["end"] + far < F.col("n_chars"), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+        return F.struct(F.lower(s["value"]).alias("entity"), before.alias("before"), after.alias("after"))
+
+    hits = found.where(F.size("base") > 0).withColumn("n_chars", F.length("text"))
+    near = hits.select("row_id", F.explode(bound(pieces_of(F.col("text")), lambda p: F.transform("base", lambda s: window(p, s)))).alias("near")).select("row_id", "near.*")
     words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     near = near.select("row_id", "entity", F.md5(F.concat_ws(" ", "before", "after")).alias("witness"), F.concat(words("before"), F.array(F.lit("@")), words("after")).alias("w"))
     entities = near.groupBy("entity").agg(F.count_distinct("row_id").alias("with_entity"), F.count_distinct("witness").alias("contexts"))
@@ -124,8 +177,9 @@ def disclosing_terms(found: DataFrame, rows: int, rule: Disclosure) -> DataFrame
     pairs = pairs.select("entity", "term", F.col("n_row_id").alias("both"), "with_entity", "bits", F.when(F.col("contexts") < rule.evidence, rule.remove).otherwise(rule.share).alias("least"))
     spelled = entities.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("entity", F.lit(SPELLED), F.lit(0)))).alias("term"), F.col("with_entity").alias("both"), "with_entity", "bits", F.lit(rule.share).alias("least"))
     tried = pairs.unionByName(spelled).groupBy("entity", "term", "with_entity", "bits").agg(F.max("both").alias("both"), F.min("least").alias("least"))
-    terms = found.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    told = tried.join(terms, "term")
+    tried = stored(tried, "tried")  # few beside all words, so only words of texts that are tried are moved
+    terms = found.select(F.explode(words_of(F.col("text"))).alias("term")).join(stored(tried.select("term").distinct(), "terms"), "term", "left_semi")
+    told = tried.join(terms.groupBy("term").agg(F.count("*").alias("with_term")), "term")
     mutual = F.log2(F.col("both") * F.lit(float(max(1, rows))) / (F.col("with_entity") * F.col("with_term")))
     return told.withColumn("share", mutual / F.col("bits")).where(F.col("share") >= F.col("least")).select("entity", "term", "share", (F.col("with_term") > F.col("both")).alias("wide"))
 
@@ -144,14 +198,13 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = stored(disclosing_terms(found, found.count(), rule), "disclosing")
     own = found.where(F.size("base") > 0).select("row_id", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
     own = own.join(told, "entity").select("row_id", "term", "share")
-    wide = told.where("wide").groupBy("term").agg(F.max("share").alias("share"))
+    wide = stored(told.where("wide").groupBy("term").agg(F.max("share").alias("share")), "wide")
     others = found.select("row_id", F.explode(words_of(F.col("text"))).alias("term")).join(wide, "term").select("row_id", "term", "share")
     wanted = own.unionByName(others).groupBy("row_id", "term").agg(F.max("share").alias("share")).groupBy("row_id")
     wanted = stored(wanted.agg(F.sort_array(F.collect_list("term")).alias("words"), F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "wanted")
     some = stored(wanted.select("row_id"), "some")  # a few bytes a row, so mostly small enough to leave the other texts where they are
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
-    clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    spans = F.filter(spans_of(F.col("text"), pattern, "term"), clear)
+    spans = apart(spans_of(F.col("text"), pattern, "term"), F.col("base"))
     marked = stored(found.join(some, "row_id", "left_semi").join(wanted, "row_id").select("row_id", spans.alias("terms"), "shares"), "terms")
     out = found.join(marked, "row_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
     return out.select("row_id", "doc_id", "base", "terms", "shares", *["text"] * with_text, *more)
@@ -174,19 +227,22 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     found = personal_data(df, id_col, text_col, rule, with_text=True, carry=carry)
     gone = lambda s: (s["kind"] == "term") & (F.coalesce(F.element_at("shares", F.lower(s["value"])), F.lit(0.0)) >= rule.remove)
     tagged = F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(gone(s), "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("tag")))
-    kind = "array<struct<start:int,end:int,tag:string>>"
-
-    def merge(out, s):
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["tag"].alias("tag"))))
-        return F.when((F.size(out) > 0) & (s["start"] < F.try_element_at(out, F.lit(-1))["end"]), joined).otherwise(F.concat(out, F.array(s)))
-
-    merged = F.aggregate(F.sort_array(tagged), F.array().cast(kind), merge)
-    cut = found.withColumn("m", F.when(F.size("base") + F.size("terms") > 0, merged).otherwise(F.array().cast(kind)))
-    begin = F.lit(0)
-    parts = F.transform("m", lambda s, i: F.concat(F.substring(F.col("text"), F.when(i > 0, F.try_element_at("m", i)["end"]).otherwise(begin) + 1, s["start"] - F.when(i > 0, F.try_element_at("m", i)["end"]).otherwise(begin)), s["tag"]))
-    rest = F.substring(F.col("text"), F.element_at("m", -1)["end"] + 1, F.length("text"))
-    return cut.select("row_id", "doc_id", F.when(F.size("m") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest)).alias("text"), *["carried"] * bool(carry))
+    none = F.array().cast("array<struct<start:int,end:int,tag:string>>")
+
+    def merged(spans: Column) -> Column:
+        """Spans by start: of those that overlap, the first one's start and tag, and the last end."""
+        reach = running(F.transform(spans, lambda s: s["end"].cast("long")), F.greatest, -1)
+        first = F.filter(F.arrays_zip(spans.alias("s"), reach.alias("reach")), lambda z: z["s"]["start"] >= z["reach"])
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return bound(first, lambda f: F.transform(f, lambda z, i: F.struct(z["s"]["start"].alias("start"), F.coalesce(F.get(f, i + 1)["reach"].cast("int"), last).alias("end"), z["s"]["tag"].alias("tag"))))
+
+    cut = found.withColumn("m", F.when(F.size("base") + F.size("terms") > 0, bound(F.sort_array(tagged), merged)).otherwise(none))
+
+    def replaced(pieces: Column) -> Column:
+        parts = F.transform("m", lambda s, i: F.concat(part_of(pieces, F.coalesce(F.get("m", i - 1)["end"], F.lit(0)), s["start"]), s["tag"]))
+        return F.concat(F.array_join(parts, ""), part_of(pieces, F.element_at("m", -1)["end"], F.length("text")))
+
+    return cut.select("row_id", "doc_id", F.when(F.size("m") == 0, F.col("text")).otherwise(bound(pieces_of(F.col("text")), replaced)).alias("text"), *["carried"] * bool(carry))
 
 
 def op8_pii(spark, sf_dir):
