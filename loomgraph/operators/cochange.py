@@ -36,6 +36,32 @@ def pair_counts(sets: DataFrame) -> DataFrame:
     return pairs.groupBy("file1", "file2").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def apply_history(commit_files: DataFrame, batch: DataFrame) -> DataFrame:
+    """(hash, path, ts) after a batch of (hash, path, ts, sign): rows of sign 1 are added and those of -1 withdrawn; rows of one (hash, path) add up, and it is there if the sum is positive."""
+    both = commit_files.select("hash", "path", "ts", F.lit(1).alias("sign")).distinct().unionByName(batch.select("hash", "path", "ts", "sign"))
+    return both.groupBy("hash", "path").agg(F.max("ts").alias("ts"), F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
+
+
+def pair_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file1, file2, frequency): how common changes of pairs grow or shrink from one state of some commits to another; pairs that don't change are left out."""
+    signed = lambda cf, sign: pair_counts(commit_sets(cf)).select("file1", "file2", (F.col("frequency") * sign).alias("frequency"))
+    return signed(before, -1).unionByName(signed(after, 1)).groupBy("file1", "file2").agg(F.sum("frequency").alias("frequency")).where("frequency <> 0")
+
+
+def maintain_pairs(commit_files: DataFrame, counts: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The history and its pair counts (file1, file2, frequency) after a batch of signed rows.
+
+    Only commits that the batch names are mined again, as they were and as they are, and the difference is added to the stored counts.
+    Pairs that no commit holds any more go. Withdrawing what isn't there changes nothing.
+    """
+    named = batch.select("hash").distinct()
+    touched = commit_files.join(named, "hash", "left_semi").select("hash", "path", "ts")
+    now = apply_history(touched, batch)
+    merged = counts.select("file1", "file2", "frequency").unionByName(pair_deltas(touched, now))
+    kept = commit_files.join(named, "hash", "left_anti").select("hash", "path", "ts").unionByName(now)
+    return kept, merged.groupBy("file1", "file2").agg(F.sum("frequency").alias("frequency")).where("frequency <> 0")
+
+
 def file_counts(sets: DataFrame, least: int = 1) -> DataFrame:
     return sets.where(F.size("files") >= least).select(F.explode("files").alias("path")).groupBy("path").agg(F.count("*").alias("changes"))
 

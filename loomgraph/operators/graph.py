@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths as P
@@ -30,6 +30,41 @@ def reference_edges(symbols: DataFrame) -> DataFrame:
     return refs.join(named, "ref").where("src <> dst").select("src", "dst", "ref").distinct()
 
 
+SCOPES = ("file", "import", "folder", "anywhere")
+
+
+def resolve_references(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(src, path, name, dst, scope): each reference's symbol, the nearest of its name: in the same file, in a file that this one imports, in the same folder, or anywhere; of several the smallest id.
+
+    ``refs`` has (src, path, name), ``symbols`` (symbol_id, name, path), ``imports`` (path, target); a reference to itself is none. For each scope, symbols come
+    down to the two smallest ids of a name and place before any reference meets them, so names that stand in very many files cost
+    no more than others. References without a symbol of their name have null for both; repeated ones count once.
+    """
+    folder = lambda c: F.regexp_extract(c, "^(.*/)?", 0)
+    by_file = smallest_two(symbols.select("name", F.col("path").alias("place"), "symbol_id"), ["name", "place"])
+    by_folder = smallest_two(symbols.select("name", folder("path").alias("place"), "symbol_id"), ["name", "place"])
+    by_name = smallest_two(symbols.select("name", "symbol_id"), ["name"])
+    r = refs.select("src", "path", "name").distinct()
+    other = lambda c: F.filter(c, lambda x: ~x.eqNullSafe(F.col("src")))
+    offer = lambda met, k: met.select("src", "path", "name", F.lit(k).alias("scope"), F.explode(other("ids")).alias("dst"))
+    in_file = offer(r.withColumn("place", F.col("path")).join(by_file, ["name", "place"]), 0)
+    reached = imports.select("path", F.col("target").alias("place")).where("path is not null and target is not null and path <> target").distinct()
+    named = by_file.join(reached, "place").select("name", "path", F.explode("ids").alias("symbol_id"))  # symbols as each importing file sees them
+    in_import = offer(r.join(smallest_two(named, ["name", "path"]), ["name", "path"]), 1)
+    in_folder = offer(r.withColumn("place", folder("path")).join(by_folder, ["name", "place"]), 2)
+    anywhere = offer(r.join(by_name, "name"), 3)
+    best = in_file.unionByName(in_import).unionByName(in_folder).unionByName(anywhere).groupBy("src", "path", "name").agg(F.min(F.struct("scope", "dst")).alias("best"))
+    key = F.col("r.src").eqNullSafe(F.col("b.src")) & F.col("r.path").eqNullSafe(F.col("b.path")) & (F.col("r.name") == F.col("b.name"))
+    names = F.array(*map(F.lit, SCOPES))
+    return r.alias("r").join(best.alias("b"), key, "left").select("r.src", "r.path", "r.name", F.col("b.best.dst").alias("dst"), F.get(names, F.col("b.best.scope")).alias("scope"))
+
+
+def smallest_two(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ids): the two smallest ids of each key, for a reference may be the smallest itself; tasks leave out others before rows are moved."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("symbol_id"))
+    return rows.distinct().withColumn("nth", nth).where("nth <= 2").groupBy(*keys).agg(F.sort_array(F.collect_list("symbol_id")).alias("ids"))
+
+
 def call_count(symbols: DataFrame) -> DataFrame:
     is_call = F.col("type").isin("function", "method") & (F.col("signature").contains("=>") | F.col("signature").contains("return"))
     return symbols.agg(F.count_if(is_call).alias("calls"))
@@ -121,7 +156,5 @@ def dependencies(edges: DataFrame, node, direction: str = "both") -> DataFrame:
 
 def by_share(df: DataFrame, key: str | Column, count: str = "n") -> DataFrame:
     """Counts by a key with their percentage; the total is that of the counts, one row a key."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(key).agg(F.count("*").alias(count))
     return counts.withColumn("percent", F.col(count) * 100.0 / F.sum(count).over(Window.partitionBy(F.lit(1))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import cochange, diff, files, graph, maintain, semantic
+from loomgraph.plans import cochange, diff, files, graph, maintain, semantic, versions
 
-MODULES: tuple = (cochange, files, graph, semantic, diff, maintain)
+MODULES: tuple = (cochange, files, graph, semantic, diff, maintain, versions)
 
 
 def queries() -> dict:
