@@ -88,48 +88,128 @@ def orphan_edges_removed(edges: DataFrame, nodes: DataFrame, node: str = "node")
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi")
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 1000, steps: int = 2) -> DataFrame:
+def contracted(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (src, dst, chain, size) with chains as one edge each, the chains' nodes (chain, node, place), and rings (node, component).
+
+    A chain is a longest row of nodes with one edge in and one out; ``size`` nodes stand between its edge's ends, in order of
+    ``place``. Rows of such nodes that close on themselves are rings. Nodes in ``keep`` (node) are never put into a chain. Pointers are followed by
+    doubling, so rounds grow with the logarithm of the longest chain. ``edges`` are distinct and without loops.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("succ"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("pred"))
+    middle = out.join(into, "node").where("n_out = 1 and n_in = 1").select("node", "pred", "succ")
+    middle = stored(middle if keep is None else middle.join(keep.select("node").distinct(), "node", "left_anti"), "chains")
+    inner = middle.select(F.col("node").alias("succ"), F.lit(True).alias("inner"))
+    one = F.when(F.col("inner"), 1).otherwise(0)
+    jumps = middle.join(inner, "succ", "left").select("node", F.when(F.col("inner"), F.col("succ")).otherwise(F.col("node")).alias("next"), one.cast("long").alias("hops"), F.col("inner").isNull().alias("ends"), F.least("node", F.when(F.col("inner"), F.col("succ"))).alias("low"))
+    jumps = stored(jumps, "jumps")
+    reach, n, before = 1, jumps.where("not ends").count(), -1
+    while n and not (n == before and reach >= n):  # a chain that goes on has fewer left each round, so then all left are rings, and seen all round
+        further = jumps.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("hops").alias("hops2"), F.col("ends").alias("ends2"), F.col("low").alias("low2"))
+        jumps = stored(jumps.join(further, "next").select("node", F.col("next2").alias("next"), F.when(F.col("ends"), F.col("hops")).otherwise(F.col("hops") + F.col("hops2")).alias("hops"), (F.col("ends") | F.col("ends2")).alias("ends"), F.least("low", "low2").alias("low")), "jumps")
+        reach, n, before = 2 * reach, jumps.where("not ends").count(), n
+    rings = jumps.where("not ends").select("node", F.col("low").alias("component"))
+    done = jumps.where("ends").select(F.col("next").alias("chain"), "node", "hops")
+    sizes = done.groupBy("chain").agg((F.max("hops") + 1).alias("size"), F.max_by("node", "hops").alias("head"))
+    members = done.join(sizes.select("chain", "size"), "chain").select("chain", "node", (F.col("size") - 1 - F.col("hops")).alias("place"))
+    begins = sizes.join(middle.select(F.col("node").alias("head"), F.col("pred").alias("src")), "head")
+    whole = begins.join(middle.select(F.col("node").alias("chain"), F.col("succ").alias("dst")), "chain").select("src", "dst", "chain", "size")
+    rest = edges.join(middle.select(F.col("node").alias("src")), "src", "left_anti").join(middle.select(F.col("node").alias("dst")), "dst", "left_anti")
+    none = F.lit(None).cast(edges.schema["src"].dataType)
+    return stored(rest.select("src", "dst", none.alias("chain"), F.lit(0).cast("long").alias("size")).unionByName(whole), "contracted"), stored(members, "members"), rings
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have edges in and out."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))).alias("e"))
+    both = ends.groupBy("e.node").agg(F.max("e.out").alias("a"), F.min("e.out").alias("b")).where("a and not b").select("node")
+    return edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def strongly_connected(edges: DataFrame, steps: int = 6) -> DataFrame:
     """(node, component) of nodes on cycles: components of more than one node, and self loops; the label is the smallest member.
 
-    Nodes that no cycle can hold are trimmed. Then each node takes the smallest label that reaches it and
-    the smallest that it reaches, in one loop: where both are the same, the node is in that label's
+    Chains are contracted first, in rounds that grow with the logarithm of their length. Then each node takes the smallest label that
+    reaches it and the smallest that it reaches, in one loop: where both are the same, the node is in that label's
     component. These leave the graph, and so do edges between nodes that differ in either label, which
-    no component can hold. Tables are written every ``steps`` steps along the edges.
+    no component can hold, and nodes without edges in or out. Both directions are rows of one table, so a step is one join with the
+    edges and one minimum; tables are written every ``steps`` steps. Null ends are left out.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    left = stored(edges.where("src <> dst and src is not null and dst is not null").select("src", "dst").distinct(), "scc-edges")
-    found: list[DataFrame] = []
-    for _ in range(max_rounds):
-        n = left.count()
-        while n:  # trim
-            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            left = stored(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc-edges")
-            before, n = n, left.count()
-            if n == before:
-                break
-        if n == 0:
-            break
-        labels = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("above"), F.col("node").alias("below"))
+    simple = stored(edges.where("src <> dst and src is not null and dst is not null").select("src", "dst").distinct(), "scc-edges")
+    short, members, rings = contracted(simple)
+    found = [_components(short.where("src <> dst").select("src", "dst").distinct(), steps)]
+    of = found[0].select(F.col("node").alias("at"), F.col("component").alias("c"))
+    held = short.where("chain is not null").select("src", "dst", "chain")
+    held = held.join(of.select(F.col("at").alias("src"), F.col("c").alias("c1")), "src", "left").join(of.select(F.col("at").alias("dst"), F.col("c").alias("c2")), "dst", "left")
+    held = held.where("src = dst or c1 = c2").select("chain", "src", F.coalesce("c1", "src").alias("component"))
+    inner = members.join(held.select("chain", "component"), "chain").select("node", "component")
+    alone = held.select(F.col("src").alias("node"), "component")  # a node whose chain leads back to it
+    all_ = found[0].unionByName(inner).unionByName(alone).unionByName(rings).distinct()
+    named = all_.join(all_.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
+    return named.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def _components(edges: DataFrame, steps: int) -> DataFrame:
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+    left = stored(trimmed(edges), "scc-edges")
+    while left.limit(1).count():
+        ways = left.select(F.explode(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("way")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("way")))).alias("e")).select("e.*")
+        ways = stored(ways, "scc-ways")
+        labels = ways.select(F.explode(F.array("at", "to")).alias("node"), "way").distinct().select("node", "way", F.col("node").alias("label"))
         moved = True
         while moved:
-            now = labels.withColumns({"was_above": F.col("above"), "was_below": F.col("below")})
+            now = labels.withColumn("was", F.col("label"))
             for _ in range(steps):
-                sent = left.join(now.select(F.col("node").alias("src"), F.col("above").alias("down")), "src").join(now.select(F.col("node").alias("dst"), F.col("below").alias("up")), "dst")
-                one = lambda node, above, below: F.struct(F.col(node).alias("node"), above.alias("a"), below.alias("b"))
-                none = F.lit(None).cast(left.schema["src"].dataType)
-                offers = sent.select(F.explode(F.array(one("dst", F.col("down"), none), one("src", none, F.col("up")))).alias("o")).groupBy("o.node").agg(F.min("o.a").alias("a"), F.min("o.b").alias("b"))
-                now = now.join(offers, "node", "left").select("node", F.least("above", "a").alias("above"), F.least("below", "b").alias("below"), "was_above", "was_below")
+                offers = ways.join(now.select(F.col("node").alias("at"), "way", "label"), ["at", "way"]).select(F.col("to").alias("node"), "way", "label", F.lit(None).cast(left.schema["src"].dataType).alias("was"))
+                now = now.unionByName(offers).groupBy("node", "way").agg(F.min("label").alias("label"), F.max("was").alias("was"))
             now = stored(now, "scc-labels")
-            moved = now.where("above < was_above or below < was_below").limit(1).count() > 0
-            labels = now.select("node", "above", "below")
-        done = labels.where("above = below")
-        found.append(done.join(done.groupBy("above").agg(F.count("*").alias("n")).where("n > 1"), "above").select("node", F.col("above").alias("component")))
-        ends = [labels.where("above <> below").select(F.col("node").alias(c), F.struct("above", "below").alias(f"of_{c}")) for c in ("src", "dst")]
-        left = stored(left.join(ends[0], "src").join(ends[1], "dst").where("of_src = of_dst").select("src", "dst"), "scc-edges")
-    out = loops
-    for f in found:
-        out = out.unionByName(f)
-    return out.groupBy("node").agg(F.min("component").alias("component"))
+            moved = now.where("label < was").limit(1).count() > 0
+            labels = now.select("node", "way", "label")
+        both = stored(labels.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("label"))).alias("above"), F.max(F.when(F.col("way") == 1, F.col("label"))).alias("below")), "scc-both")
+        done = both.where("above = below")
+        found = found.unionByName(done.join(done.groupBy("above").agg(F.count("*").alias("n")).where("n > 1"), "above").select("node", F.col("above").alias("component")))
+        ends = [both.where("above <> below").select(F.col("node").alias(c), F.struct("above", "below").alias(f"of_{c}")) for c in ("src", "dst")]
+        left = stored(trimmed(left.join(ends[0], "src").join(ends[1], "dst").where("of_src = of_dst").select("src", "dst")), "scc-edges")
+    return found
+
+
+def cycle_paths(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, place, node): for each component one shortest cycle through its smallest node, from that node (place 0) on; its last node leads back to the first.
+
+    ``components`` is what ``strongly_connected`` gives. Chains inside components are one edge each with their length. From each component's
+    smallest node, distances spread along edges until none gets shorter; of equal ones the smallest predecessor counts. Then
+    all cycles are followed back together, and chains are filled in. Rounds grow with the edges of such a cycle, chains counted as one.
+    """
+    label = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    inside = edges.select("src", "dst").distinct().join(label("src"), "src").join(label("dst"), "dst").where("of_src = of_dst")
+    looped = stored(inside.where("src = dst and src = of_src").select(F.col("of_src").alias("component")), "looped")
+    simple = stored(inside.where("src <> dst").join(looped.withColumnRenamed("component", "of_src"), "of_src", "left_anti").select("src", "dst"), "cycle-edges")
+    starts = components.where("node = component").select("node")
+    short, members, _ = contracted(simple, keep=starts)
+    size = F.col("size") + 1
+    hops = stored(short.groupBy("src", "dst").agg(F.min(F.struct(size.alias("length"), "chain")).alias("best")).select("src", "dst", "best.length", "best.chain").join(label("src"), "src").withColumnRenamed("of_src", "component"), "hops")
+    # (node, distance, before): the start itself is left out, so what comes back to it is the cycle
+    known = stored(hops.where("src = component").select(F.col("dst").alias("node"), "component", F.col("length").alias("distance"), F.col("src").alias("before")), "distances")
+    moved = True
+    while moved:
+        further = hops.join(known.where("node <> component").select(F.col("node").alias("src"), "distance"), "src").select(F.col("dst").alias("node"), "component", (F.col("distance") + F.col("length")).alias("distance"), F.col("src").alias("before"))
+        all_ = known.withColumn("old", F.col("distance")).unionByName(further.withColumn("old", F.lit(None).cast("long")))
+        now = stored(all_.groupBy("node", "component").agg(F.min(F.struct("distance", "before")).alias("best"), F.max("old").alias("old")).select("node", "component", "best.*", "old"), "distances")
+        # a start that is reached bounds its component: what is as far can't shorten its cycle
+        reached = now.where("node = component").select("component", F.col("distance").alias("most"))
+        moved = now.join(reached, "component", "left").where("(old is null or distance < old) and (most is null or distance < most)").limit(1).count() > 0
+        known = now.drop("old")
+    back = hops.select(F.col("src").alias("before"), F.col("dst").alias("node"), "length", "chain")
+    at = stored(known.where("node = component").join(back, ["before", "node"]).select("component", "before", "distance", "length", "chain"), "back")
+    path = at
+    while at.where("before <> component").limit(1).count():
+        step = at.where("before <> component").select("component", F.col("before").alias("node")).join(known, ["component", "node"]).join(back, ["before", "node"])
+        at = stored(step.select("component", "before", "distance", "length", "chain"), "back")
+        path = path.unionByName(at)
+    path = stored(path.select("component", F.col("before").alias("node"), (F.col("distance") - F.col("length")).alias("place"), "chain"), "paths")
+    inner = path.select("component", "chain", F.col("place").alias("from")).join(members, "chain").select("component", (F.col("from") + 1 + F.col("place")).alias("place"), "node")
+    return path.select("component", "place", "node").unionByName(inner).unionByName(looped.select("component", F.lit(0).cast("long").alias("place"), F.col("component").alias("node")))
 
 
 def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:

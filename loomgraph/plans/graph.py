@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
 from loomgraph.plans.relations import RETURN_SQL, return_edges, table
+from loomgraph.shared import stored
 
 HREF = 'href="([^"]*)"'
 
@@ -51,6 +52,16 @@ def cycle_sizes(spark, d):
     return cycles_scc(spark, d).groupBy("component").agg(F.count("*").alias("nodes"), F.min("node").alias("first"), F.max("node").alias("last"), F.sum("node").alias("ids"))
 
 
+def cycle_paths(spark, d):
+    """One shortest cycle through each component's smallest part: its length, whether each step is an edge, and whether it closes."""
+    edges = return_edges(spark, d).select("src", "dst")
+    path = stored(G.cycle_paths(edges, stored(G.strongly_connected(edges), "components")), "cycle-paths")
+    sizes = path.groupBy("component").agg(F.count("*").alias("length"), F.count_distinct("node").alias("nodes"))
+    steps = path.join(sizes.select("component", "length"), "component").select("component", F.col("node").alias("src"), F.pmod(F.col("place") + 1, "length").alias("place"))
+    taken = steps.join(path.select("component", "place", F.col("node").alias("dst")), ["component", "place"]).join(edges, ["src", "dst"])
+    return sizes.join(taken.groupBy("component").agg(F.count("*").alias("edges")), "component").select("component", "length", "nodes", "edges")
+
+
 def part_symbols(spark, d):
     """Parts as functions whose signature names two types: the class of its own name, and that of the brand's."""
     cls = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
@@ -103,7 +114,7 @@ def containing_symbol(spark, d):
     return G.containing(points.select("path", "point"), spans)
 
 
-QUERIES = {f.__name__: f for f in (import_edges, resolve_imports, hotspots, isolated, cycles_scc, cycle_sizes, reference_edges, relationship_metrics, most_imported, import_totals, search_symbols, symbol_info, dependencies_of, orphan_cleanup, containing_symbol)}
+QUERIES = {f.__name__: f for f in (import_edges, resolve_imports, hotspots, isolated, cycles_scc, cycle_sizes, cycle_paths, reference_edges, relationship_metrics, most_imported, import_totals, search_symbols, symbol_info, dependencies_of, orphan_cleanup, containing_symbol)}
 
 HREFS = """h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)"""
 SYMBOLS = """s AS (SELECT p_partkey AS symbol_id, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || x[2:]), 'string_agg', '') AS name, replace(p_brand, '#', '') AS brand FROM part),
@@ -123,6 +134,10 @@ ORACLES = {
     "isolated": f"WITH {RETURN_SQL} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
     "cycles_scc": f"{SCC} SELECT node, component FROM scc",
     "cycle_sizes": f"{SCC} SELECT component, count(*) AS nodes, min(node) AS first, max(node) AS last, sum(node)::BIGINT AS ids FROM scc GROUP BY 1",
+    "cycle_paths": f"""{SCC}, far AS (SELECT component, dst AS node, 1 AS length FROM scc JOIN edges ON src = node WHERE node = component
+            UNION SELECT far.component, dst, length + 1 FROM far JOIN edges ON src = node JOIN scc ON scc.node = dst AND scc.component = far.component
+            WHERE far.node <> far.component AND length < 60)
+        SELECT component, min(length)::BIGINT AS length, min(length)::BIGINT AS nodes, min(length)::BIGINT AS edges FROM far WHERE node = component GROUP BY 1""",
     "reference_edges": f"WITH {SYMBOLS} SELECT dst, ref, count(*) AS n FROM re GROUP BY 1, 2",
     "relationship_metrics": f"""WITH {HREFS}, {SYMBOLS}, t AS (SELECT CASE WHEN starts_with(href, '/') THEN 'imports' ELSE 'external' END AS type FROM h UNION ALL SELECT 'references' FROM re)
         SELECT coalesce(type, 'total') AS type, count(*) AS n FROM t GROUP BY ROLLUP (type)""",

@@ -107,3 +107,64 @@ def test_cluster_names(spark):
     rows = [("c", "internal/auth/handler"), ("c", "auth/token and more"), ("c", "the session"), ("d", "a")]
     found = {r.cluster: r.name for r in N.cluster_names(spark.createDataFrame(rows, "cluster string, name string"), "cluster", "name").collect()}
     assert found == {"c": "auth-cluster", "d": "cluster"}
+
+
+def scc_of(edges):
+    reach = {(a, b) for a, b in edges}
+    while True:
+        more = {(a, d) for a, b in reach for c, d in reach if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    nodes = {n for e in edges for n in e}
+    return {n: min(m for m in nodes if (n, m) in reach and (m, n) in reach) for n in nodes if (n, n) in reach}
+
+
+def shortest(edges, inside, start):
+    at, n = {start}, 0
+    while True:
+        at, n = {b for a, b in edges if a in at and inside.get(b) == start}, n + 1
+        if start in at:
+            return n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_and_cycles_with_chains(spark, seed):
+    rng = random.Random(seed)
+    edges, fresh = {(rng.randrange(9), rng.randrange(9)) for _ in range(14)}, iter(range(100, 999))
+    for _ in range(6):  # chains between nodes, some from a node to itself
+        row = [rng.randrange(9), *(next(fresh) for _ in range(rng.randint(1, 7))), rng.randrange(9)]
+        edges |= set(zip(row, row[1:]))
+    ring = [next(fresh) for _ in range(11)]
+    rng.shuffle(ring)
+    edges |= set(zip(ring, ring[1:] + ring[:1])) | {(50, 51), (51, 52), (60, 60)}
+    df = spark.createDataFrame([*edges, *list(edges)[:3], (None, 1), (1, None)], "src int, dst int")
+    found = G.strongly_connected(df, steps=2)
+    want = scc_of(edges)
+    assert {r.node: r.component for r in found.collect()} == want
+    paths = {}
+    for r in sorted(G.cycle_paths(df, found).collect()):
+        paths.setdefault(r.component, []).append((r.place, r.node))
+    assert paths.keys() == set(want.values())
+    for start, path in paths.items():
+        nodes = [n for _, n in path]
+        assert [p for p, _ in path] == list(range(len(path))) and nodes[0] == start and len(set(nodes)) == len(nodes)
+        assert all(e in edges for e in zip(nodes, nodes[1:] + nodes[:1])) and len(nodes) == shortest(edges, want, start)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, rng, written = 5000, random.Random(1), []
+    monkeypatch.setattr(G, "stored", lambda df, name, real=G.stored: written.append(name) or real(df, name))
+    order = list(range(n))
+    rng.shuffle(order)
+    edges = [*zip(order, order[1:]), *((n + k, n + (k + 1) % 5000) for k in range(5000))]  # a chain, and a ring
+    df = spark.createDataFrame(edges, "src int, dst int")
+    found = {r.node: r.component for r in G.strongly_connected(df).collect()}
+    assert found == dict.fromkeys(range(n, 2 * n), n) and len(written) < 40
+    path = G.cycle_paths(df, spark.createDataFrame(list(found.items()), "node int, component int"))
+    assert [r.node for r in sorted(path.collect())] == list(range(n, 2 * n))
+
+
+def test_no_cycles(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")
+    assert G.strongly_connected(df).count() == 0 == G.cycle_paths(df, G.strongly_connected(df)).count()
