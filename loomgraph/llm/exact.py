@@ -135,7 +135,8 @@ def differing_groups(texts: DataFrame, members: DataFrame, chars: int = COMPARE_
     """
     named = members.groupBy("doc_id", "text_sha256").agg(F.first("fp").alias("fp"), F.first("n_norm").alias("n_norm"), F.max(F.col("row_id") == F.col("keep_row")).alias("stays"))
     named = named.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "fp", "n_norm", "stays")
-    met = texts.withColumn("of", normal_sha256(F.col("text"))).join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("sha")))
+    own = normal_sha256(F.col("text"))
+    met = texts.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (own >= F.col("sha")) & (own <= F.col("sha")))  # not as a key, so only members' texts are hashed
     cut = stored(met.select("fp", "n_norm", "stays", F.posexplode(pieces(normalised(F.col("text")), chars)).alias("piece_no", "piece")), "compared")
     expected = cut.where("stays").groupBy("fp", "n_norm", "piece_no").agg(F.first("piece").alias("expected"))
     return cut.join(expected, ["fp", "n_norm", "piece_no"], "left").where(~F.col("piece").eqNullSafe(F.col("expected"))).select("fp", "n_norm").distinct()
