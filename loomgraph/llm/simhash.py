@@ -144,6 +144,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 #: Documents in a block of those that share a prefix's shingle; copies of a shingle in a slice of texts that count as common, and shingles of the order's list.
 BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
+#: Keys of a document by least hashes, and hashes in each; documents of different components that may share a prefix's shingle before hubs are looked for in rounds.
+BANDS, ROWS, CROWD = 8, 8, 64
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -162,8 +164,18 @@ def may_be_alike(a: bytes, b: bytes, similarity: float) -> bool:
     return int(np.abs(x - y).sum()) <= (1 - similarity) / (1 + similarity) * sizes + 1e-9
 
 
+def band_keys(h: np.ndarray, seed: int) -> np.ndarray:
+    """``BANDS`` keys of a set of hashes, each of the least of them under ``ROWS`` multiplications; two sets share a key with the power ROWS of their similarity. None of an empty set."""
+    odd = np.random.default_rng(seed).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 4096):
+        least = np.minimum(least, (h[k : k + 4096, None] * odd[0]).min(axis=0))
+    keys = ((least ^ (least >> np.uint64(29))) * odd[1]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)[: BANDS if len(h) else 0]
+
+
 def marks(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n, sketch): each text's fingerprint and sketch, with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
+    """(doc_id, key, n, sketch, bands): each text's fingerprint, sketch and band keys, with n = 0; and without an id, n texts of a slice that share a shingle, the key."""
 
     def make():
         def rows(ids, t):
@@ -174,11 +186,24 @@ def marks(texts: DataFrame, words: int) -> DataFrame:
             common, n = common[n >= COMMON], n[n >= COMMON]
             keys = np.concatenate([np.array(prints, np.uint64), common]).view(np.int64)
             none = [None] * len(common)
-            return [ids + none, keys, np.concatenate([np.zeros(len(prints), np.int64), n]), [*map(sketch, sets), *none]]
+            return [ids + none, keys, np.concatenate([np.zeros(len(prints), np.int64), n]), [*map(sketch, sets), *none], [*(band_keys(x, 0) for x in sets), *none]]
 
         return rows
 
-    return map_bytes(texts, make, "doc_id long, key long, n long, sketch binary", [*[pa.int64()] * 3, pa.binary()])
+    return map_bytes(texts, make, "doc_id long, key long, n long, sketch binary, bands array<long>", [*[pa.int64()] * 3, pa.binary(), pa.list_(pa.int64())])
+
+
+def text_bands(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, bands) with other multiplications."""
+    return map_bytes(texts, lambda: lambda ids, t: [ids, [band_keys(shingle_hashes(x, words), seed) for x in t]], "doc_id long, bands array<long>", [pa.int64(), pa.list_(pa.int64())])
+
+
+def hub_links(banded: DataFrame) -> DataFrame:
+    """(src, dst) of each document of (doc_id, bands, component) and one of another component for each of its keys, the hub: of those that share the key, the one that a hash of both picks."""
+    keyed = banded.select("doc_id", "component", F.posexplode("bands").alias("band", "key"))
+    hub = F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("b"), F.col("component").alias("cb")))
+    hubs = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1").select("band", "key", "hub.b", "hub.cb")
+    return keyed.join(hubs, ["band", "key"]).where("component <> cb").select(*ordered("doc_id", "b")).distinct()
 
 
 def most_common(counted: DataFrame, most: int = MOST_COMMON) -> np.ndarray:
@@ -288,17 +313,23 @@ def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def prefix_links(shared: DataFrame, components: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst) of all documents of different components that may have the similarity; ``shared`` is from ``shared_prefixes``.
+def still_apart(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, doc_id, size, rest, component, n): the rows of ``shared_prefixes`` whose shingle stands in prefixes of n documents of different components."""
+    labels = components.select(F.col("node").alias("doc_id"), "component")
+    named = shared.select("key", "doc_id", "size", "rest").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = stored(named, "named")
+    groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return stored(named.join(groups.select("key", "n"), "key"), "apart")
+
+
+def prefix_links(apart: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst) of all documents of different components that may have the similarity; ``apart`` is from ``still_apart``.
 
     A pair's first common shingle leaves each at most ``rest`` shared shingles, which must be enough.
     Documents that share a shingle are dealt to blocks, and each pair of blocks is compared by itself, so
-    a shingle of very many documents is spread over tasks. A shingle within one component is left out.
+    a shingle of very many documents is spread over tasks.
     """
-    labels = components.select(F.col("node").alias("doc_id"), "component")
-    named = stored(shared.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "shared")
-    groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    dealt = named.join(groups.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = apart.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     left = dealt.select("key", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("rest").alias("ra"))
     right = dealt.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("rest").alias("rb"))
     met = left.join(right, ["key", "x", "y"]).where((F.col("ca") != F.col("cb")) & enough(similarity) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))))
@@ -336,12 +367,13 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) for each row: documents joined by pairs whose shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Exact at every size of text and group, in two steps. First candidates are the documents that meet in
+    Exact at every size of text and group, in three steps. First candidates are the documents that meet in
     the covering tables by their whole fingerprints, and, as two bits of 64 are far stricter than a
     similarity of 0.8 (at which fingerprints differ in six to thirteen), each document with one of about its
-    size that shares a shingle of its prefix. These join most copies, so that a crowd of copies costs one
-    comparison for each. Then every pair of different components that shares a shingle of its prefixes is
-    a candidate, which none of the similarity can miss. Every candidate is compared exactly, first by
+    size that shares a shingle of its prefix, and with one for each of its band keys. These join most copies, so that a
+    crowd of copies costs some comparisons for each. Where more than ``CROWD`` documents of different components still share a prefix's shingle, band
+    keys are made anew and each document meets their hubs, in rounds that end when one links nothing. Then every pair of different
+    components that shares a shingle of its prefixes is a candidate, which none of the similarity can miss. Every candidate is compared exactly, first by
     sketches, which rule out most of those that are unlike, then as a whole. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
     """
     texts = whole_texts(df, id_col, text_col).where("doc_id is not null")
@@ -351,13 +383,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     equal = prints.join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
     whole = links(distinct, bucket).select(*ordered("src", "dst"))
+    hubs = hub_links(marked.where("n = 0").select("doc_id", "bands", F.col("doc_id").alias("component")))
     shared = stored(shared_prefixes(prefixes(texts, words, similarity, most_common(marked.where("n > 0")))), "shared")
-    pairs = equal.unionByName(whole).unionByName(star_links(shared, similarity)).distinct()
+    pairs = equal.unionByName(whole).unionByName(star_links(shared, similarity)).unionByName(hubs).distinct()
     joined = connected_components(verified(texts, stored(plausible(pairs, sketches, similarity), "candidates"), words, similarity))
-    rest = stored(plausible(prefix_links(shared, joined, similarity), sketches, similarity), "candidates")
-    more = verified(texts, rest, words, similarity)
-    found = connected_components(more.unionByName(joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))))
-    return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    grown = lambda found: connected_components(found.unionByName(joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))))
+    apart, seed = still_apart(shared, joined), 0
+    while (crowded := stored(apart.where(F.col("n") > CROWD).select("doc_id", "component").distinct(), "crowded")).limit(1).count():
+        seed += 1
+        own = texts.join(crowded.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        banded = text_bands(own, words, seed).join(crowded, "doc_id").select("doc_id", "bands", "component")
+        found = stored(verified(texts, stored(plausible(hub_links(banded), sketches, similarity), "candidates"), words, similarity), "found")
+        if not found.limit(1).count():
+            break
+        joined = grown(found)
+        apart = still_apart(apart, joined)
+    more = verified(texts, stored(plausible(prefix_links(apart, similarity), sketches, similarity), "candidates"), words, similarity)
+    last = grown(more)
+    return prints.select("doc_id").join(last, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9_simhash(spark, sf_dir):

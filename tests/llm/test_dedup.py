@@ -186,6 +186,31 @@ def test_crowd_of_edited_copies(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("n, exact_check", [(400, True), (4000, False)])
+def test_crowd_of_edits_without_their_base(spark, monkeypatch, n, exact_check):
+    """One-word edits of a text that isn't there: only those at about the same place are alike, which joins all of them in the end."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base, rows = [word() for _ in range(60)], []
+    for k in range(n):
+        copy = list(base)
+        copy[rng.randrange(60)] = word()
+        rows.append((k, " ".join(copy)))
+    compared, real = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda texts, pairs, *a: compared.append(pairs.count()) or real(texts, pairs, *a))
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == (brute_force(rows) if exact_check else dict.fromkeys(range(n), 0))
+    assert sum(compared) < 20 * n
+
+
+def test_band_keys():
+    h = np.random.default_rng(2).integers(0, 2**64, 9000, dtype=np.uint64)
+    assert (simhash.band_keys(h, 1) == simhash.band_keys(h[::-1], 1)).all() and len(simhash.band_keys(h, 1)) == simhash.BANDS
+    assert not (simhash.band_keys(h, 1) == simhash.band_keys(h, 2)).any() and len(simhash.band_keys(h[:0], 1)) == 0
+    near = [(simhash.band_keys(x, 3) == simhash.band_keys(np.append(x[:96], h[-4:]), 3)).sum() for x in h[:8900].reshape(-1, 100)]
+    assert 0.4 < np.mean(near) / simhash.BANDS < 0.65  # at a similarity of 0.92
+
+
 @pytest.mark.parametrize("count, at", [(5, None), (13, 12), (25, 24)])
 def test_short_near_copies_are_all_found(spark, count, at):
     """Pairs of texts of ``count`` words, one word replaced: J is 0.8 at 13 words; the shortest are copies in other letters."""
@@ -239,7 +264,7 @@ def test_shared_prefixes_across_batches(spark):
 def test_blocks_of_a_shared_shingle_meet_in_every_pair(spark):
     keyed = spark.createDataFrame([(5, i, 10, 10) for i in range(40)] + [(6, 1, 10, 3), (6, 2, 10, 3)], "key long, doc_id long, size int, rest int")
     joined = spark.createDataFrame([(i, i % 4) for i in range(12)], "node long, component long")
-    found = [(r.src, r.dst) for r in simhash.prefix_links(keyed, joined, 0.8, block=7).collect()]
+    found = [(r.src, r.dst) for r in simhash.prefix_links(simhash.still_apart(keyed, joined), 0.8, block=7).collect()]
     label = {i: i % 4 if i < 12 else i for i in range(40)}
     assert sorted(found) == [(a, b) for a in range(40) for b in range(a + 1, 40) if label[a] != label[b]]
 

@@ -58,4 +58,4 @@ def test_repeated_rows_stay_once(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
