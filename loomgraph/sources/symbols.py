@@ -1,8 +1,10 @@
 """Symbols and imports of source files: a scan for comments and strings, then rules on declarations' heads.
 
 A scan puts blanks in place of comments and of what strings hold, each of its length, so that neither is
-taken for code and places stay. A head is a line with those that follow it, so declarations may run over
-several lines; braces, or indents in Python, tell where a declaration ends. Paths are taken to be unique.
+taken for code and places stay. A head is a line with those that its brackets, or the words that the next line begins with, add to it,
+however many; braces, or indents in Python, tell where a declaration ends. Lines are rows, and depths of brackets are running sums
+over them: where a head or a declaration ends is the next line whose depth is at most that at its start, which is looked
+up for all at once. So the work is in proportion to the lines, times how deep they nest. Paths are taken to be unique.
 """
 
 from __future__ import annotations
@@ -11,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths as P
+from loomgraph.shared import stored
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
-BRACKETS = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
-HEAD = 40  # lines of a declaration's head
 _TEXT = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
 #: What a scan takes as one piece: comments, strings, and what lies between.
 SCAN = r"//[^\n]*+|/\*(?s:.*?)\*/|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`|" + _TEXT + r"""|[^/"'`]++|."""
@@ -23,10 +24,9 @@ SCANS = {
     "rust": r"""//[^\n]*+|/\*(?s:.*?)\*/|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|'(?:\\.[^'\n]*+|[^'\\\n])'|[^/"']++|.""",
 }
 COMMENT, STRING = r"^(?://|/\*|#)", r"""^(["'`])(?s:.*)\1$"""
-#: Where a head's signature ends: at a brace, a semicolon or a line's end outside brackets, unless the next line goes on with it.
-_GOES_ON = r"\n(?=\s*(?:\{|extends\b|implements\b|throws\b|where\b|:|=>|->))"
-SIGNATURE = rf"^\s*[^{{;(\n]*+(?:(?:{BRACKETS}|{_GOES_ON})[^{{;(\n]*+)*+"
-PYTHON_SIGNATURE = rf"^\s*[^:(\n]*+(?:{BRACKETS}[^:(\n]*+)*+"
+#: What a line begins with that goes on with the head before it, and what shows that a brace within parentheses opens a body.
+GOES_ON = r"^\s*(?:\{|extends\b|implements\b|throws\b|where\b|:|=>|->)"
+BODY = r"(?:\)|=>)\s*$"
 #: For each language what a line declares, in order of preference; group 1 is the name.
 SCRIPT_RULES = [
     ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{NAME}"),
@@ -36,8 +36,9 @@ SCRIPT_RULES = [
     ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"),
     ("variable", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}"),
     ("namespace", rf"^\s*export\s+(?:declare\s+)?(?:namespace|module)\s+{NAME}"),
-    ("method", rf"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|return\b|catch\b){NAME}\s*{BRACKETS}\s*(?::[^{{;]+)?\{{"),
+    ("method", rf"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|return\b|catch\b){NAME}\s*\("),  # and a body after its brackets, see METHOD
 ]
+METHOD = r"(?s)\)\s*(?::.*)?$"
 RULES = {
     "typescript": SCRIPT_RULES,
     "javascript": SCRIPT_RULES,
@@ -82,19 +83,55 @@ def blanked(language: Column, content: Column) -> Column:
     return F.array_join(F.transform(pieces(language, content), clean), "")
 
 
+def _count(text: Column, some: str) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{some}]", ""))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, language, line_no from 1, line, clean, before, after, low): a file's lines as they are and without comments and strings, and how deep in braces each begins, ends, and is at its lowest."""
+    """(path, language, line_no from 1, line, clean, before, after, low, p_before, p_after): a file's lines as they are and without comments and strings; how deep in braces each begins, ends, and is at its lowest; and how deep in parentheses, in Python in any brackets, it begins and ends."""
     lang = P.language(F.col("path"))
     text = files.select("path", lang.alias("language"), "content", blanked(lang, F.col("content")).alias("clean"))
     rows = text.select("path", "language", F.posexplode(F.arrays_zip(F.split("content", "\n").alias("line"), F.split("clean", "\n").alias("clean"))).alias("n", "l"))
     rows = rows.select("path", "language", (F.col("n") + 1).alias("line_no"), "l.line", "l.clean")
-    braces = F.length(F.regexp_replace("clean", r"[^{]", "")) - F.length(F.regexp_replace("clean", r"[^}]", ""))
-    after = F.sum(braces).over(Window.partitionBy("path").orderBy("line_no"))
-    unmatched = F.regexp_replace("clean", r"[^{}]", "")
-    for _ in range(4):  # pairs within a line, as deep as this
-        unmatched = F.regexp_replace(unmatched, r"\{\}", "")
-    rows = rows.withColumn("after", after).withColumn("before", F.col("after") - braces)
-    return rows.withColumn("low", F.col("before") - F.length(F.regexp_extract(unmatched, r"^\}*", 0)))
+    step = lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"))
+    drop = F.aggregate(F.split(F.regexp_replace("clean", r"[^{}]", ""), ""), start, lambda s, c: F.struct((s["at"] + step(c)).alias("at"), F.least(s["low"], s["at"] + step(c)).alias("low")), lambda s: s["low"])
+    braces = _count(F.col("clean"), "{") - _count(F.col("clean"), "}")
+    parens = F.when(F.col("language") == "python", _count(F.col("clean"), r"(\[{") - _count(F.col("clean"), r")\]}")).otherwise(_count(F.col("clean"), "(") - _count(F.col("clean"), ")"))
+    order = Window.partitionBy("path").orderBy("line_no")
+    rows = rows.withColumn("after", F.sum(braces).over(order)).withColumn("p_after", F.sum(parens).over(order))
+    rows = rows.withColumn("before", F.col("after") - braces).withColumn("p_before", F.col("p_after") - parens)
+    return rows.withColumn("low", F.col("before") + drop)
+
+
+def next_at_most(starts: DataFrame, lines: DataFrame, value: Column) -> DataFrame:
+    """(path, line_no, most, next): for each of ``starts`` (path, line_no, most) the first later line whose ``value`` is ``most`` or less; none is left out.
+
+    Each start is asked for at each value up to its own that the file has, and in order from the end each of those meets the nearest line.
+    """
+    known = lines.select("path", "line_no", value.alias("value"))
+    asked = starts.join(known.select("path", "value").distinct(), "path").where("value <= most")
+    rows = known.select("path", "value", "line_no", F.lit(None).cast("int").alias("most"), F.col("line_no").alias("hit")).unionByName(asked.select("path", "value", "line_no", "most", F.lit(None).cast("int").alias("hit")))
+    backward = Window.partitionBy("path", "value").orderBy(F.desc("line_no"), F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("next", F.last("hit", ignorenulls=True).over(backward)).where("hit is null and next is not null")
+    return near.groupBy("path", "line_no", "most").agg(F.min("next").alias("next"))
+
+
+def heads(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``until``, the last line of the head that begins there: where its parentheses close or a body opens in them, and lines that go on with it."""
+    python = F.col("language") == "python"
+    backward = Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    goes_on = F.col("clean").rlike(GOES_ON) & ~python
+    seen = lines.withColumn("goes_on", goes_on).withColumn("other", F.last(F.when(~F.col("goes_on"), F.col("line_no")), ignorenulls=True).over(backward))
+    seen = seen.withColumn("body", F.last(F.when(F.col("clean").rlike(BODY[:-1] + r"\{") & ~python, F.col("line_no")), ignorenulls=True).over(backward)).withColumn("lines", F.max("line_no").over(Window.partitionBy("path")))
+    closed = next_at_most(lines.where("p_after > p_before").select("path", "line_no", F.col("p_before").cast("int").alias("most")), lines, F.col("p_after").cast("int"))
+    seen = seen.join(closed.select("path", "line_no", "next"), ["path", "line_no"], "left")
+    own = F.when(F.col("p_after") <= F.col("p_before"), F.col("line_no")).otherwise(F.least(F.coalesce("next", "lines"), F.coalesce("body", "lines")))
+    seen = stored(seen.withColumn("own", own).drop("next", "body"), "heads")
+    after = seen.where("goes_on").select("path", (F.col("line_no") - 1).alias("own"), F.coalesce(F.col("other") - 1, F.col("lines")).alias("run"))
+    last = seen.where("goes_on").select("path", F.col("line_no").alias("run"), F.col("own").alias("run_own"))
+    joined = seen.join(after, ["path", "own"], "left").join(last, ["path", "run"], "left")
+    return joined.withColumn("until", F.coalesce("run_own", "run", "own")).drop("goes_on", "other", "own", "run", "run_own", "lines")
 
 
 def _by_rule(language: Column, head: Column) -> Column:
@@ -105,47 +142,94 @@ def _by_rule(language: Column, head: Column) -> Column:
     return out
 
 
-def _declared(language: Column, lines: Column, x: Column) -> Column:
-    """What a line declares, null without a type: its rule, signature, and where it ends."""
-    indent = lambda r: F.length(F.regexp_extract(r["clean"], r"^\s*", 0))
-    filled = lambda r: r["clean"].rlike(r"\S")
-    rest = F.slice(lines, x["line_no"], HEAD)
-    head = F.array_join(F.transform(rest, lambda r: r["clean"]), "\n")
-    python = language == "python"
-    rule = _by_rule(language, head)
-    signed = F.when(python, F.regexp_extract(head, PYTHON_SIGNATURE, 0)).otherwise(F.regexp_extract(head, SIGNATURE, 0))
-    signature = F.trim(F.regexp_replace(F.substring(F.array_join(F.transform(rest, lambda r: r["line"]), "\n"), F.lit(1), F.length(signed)), r"\s+", " "))
-    opens = x["line_no"] + F.length(F.regexp_replace(signed, r"[^\n]", ""))
-    body = F.substring(head, F.length(signed) + 1, F.lit(1)) == "{"
-    onward = F.slice(lines, opens, F.size(lines))
-    closing = F.get(F.filter(onward, lambda r: F.when(r["line_no"] == opens, r["after"]).otherwise(r["low"]) <= x["before"]), 0)
-    below = F.get(F.filter(F.slice(lines, opens + 1, F.size(lines)), lambda r: filled(r) & (indent(r) <= indent(x))), 0)
-    inside = F.filter(onward, lambda r: (r["line_no"] == opens) | (filled(r) & (r["line_no"] < F.coalesce(below["line_no"], F.size(lines) + 1))))
-    last = F.element_at(lines, -1)
-    at_end = F.when(python & (rule["type"] != "variable"), F.element_at(inside, -1)).when(~python & body, F.coalesce(closing, last)).otherwise(F.get(onward, 0))
-    braces = F.when(at_end["line_no"] == opens, F.size(F.split(at_end["clean"], "}")) - 1).otherwise(F.greatest(F.lit(1), at_end["before"] - x["before"])).cast("int")
-    brace = F.length(F.array_join(F.slice(F.split(at_end["clean"], "}"), F.lit(1), F.greatest(F.lit(1), braces)), "}")) + 2
-    column = F.when(~python & body & closing.isNotNull(), brace).otherwise(F.length(at_end["line"]) + 1)
-    return F.when(
-        rule.isNotNull(),
-        F.struct(
-            rule["type"].alias("type"), rule["name"].alias("name"), x["line_no"].cast("long").alias("start_line"), (indent(x) + 1).cast("long").alias("start_column"),
-            at_end["line_no"].cast("long").alias("end_line"), column.cast("long").alias("end_column"), signature.alias("signature"),
-        ),
-    )
+def signature_size(head: Column, python: Column) -> Column:
+    """How many characters of a head come before its body, a semicolon, or in Python the colon, outside brackets; or before its last line's end."""
+    tokens = F.regexp_extract_all(head, F.lit(r"(?s)[^(){};:\[\]]*(?:[(){};:\[\]]|$)"), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("done"), F.lit("").alias("mark"))
+
+    def step(s: Column, t: Column) -> Column:
+        mark = F.substring(t, -1, 1)
+        inside, body = s["depth"] > 0, F.concat(s["mark"], F.substring(t, F.lit(1), F.length(t) - 1)).rlike(BODY)
+        ends = F.when(python, ~inside & (mark == ":")).otherwise((~inside & mark.isin("{", ";")) | ((mark == "{") & body))
+        up = (mark == "(") | ((python | inside) & mark.isin("{", "[")) | (python & (mark == "["))
+        down = (mark == ")") | (inside & mark.isin("}", "]"))
+        depth = F.greatest(F.lit(0), s["depth"] + F.when(up, 1).when(down, -1).otherwise(0))
+        here = F.struct(depth.alias("depth"), (s["at"] + F.length(t) - F.when(ends, 1).otherwise(0)).alias("at"), ends.alias("done"), mark.alias("mark"))
+        return F.when(s["done"], s).otherwise(here)
+
+    return F.aggregate(tokens, state, step, lambda s: s["at"])
+
+
+def brace_at(clean: Column, start: Column, most: Column) -> Column:
+    """How many characters of a line come up to and with the brace after which its depth, ``start`` at first, is ``most`` or less; null if none."""
+    tokens = F.regexp_extract_all(clean, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    state = F.struct(start.cast("int").alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("done"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(F.substring(t, -1, 1) == "{", 1).otherwise(-1)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["at"] + F.length(t)).alias("at"), (depth <= most).alias("done")))
+
+    return F.aggregate(tokens, state, step, lambda s: F.when(s["done"], s["at"]))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
     """(symbol_id, path, language, name, type, start_line, start_column, end_line, end_column, signature): a symbol for each declaration.
 
-    Columns count from 1, and the end's is that after the last character. The signature is the head up to
-    its body, with single blanks. A file's lines come together in one row, which is no more than the file.
+    A declaration begins a line. Columns count from 1, and the end's is that after the last character. The signature is the head up to
+    its body, with single blanks. A body that never closes ends with the file.
     """
-    row = F.struct("line_no", "line", "clean", "before", "after", "low")
-    whole = lines_of(files.where(P.language(F.col("path")).isin(*RULES))).groupBy("path", "language").agg(F.sort_array(F.collect_list(row)).alias("ls"))
-    declared = F.transform(F.filter("ls", lambda x: x["clean"].rlike(r"[A-Za-z_$]")), lambda x: _declared(F.col("language"), F.col("ls"), x))
-    found = whole.select("path", "language", F.explode(F.array_compact(declared)).alias("s"))
-    return found.select(F.concat_ws("-", F.col("s.type"), F.col("path"), F.col("s.start_line").cast("string")).alias("symbol_id"), "path", "language", "s.name", "s.type", "s.start_line", "s.start_column", "s.end_line", "s.end_column", "s.signature")
+    lines = stored(lines_of(files.where(P.language(F.col("path")).isin(*RULES))), "lines")
+    seen = heads(lines).where(F.col("clean").rlike(r"[A-Za-z_$]"))
+    one = seen.where("until = line_no").withColumn("head", F.col("clean")).withColumn("raw", F.col("line"))
+    several = seen.where("until > line_no").select("path", "line_no", F.explode(F.sequence("line_no", "until")).alias("n"))
+    parts = several.join(lines.select("path", F.col("line_no").alias("n"), "line", "clean"), ["path", "n"]).groupBy("path", "line_no").agg(F.sort_array(F.collect_list(F.struct("n", "clean", "line"))).alias("ls"))
+    text = lambda c: F.array_join(F.transform("ls", lambda r: r[c]), "\n")
+    many = seen.join(parts, ["path", "line_no"]).withColumn("head", text("clean")).withColumn("raw", text("line")).drop("ls")
+    python = F.col("language") == "python"
+    found = one.unionByName(many).withColumn("rule", _by_rule(F.col("language"), F.col("head"))).where("rule is not null").withColumn("size", signature_size(F.col("head"), python))
+    signed, body = F.substring(F.col("head"), F.lit(1), F.col("size")), F.substring(F.col("head"), F.col("size") + 1, F.lit(1)) == "{"
+    whole = body & signed.rlike(METHOD) & (_count(signed, "(") == _count(signed, ")"))
+    found = found.where(whole | (F.col("rule.type") != "method") | ~F.col("language").isin("typescript", "javascript"))
+    lead = F.length(F.regexp_extract("clean", r"^\s*", 0))
+    found = found.select(
+        "path", "language", "line_no", "rule.type", "rule.name", lead.alias("indent"), F.col("before").cast("int").alias("before"),
+        F.trim(F.regexp_replace(F.substring(F.col("raw"), F.lit(1), F.col("size")), r"\s+", " ")).alias("signature"),
+        (F.col("line_no") + _count(signed, "\n")).alias("opens"), body.alias("body"), F.length(F.substring_index(signed, "\n", -1)).alias("shift"),
+    )
+    found = stored(found, "declared")
+    last = lines.groupBy("path").agg(F.max("line_no").alias("line_no"))
+    at = lambda df, name: df.select("path", F.col("line_no").alias(name), F.length("line").alias(f"{name}_length"), F.col("clean").alias(f"{name}_clean"), F.col("before").cast("int").alias(f"{name}_before"))
+    filled = F.col("clean").rlike(r"\S")
+
+    braced = found.where("language <> 'python'").join(at(lines, "opens"), ["path", "opens"])
+    behind = F.substring(F.col("opens_clean"), F.col("shift") + 1, F.col("opens_length"))  # from the body's brace on
+    inner = F.col("before") + _count(F.substring(F.col("opens_clean"), F.lit(1), F.col("shift")), "{") - _count(F.substring(F.col("opens_clean"), F.lit(1), F.col("shift")), "}")
+    depth = F.when(F.col("opens") > F.col("line_no"), F.col("opens_before") + inner - F.col("before")).otherwise(inner)  # before the body's brace
+    braced = braced.withColumn("depth", depth).withColumn("here", F.when(F.col("body"), brace_at(behind, F.col("depth"), F.col("depth"))))
+    further = braced.where("body and here is null")
+    closing = next_at_most(further.select("path", F.col("opens").alias("line_no"), F.col("depth").alias("most")).distinct(), lines, F.col("low").cast("int"))
+    closing = closing.select("path", F.col("line_no").alias("opens"), F.col("most").alias("depth"), F.col("next").alias("end"))
+    ends = further.join(closing, ["path", "opens", "depth"], "left").join(last.withColumnRenamed("line_no", "final"), "path").withColumn("closes", F.col("end").isNotNull()).withColumn("end", F.coalesce("end", "final"))
+    ends = ends.join(at(lines, "end"), ["path", "end"])
+    column = F.when(F.col("closes"), brace_at(F.col("end_clean"), F.col("end_before"), F.col("depth"))).otherwise(F.col("end_length"))
+    own = ["path", "language", "name", "type", "line_no", "indent", "signature"]
+    later = ends.select(*own, "end", column.alias("column"))
+    same = braced.where("not body or here is not null").select(*own, F.col("opens").alias("end"), F.when(F.col("here").isNotNull(), F.col("shift") + F.col("here")).otherwise(F.col("opens_length")).alias("column"))
+
+    indents = lines.where(F.col("language") == "python").where(filled).withColumn("indent", F.length(F.regexp_extract("clean", r"^\s*", 0))).withColumn("earlier", F.lag("line_no").over(Window.partitionBy("path").orderBy("line_no")))
+    blocks = found.where("language = 'python' and type <> 'variable'")
+    below = next_at_most(blocks.select("path", F.col("opens").alias("line_no"), F.col("indent").alias("most")).distinct(), indents, F.col("indent"))
+    below = below.join(indents.select("path", F.col("line_no").alias("next"), "earlier"), ["path", "next"]).select("path", F.col("line_no").alias("opens"), F.col("most").alias("indent"), "earlier")
+    final = indents.groupBy("path").agg(F.max("line_no").alias("final"))
+    blocks = blocks.join(below, ["path", "opens", "indent"], "left").join(final, "path").withColumn("end", F.greatest("opens", F.coalesce("earlier", "final")))
+    plain = found.where("language = 'python' and type = 'variable'").withColumn("end", F.col("opens"))
+    indented = blocks.select(*own, "end").unionByName(plain.select(*own, "end")).join(at(lines, "end"), ["path", "end"]).select(*own, "end", F.col("end_length").alias("column"))
+
+    long = lambda c: c.cast("long")
+    return same.unionByName(later).unionByName(indented).select(
+        F.concat_ws("-", "type", "path", F.col("line_no").cast("string")).alias("symbol_id"), "path", "language", "name", "type", long(F.col("line_no")).alias("start_line"),
+        long(F.col("indent") + 1).alias("start_column"), long(F.col("end")).alias("end_line"), long(F.col("column") + 1).alias("end_column"), "signature",
+    )
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -165,10 +249,14 @@ def nodes(files: DataFrame) -> DataFrame:
 def extract_imports(files: DataFrame) -> DataFrame:
     """(path, line_no, import_path, specifiers[], is_default); a script's import may run over several lines, and comments hold none."""
     lines = lines_of(files).where(F.col("clean").rlike(r"\S"))
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.currentRow, HEAD)
     script = F.col("language").isin("typescript", "javascript")
     opens = script & F.col("clean").rlike(r"^\s*import\s*[^'\";]*$")
-    lines = lines.withColumn("line", F.when(opens, F.array_join(F.collect_list("line").over(order), "\n")).otherwise(F.col("line")))
+    backward = Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    quoted = F.last(F.when(F.col("clean").rlike("['\"]"), F.col("line_no")), ignorenulls=True).over(backward)  # the next line with a string
+    lines = stored(lines.withColumn("until", F.when(opens, quoted)).select("path", "language", "line_no", "line", "until"), "lines")
+    parts = lines.where("until is not null").select("path", "line_no", F.explode(F.sequence("line_no", "until")).alias("n")).join(lines.select("path", F.col("line_no").alias("n"), "line"), ["path", "n"])
+    joined = parts.groupBy("path", "line_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda r: r["line"]), "\n").alias("whole"))
+    lines = lines.join(joined, ["path", "line_no"], "left").withColumn("line", F.coalesce("whole", "line"))
     target = F.lit("")
     for lang, pattern in IMPORTS.items():
         one = F.coalesce(F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")), F.regexp_extract("line", r"^\s*import\s+([\w.]+)", 1)) if lang == "python" else F.regexp_extract("line", pattern, 1)

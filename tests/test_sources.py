@@ -1,6 +1,8 @@
+import random
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import tools
 from loomgraph.sources import files as S
@@ -154,3 +156,40 @@ def test_framework_symbols(spark, path, content, expected):
 
 def test_ignore_file():
     assert S.ignore_patterns(["# note", "", " dist/ ", "*.log"]) == ["dist/", "*.log"] and "vendor/" in S.ignore_patterns(None)
+
+
+def found_in(spark, path, content):
+    rows = symbols.extract_symbols(spark.createDataFrame([(path, content)], "path string, content string")).collect()
+    return {(r.type, r.name, r.start_line, r.start_column, r.end_line, r.end_column) for r in rows}
+
+
+def test_deep_brackets_on_one_line(spark):
+    text = "class A { b() { if (x) { for (;;) { while (y) { z() } } } } } function late() {}\n  run(a = f(g(h(1), (2)))): void { return }\n  call(() => {\n    1 })\nconst o = { a: { b: { c: { d: { } } } } }\nfunction f({ a, b = { c: 1 } }, d) {\n  return { a: { } } }\n"
+    assert found_in(spark, "a.ts", text) == {("class", "A", 1, 1, 1, 62), ("method", "run", 2, 3, 2, 44), ("variable", "o", 5, 1, 5, 42), ("function", "f", 6, 1, 7, 22)}
+
+
+def test_heads_of_many_lines(spark):
+    arguments = ",\n".join(f"  a{k}: Map<string, number>" for k in range(100))
+    text = f"function wide(\n{arguments}\n): void\n{{\n  go()\n}}\nclass C\n  extends B\n  implements D,\n{{\n}}\nconst wrapped = memo(function () {{\n  return 1\n}})\n"
+    assert found_in(spark, "a.ts", text) == {("function", "wide", 1, 1, 105, 2), ("class", "C", 106, 1, 110, 2), ("variable", "wrapped", 111, 1, 113, 2)}
+    names = ",\n".join(f"  N{k}" for k in range(100))
+    imports = symbols.extract_imports(spark.createDataFrame([("a.ts", f"import {{\n{names}\n}} from './far'\nimport x from 'y'")], "path string, content string")).collect()
+    assert sorted((r.line_no, r.import_path, len(r.specifiers)) for r in imports) == [(1, "./far", 100), (103, "y", 0)]
+    python = "def f(a, b={\n    'x': [\n" + "        1,\n" * 90 + "    ]}):\n    return a\n\nclass G(B):\n  def g(self): return {\n    1: 2}\n# end\n"
+    assert found_in(spark, "a.py", python) == {("function", "f", 1, 1, 94, 13), ("class", "G", 96, 1, 98, 10), ("function", "g", 97, 3, 98, 10)}
+
+
+def test_a_file_of_many_lines(spark):
+    text = "".join(f"function f{k}(a: number) {{\n  if (a) {{\n    return {k}\n  }}\n}}\n" for k in range(10_000)) + "class Open {\n  m() {\n"
+    found = found_in(spark, "big.ts", text)
+    assert found == {("function", f"f{k}", 5 * k + 1, 1, 5 * k + 5, 2) for k in range(10_000)} | {("class", "Open", 50_001, 1, 50_003, 1), ("method", "m", 50_002, 3, 50_003, 1)}
+
+
+def test_next_line_at_most(spark):
+    rng = random.Random(4)
+    depth = {(f, n): rng.randrange(-2, 6) for f in "ab" for n in range(1, 60)}
+    lines = spark.createDataFrame([(f, n, d) for (f, n), d in depth.items()], "path string, line_no int, d int")
+    starts = [(f, n, rng.randrange(-3, 6)) for f, n in depth if rng.random() < 0.5]
+    found = {(r.path, r.line_no, r.most): r.next for r in symbols.next_at_most(spark.createDataFrame(starts, "path string, line_no int, most int"), lines, F.col("d")).collect()}
+    want = {(f, n, m): next((k for k in range(n + 1, 60) if depth[f, k] <= m), None) for f, n, m in starts}
+    assert found == {k: v for k, v in want.items() if v is not None}
