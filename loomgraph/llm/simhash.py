@@ -146,6 +146,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 BLOCK, COMMON, MOST_COMMON = 512, 4, 1 << 17
 #: Keys of a document by least hashes, and hashes in each; documents of different components that may share a prefix's shingle before hubs are looked for in rounds.
 BANDS, ROWS, CROWD = 8, 8, 64
+PAYS = 0.8  # another round follows one after which at most this share of the components in crowds is left; pairs of the others are all compared
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -372,7 +373,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similarity of 0.8 (at which fingerprints differ in six to thirteen), each document with one of about its
     size that shares a shingle of its prefix, and with one for each of its band keys. These join most copies, so that a
     crowd of copies costs some comparisons for each. Where more than ``CROWD`` documents of different components still share a prefix's shingle, band
-    keys are made anew and each document meets their hubs, in rounds that end when one links nothing. Then every pair of different
+    keys are made anew and each document meets their hubs, in rounds that end when one joins less than a fifth of the components there. Then every pair of different
     components that shares a shingle of its prefixes is a candidate, which none of the similarity can miss. Every candidate is compared exactly, first by
     sketches, which rule out most of those that are unlike, then as a whole. Nulls, blanks, repeated and missing ids are as in ``simhash_components``.
     """
@@ -388,15 +389,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = equal.unionByName(whole).unionByName(star_links(shared, similarity)).unionByName(hubs).distinct()
     joined = connected_components(verified(texts, stored(plausible(pairs, sketches, similarity), "candidates"), words, similarity))
     grown = lambda found: connected_components(found.unionByName(joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))))
-    apart, seed = still_apart(shared, joined), 0
-    while (crowded := stored(apart.where(F.col("n") > CROWD).select("doc_id", "component").distinct(), "crowded")).limit(1).count():
-        seed += 1
+    apart, seed, before = still_apart(shared, joined), 0, 0
+    while True:
+        crowded, seed = stored(apart.where(F.col("n") > CROWD).select("doc_id", "component").distinct(), "crowded"), seed + 1
+        left = crowded.agg(F.count_distinct("component")).first()[0]
+        if not left or before and left > PAYS * before:
+            break
+        before = left
         own = texts.join(crowded.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         banded = text_bands(own, words, seed).join(crowded, "doc_id").select("doc_id", "bands", "component")
-        found = stored(verified(texts, stored(plausible(hub_links(banded), sketches, similarity), "candidates"), words, similarity), "found")
-        if not found.limit(1).count():
-            break
-        joined = grown(found)
+        joined = grown(verified(texts, stored(plausible(hub_links(banded), sketches, similarity), "candidates"), words, similarity))
         apart = still_apart(apart, joined)
     more = verified(texts, stored(plausible(prefix_links(apart, similarity), sketches, similarity), "candidates"), words, similarity)
     last = grown(more)
