@@ -52,6 +52,18 @@ def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.agg(n.alias("patches"), (n * MS_PER_PATCH).alias("estimated_ms"), note.alias("note"))
 
 
+def plan_conflicts(plan: DataFrame, key: str) -> DataFrame:
+    """(key, patches, message, severity): targets that several patches of a plan name, so that the plan isn't valid; a null target is one like others."""
+    found = plan.groupBy(key).agg(F.count("*").alias("patches")).where("patches > 1")
+    return found.select(key, "patches", F.concat(F.lit("several patches of one target: "), F.coalesce(F.col(key).cast("string"), F.lit("none"))).alias("message"), F.lit("high").alias("severity"))
+
+
+def plan_validity(plan: DataFrame, key: str) -> DataFrame:
+    """One row: patches, targets that several name, whether the plan is valid, and whether it is large."""
+    sizes = plan.groupBy(key).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("patches"), F.count_if(F.col("n") > 1).alias("conflicts")).select("patches", "conflicts", (F.col("conflicts") == 0).alias("valid"), (F.col("patches") > WARN_PATCHES).alias("large"))
+
+
 def token_delta(diff: DataFrame, per_row: int) -> DataFrame:
     added, removed = F.count_if(F.col("change") == "added"), F.count_if(F.col("change") == "removed")
     return diff.agg((added * per_row).alias("tokens_added"), (removed * per_row).alias("tokens_removed"), ((added - removed) * per_row).alias("tokens_net"))

@@ -24,36 +24,64 @@ def shared_members(sets: DataFrame, key: str = "id", members: str = "members") -
     return out.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def greedy_keep(items: DataFrame, conflicts: DataFrame, max_rounds: int = 500) -> DataFrame:
+def similar_sets(sets: DataFrame, least: float, key: str = "id", members: str = "members") -> DataFrame:
+    """(a, b, both, jaccard) of sets with a Jaccard similarity of ``least`` (over 0) or more, a < b.
+
+    With members in one order, rare ones first, two such sets share one of the first of either: all but ``least`` of its size, and one more. So only those meet,
+    within a band of sizes, and a member of very many sets, being last, is seldom among them. What meets is compared whole. Null members
+    and repeated ones don't count; two empty sets have 0.
+    """
+    one = sets.select(F.col(key).alias("k"), F.explode(F.array_distinct(members)).alias("m")).where("m is not null")
+    often = one.groupBy("m").agg(F.count("*").alias("n"))
+    whole = one.join(often, "m").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("ms"))
+    whole = stored(whole.withColumn("size", F.size("ms")), "sets")
+    first = (F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).cast("int")
+    keyed = lambda s: whole.select(F.col("k").alias(s), F.col("size").alias(f"n{s}"), F.explode(F.slice("ms", F.lit(1), first)).alias("m"))
+    band = (F.col("na") >= F.lit(least) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(least) * F.col("na") - 1e-9)
+    pairs = keyed("a").join(keyed("b"), "m").where((F.col("a") < F.col("b")) & band).select("a", "b").distinct()
+    side = lambda s: whole.select(F.col("k").alias(s), F.col("ms").alias(f"m{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("both"), (F.size("ma") + F.size("mb")).alias("sizes"))
+    return met.withColumn("jaccard", F.col("both") / (F.col("sizes") - F.col("both"))).where(F.col("jaccard") >= least).drop("sizes")
+
+
+def greedy_keep(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(id) of what a pass in order keeps, when each kept one excludes those it conflicts with; conflicts are (a, b), a the earlier.
 
-    Rounds decide all that have no undecided earlier one against them: the same result as the pass.
+    Rounds decide all that have no undecided earlier one against them: the same result as the pass. There are as many as the longest chain of
+    conflicts needs, for each decides the earliest one at least.
     """
     open_, against = stored(items.select("id"), "open"), stored(conflicts.select("a", "b"), "against")
-    kept: DataFrame | None = None
-    for _ in range(max_rounds):
+    kept, rounds = open_.where("false"), 0
+    while open_.limit(1).count():
         blocked = against.select(F.col("b").alias("id")).distinct()
         now = stored(open_.join(blocked, "id", "left_anti"), "kept")
-        kept = now if kept is None else kept.unionByName(now)
+        rounds += 1
+        kept = kept.unionByName(now) if rounds % 16 else stored(kept.unionByName(now), "kept")  # so that plans stay small
         gone = against.join(now.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
         open_ = stored(open_.join(now, "id", "left_anti").join(gone, "id", "left_anti"), "open")
-        if open_.limit(1).count() == 0:
-            return kept
         a, b = open_.withColumnRenamed("id", "a"), open_.withColumnRenamed("id", "b")
         against = stored(against.join(a, "a", "left_semi").join(b, "b", "left_semi"), "against")
-    raise RuntimeError(f"still undecided after {max_rounds} rounds")
+    return kept
 
 
 def merge_similar(neighborhoods: DataFrame, overlap: float = 0.8) -> DataFrame:
     """Neighborhoods (id, strength, members) left when, from the strongest (ties by id), each one drops later ones that overlap it by more than ``overlap``."""
     own = stored(neighborhoods, "neighborhoods")
     place = lambda c: own.select(F.col("id").alias(c), F.struct((-F.col("strength")).alias("s"), F.col("id").alias("i")).alias(f"p{c}"))
-    close = shared_members(own).where(F.col("jaccard") > overlap).join(place("a"), "a").join(place("b"), "b")
+    close = similar_sets(own, overlap).where(F.col("jaccard") > overlap).join(place("a"), "a").join(place("b"), "b")
     first = F.col("pa") < F.col("pb")
     conflicts = close.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
     return own.join(greedy_keep(own, conflicts), "id")
 
 
+def summary(neighborhoods: DataFrame, patterns: DataFrame, relationships: DataFrame) -> DataFrame:
+    """One row: distinct files of all neighborhoods (members), how many neighborhoods and patterns there are, and relationships by strength."""
+    files = neighborhoods.select(F.explode("members").alias("file")).agg(F.count_distinct("file").alias("files"))
+    found = neighborhoods.agg(F.count("*").alias("neighborhoods"))
+    by = [F.count_if(F.col("strength") == s).alias(s) for s in ("strong", "moderate", "weak")]
+    return files.crossJoin(found).crossJoin(patterns.agg(F.count("*").alias("patterns"))).crossJoin(relationships.agg(*by))
+
+
 def strongest(neighborhoods: DataFrame) -> DataFrame:
     """(file, id, others, strength, priority): for each file its strongest neighborhood, and that one's other files."""
     one = neighborhoods.select("id", "strength", "members", F.explode("members").alias("file"))

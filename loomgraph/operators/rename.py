@@ -104,18 +104,22 @@ def candidates(old: DataFrame, new: DataFrame, within: Sequence[str] = ("path",
     return a.join(b, keys).drop(*keys)
 
 
-def one_to_one(pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
+def one_to_one(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Pairs (old_id, new_id, score) that a greedy pass by score keeps, each id once; ties go by the ids.
 
     A round keeps the pairs that rank first for both their ids, and drops all others of those ids. Ids
     that tie as wholes (each of some old ids is best with each of the same new ids, and the other way
-    round) are matched by rank at once, which is what the pass makes of them, however many they are.
+    round) are matched by rank at once, which is what the pass makes of them, however many they are. Rounds go on until none is
+    left, and each keeps the first pair of all at least; with ``max_rounds`` it is an error if that many are not enough.
     """
     left = stored(pairs.select("old_id", "new_id", "score"), "pairs")
     order = [F.desc("score"), F.col("old_id"), F.col("new_id")]
     own = {c: Window.partitionBy(c) for c in ("old_id", "new_id")}
-    kept = None
-    for _ in range(max_rounds):
+    kept, rounds = left.where("false"), 0
+    while left.limit(1).count():
+        if rounds == max_rounds:
+            raise RuntimeError(f"still unmatched after {max_rounds} rounds")
+        rounds += 1
         best = left.withColumns({f"top_{c}": F.max("score").over(w) for c, w in own.items()})
         best = best.withColumns({f"tops_{c}": F.count(F.when(F.col("score") == F.col(f"top_{c}"), 1)).over(w) for c, w in own.items()})
         ranked = best.withColumns({f"rank_{c}": F.row_number().over(w.orderBy(*order)) for c, w in own.items()})
@@ -133,11 +137,9 @@ def one_to_one(pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
         by_rank = whole.where("ok_old and ok_new and at_old = at_new").select("old_id", "new_id", "score")
         first = ranked.where("rank_old_id = 1 and rank_new_id = 1").select("old_id", "new_id", "score")
         now = stored(by_rank.unionByName(first).distinct(), "matched")
-        kept = now if kept is None else kept.unionByName(now)
+        kept = kept.unionByName(now) if rounds % 16 else stored(kept.unionByName(now), "kept")  # so that plans stay small
         left = stored(left.join(now.select("old_id"), "old_id", "left_anti").join(now.select("new_id"), "new_id", "left_anti"), "pairs")
-        if left.limit(1).count() == 0:
-            return kept
-    raise RuntimeError(f"still unmatched after {max_rounds} rounds")
+    return kept
 
 
 def rename_type() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ladders
 from loomgraph.functions import paths as P
+from loomgraph.operators import compare
 from loomgraph.operators import graph as G
 from loomgraph.operators.graph import by_share
 from loomgraph.operators.neighborhoods import COMMON_WORDS
@@ -147,6 +148,14 @@ def symbol_rules(spark, d):
     return symbols.extract_symbols(part_sources(spark, d)).select("path", "type", "name", "start_line", "end_line", "signature")
 
 
+def compare_files(spark, d):
+    """The same files in a later version: a script's interface goes, and a variable and an import come; a Python method gets a parameter."""
+    old = part_sources(spark, d)
+    script = F.regexp_replace(F.regexp_replace("content", r"interface \w+ \{ id: number \}\n", ""), r"let v(\d+) = 1", "let v$1 = 1\nlet w$1 = 2\nimport far from 'far'")
+    new = old.withColumn("content", F.when(F.col("path").endswith(".ts"), script).otherwise(F.replace("content", F.lit("(self, item,"), F.lit("(self, item, extra,"))))
+    return compare.compare_files(old, new).select("path", "category", "kind", "name", "impact", "breaking")
+
+
 def source_nodes(spark, d):
     """Nodes of source files by kind, and how many stand in a declaration."""
     return symbols.nodes(part_sources(spark, d)).groupBy("kind").agg(F.count("*").alias("nodes"), F.count("parent").alias("inner"), F.sum("start_line").alias("lines"))
@@ -186,7 +195,7 @@ def naming_patterns(spark, d):
     return names.groupBy("p_brand", "pattern").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (file_facts, language_stats, classify_files, ignore_filter, framework_detect, nearest_manifest, gitlog_parse, extract_symbols, extract_imports, framework_symbols, cluster_names, symbol_counts, symbol_rules, source_nodes, call_counts, framework_cascade, dir_tree, optimal_tasks, naming_patterns)}
+QUERIES = {f.__name__: f for f in (file_facts, language_stats, classify_files, ignore_filter, framework_detect, nearest_manifest, gitlog_parse, extract_symbols, extract_imports, framework_symbols, cluster_names, symbol_counts, symbol_rules, compare_files, source_nodes, call_counts, framework_cascade, dir_tree, optimal_tasks, naming_patterns)}
 
 CODE = """names AS (SELECT DISTINCT p_type, string_split(p_name, ' ') AS w FROM part),
     code AS (SELECT 'src/' || replace(p_type, ' ', '_') || '.ts' AS path, list_aggregate(list_transform(w, lambda x: upper(left(x, 1)) || x[2:]), 'string_agg', '') AS cls, w[2] AS base, upper(left(w[2], 1)) || w[2][2:] AS basecls FROM names)"""
@@ -208,6 +217,11 @@ DECLARED = _declared_sql()
 MARKED = "(VALUES (0, 'comment', 1, 0), (1, 'comment', 1, 0), (2, 'comment', 1, 0), (3, 'comment', 1, 0), (4, 'comment', 1, 0), (0, 'string', 5, 1), (0, 'string', 7, 1), (1, 'string', 5, 1)) t(k, kind, line, inner_node)"
 ORACLES = {
     "symbol_rules": f"WITH {DECLARED} SELECT path, type, name, start_line, end_line, signature FROM decl",
+    "compare_files": f"""WITH {DECLARED}, c AS (SELECT DISTINCT path, k, p_partkey FROM decl)
+        SELECT path, 'deletion' AS category, type AS kind, name, 'low' AS impact, false AS breaking FROM decl WHERE k = 0 AND type = 'interface'
+        UNION ALL SELECT path, 'addition', 'variable', 'w' || p_partkey, 'low', false FROM c WHERE k = 0
+        UNION ALL SELECT path, 'dependency', 'added', 'far', 'medium', false FROM c WHERE k = 0
+        UNION ALL SELECT path, 'modification', 'signature', 'make', 'high', true FROM c WHERE k = 1""",
     "source_nodes": f"""WITH {DECLARED}, m AS (SELECT kind, inner_node, line FROM part JOIN {MARKED} ON k = p_size % {len(SOURCES)}),
         d AS (SELECT type AS kind, (EXISTS (SELECT 1 FROM decl o WHERE o.p_partkey = decl.p_partkey AND o.start_line <= decl.start_line AND o.end_line >= decl.end_line AND (o.start_line, o.end_line) <> (decl.start_line, decl.end_line)))::INT AS inner_node, start_line AS line FROM decl)
         SELECT kind, count(*) AS nodes, sum(inner_node)::BIGINT AS "inner", sum(line)::BIGINT AS lines FROM (SELECT * FROM m UNION ALL SELECT * FROM d) GROUP BY 1""",

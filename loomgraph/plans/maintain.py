@@ -30,6 +30,20 @@ def plan_summary(spark, d):
     return I.plan_summary(patch_plan(spark, d))
 
 
+def two_plans(spark, d):
+    """The patches of two plans put together: the second one leads back for every third customer."""
+    back = I.patch_plan(shadow(spark, d).where("c_custkey % 3 = 0"), actual(spark, d).where("c_custkey % 3 = 0"), "c_custkey", COMPARED)
+    return patch_plan(spark, d).unionByName(back)
+
+
+def plan_conflicts(spark, d):
+    return I.plan_conflicts(two_plans(spark, d), "c_custkey").select("c_custkey", "patches", "severity")
+
+
+def plan_validity(spark, d):
+    return I.plan_validity(two_plans(spark, d), "c_custkey")
+
+
 def the_diff(spark, d):
     return snapshot_diff(actual(spark, d), shadow(spark, d), "c_custkey", COMPARED)
 
@@ -161,7 +175,7 @@ def compact_controller(spark, d):
     return counts.withColumn("strategy", F.lit(strategy))
 
 
-QUERIES = {f.__name__: f for f in (patch_plan, plan_summary, token_delta, impact_summary, ast_risk, apply_changes, debounce_sessions, session_last_op, count_batches, change_priority, ema, compact_relevance, compact_frequency, compact_dependency, compact_size, compact_hybrid, compact_adaptive, compact_analysis, compact_orphans, compact_symbol_frequency, compact_symbol_dependency, compact_controller)}
+QUERIES = {f.__name__: f for f in (patch_plan, plan_summary, plan_conflicts, plan_validity, token_delta, impact_summary, ast_risk, apply_changes, debounce_sessions, session_last_op, count_batches, change_priority, ema, compact_relevance, compact_frequency, compact_dependency, compact_size, compact_hybrid, compact_adaptive, compact_analysis, compact_orphans, compact_symbol_frequency, compact_symbol_dependency, compact_controller)}
 
 DIFF = """a AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0), s AS (SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0),
     diff AS (SELECT coalesce(a.c_custkey, s.c_custkey) AS c_custkey, a.c_acctbal AS old_bal, coalesce(s.c_mktsegment, a.c_mktsegment) AS segment, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN s.c_custkey IS NULL THEN 'removed' WHEN a.c_acctbal <> s.c_acctbal THEN 'modified' END AS change FROM a FULL JOIN s ON a.c_custkey = s.c_custkey),
@@ -182,6 +196,8 @@ def _frequency_sql(files: str, edges: str, out: str) -> str:
 ORACLES = {
     "patch_plan": f"WITH {DIFF}, p AS (SELECT c_custkey, change, CASE change WHEN 'added' THEN 1 WHEN 'modified' THEN 2 ELSE 3 END AS priority FROM d) SELECT *, row_number() OVER (ORDER BY priority, c_custkey) AS update_order FROM p",
     "plan_summary": f"WITH {DIFF} SELECT count(*) AS patches, count(*) * 10 AS estimated_ms, CASE WHEN count(*) > 1000 THEN 'split the plan' WHEN count(*) > 10 THEN 'apply in batches' ELSE '' END AS note FROM d",
+    "plan_conflicts": f"WITH {DIFF} SELECT c_custkey, 2::BIGINT AS patches, 'high' AS severity FROM d WHERE c_custkey % 3 = 0",
+    "plan_validity": f"WITH {DIFF} SELECT count(*) + count(*) FILTER (c_custkey % 3 = 0) AS patches, count(*) FILTER (c_custkey % 3 = 0) AS conflicts, count(*) FILTER (c_custkey % 3 = 0) = 0 AS valid, count(*) + count(*) FILTER (c_custkey % 3 = 0) > 1000 AS large FROM d",
     "token_delta": f"WITH {DIFF} SELECT count(*) FILTER (change = 'added') * 100 AS tokens_added, count(*) FILTER (change = 'removed') * 100 AS tokens_removed, (count(*) FILTER (change = 'added') - count(*) FILTER (change = 'removed')) * 100 AS tokens_net FROM d",
     "impact_summary": f"""WITH {DIFF}, x AS (SELECT count(*) AS changes, count(*) FILTER (change = 'removed' OR (change = 'modified' AND old_bal < 0)) AS high_impact, sum(CASE WHEN change = 'removed' THEN 8 WHEN change = 'modified' AND old_bal < 0 THEN 5 WHEN change = 'added' THEN 1 ELSE 0 END) / 10.0::DOUBLE AS risk FROM d)
         SELECT *, CASE WHEN risk > 2 THEN 'review before merging' WHEN high_impact > 0 THEN 'review high-impact changes' ELSE 'none' END AS advice FROM x""",

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ladders
 from loomgraph.functions import paths as P
+from loomgraph.operators import cochange as C
 from loomgraph.operators import neighborhoods as N
-from loomgraph.plans.relations import table
+from loomgraph.plans.cochange import CONFIDENCE, MINED, RELATED, STEPS, SUPPORT
+from loomgraph.plans.relations import brand_commits, table
 
 OVERLAP, LEAST, CLUSTERS, MOST = 0.4, 0.3, 6, 15
 METRICS = ("nearest", "farthest", "density", "cohesion", "strength", "silhouette", "davies_bouldin", "calinski_harabasz")
@@ -46,6 +48,19 @@ def neighborhoods(spark, d):
     return kept.orderBy(F.desc("strength"), "id").limit(15).select("id", "strength", F.size("members").alias("files"))
 
 
+def analysis_summary(spark, d):
+    """Files, neighborhoods, patterns and relationships of the whole history in one row."""
+    brands = brand_commits(spark, d)
+    return N.summary(neighborhoods_in(spark, d), C.mine_pairs(brands, SUPPORT, CONFIDENCE), C.file_relationships(brands, steps=STEPS))
+
+
+def similar_sets(spark, d):
+    """Part types as sets of their brands and sizes, compared by prefixes."""
+    p = table(spark, d, "part")
+    sets = p.select(F.concat("p_type", F.lit("/"), (F.col("p_size") % 5).cast("string")).alias("id"), F.col("p_brand").alias("m")).groupBy("id").agg(F.collect_set("m").alias("members"))
+    return N.similar_sets(sets, 0.5).select("a", "b", "both", F.round("jaccard", 6).alias("jaccard"))
+
+
 def recommendations(spark, d):
     return N.strongest(neighborhoods_in(spark, d)).select("file", "id", F.size("others").alias("others"), "strength", "priority")
 
@@ -93,7 +108,7 @@ def optimal_k(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("n"), ladders.optimal_clusters(F.col("c_custkey")).alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (structural_similarity, merge_similar, neighborhoods, recommendations, enhanced_score, cluster_edges, clusters, cluster_metrics, clusters_of_size, optimal_k)}
+QUERIES = {f.__name__: f for f in (structural_similarity, similar_sets, analysis_summary, merge_similar, neighborhoods, recommendations, enhanced_score, cluster_edges, clusters, cluster_metrics, clusters_of_size, optimal_k)}
 
 SETS = """i AS (SELECT p_brand || '/' || (p_size % 2) AS id, * FROM part), hood AS (SELECT id, round(avg(p_size) / 50, 6) AS strength, count(DISTINCT p_name) AS files FROM i GROUP BY 1),
     m_git AS (SELECT DISTINCT id, p_name AS m FROM i), m_dep AS (SELECT DISTINCT id, p_type || '>' || (p_size % 10) AS m FROM i), m_struct AS (SELECT DISTINCT id, 'prefix_' || left(p_name, 3) AS m FROM i)"""
@@ -122,6 +137,11 @@ LINKED = f"""WITH RECURSIVE {WEIGHTS}, dist AS (SELECT a, b, 1 - round(weight, 9
     final AS (SELECT unnest(ids) AS id, unnest(labels) AS cluster FROM (SELECT * FROM link ORDER BY k DESC LIMIT 1), n)"""
 ORACLES = {
     "structural_similarity": f"WITH {SETS}, {_jaccard_sql('git')} SELECT a, b, both_n AS both, round(j, 6) AS jaccard FROM j_git",
+    "analysis_summary": f"""WITH a AS ({MINED} SELECT count(*) AS patterns FROM mined), b AS ({RELATED} SELECT count(*) FILTER (strength = 'strong') AS strong, count(*) FILTER (strength = 'moderate') AS moderate, count(*) FILTER (strength = 'weak') AS weak FROM laddered)
+        SELECT (SELECT count(DISTINCT p_name) FROM part) AS files, (SELECT count(*) FROM (SELECT DISTINCT p_brand, p_size % 2 FROM part)) AS neighborhoods, patterns, strong, moderate, weak FROM a, b""",
+    "similar_sets": """WITH s AS (SELECT DISTINCT p_type || '/' || (p_size % 5) AS id, p_brand AS m FROM part), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+        j AS (SELECT x.id AS a, y.id AS b, count(*) AS both_n FROM s x JOIN s y ON x.m = y.m AND x.id < y.id GROUP BY 1, 2)
+        SELECT a, b, both_n AS "both", round(both_n::DOUBLE / (na.n + nb.n - both_n), 6) AS jaccard FROM j JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE both_n::DOUBLE / (na.n + nb.n - both_n) >= 0.5""",
     "merge_similar": f"{GREEDY} SELECT id, strength, files::INTEGER AS files FROM r JOIN kept USING (rank)",
     "neighborhoods": f"{GREEDY} SELECT id, strength, files::INTEGER AS files FROM r JOIN kept USING (rank) ORDER BY strength DESC, id LIMIT 15",
     "recommendations": f"""WITH {SETS}, b AS (SELECT m AS file, id, strength, files, row_number() OVER (PARTITION BY m ORDER BY strength DESC, id DESC) AS k FROM m_git JOIN hood USING (id))
