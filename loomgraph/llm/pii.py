@@ -194,7 +194,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule = rule or Disclosure()
     more = ["carried"] * bool(carry)
     held = whole_texts(df, id_col, text_col, carry)
-    found = stored(held.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), "text", *more), "personal")
+    found = stored(held.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", base_spans(F.col("text")).alias("base"), "text", *more), "personal", dense=True)
     told = stored(disclosing_terms(found, found.count(), rule), "disclosing")
     own = found.where(F.size("base") > 0).select("row_id", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
     own = own.join(told, "entity").select("row_id", "term", "share")
