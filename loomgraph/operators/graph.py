@@ -213,8 +213,17 @@ def cycle_paths(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(path, point, name): the innermost range of the same file that holds each point; (path, point) and (path, name, start, end) in."""
-    found = points.join(ranges, "path").where("point between start and end")
+    """(path, point, name): the innermost range of the same file that holds each point, ties by name; (path, point) and (path, name, start, end) in.
+
+    Both sides are dealt by bins as wide as the mean range, so a file of very many points and ranges is spread over tasks, and ranges make
+    three rows each on average. Points that no range holds are left out, as are ranges with a null or reversed end.
+    """
+    held = ranges.where("start <= end").select("path", "name", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    width = held.agg(F.coalesce(F.nullif(F.avg(F.col("end") - F.col("start")), F.lit(0.0)), F.lit(1.0)).alias("width"))
+    bin_of = lambda c: F.floor(F.col(c) / F.col("width"))
+    left = points.select("path", "point").distinct().crossJoin(F.broadcast(width)).withColumn("bin", bin_of("point"))
+    right = held.crossJoin(F.broadcast(width)).select("path", "name", "start", "end", F.explode(F.sequence(bin_of("start"), bin_of("end"))).alias("bin"))
+    found = left.join(right, ["path", "bin"]).where("point between start and end")
     return found.groupBy("path", "point").agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "name")).alias("name"))
 
 

@@ -168,3 +168,16 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
 def test_no_cycles(spark):
     df = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")
     assert G.strongly_connected(df).count() == 0 == G.cycle_paths(df, G.strongly_connected(df)).count()
+
+
+def test_innermost_range_by_bins(spark):
+    rng = random.Random(9)
+    ranges = [(rng.choice("ab"), f"r{k}", a, a + rng.choice([0, 1, 5, 90])) for k in range(40) for a in [rng.randrange(100)]] + [("a", "whole", -50, 500), ("a", "none", 5, None), ("b", "back", 9, 3)]
+    points = [(rng.choice("abc"), rng.randrange(-60, 200)) for _ in range(120)]
+    found = {(r.path, r.point): r.name for r in G.containing(spark.createDataFrame(points, "path string, point long"), spark.createDataFrame(ranges, "path string, name string, start long, end long")).collect()}
+    want = {}
+    for path, x in points:
+        inside = [(e - s, n) for p, n, s, e in ranges if p == path and e is not None and s <= x <= e]
+        if inside:
+            want[path, x] = min(inside)[1]
+    assert found == want
