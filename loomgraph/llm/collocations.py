@@ -280,7 +280,7 @@ def scored_phrases(df: DataFrame, lang_col: str = "lang", text_col: str = "text"
     s1, s2 = exact_score(F.col("a"), F.col("l1"), F.col("r1")), exact_score(F.col("a"), F.col("l2"), F.col("r2"))
     first = s1 <= s2
     three = three.select(F.col("x").alias("number"), F.concat_ws(" ", *(F.col(c).cast("string") for c in ("wx", "wy", "wthird"))).alias("phrase"), "a", F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l"), F.when(first, F.col("r1")).otherwise(F.col("r2")).alias("r"))
-    of = words.select("number", "lang").join(F.broadcast(total), "lang")
+    of = words.select("number", "lang").join(total, "lang")
     return two.unionByName(three).join(of, "number").select("lang", "phrase", "a", "l", "r", "n", exact_score(F.col("a"), F.col("l"), F.col("r")).alias("score"))
 
 
