@@ -99,6 +99,23 @@ def test_sequence_diff_is_a_longest_common_subsequence(spark):
         assert [r.new_place for r in sorted(run, key=lambda r: r.old_place)] == sorted(r.new_place for r in run)
 
 
+def test_sequence_diff_takes_many_files_in_one_call(spark):
+    places = {f: random.Random(f).sample(range(n), n) for f, n in enumerate([1, 2, 40, 3, 1, 0, 25, *[1] * 60])}
+    old = [(f, k, k, 0) for f, v in places.items() for k in range(len(v))]
+    new = [(f, k, p, 0) for f, v in places.items() for k, p in enumerate(v)]
+    schema = "path long, node long, place int, content int"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # files begin and end anywhere in a batch, and run over several
+    try:
+        diff = sequence.node_diff(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "path", "node", "place", "content")
+        plan = diff._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroupsIn" not in plan  # a call for each file made 900,000 files too slow
+        found = Counter(r.path for r in diff.collect() if r.in_order)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == Counter({f: lcs(list(range(len(v))), sorted(range(len(v)), key=v.__getitem__)) for f, v in places.items() if v})
+
+
 def test_sketches_merge_within_their_bounds(spark):
     rng = random.Random(8)
     rows = [(rng.choice(["a", "a", *map(str, range(40))]), f"u{rng.randrange(6000)}", T0 + dt.timedelta(minutes=rng.randrange(100_000))) for _ in range(20_000)]
