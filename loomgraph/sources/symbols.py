@@ -78,26 +78,34 @@ def blanked(language: Column, content: Column) -> Column:
     def clean(piece: Column) -> Column:
         kind = kind_of(piece, language)
         inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
-        return F.when(kind == "comment", blank(piece)).when(kind == "string", F.concat(F.substring(piece, 1, 1), blank(inner), F.substring(piece, -1, 1))).otherwise(piece)
+        some = F.substring(piece, 1, 1).isin("/", "#", '"', "'", "`")  # others are code
+        return F.when(~some, piece).when(kind == "comment", blank(piece)).when(kind == "string", F.concat(F.substring(piece, 1, 1), blank(inner), F.substring(piece, -1, 1))).otherwise(piece)
 
     return F.array_join(F.transform(pieces(language, content), clean), "")
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a costly column that is worked out once a row: as a generator's output, neither filters nor later columns repeat its expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _count(text: Column, some: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{some}]", ""))
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in some), F.lit(0))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, language, line_no from 1, line, clean, before, after, low, p_before, p_after): a file's lines as they are and without comments and strings; how deep in braces each begins, ends, and is at its lowest; and how deep in parentheses, in Python in any brackets, it begins and ends."""
     lang = P.language(F.col("path"))
-    text = files.select("path", lang.alias("language"), "content", blanked(lang, F.col("content")).alias("clean"))
+    # dealt by path before the scan, for small files lie in few partitions; running sums and what follows then need no further shuffle
+    text = once(files.select("path", lang.alias("language"), "content").repartition("path"), blanked(F.col("language"), F.col("content")), "clean")
     rows = text.select("path", "language", F.posexplode(F.arrays_zip(F.split("content", "\n").alias("line"), F.split("clean", "\n").alias("clean"))).alias("n", "l"))
     rows = rows.select("path", "language", (F.col("n") + 1).alias("line_no"), "l.line", "l.clean")
     step = lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"))
-    drop = F.aggregate(F.split(F.regexp_replace("clean", r"[^{}]", ""), ""), start, lambda s, c: F.struct((s["at"] + step(c)).alias("at"), F.least(s["low"], s["at"] + step(c)).alias("low")), lambda s: s["low"])
+    falls = F.aggregate(F.split(F.regexp_replace("clean", r"[^{}]", ""), ""), start, lambda s, c: F.struct((s["at"] + step(c)).alias("at"), F.least(s["low"], s["at"] + step(c)).alias("low")), lambda s: s["low"])
+    drop = F.when(F.contains("clean", F.lit("}")), falls).otherwise(0)
     braces = _count(F.col("clean"), "{") - _count(F.col("clean"), "}")
-    parens = F.when(F.col("language") == "python", _count(F.col("clean"), r"(\[{") - _count(F.col("clean"), r")\]}")).otherwise(_count(F.col("clean"), "(") - _count(F.col("clean"), ")"))
+    parens = F.when(F.col("language") == "python", _count(F.col("clean"), "([{") - _count(F.col("clean"), ")]}")).otherwise(_count(F.col("clean"), "(") - _count(F.col("clean"), ")"))
     order = Window.partitionBy("path").orderBy("line_no")
     rows = rows.withColumn("after", F.sum(braces).over(order)).withColumn("p_after", F.sum(parens).over(order))
     rows = rows.withColumn("before", F.col("after") - braces).withColumn("p_before", F.col("p_after") - parens)
@@ -109,7 +117,7 @@ def next_at_most(starts: DataFrame, lines: DataFrame, value: Column) -> DataFram
 
     Each start is asked for at each value up to its own that the file has, and in order from the end each of those meets the nearest line.
     """
-    known = lines.select("path", "line_no", value.alias("value"))
+    known = lines.select("path", "line_no", value.alias("value")).join(starts.select("path").distinct(), "path", "left_semi")  # of files that ask
     asked = starts.join(known.select("path", "value").distinct(), "path").where("value <= most")
     rows = known.select("path", "value", "line_no", F.lit(None).cast("int").alias("most"), F.col("line_no").alias("hit")).unionByName(asked.select("path", "value", "line_no", "most", F.lit(None).cast("int").alias("hit")))
     backward = Window.partitionBy("path", "value").orderBy(F.desc("line_no"), F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +194,8 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.transform("ls", lambda r: r[c]), "\n")
     many = seen.join(parts, ["path", "line_no"]).withColumn("head", text("clean")).withColumn("raw", text("line")).drop("ls")
     python = F.col("language") == "python"
-    found = one.unionByName(many).withColumn("rule", _by_rule(F.col("language"), F.col("head"))).where("rule is not null").withColumn("size", signature_size(F.col("head"), python))
+    found = once(one.unionByName(many), _by_rule(F.col("language"), F.col("head")), "rule").where("rule is not null")
+    found = once(found, signature_size(F.col("head"), python), "size")
     signed, body = F.substring(F.col("head"), F.lit(1), F.col("size")), F.substring(F.col("head"), F.col("size") + 1, F.lit(1)) == "{"
     whole = body & signed.rlike(METHOD) & (_count(signed, "(") == _count(signed, ")"))
     found = found.where(whole | (F.col("rule.type") != "method") | ~F.col("language").isin("typescript", "javascript"))
@@ -205,7 +214,8 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     behind = F.substring(F.col("opens_clean"), F.col("shift") + 1, F.col("opens_length"))  # from the body's brace on
     inner = F.col("before") + _count(F.substring(F.col("opens_clean"), F.lit(1), F.col("shift")), "{") - _count(F.substring(F.col("opens_clean"), F.lit(1), F.col("shift")), "}")
     depth = F.when(F.col("opens") > F.col("line_no"), F.col("opens_before") + inner - F.col("before")).otherwise(inner)  # before the body's brace
-    braced = braced.withColumn("depth", depth).withColumn("here", F.when(F.col("body"), brace_at(behind, F.col("depth"), F.col("depth"))))
+    braced = once(braced.withColumn("depth", depth).withColumn("behind", behind), F.when(F.col("body"), brace_at(F.col("behind"), F.col("depth"), F.col("depth"))), "here")
+    braced = stored(braced.drop("opens_clean", "behind"), "braced")
     further = braced.where("body and here is null")
     closing = next_at_most(further.select("path", F.col("opens").alias("line_no"), F.col("depth").alias("most")).distinct(), lines, F.col("low").cast("int"))
     closing = closing.select("path", F.col("line_no").alias("opens"), F.col("most").alias("depth"), F.col("next").alias("end"))
@@ -235,7 +245,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 def nodes(files: DataFrame) -> DataFrame:
     """(path, node_id, kind, name, start_line, end_line, parent): a file's declarations, comments and strings as nodes; a parent is the innermost declaration around a node."""
     lang = P.language(F.col("path"))
-    some = files.where(lang.isin(*RULES)).select("path", lang.alias("language"), F.posexplode(pieces(lang, F.col("content"))).alias("n", "piece"))
+    some = files.where(lang.isin(*RULES)).repartition("path").select("path", lang.alias("language"), F.posexplode(pieces(lang, F.col("content"))).alias("n", "piece"))
     feeds = F.length(F.regexp_replace("piece", r"[^\n]", ""))
     end = (F.sum(feeds).over(Window.partitionBy("path").orderBy("n")) + 1).cast("long")
     held = some.select("path", "n", end.alias("end_line"), feeds.alias("feeds"), kind_of(F.col("piece"), F.col("language")).alias("kind")).where("kind <> 'code'")

@@ -193,3 +193,10 @@ def test_next_line_at_most(spark):
     found = {(r.path, r.line_no, r.most): r.next for r in symbols.next_at_most(spark.createDataFrame(starts, "path string, line_no int, most int"), lines, F.col("d")).collect()}
     want = {(f, n, m): next((k for k in range(n + 1, 60) if depth[f, k] <= m), None) for f, n, m in starts}
     assert found == {k: v for k, v in want.items() if v is not None}
+
+
+def test_files_are_dealt_by_path_before_the_scan(spark):
+    files = spark.createDataFrame([(f"src/{k}.ts", "class A {\n}") for k in range(40)], "path string, content string").coalesce(1)
+    plan = symbols.lines_of(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan.split("posexplode", 1)[1]  # small files in few partitions were scanned by as few tasks
+    assert plan.count("regexp_extract_all") == 3  # once for each way of scanning
