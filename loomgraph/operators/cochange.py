@@ -26,40 +26,47 @@ def commit_sets(commit_files: DataFrame, most_files: int | None = None) -> DataF
     return sets if most_files is None else sets.where(F.size("files") <= most_files)
 
 
-def pair_counts(sets: DataFrame) -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` by keys in a given number of tasks; as it is without one."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
+def pair_counts(sets: DataFrame, tasks: int | None = None) -> DataFrame:
     """(file1, file2, frequency, first_ts, last_ts) of files of one commit, file1 < file2.
 
-    Commits are put together by one shuffle, and pairs made where they lie, a file at a time.
+    Commits are put together by one shuffle, and pairs made where they lie, a file at a time. With ``tasks``, for files so many that
+    few pairs come twice, pairs are moved as they are and counted by that many tasks; else each task counts its own pairs first.
     """
     one = sets.where(F.size("files") >= 2).select("ts", "files", F.posexplode("files").alias("i", "file1"))
     pairs = one.select("ts", "file1", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("file2"))
-    return pairs.groupBy("file1", "file2").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return dealt(pairs, tasks, "file1", "file2").groupBy("file1", "file2").agg(F.count("*").alias("frequency"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def apply_history(commit_files: DataFrame, batch: DataFrame) -> DataFrame:
+def apply_history(commit_files: DataFrame, batch: DataFrame, tasks: int | None = None) -> DataFrame:
     """(hash, path, ts) after a batch of (hash, path, ts, sign): rows of sign 1 are added and those of -1 withdrawn; rows of one (hash, path) add up, and it is there if the sum is positive."""
     both = commit_files.select("hash", "path", "ts", F.lit(1).alias("sign")).distinct().unionByName(batch.select("hash", "path", "ts", "sign"))
-    return both.groupBy("hash", "path").agg(F.max("ts").alias("ts"), F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
+    return dealt(both, tasks, "hash").groupBy("hash", "path").agg(F.max("ts").alias("ts"), F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
 
 
-def pair_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+def pair_deltas(before: DataFrame, after: DataFrame, tasks: int | None = None) -> DataFrame:
     """(file1, file2, frequency): how common changes of pairs grow or shrink from one state of some commits to another; pairs that don't change are left out."""
-    signed = lambda cf, sign: pair_counts(commit_sets(cf)).select("file1", "file2", (F.col("frequency") * sign).alias("frequency"))
-    return signed(before, -1).unionByName(signed(after, 1)).groupBy("file1", "file2").agg(F.sum("frequency").alias("frequency")).where("frequency <> 0")
+    signed = lambda cf, sign: pair_counts(commit_sets(cf), tasks).select("file1", "file2", (F.col("frequency") * sign).alias("frequency"))
+    return dealt(signed(before, -1).unionByName(signed(after, 1)), tasks, "file1", "file2").groupBy("file1", "file2").agg(F.sum("frequency").alias("frequency")).where("frequency <> 0")
 
 
-def maintain_pairs(commit_files: DataFrame, counts: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def maintain_pairs(commit_files: DataFrame, counts: DataFrame, batch: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The history and its pair counts (file1, file2, frequency) after a batch of signed rows.
 
     Only commits that the batch names are mined again, as they were and as they are, and the difference is added to the stored counts.
     Pairs that no commit holds any more go. Withdrawing what isn't there changes nothing.
     """
+    commit_files, batch = dealt(commit_files, tasks, "hash"), dealt(batch, tasks, "hash")
     named = batch.select("hash").distinct()
     touched = commit_files.join(named, "hash", "left_semi").select("hash", "path", "ts")
-    now = apply_history(touched, batch)
-    merged = counts.select("file1", "file2", "frequency").unionByName(pair_deltas(touched, now))
+    now = apply_history(touched, batch, tasks)
+    merged = counts.select("file1", "file2", "frequency").unionByName(pair_deltas(touched, now, tasks))
     kept = commit_files.join(named, "hash", "left_anti").select("hash", "path", "ts").unionByName(now)
-    return kept, merged.groupBy("file1", "file2").agg(F.sum("frequency").alias("frequency")).where("frequency <> 0")
+    return kept, dealt(merged, tasks, "file1", "file2").groupBy("file1", "file2").agg(F.sum("frequency").alias("frequency")).where("frequency <> 0")
 
 
 def file_counts(sets: DataFrame, least: int = 1) -> DataFrame:
@@ -114,14 +121,14 @@ def together_share(commit_files: DataFrame) -> DataFrame:
     return found.select("file1", "file2", F.col("frequency").alias("together"), separate.alias("separate"), (F.col("frequency") / (F.col("frequency") + separate).cast("double")).alias("share"))
 
 
-def cooccurrences(commit_files: DataFrame, least: int = 2) -> DataFrame:
+def cooccurrences(commit_files: DataFrame, least: int = 2, tasks: int | None = None) -> DataFrame:
     """(path, partner, n, rank): partners changed with a file at least ``least`` times, most frequent first."""
     from pyspark.sql import Window
 
-    pairs = pair_counts(commit_sets(commit_files)).where(F.col("frequency") >= least)
+    pairs = pair_counts(commit_sets(commit_files), tasks).where(F.col("frequency") >= least)
     both = pairs.select(F.explode(F.array(F.struct(F.col("file1").alias("path"), F.col("file2").alias("partner")), F.struct(F.col("file2").alias("path"), F.col("file1").alias("partner")))).alias("p"), F.col("frequency").alias("n"))
     order = Window.partitionBy("path").orderBy(F.desc("n"), "partner")
-    return both.select("p.path", "p.partner", "n").withColumn("rank", F.row_number().over(order))
+    return dealt(both.select("p.path", "p.partner", "n"), tasks, "path").withColumn("rank", F.row_number().over(order))
 
 
 def file_relationships(commit_files: DataFrame, least: int = 2, steps: list[tuple[float, str]] | None = None) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ladders
 from loomgraph.operators import cochange as C
-from loomgraph.plans.relations import BRAND_SQL, PAIRS_SQL, PART_SQL, brand_commits, part_commits, table
+from loomgraph.operators.order import before_within
+from loomgraph.plans.relations import BRAND_SQL, PAIRS_SQL, PART_SQL, brand_commits, part_commits, table, tasks_of
+from loomgraph.shared import stored
 
 SUPPORT, CONFIDENCE = 0.025, 0.15
+#: Tasks that count pairs of parts, for each that puts lines together: an order's lines make twice as many pairs.
+PAIRS = 2
 STEPS = [(0.094, "strong"), (0.081, "moderate")]
 
 
@@ -41,7 +44,7 @@ def pattern_confidence_all(spark, d):
 
 
 def cooccurrence_ranked(spark, d):
-    return C.cooccurrences(part_commits(spark, d))
+    return C.cooccurrences(part_commits(spark, d), tasks=PAIRS * tasks_of(spark, d))
 
 
 def file_relationships(spark, d):
@@ -63,7 +66,7 @@ STRONG = 0.1
 def strong_part_pairs(spark, d):
     """Pairs of parts ordered together at least twice, and in at least a tenth of the orders of the rarer one."""
     commits = part_commits(spark, d)
-    pairs = C.pair_counts(C.commit_sets(commits)).where("frequency >= 2")
+    pairs = C.pair_counts(C.commit_sets(commits), PAIRS * tasks_of(spark, d)).where("frequency >= 2")
     counts = commits.groupBy("path").agg(F.count("*").alias("c"))
     sized = pairs.join(counts.select(F.col("path").alias("file1"), F.col("c").alias("c1")), "file1").join(counts.select(F.col("path").alias("file2"), F.col("c").alias("c2")), "file2")
     return sized.where(F.col("frequency") / F.least("c1", "c2") >= STRONG).drop("c1", "c2")
@@ -74,7 +77,7 @@ def module_groups(spark, d):
 
 
 def module_metrics(spark, d):
-    pairs = C.pair_counts(C.commit_sets(part_commits(spark, d))).where("frequency >= 2")
+    pairs = C.pair_counts(C.commit_sets(part_commits(spark, d)), PAIRS * tasks_of(spark, d)).where("frequency >= 2")
     found = C.module_metrics(C.module_groups(strong_part_pairs(spark, d)), pairs)
     return found.select(F.col("component").alias("module"), "files", "internal", "external", "changes", "last_changed", F.round("cohesion", 6).alias("cohesion"))
 
@@ -95,8 +98,7 @@ def usage_patterns(spark, d):
 
 def cochange_lag(spark, d):
     """Days since a brand's change before, by the window that the closed form of intervals replaces."""
-    order = Window.partitionBy("path").orderBy("ts", "hash")
-    gaps = brand_commits(spark, d).select("path", "hash", "ts").withColumn("before", F.lag("ts").over(order)).where("before is not null")
+    gaps = before_within(stored(brand_commits(spark, d).select("path", "hash", "ts"), "changes"), "path", "ts", "ts", "hash", tasks=tasks_of(spark, d)).where("before is not null")
     days = F.date_diff(F.to_date("ts"), F.to_date("before"))
     return gaps.groupBy("path").agg(F.count("*").alias("gaps"), F.sum(days).cast("long").alias("days"), F.max(days).cast("long").alias("longest"))
 

@@ -10,17 +10,27 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Lines that one task puts together at most, on average; a few hundred MB of its memory.
+LINES = 300_000
+
+
+def tasks_of(spark: SparkSession, d: str) -> int:
+    """Into how many tasks lines are dealt, so that a task's memory doesn't grow with the table; the number of lines is read from file footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, d, "lineitem").count() // LINES))
+
+
 def brand_commits(spark: SparkSession, d: str) -> DataFrame:
     """Orders as commits, the brands in them as files."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = tasks_of(spark, d)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition(tasks, "l_partkey")
     brands = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("ts"))
-    return lines.join(brands, "l_partkey").join(orders, "l_orderkey").select(F.col("l_orderkey").alias("hash"), "path", "ts").distinct()
+    return lines.join(brands, "l_partkey").repartition(tasks, "l_orderkey").join(orders, "l_orderkey").select(F.col("l_orderkey").alias("hash"), "path", "ts").distinct()
 
 
 def part_commits(spark: SparkSession, d: str) -> DataFrame:
     """Orders as commits, the parts in them as files."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition(tasks_of(spark, d), "l_orderkey")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("ts"))
     return lines.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("path"), "ts").distinct()
 

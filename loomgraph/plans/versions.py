@@ -8,7 +8,7 @@ from loomgraph.operators import cochange as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import sequence, sketches
 from loomgraph.operators.asof import as_of
-from loomgraph.plans.relations import PAIRS_SQL, part_commits, table
+from loomgraph.plans.relations import PAIRS_SQL, part_commits, table, tasks_of
 from loomgraph.shared import stored
 
 
@@ -56,6 +56,7 @@ def sketches_by_range(spark, d):
 
 def incremental_pairs(spark, d):
     """Pairs of parts ordered together, kept through three batches: earlier orders, then later ones with their first lines still missing, then those lines, while failed orders are withdrawn."""
+    tasks = 2 * tasks_of(spark, d)  # an order's lines make twice as many pairs
     commits = stored(part_commits(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("hash"), "o_orderstatus"), "hash"), "commits")
     cut = commits.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))).cast("long")).alias("cut"))
     rows = commits.crossJoin(F.broadcast(cut)).withColumn("early", F.col("ts").cast("timestamp") < F.col("cut")).select("hash", "path", "ts", "o_orderstatus", "early")
@@ -66,7 +67,7 @@ def incremental_pairs(spark, d):
     third = signed(rows.where(~F.col("early") & late_line), 1).unionByName(signed(rows.where("o_orderstatus = 'F' and hash % 10 = 3"), -1))
     history, counts = rows.select("hash", "path", "ts").where("false"), C.pair_counts(C.commit_sets(rows.where("false"))).select("file1", "file2", "frequency")
     for k, batch in enumerate((first, second, third)):
-        history, counts = C.maintain_pairs(history, counts, batch)
+        history, counts = C.maintain_pairs(history, counts, batch, tasks)
         history, counts = stored(history, f"history-{k}"), stored(counts, f"pairs-{k}")
     return counts
 

@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import cochange as C
+from loomgraph.operators.order import before_within
 
 T0 = dt.datetime(2022, 1, 1)
 
@@ -62,3 +64,22 @@ def test_components_of_a_long_path_and_of_nothing(spark):
 
 def test_large_commits_can_be_left_out(spark):
     assert C.commit_sets(commits(spark, [["a", "b", "c"], ["a", "b"]]), most_files=2).count() == 1
+
+
+def test_pairs_are_dealt_to_as_many_tasks_as_asked(spark):
+    sets = C.commit_sets(commits(spark, [["a", "b", "c"], ["a", "b"], ["b", "c", "d", "e"]] * 9 + [["a"]]))
+    dealt = C.pair_counts(sets, 23)
+    assert dealt.rdd.getNumPartitions() == 23
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, C.pair_counts(sets).collect()))
+
+
+def test_before_within_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None, "a"]), rng.randrange(50), k, rng.choice([1, 2, None])) for k in range(600)] + [("one", 1, 600, 5)]
+    df = spark.createDataFrame(rows, "key string, ts long, id long, value long")
+    found = before_within(df, "key", "value", "ts", "id", tasks=9).collect()
+    last, want = {}, []
+    for key, ts, k, value in sorted(rows, key=lambda r: r[1:3]):
+        want.append((k, last.get(key)))
+        last[key] = value
+    assert sorted((r.id, r.before) for r in found) == sorted(want)
