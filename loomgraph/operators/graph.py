@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths as P
+from loomgraph.operators.order import in_order
 from loomgraph.shared import stored
 
 
@@ -120,58 +121,87 @@ def contracted(edges: DataFrame, keep: DataFrame | None = None) -> tuple[DataFra
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have edges in and out."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))).alias("e"))
-    both = ends.groupBy("e.node").agg(F.max("e.out").alias("a"), F.min("e.out").alias("b")).where("a and not b").select("node")
-    return edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    """Edges between nodes that have edges in and out, as a stored table; passes go on while each drops a twentieth of the edges, as labels part the rest."""
+    left, n = edges, None
+    while True:
+        ends = left.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))))
+        both = ends.groupBy("node").agg(F.max("out").alias("a"), F.min("out").alias("b")).where("a and not b").select("node")
+        left = stored(left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "scc-edges")
+        before, n = n, left.count()
+        if not n or before is not None and n > before * 0.95:
+            return left
 
 
-def strongly_connected(edges: DataFrame, steps: int = 6) -> DataFrame:
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt and sorted by ``keys`` and kept there, so that the joins of many rounds move only the other side; the caller lets go of them with ``unpersist``."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).persist()
+
+
+def strongly_connected(edges: DataFrame, steps: int = 1) -> DataFrame:
     """(node, component) of nodes on cycles: components of more than one node, and self loops; the label is the smallest member.
 
-    Chains are contracted first, in rounds that grow with the logarithm of their length. Then each node takes the smallest label that
-    reaches it and the smallest that it reaches, in one loop: where both are the same, the node is in that label's
-    component. These leave the graph, and so do edges between nodes that differ in either label, which
-    no component can hold, and nodes without edges in or out. Both directions are rows of one table, so a step is one join with the
-    edges and one minimum; tables are written every ``steps`` steps. Null ends are left out.
+    Nodes without edges in or out leave first, then chains are contracted, in rounds that grow with the logarithm of their length. Then labels spread from
+    some nodes, the pivots, both ways in one loop: each node takes the greatest pivot that reaches it and the greatest that it reaches. Where both
+    are the same, the node is in that pivot's component. These leave the graph, and so do edges between nodes that
+    differ in either label, which no component can hold. Pivots are at first the thousandth of nodes with most ways through them, which mostly lie in the
+    large components, then all nodes. Both directions are rows of one table that stays dealt by node, and only labels that changed in one step
+    are sent on in the next; tables are written every ``steps`` steps. ``edges`` are worked out once. Null ends are left out.
     """
-    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    simple = stored(edges.where("src <> dst and src is not null and dst is not null").select("src", "dst").distinct(), "scc-edges")
-    short, members, rings = contracted(simple)
-    found = [_components(short.where("src <> dst").select("src", "dst").distinct(), steps)]
-    of = found[0].select(F.col("node").alias("at"), F.col("component").alias("c"))
+    known = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc-known")
+    loops = known.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    short, members, rings = contracted(trimmed(known.where("src <> dst")))
+    found = _components(short.where("src <> dst").select("src", "dst").distinct(), steps)
+    of = found.select(F.col("node").alias("at"), F.col("component").alias("c"))
     held = short.where("chain is not null").select("src", "dst", "chain")
     held = held.join(of.select(F.col("at").alias("src"), F.col("c").alias("c1")), "src", "left").join(of.select(F.col("at").alias("dst"), F.col("c").alias("c2")), "dst", "left")
-    held = held.where("src = dst or c1 = c2").select("chain", "src", F.coalesce("c1", "src").alias("component"))
+    held = stored(held.where("src = dst or c1 = c2").select("chain", "src", F.coalesce("c1", "src").alias("component")), "scc-held")
     inner = members.join(held.select("chain", "component"), "chain").select("node", "component")
     alone = held.select(F.col("src").alias("node"), "component")  # a node whose chain leads back to it
-    all_ = found[0].unionByName(inner).unionByName(alone).unionByName(rings).distinct()
+    all_ = stored(found.unionByName(inner).unionByName(alone).unionByName(rings).distinct(), "scc-found")
     named = all_.join(all_.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
     return named.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
+#: Of so many nodes one is a pivot in the first round.
+FEW = 1000
+#: A label is a pivot's number, and in its lowest bits this less the step in which it came, so of equal numbers the earliest is the greatest.
+LAST = (1 << 24) - 1
+
+
 def _components(edges: DataFrame, steps: int) -> DataFrame:
     found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
-    left = stored(trimmed(edges), "scc-edges")
+    left, few = stored(edges, "scc-edges"), FEW
     while left.limit(1).count():
-        ways = left.select(F.explode(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("way")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("way")))).alias("e")).select("e.*")
-        ways = stored(ways, "scc-ways")
-        labels = ways.select(F.explode(F.array("at", "to")).alias("node"), "way").distinct().select("node", "way", F.col("node").alias("label"))
-        moved = True
-        while moved:
-            now = labels.withColumn("was", F.col("label"))
-            for _ in range(steps):
-                offers = ways.join(now.select(F.col("node").alias("at"), "way", "label"), ["at", "way"]).select(F.col("to").alias("node"), "way", "label", F.lit(None).cast(left.schema["src"].dataType).alias("was"))
-                now = now.unionByName(offers).groupBy("node", "way").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-            now = stored(now, "scc-labels")
-            moved = now.where("label < was").limit(1).count() > 0
-            labels = now.select("node", "way", "label")
-        both = stored(labels.groupBy("node").agg(F.max(F.when(F.col("way") == 0, F.col("label"))).alias("above"), F.max(F.when(F.col("way") == 1, F.col("label"))).alias("below")), "scc-both")
-        done = both.where("above = below")
-        found = found.unionByName(done.join(done.groupBy("above").agg(F.count("*").alias("n")).where("n > 1"), "above").select("node", F.col("above").alias("component")))
-        ends = [both.where("above <> below").select(F.col("node").alias(c), F.struct("above", "below").alias(f"of_{c}")) for c in ("src", "dst")]
-        left = stored(trimmed(left.join(ends[0], "src").join(ends[1], "dst").where("of_src = of_dst").select("src", "dst")), "scc-edges")
-    return found
+        ways = left.select(F.inline(F.array(F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("way")), F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("way")))))
+        ways = spread_by(ways, "at", "way")
+        try:
+            both = stored(_labels(ways, few, steps), "scc-both")
+        finally:
+            ways.unpersist()
+        done, few = both.where("above = below"), 1
+        names = done.groupBy("above").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = found.unionByName(done.join(names, "above").select("node", "component"))
+        ends = [both.select(F.col("node").alias(c), F.struct("above", "below").alias(f"of_{c}")) for c in ("src", "dst")]
+        apart = left.join(ends[0], "src", "left").join(ends[1], "dst", "left").where("of_src <=> of_dst and not coalesce(of_src.above = of_src.below, false)")
+        left = trimmed(apart.select("src", "dst"))
+    return stored(found, "scc-components")
+
+
+def _labels(ways: DataFrame, few: int, steps: int) -> DataFrame:
+    """(node, above, below): the greatest pivot that reaches each node and the greatest that it reaches, null where there is none; nodes with neither are left out."""
+    through = ways.groupBy(F.col("at").alias("node")).agg((F.count_if(F.col("way") == 0) * F.count_if(F.col("way") == 1)).alias("through"))
+    nodes = in_order(through, "through", "node")
+    n = nodes.count()
+    pivots = nodes.where(F.col("number") > n - -(-n // few))
+    now, step = pivots.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.shiftleft("number", 24).bitwiseOR(F.lit(LAST)).alias("label")), 0
+    new = lambda: now.where(F.col("label").bitwiseAND(F.lit(LAST)) == LAST - step)
+    while step == 0 or new().limit(1).count():
+        for _ in range(steps):
+            offers = ways.join(new().withColumnRenamed("node", "at"), ["at", "way"]).select(F.col("to").alias("node"), "way", (F.col("label") - 1).alias("label"))
+            now, step = now.unionByName(offers).groupBy("node", "way").agg(F.max("label").alias("label")), step + 1
+        now = stored(now, "scc-labels")
+    number = F.shiftright("label", 24)
+    return now.groupBy("node").agg(F.max(F.when(F.col("way") == 0, number)).alias("above"), F.max(F.when(F.col("way") == 1, number)).alias("below"))
 
 
 def cycle_paths(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -181,3 +181,26 @@ def test_innermost_range_by_bins(spark):
         if inside:
             want[path, x] = min(inside)[1]
     assert found == want
+
+
+def counted(df):
+    """The table, and a counter of its rows that grows each time they are worked out."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(pass_on, df.schema), seen
+
+
+def test_large_component_takes_one_round(spark, monkeypatch):
+    rng, written = random.Random(3), []
+    monkeypatch.setattr(G, "stored", lambda df, name, real=G.stored: written.append(name) or real(df, name))
+    core = {(100 + a, 100 + b) for a in range(20) for b in rng.sample(range(20), 4) if a != b}
+    above = {(a, a + k) for a in range(5) for k in (1, 2)} | {(5, 100), (5, 101), (6, 100), (6, 101)}  # leads into the core, by smaller ids
+    df, seen = counted(spark.createDataFrame([*core, *above], "src int, dst int"))
+    found = G.strongly_connected(df)
+    assert {r.node: r.component for r in found.collect()} == scc_of(core) and len(set(scc_of(core).values())) == 1
+    assert written.count("scc-both") == 1 and seen.value == len(core | above)
