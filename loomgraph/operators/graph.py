@@ -208,40 +208,48 @@ def cycle_paths(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(component, place, node): for each component one shortest cycle through its smallest node, from that node (place 0) on; its last node leads back to the first.
 
     ``components`` is what ``strongly_connected`` gives. Chains inside components are one edge each with their length. From each component's
-    smallest node, distances spread along edges until none gets shorter; of equal ones the smallest predecessor counts. Then
+    smallest node, distances spread along edges until none gets shorter, sent on only by nodes that got nearer; of equal ones the smallest predecessor counts. Then
     all cycles are followed back together, and chains are filled in. Rounds grow with the edges of such a cycle, chains counted as one.
     """
     label = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    inside = edges.select("src", "dst").distinct().join(label("src"), "src").join(label("dst"), "dst").where("of_src = of_dst")
+    inside = stored(edges.select("src", "dst").distinct().join(label("src"), "src").join(label("dst"), "dst").where("of_src = of_dst"), "inside")
     looped = stored(inside.where("src = dst and src = of_src").select(F.col("of_src").alias("component")), "looped")
     simple = stored(inside.where("src <> dst").join(looped.withColumnRenamed("component", "of_src"), "of_src", "left_anti").select("src", "dst"), "cycle-edges")
     starts = components.where("node = component").select("node")
     short, members, _ = contracted(simple, keep=starts)
     size = F.col("size") + 1
-    hops = stored(short.groupBy("src", "dst").agg(F.min(F.struct(size.alias("length"), "chain")).alias("best")).select("src", "dst", "best.length", "best.chain").join(label("src"), "src").withColumnRenamed("of_src", "component"), "hops")
-    # (node, distance, before): the start itself is left out, so what comes back to it is the cycle
-    known = stored(hops.where("src = component").select(F.col("dst").alias("node"), "component", F.col("length").alias("distance"), F.col("src").alias("before")), "distances")
-    moved = True
-    while moved:
-        further = hops.join(known.where("node <> component").select(F.col("node").alias("src"), "distance"), "src").select(F.col("dst").alias("node"), "component", (F.col("distance") + F.col("length")).alias("distance"), F.col("src").alias("before"))
-        all_ = known.withColumn("old", F.col("distance")).unionByName(further.withColumn("old", F.lit(None).cast("long")))
-        now = stored(all_.groupBy("node", "component").agg(F.min(F.struct("distance", "before")).alias("best"), F.max("old").alias("old")).select("node", "component", "best.*", "old"), "distances")
-        # a start that is reached bounds its component: what is as far can't shorten its cycle
-        reached = now.where("node = component").select("component", F.col("distance").alias("most"))
-        moved = now.join(reached, "component", "left").where("(old is null or distance < old) and (most is null or distance < most)").limit(1).count() > 0
-        known = now.drop("old")
-    back = hops.select(F.col("src").alias("before"), F.col("dst").alias("node"), "length", "chain")
-    at = stored(known.where("node = component").join(back, ["before", "node"]).select("component", "before", "distance", "length", "chain"), "back")
+    hops = short.groupBy("src", "dst").agg(F.min(F.struct(size.alias("length"), "chain")).alias("best")).select("src", "dst", "best.length", "best.chain").join(label("src"), "src").withColumnRenamed("of_src", "component")
+    hops = spread_by(stored(hops, "hops"), "src")
+    try:
+        known = stored(_distances(hops), "known")
+    finally:
+        hops.unpersist()
+    at = stored(known.where("node = component"), "back")
     path = at
     while at.where("before <> component").limit(1).count():
-        step = at.where("before <> component").select("component", F.col("before").alias("node")).join(known, ["component", "node"]).join(back, ["before", "node"])
-        at = stored(step.select("component", "before", "distance", "length", "chain"), "back")
+        at = stored(known.join(at.where("before <> component").select("component", F.col("before").alias("node")), ["component", "node"]).select(*known.columns), "back")
         path = path.unionByName(at)
     path = stored(path.select("component", F.col("before").alias("node"), (F.col("distance") - F.col("length")).alias("place"), "chain"), "paths")
     inner = path.select("component", "chain", F.col("place").alias("from")).join(members, "chain").select("component", (F.col("from") + 1 + F.col("place")).alias("place"), "node")
     return path.select("component", "place", "node").unionByName(inner).unionByName(looped.select("component", F.lit(0).cast("long").alias("place"), F.col("component").alias("node")))
 
 
+def _distances(hops: DataFrame) -> DataFrame:
+    """(node, component, distance, before, length, chain): how far nodes are from their component's smallest, and the last hop of that way; what is farther than its cycle need not be there."""
+    way = ["distance", "before", "length", "chain"]
+    # the start itself is left out, so what comes back to it is the cycle
+    known = stored(hops.where("src = component").select(F.col("dst").alias("node"), "component", F.col("length").alias("distance"), F.col("src").alias("before"), "length", "chain", F.lit(None).cast("long").alias("old")), "distances")
+    while True:
+        # only what got nearer is sent on; a start that is reached bounds its component: what is as far can't shorten its cycle
+        reached = known.where("node = component").select("component", F.col("distance").alias("most"))
+        nearer = known.where("node <> component and (old is null or distance < old)").join(reached, "component", "left").where("most is null or distance < most").select(F.col("node").alias("src"), "distance")
+        if not nearer.limit(1).count():
+            return known.drop("old")
+        further = hops.join(nearer, "src").select(F.col("dst").alias("node"), "component", (F.col("distance") + F.col("length")).alias("distance"), F.col("src").alias("before"), "length", "chain", F.lit(None).cast("long").alias("old"))
+        all_ = known.withColumn("old", F.col("distance")).unionByName(further)
+        known = stored(all_.groupBy("node", "component").agg(F.min(F.struct(*way)).alias("best"), F.max("old").alias("old")).select("node", "component", "best.*", "old"), "distances")
+
+
 def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """(path, point, name): the innermost range of the same file that holds each point, ties by name; (path, point) and (path, name, start, end) in.
 

@@ -54,7 +54,7 @@ def cycle_sizes(spark, d):
 
 def cycle_paths(spark, d):
     """One shortest cycle through each component's smallest part: its length, whether each step is an edge, and whether it closes."""
-    edges = return_edges(spark, d).select("src", "dst")
+    edges = stored(return_edges(spark, d).select("src", "dst"), "edges")
     path = stored(G.cycle_paths(edges, stored(G.strongly_connected(edges), "components")), "cycle-paths")
     sizes = path.groupBy("component").agg(F.count("*").alias("length"), F.count_distinct("node").alias("nodes"))
     steps = path.join(sizes.select("component", "length"), "component").select("component", F.col("node").alias("src"), F.pmod(F.col("place") + 1, "length").alias("place"))

@@ -204,3 +204,10 @@ def test_large_component_takes_one_round(spark, monkeypatch):
     found = G.strongly_connected(df)
     assert {r.node: r.component for r in found.collect()} == scc_of(core) and len(set(scc_of(core).values())) == 1
     assert written.count("scc-both") == 1 and seen.value == len(core | above)
+
+
+def test_cycles_work_out_their_edges_once(spark):
+    rows = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 2), (7, 7)]
+    df, seen = counted(spark.createDataFrame(rows, "src int, dst int"))
+    components = spark.createDataFrame([*((n, 1) for n in range(1, 5)), (7, 7)], "node int, component int")
+    assert sorted(G.cycle_paths(df, components).collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (7, 0, 7)] and seen.value == len(rows)
