@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import similarity as S
 from loomgraph.operators.graph import strongly_connected
+from loomgraph.shared import stored
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
@@ -113,8 +114,9 @@ def import_order_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def cycle_risks(old: DataFrame, new: DataFrame) -> DataFrame:
     """(component, files, added, impact): cycles of the new dependencies (source, target) that hold a dependency the old ones lack, with how many such."""
-    found = strongly_connected(new.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    new = stored(new.select("source", "target").distinct(), "new")
+    found = stored(strongly_connected(new.select(F.col("source").alias("src"), F.col("target").alias("dst"))), "cycles")
     a, b = found.select(F.col("node").alias("source"), "component"), found.select(F.col("node").alias("target"), F.col("component").alias("other"))
-    fresh = new.select("source", "target").distinct().join(old.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    fresh = new.join(old.select("source", "target").distinct(), ["source", "target"], "left_anti")
     added = fresh.join(a, "source").join(b, "target").where("component = other").groupBy("component").agg(F.count("*").alias("added"))
     return found.groupBy("component").agg(F.count("*").alias("files")).join(added, "component").withColumn("impact", F.lit("high"))

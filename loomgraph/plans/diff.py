@@ -8,6 +8,7 @@ from loomgraph.functions import similarity as S
 from loomgraph.operators import diff as D
 from loomgraph.operators import rename as R
 from loomgraph.plans.relations import RETURN_SQL, return_edges, table
+from loomgraph.shared import stored
 
 SCORE = 0.45
 
@@ -160,7 +161,7 @@ def import_order_changes(spark, d):
 
 def cycle_risks(spark, d):
     """Cycles of parts that a version brings which has all dependencies, over one that lacks those of ids summing to a multiple of four."""
-    edges = return_edges(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    edges = stored(return_edges(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target")), "edges")
     return D.cycle_risks(edges.where("(source + target) % 4 <> 0"), edges)
 
 

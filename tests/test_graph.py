@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ladders
 from loomgraph.functions import paths as P
+from loomgraph.operators import diff as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import neighborhoods as N
 
@@ -211,3 +212,10 @@ def test_cycles_work_out_their_edges_once(spark):
     df, seen = counted(spark.createDataFrame(rows, "src int, dst int"))
     components = spark.createDataFrame([*((n, 1) for n in range(1, 5)), (7, 7)], "node int, component int")
     assert sorted(G.cycle_paths(df, components).collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (7, 0, 7)] and seen.value == len(rows)
+
+
+def test_cycle_risks_work_out_their_edges_once(spark):
+    rows = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)]
+    df, seen = counted(spark.createDataFrame(rows, "source int, target int"))
+    old = spark.createDataFrame(rows[:4], "source int, target int")
+    assert [tuple(r) for r in D.cycle_risks(old, df).collect()] == [(3, 2, 1, "high")] and seen.value == len(rows)
